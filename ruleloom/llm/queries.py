@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .language_id import fit, held_out, identify
+from .license_scan import scan_licenses
 from .maxent_lm import lm_scores
 from .mixing import mix_plan
 
@@ -29,6 +31,17 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < r
 """
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents.where(~held_out()).select("doc_id", "text", "lang"))
+    return identify(documents.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return plan.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
@@ -39,6 +52,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
+    "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
     "op10_lm_scoring": op10_lm_scoring,
 }
