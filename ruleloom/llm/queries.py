@@ -12,6 +12,7 @@ from .language_id import fit, held_out, identify
 from .license_scan import scan_licenses
 from .maxent_lm import lm_scores
 from .mixing import mix_plan
+from .sentencepiece_coding import encode_texts
 
 #: op4: sizes, the fixed point of the capped shares, and the same hash-seeded draw.
 OP4_SQL = r"""
@@ -47,6 +48,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
+def op7_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "round_trip", "ids")
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
+    "op7_sentencepiece_coding": op7_sentencepiece_coding,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
