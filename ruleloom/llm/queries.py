@@ -12,6 +12,7 @@ from .language_id import fit, held_out, identify
 from .license_scan import scan_licenses
 from .maxent_lm import lm_scores
 from .mixing import mix_plan
+from .ngram_join import jaccard_join
 from .sentencepiece_coding import encode_texts
 
 #: op4: sizes, the fixed point of the capped shares, and the same hash-seeded draw.
@@ -32,6 +33,10 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < r
 """
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -57,6 +62,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
