@@ -13,6 +13,7 @@ from .license_scan import scan_licenses
 from .maxent_lm import lm_scores
 from .mixing import mix_plan
 from .ngram_join import jaccard_join
+from .secret_scan import scan_secrets
 from .sentencepiece_coding import encode_texts
 
 #: op4: sizes, the fixed point of the capped shares, and the same hash-seeded draw.
@@ -53,6 +54,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    masked = F.transform("findings", lambda c: F.struct(c["place"].alias("place"), F.sha2(c["found"], 256).alias("digest"), c["probability"].alias("probability"), c["secret"].alias("secret")))
+    return found.select("doc_id", "n_candidates", "n_secrets", "score", masked.alias("findings"), "redacted")
+
+
 def op7_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "round_trip", "ids")
 
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
+    "op6_secret_scan": op6_secret_scan,
     "op7_sentencepiece_coding": op7_sentencepiece_coding,
     "op10_lm_scoring": op10_lm_scoring,
 }
