@@ -15,6 +15,7 @@ from .mixing import mix_plan
 from .ngram_join import jaccard_join
 from .secret_scan import scan_secrets
 from .sentencepiece_coding import encode_texts
+from .warc import read_records, write_archives
 
 #: op4: sizes, the fixed point of the capped shares, and the same hash-seeded draw.
 OP4_SQL = r"""
@@ -64,6 +65,11 @@ def op7_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "round_trip", "ids")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_records(write_archives(table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mixing": op4_source_mixing,
     "op6_secret_scan": op6_secret_scan,
     "op7_sentencepiece_coding": op7_sentencepiece_coding,
+    "op8_warc": op8_warc,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
