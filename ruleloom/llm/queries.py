@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .exact_search import exact_top_k
 from .language_id import fit, held_out, identify
 from .license_scan import scan_licenses
 from .maxent_lm import lm_scores
 from .mixing import mix_plan
+from .near_search import near_top_k
 from .ngram_join import jaccard_join
 from .secret_scan import scan_secrets
 from .sentencepiece_coding import encode_texts
@@ -35,6 +37,25 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < r
 """
 
 
+#: op8: the response is the largest page_id of a digest; base32 from the hexadecimal digits, five bits each.
+OP8_SQL = r"""
+WITH h AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS s FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS top, row_number() OVER (PARTITION BY s ORDER BY page_id DESC NULLS LAST) AS k FROM h)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, (5 * (i // 4) + 1)::INT, 5))::INT >> (5 * (3 - i % 4))::INT) & 31), 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to FROM w
+"""
+
+#: op9: every query against every other row.
+OP9_SQL = r"""
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.r AS qr, v.vec_id, v.r, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.r <> v.r WHERE q.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id ASC NULLS LAST, r) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM k WHERE rank <= 20
+"""
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -55,6 +76,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
+def op5_near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     masked = F.transform("findings", lambda c: F.struct(c["place"].alias("place"), F.sha2(c["found"], 256).alias("digest"), c["probability"].alias("probability"), c["secret"].alias("secret")))
@@ -70,6 +95,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -79,10 +108,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
+    "op5_near_search": op5_near_search,
     "op6_secret_scan": op6_secret_scan,
     "op7_sentencepiece_coding": op7_sentencepiece_coding,
     "op8_warc": op8_warc,
+    "op9_exact_search": op9_exact_search,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLES: dict[str, str] = {"op4_source_mixing": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_source_mixing": OP4_SQL, "op8_warc": OP8_SQL, "op9_exact_search": OP9_SQL}
