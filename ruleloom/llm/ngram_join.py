@@ -293,3 +293,19 @@ def jaccard_join(documents: DataFrame, similarity: float = SIMILARITY, recall: f
     out = sized_join(all_.select("row", "doc_id", "text_hash", "n", "h1", "h2"), known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") > 0), "left")
     alone = F.col("head").isNull()
     return out.select("row", "doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("class")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("head") == F.col("row"))).alias("first"))
+
+
+def one_of_each_class(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The documents without those that are not the first of their class; all columns, every other row as it is.
+
+    Documents are matched to the join's rows by id and text hash. Where rows are repeated as a whole, one of them stays."""
+    rows = jaccard_join(documents, similarity, recall)
+    kept = rows.groupBy("doc_id", "text_hash").agg(F.sum(F.col("first").cast("int")).alias("__keep"), F.count("*").alias("n"))
+    gone = cut(kept.where(F.col("__keep") < F.col("n")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__keep"))
+    some = gone.agg(F.count("*").alias("n"), F.max("__keep").alias("keep")).first()
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__hash"))
+    if not some["keep"]:
+        return sized_join(documents, gone, on, "left_anti", some["n"])
+    marked = sized_join(documents, gone, on, "left", some["n"])
+    once = marked.where("__keep > 0").dropDuplicates(["__id", "__hash"])
+    return marked.where("__keep is null").unionByName(once).select(*documents.columns)
