@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Edges for a task.
+TASK_ROWS = 200_000
+
+
+def _state(edges: DataFrame) -> tuple:
+    """How many edges there are, and a sum that changes with them."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+
 def _with_least(pairs: DataFrame) -> DataFrame:
     """u, v, m: the least of u and all its v."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
@@ -18,16 +27,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (its least node) for every node of the edges (a, b); both long. Loops and repeated edges do no harm.
 
     Each round is two aggregations and joins over the edges, written to the shared folder; the number of rounds grows with
-    the logarithm of the longest path. No component is gathered anywhere. Raises if `rounds` don't suffice."""
+    the logarithm of the longest path. No component is gathered anywhere. The tasks of a round follow from the edges counted
+    in the one before, TASK_ROWS to each. Raises if `rounds` don't suffice."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    state = _state(now)
     for _ in range(rounds):
+        tasks = 1 + state[0] // TASK_ROWS
+        now = now.coalesce(tasks)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(2 * tasks)
         stars = _with_least(large)
-        small = stars.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(small)
-        was, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        small = stars.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v"))).where("u <> v")
+        now = cut(small.coalesce(2 * tasks).distinct())
+        was, state = state, _state(now)
         if was == state:
             break
     else:

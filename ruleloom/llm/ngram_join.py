@@ -204,13 +204,17 @@ def in_blocks(df: DataFrame, count: str, size: int) -> DataFrame:
 
 
 def candidate_edges(reps: DataFrame, similarity: float) -> DataFrame:
-    first = reps.select("row", "n", "sketch", F.explode("paths").alias("path")).select("row", "n", "sketch", F.col("path.key").alias("key"), F.col("path.longer").alias("longer"))
+    """a, b: stars of the candidate classes. Sets meet by key and row alone; sketches join those that met."""
+    first = reps.select("row", F.explode(F.transform("paths", lambda p: p["key"])).alias("key"))
     counts = cut(first.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"))
     met = first.join(counts, "key")
-    small = in_blocks(met.where(F.col("count") <= BUCKET).drop("longer"), "count", BUCKET)
-    second = met.where(F.col("count") > BUCKET).select("row", "n", "sketch", F.explode("longer").alias("key"))
-    deeper = second.join(second.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"), "key")
-    return bucket_edges(small.unionByName(in_blocks(deeper, "count", BUCKET)), similarity)
+    members = in_blocks(met.where(F.col("count") <= BUCKET), "count", BUCKET)
+    if (counts.agg(F.max("count")).first()[0] or 0) > BUCKET:
+        paths = reps.select("row", F.explode("paths").alias("path")).select("row", F.col("path.key").alias("key"), F.col("path.longer").alias("longer"))
+        second = paths.join(met.where(F.col("count") > BUCKET), ["row", "key"]).select("row", F.explode("longer").alias("key"))
+        deeper = second.join(second.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"), "key")
+        members = members.unionByName(in_blocks(deeper, "count", BUCKET))
+    return bucket_edges(members.join(reps.select("row", "n", "sketch"), "row"), similarity)
 
 
 def compare_block(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
