@@ -1,4 +1,8 @@
 """The queries by name, and SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import graph, lexical, verifier
+
+QUERIES: dict = {**lexical.QUERIES, **graph.QUERIES, **verifier.QUERIES}
+ORACLES: dict[str, str] = {**lexical.ORACLES, **graph.ORACLES, **verifier.ORACLES}
