@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The forms of the marked-up specification.
 HEADER = r"^(#{1,6})\s+(.*?)\s*(?:\{(.+?)\})?\s*$"
@@ -108,7 +109,7 @@ def sentence_at(text: Column, position: Column) -> Column:
     return F.coalesce(F.element_at(F.when(F.size(over) > 0, over), 1), none)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 

@@ -12,10 +12,22 @@ from pyspark.sql import functions as F
 from ruleloom.functions import text as T
 
 LEVELS = range(1, 7)
-_by = Window.partitionBy("spec").orderBy("ln")
-_so_far = _by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_before = _by.rowsBetween(Window.unboundedPreceding, -1)
-_after = _by.rowsBetween(1, Window.unboundedFollowing)
+
+def _by():
+    """A document's lines in order. A function, as windows need a session that may not be there on import."""
+    return Window.partitionBy("spec").orderBy("ln")
+
+
+def _so_far():
+    return _by().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _before():
+    return _by().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _after():
+    return _by().rowsBetween(1, Window.unboundedFollowing)
 
 
 def _blank(c: Column) -> Column:
@@ -25,15 +37,15 @@ def _blank(c: Column) -> Column:
 def simple_fences(lines: DataFrame, is_fence: Column | None = None) -> DataFrame:
     """fenced by ~~~ alone; the fence lines are fenced."""
     mark = F.coalesce(is_fence if is_fence is not None else F.ltrim("line").startswith("~~~"), F.lit(False))
-    return lines.withColumn("__m", mark.cast("int")).withColumn("fenced", (F.col("__m") == 1) | (F.sum("__m").over(_so_far) % 2 == 1)).drop("__m")
+    return lines.withColumn("__m", mark.cast("int")).withColumn("fenced", (F.col("__m") == 1) | (F.sum("__m").over(_so_far()) % 2 == 1)).drop("__m")
 
 
 def fences(lines: DataFrame) -> DataFrame:
     """fenced by ~~~ or, outside those, ```; the fence lines are fenced."""
     head = F.regexp_replace("line", r"(?U)^\s+", "")
-    df = lines.withColumn("__t", head.startswith("~~~").cast("int")).withColumn("__in", F.sum("__t").over(_so_far) % 2 == 1)
+    df = lines.withColumn("__t", head.startswith("~~~").cast("int")).withColumn("__in", F.sum("__t").over(_so_far()) % 2 == 1)
     df = df.withColumn("__k", (~F.col("__in") & (F.col("__t") == 0) & head.startswith("```")).cast("int"))
-    return df.withColumn("fenced", (F.col("__t") == 1) | F.col("__in") | (F.col("__k") == 1) | (F.sum("__k").over(_so_far) % 2 == 1)).drop("__t", "__in", "__k")
+    return df.withColumn("fenced", (F.col("__t") == 1) | F.col("__in") | (F.col("__k") == 1) | (F.sum("__k").over(_so_far()) % 2 == 1)).drop("__t", "__in", "__k")
 
 
 def headings(lines: DataFrame) -> DataFrame:
@@ -51,9 +63,9 @@ def section_tree(heads: DataFrame, last_lines: DataFrame) -> DataFrame:
     before a heading is the last one of that level if no heading of a smaller level came after it; the open ones of
     smaller levels are the ancestors. A child's authority and tags are its own or those of the nearest ancestor that has some."""
     here = F.struct("ln", "index", "slug", "own_authority", "own_tags")
-    df = heads.withColumn("index", F.row_number().over(_by) - 1)
+    df = heads.withColumn("index", F.row_number().over(_by()) - 1)
     for m in LEVELS:
-        df = df.withColumn(f"__l{m}", F.max(F.when(F.col("level") == m, here)).over(_before)).withColumn(f"__n{m}", F.min(F.when(F.col("level") == m, F.col("ln"))).over(_after))
+        df = df.withColumn(f"__l{m}", F.max(F.when(F.col("level") == m, here)).over(_before())).withColumn(f"__n{m}", F.min(F.when(F.col("level") == m, F.col("ln"))).over(_after()))
     open_ = []
     for m in LEVELS:
         above = [F.coalesce(F.col(f"__l{j}.ln"), F.lit(0)) for j in range(1, m)]
@@ -69,8 +81,8 @@ def section_tree(heads: DataFrame, last_lines: DataFrame) -> DataFrame:
     df = df.withColumn("authority", F.coalesce("own_authority", last(chain("own_authority")))).withColumn("tags", F.coalesce("own_tags", last(chain("own_tags")))).withColumn("__end", F.least(*ends) - 1)
     df = df.join(last_lines, "spec").withColumn("end_line", F.coalesce("__end", "last"))
     # the first child is the next heading if that lies deeper
-    child = F.lead("ln").over(_by)
-    df = df.withColumn("child_start", F.when(F.lead("level").over(_by) > F.col("level"), child))
+    child = F.lead("ln").over(_by())
+    df = df.withColumn("child_start", F.when(F.lead("level").over(_by()) > F.col("level"), child))
     return df.select("spec", "index", "level", "slug", "title", "path", "authority", "tags", "parent", F.col("ln").alias("header_line"), "end_line", "child_start")
 
 
@@ -92,7 +104,7 @@ def slugs(tree: DataFrame) -> DataFrame:
 def innermost(lines: DataFrame, tree: DataFrame) -> DataFrame:
     """Lines with `section`, the index of the innermost section (null before the first heading). Sections nest, so it is the last that began."""
     marked = lines.join(tree.select("spec", F.col("header_line").alias("ln"), "index"), ["spec", "ln"], "left")
-    return marked.withColumn("section", F.last("index", ignorenulls=True).over(_so_far)).drop("index")
+    return marked.withColumn("section", F.last("index", ignorenulls=True).over(_so_far())).drop("index")
 
 
 def blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,8 +113,8 @@ def blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     A block ends at a fenced or blank line, a heading or a commentary head; a list item begins another."""
     stop = F.col("fenced") | _blank(F.col("line")) | F.col("line").rlike(T.HEADER) | F.col("line").rlike(T.COMMENTARY)
     df = lines.withColumn("__stop", stop)
-    new = ~F.col("__stop") & (F.col("line").rlike(T.LIST_ITEM) | F.coalesce(F.lag("__stop").over(_by), F.lit(True)))
-    df = df.withColumn("block", F.sum(new.cast("int")).over(_so_far) - 1).where(~F.col("__stop")).withColumn("piece", T.strip(F.col("line")))
+    new = ~F.col("__stop") & (F.col("line").rlike(T.LIST_ITEM) | F.coalesce(F.lag("__stop").over(_by()), F.lit(True)))
+    df = df.withColumn("block", F.sum(new.cast("int")).over(_so_far()) - 1).where(~F.col("__stop")).withColumn("piece", T.strip(F.col("line")))
     inside = Window.partitionBy("spec", "block").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
     places = df.select("spec", "ln", "block", F.coalesce(F.sum(F.length("piece") + 1).over(inside), F.lit(0)).alias("offset"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", "piece"))), lambda x: x["piece"]), " ")
@@ -153,7 +165,7 @@ def examples(lines: DataFrame) -> DataFrame:
 def verdicts(lines: DataFrame) -> DataFrame:
     """spec, ln, i, example, verdict, cause, note: comments in any line, fenced or not, of the latest example head."""
     heads = examples(lines).select("spec", "ln", "example")
-    df = lines.join(heads, ["spec", "ln"], "left").withColumn("of", F.last("example", ignorenulls=True).over(_so_far))
+    df = lines.join(heads, ["spec", "ln"], "left").withColumn("of", F.last("example", ignorenulls=True).over(_so_far()))
     df = df.where(F.col("line").rlike(T.VERDICT) & F.col("of").isNotNull() & F.col("example").isNull())
     parts = [F.regexp_extract_all("line", F.lit(T.VERDICT), F.lit(g)) for g in (1, 2, 3)]
     df = df.select("spec", "ln", "of", F.posexplode(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("verdict", "cause", "note"), strict=True)))).alias("i", "v"))
@@ -192,7 +204,7 @@ def commentary(lines: DataFrame) -> DataFrame:
     head = F.col("line").rlike(T.COMMENTARY)
     body = ~_blank(F.col("line")) & F.col("line").startswith("    ")
     edge = F.when(head, F.col("ln")).when(~_blank(F.col("line")) & ~body, F.lit(0))
-    df = seen.withColumn("head", F.last(edge, ignorenulls=True).over(_so_far)).where((F.col("head") > 0) & ~head & body)
+    df = seen.withColumn("head", F.last(edge, ignorenulls=True).over(_so_far())).where((F.col("head") > 0) & ~head & body)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", T.strip(F.col("line")).alias("t")))), lambda x: x["t"]), " ")
     heads = seen.where(head).select("spec", F.col("ln").alias("head"))
     bodies = df.groupBy("spec", "head").agg(text.alias("text"), F.max("ln").alias("end"))
@@ -203,7 +215,7 @@ def commentary_lines(lines: DataFrame) -> DataFrame:
     """Lines with in_commentary: from a head until a line that isn't blank and not indented at all."""
     raw = F.col("line")
     edge = F.when(raw.rlike(T.COMMENTARY), True).when(~_blank(raw) & ~raw.startswith(" ") & ~raw.startswith("\t"), False)
-    return lines.withColumn("in_commentary", F.coalesce(F.last(edge, ignorenulls=True).over(_so_far), F.lit(False)))
+    return lines.withColumn("in_commentary", F.coalesce(F.last(edge, ignorenulls=True).over(_so_far()), F.lit(False)))
 
 
 def example_bodies(lines: DataFrame) -> DataFrame:
@@ -231,7 +243,7 @@ def passages(lines: DataFrame, bodies: DataFrame, tree: DataFrame) -> DataFrame:
     heads = tree.select("spec", F.col("header_line").alias("ln"), F.lit(True).alias("__head"))
     df = commentary_lines(innermost(lines, tree)).join(covered, ["spec", "ln"], "left").join(heads, ["spec", "ln"], "left")
     df = df.withColumn("__stop", F.col("__ex").isNotNull() | F.col("__head").isNotNull() | (_blank(F.col("line")) & ~F.col("fenced")))
-    df = df.withColumn("__run", F.sum(F.col("__stop").cast("int")).over(_so_far)).where(~F.col("__stop"))
+    df = df.withColumn("__run", F.sum(F.col("__stop").cast("int")).over(_so_far())).where(~F.col("__stop"))
     first = F.min_by("section", "ln").alias("section"), F.min_by("in_commentary", "ln").alias("commentary")
     text = T.strip(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n"))
     out = df.groupBy("spec", "__run").agg(F.min("ln").alias("first"), F.max("ln").alias("last"), *first, text.alias("text"))
@@ -253,8 +265,8 @@ def stems(lines: DataFrame, spots: DataFrame, words: int = 40) -> DataFrame:
     raw = F.col("line")
     wall = F.col("fenced") | raw.rlike(T.HEADER)
     item, blank = raw.rlike(T.LIST_ITEM), _blank(raw)
-    df = lines.withColumn("__wall", F.sum(wall.cast("int")).over(_so_far)).withColumn("__prose", ~wall & ~item & ~blank)
-    df = df.withColumn("__run", F.sum((~F.col("__prose")).cast("int")).over(_so_far))
+    df = lines.withColumn("__wall", F.sum(wall.cast("int")).over(_so_far())).withColumn("__prose", ~wall & ~item & ~blank)
+    df = df.withColumn("__run", F.sum((~F.col("__prose")).cast("int")).over(_so_far()))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", T.strip(raw).alias("t")))), lambda x: x["t"]), " ")
     runs = df.where("__prose").groupBy("spec", "__wall", "__run").agg(F.max("ln").alias("end"), text.alias("text"))
     here = df.join(spots.select("spec", "ln").distinct(), ["spec", "ln"]).where(item & ~wall).select("spec", "ln", "__wall")
