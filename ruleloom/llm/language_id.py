@@ -24,6 +24,8 @@ SAMPLE_TEXTS = 1500
 MARK = "▁"
 #: A longer word is scored as parts of so many letters.
 LONGEST_WORD = 64
+#: Bytes of text, and distinct words of it, that a worker handles at a time.
+SLICE, WORDS = 8 << 20, 1 << 15
 #: Keeps products of probabilities within range: each letter counts this factor, taken off at the end.
 _SCALE = 16.0
 _UNKNOWN = 1e-7
@@ -221,36 +223,38 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, sample_texts: int = S
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """All columns with lang_pred and score, the posterior of that language (ties: the first by name).
 
-    `und` and 0 for null texts and texts without a letter, or if nothing was learnt. Whole texts count; each row is its own."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    columns = [f for f in documents.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = StructType([*columns, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    `und` and 0 for null texts and texts without a letter, or if nothing was learnt. Whole texts count; each row is its own.
+    Only texts go to Python; the other columns wait in the JVM."""
     lattice = Lattice(model.pieces)
     sent = documents.sparkSession.sparkContext.broadcast((model.languages, lattice, lattice.scaled(model.probability, model.pieces), model.prior))
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         languages, lattice, scaled, prior = sent.value
-        kinds = to_arrow_schema(schema)
+        m = len(languages)
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            done = []
+            for part in slices(pa.record_batch({"text": batch}), "text", SLICE):
                 words, code, text = words_of(part.column("text"))
-                n, m = part.num_rows, len(languages)
+                n = part.num_rows
                 has = np.bincount(text, minlength=n) > 0
                 best, score = np.zeros(n, int), np.zeros(n)
                 if m:
                     log = np.empty((len(words), m))
-                    for i in range(0, len(words), 1 << 17):
-                        log[i : i + (1 << 17)] = lattice.log_probability(words.slice(i, 1 << 17), scaled)
+                    for i in range(0, len(words), WORDS):
+                        log[i : i + WORDS] = lattice.log_probability(words.slice(i, WORDS), scaled)
                     z = np.stack([np.bincount(text, log[code, j], n) for j in range(m)], 1) + prior
                     best = z.argmax(1)
                     score = 1 / np.exp(z - z.max(1, keepdims=True)).sum(1)
                 has &= m > 0
                 name = np.array([*languages, "und"], object)[np.where(has, best, m)]
-                yield pa.record_batch([*(part.column(f.name).cast(kinds.field(f.name).type) for f in columns), pa.array(name, pa.string()), pa.array(np.where(has, score, 0.0))], names=kinds.names)
-
-    return documents.select(*(f.name for f in columns)).mapInArrow(predict, schema)
+                done.append(pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(np.where(has, score, 0.0))], ["lang_pred", "score"]))
+            yield pa.concat_arrays(done) if done else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
+
+    # not deterministic for the optimizer, so that a filter on the result doesn't run the model twice
+    column = F.arrow_udf(predict, "lang_pred string, score double").asNondeterministic()(F.col("text"))
+    columns = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    found = documents.select(*columns, column.alias("__found"))
+    return found.select(*columns, "__found.lang_pred", "__found.score")
 
 
 def held_out(m: int = 3, remainder: int = 1) -> Column:

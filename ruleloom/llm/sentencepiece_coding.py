@@ -24,8 +24,9 @@ from .common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose pieces a worker remembers from one slice to the next; all are forgotten when there are as many.
-REMEMBERED = 1 << 19
+#: Words whose pieces, and pairs of pieces whose fit, a worker remembers from one slice to the next; all are forgotten when
+#: there are as many.
+REMEMBERED = 1 << 18
 
 
 class Coder:
@@ -67,6 +68,8 @@ class Coder:
     def follows(self, a: int, b: int) -> bool:
         key = a << 20 | b
         if (got := self._follows.get(key)) is None:
+            if len(self._follows) >= REMEMBERED:
+                self._follows.clear()
             x, y = self.piece[a], self.piece[b]
             got = self._follows[key] = self.merged(x + y) == [x, y]
         return got
