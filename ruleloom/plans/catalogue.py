@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph, lexical, verifier
+from . import assembled, graph, lexical, verifier
 
-QUERIES: dict = {**lexical.QUERIES, **graph.QUERIES, **verifier.QUERIES}
-ORACLES: dict[str, str] = {**lexical.ORACLES, **graph.ORACLES, **verifier.ORACLES}
+QUERIES: dict = {**lexical.QUERIES, **graph.QUERIES, **assembled.QUERIES, **verifier.QUERIES}
+ORACLES: dict[str, str] = {**lexical.ORACLES, **graph.ORACLES, **assembled.ORACLES, **verifier.ORACLES}

@@ -18,7 +18,7 @@ SQL = f"""WITH RECURSIVE A AS (SELECT doc_id, string_split(regexp_replace(text,
 L0 AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS ln, len(a) AS n FROM A),
 L AS (SELECT doc_id, ln, line FROM L0 WHERE NOT (ln = n AND line = '')),
 E AS (SELECT doc_id, max(ln) AS last FROM L GROUP BY doc_id),
-H AS (SELECT doc_id, ln, 1 + (doc_id * 7 + ln * 3) % 4 AS level, 's' || ln AS slug, {AUTHORITY} AS own FROM L WHERE (doc_id + ln) % 4 = 0),
+H AS (SELECT doc_id, ln, 1 + (doc_id + ln // 4) % 4 AS level, 's' || ln AS slug, {AUTHORITY} AS own FROM L WHERE (doc_id + ln) % 4 = 0),
 PA AS (SELECT c.*, (SELECT max(p.ln) FROM H p WHERE p.doc_id = c.doc_id AND p.ln < c.ln AND p.level < c.level) AS parent FROM H c),
 T AS (SELECT doc_id, ln, level, slug, parent, slug AS path, own AS authority FROM PA WHERE parent IS NULL
   UNION ALL SELECT c.doc_id, c.ln, c.level, c.slug, c.parent, t.path || '/' || c.slug, coalesce(c.own, t.authority) FROM PA c JOIN T t ON c.doc_id = t.doc_id AND c.parent = t.ln),
@@ -41,7 +41,7 @@ def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Markdown lines with `fenced`."""
     authority = F.expr(AUTHORITY.replace("doc_id", "spec"))
-    level = (1 + (F.col("spec") * 7 + F.col("ln") * 3) % 4).cast("int")
+    level = F.expr("1 + (spec + ln div 4) % 4").cast("int")
     head = F.concat(F.repeat(F.lit("#"), level), F.lit(" T"), "ln", F.lit(" {#s"), "ln", F.coalesce(F.concat(F.lit(" authority="), authority), F.lit("")), F.lit("}"))
     marker = F.concat(F.lit(" [^m"), F.lpad(((F.col("spec") * 31 + F.col("ln") * 7) % 1000).cast("string"), 3, "0"), F.lit("]"))
     is_head = (F.col("spec") + F.col("ln")) % 4 == 0
