@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, trimmed
 from .ngram_join import groups_of
 
 #: Rows of a block of vectors, and of a block of queries.
@@ -65,7 +65,7 @@ def block_search(vectors: DataFrame, queries: DataFrame, search: Callable[[Block
                     yield pa.record_batch(search(_block(part.slice(0, n)), _block(part.slice(n))))
 
     parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(nv * nq, 100_000))
-    return both.repartition(parts, "vb", "qb").sortWithinPartitions("vb", "qb", "q").mapInArrow(run, schema)
+    return both.repartition(parts, "vb", "qb").sortWithinPartitions("vb", "qb", "q").mapInArrow(trimmed(run), schema)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:

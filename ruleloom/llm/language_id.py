@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, mix, slices
+from .common import crc_mod, cut, mix, slices, trimmed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts to learn from, in each language, about so many (chosen by a hash of the id); the words of whole texts count.
@@ -194,7 +194,7 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, sample_texts: int = S
                 u, n = np.unique(of.indices.to_numpy()[text].astype(np.int64) * (len(words) + 1) + code, return_counts=True)
                 yield pa.record_batch({"lang": of.dictionary.take(u // (len(words) + 1)), "word": words.take(u % (len(words) + 1)), "n": n})
 
-    words = cut(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = cut(sample.mapInArrow(trimmed(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
     for _ in range(rounds):
         sent = labelled.sparkSession.sparkContext.broadcast(p)
@@ -210,7 +210,7 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, sample_texts: int = S
             row, column = np.nonzero(total)
             yield pa.record_batch({"language": column, "piece": row, "n": total[row, column]})
 
-        got = words.mapInArrow(expect, "language long, piece long, n double").groupBy("language", "piece").agg(F.sum("n").alias("n")).toPandas()
+        got = words.mapInArrow(trimmed(expect), "language long, piece long, n double").groupBy("language", "piece").agg(F.sum("n").alias("n")).toPandas()
         n = np.zeros_like(p)
         n[got["piece"], got["language"]] = got["n"]
         p = (n + smoothing) / (n.sum(0) + smoothing * len(n))
@@ -251,7 +251,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.concat_arrays(done) if done else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
 
     # not deterministic for the optimizer, so that a filter on the result doesn't run the model twice
-    column = F.arrow_udf(predict, "lang_pred string, score double").asNondeterministic()(F.col("text"))
+    column = F.arrow_udf(trimmed(predict), "lang_pred string, score double").asNondeterministic()(F.col("text"))
     columns = [c for c in documents.columns if c not in ("lang_pred", "score")]
     found = documents.select(*columns, column.alias("__found"))
     return found.select(*columns, "__found.lang_pred", "__found.score")

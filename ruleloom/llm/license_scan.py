@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Words, cut, rolled, sized_join, slices
+from .common import WORD, Words, cut, rolled, sized_join, slices, trimmed
 
 # The base phrases with their labels.
 BASE = {
@@ -98,7 +98,7 @@ def candidates(texts: DataFrame, known: list[Template]) -> DataFrame:
                 yield pa.record_batch(columns)
 
     spark = texts.sparkSession
-    rows = texts.select("key", "text").mapInArrow(emit, "key long, p int, h2 long, h3 long")
+    rows = texts.select("key", "text").mapInArrow(trimmed(emit), "key long, p int, h2 long, h3 long")
     for k in (2, 3):
         rows = rows.join(_positions(spark, known, k), F.col(f"h{k}") == F.col(f"t{k}"), "left")
     none = F.array().cast("array<struct<template:int,q:int>>")
@@ -150,4 +150,4 @@ def scan_licenses(documents: DataFrame, notices: list[tuple[str, str]] = NOTICES
                 added = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), [kinds.field(n) for n in new.names], strict=True)]
                 yield pa.record_batch([*(part.column(f.name).cast(kinds.field(f.name).type) for f in columns), *added], names=kinds.names)
 
-    return joined.select(*(f.name for f in columns), *(["text"] if "text" not in [f.name for f in columns] else []), "__spans").mapInArrow(verify, schema)
+    return joined.select(*(f.name for f in columns), *(["text"] if "text" not in [f.name for f in columns] else []), "__spans").mapInArrow(trimmed(verify), schema)

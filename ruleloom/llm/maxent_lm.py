@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKEN, Words, crc_mod, cut, mix, slices
+from .common import TOKEN, Words, crc_mod, cut, mix, slices, trimmed
 
 CLASSES = 16
 #: Rows of the weight table.
@@ -103,7 +103,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
         if held:
             yield from out(merged())
 
-    return documents.select("text").mapInArrow(count, "h long, class byte, c long").groupBy("h").agg(F.max("class").alias("class"), F.sum("c").alias("c"))
+    return documents.select("text").mapInArrow(trimmed(count), "h long, class byte, c long").groupBy("h").agg(F.max("class").alias("class"), F.sum("c").alias("c"))
 
 
 def train_classes(documents: DataFrame, bias: np.ndarray, epochs: int = 1, rate: float = 0.5, step: int = 1 << 14) -> np.ndarray:
@@ -133,7 +133,7 @@ def train_classes(documents: DataFrame, bias: np.ndarray, epochs: int = 1, rate:
             if len(at):
                 yield pa.record_batch({"row": at} | {c: (w[at, i] * seen[at]).astype(np.float64) for i, c in enumerate(columns)} | {"n": seen[at]})
 
-        rows = documents.select("text").mapInArrow(learn, "row long, " + ", ".join(f"{c} double" for c in columns) + ", n double")
+        rows = documents.select("text").mapInArrow(trimmed(learn), "row long, " + ", ".join(f"{c} double" for c in columns) + ", n double")
         got = rows.groupBy("row").agg(*(F.sum(c).alias(c) for c in columns), F.sum("n").alias("n")).toPandas()
         if len(got):
             weights[got["row"].to_numpy()] = (got[columns].to_numpy() / got[["n"]].to_numpy()).astype(np.float32)
@@ -209,7 +209,7 @@ def lm_scores(documents: DataFrame, held_out: tuple[int, int] = (7, 2), epochs:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(of_id)
-    rows = docs.withColumn("key", F.monotonically_increasing_id()).mapInArrow(score, f"key long, h long, tf long, doc_id {of_id.simpleString()}, held_out boolean, size long, known long, logs double, model double")
+    rows = docs.withColumn("key", F.monotonically_increasing_id()).mapInArrow(trimmed(score), f"key long, h long, tf long, doc_id {of_id.simpleString()}, held_out boolean, size long, known long, logs double, model double")
     # a text's own row has a spread-out h and no tf, and so joins no count
     cold = counts.where(F.col("c") < least).select(F.col("h").alias("h2"), "c")
     joined = rows.join(cold, (F.col("h") == F.col("h2")) & F.col("tf").isNotNull(), "left")

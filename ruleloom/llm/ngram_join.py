@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Words, cut, mix, rolled, sized_join, slices
+from .common import WORD, Words, cut, mix, rolled, sized_join, slices, trimmed
 from .components import components
 
 K = 5
@@ -32,6 +32,8 @@ BUCKET = 512
 #: Texts in a block of exact comparison.
 BLOCK = 1024
 SKETCH = 64
+#: Shingles that are hashed at a time under longer paths.
+TOKENS = 1 << 18
 
 
 def runs_for(recall: float) -> int:
@@ -104,13 +106,16 @@ def signatures(documents: DataFrame, similarity: float, runs: int) -> DataFrame:
                 order = np.argsort(o, kind="stable")
                 o, key = o[order], key[order]
                 second, counts = [], np.zeros(len(o), np.int64)
-                for i in range(0, len(o), 512):  # each path again over its set's tokens
-                    m = n[o[i : i + 512]]
+                done, work = 0, np.cumsum(n[o])
+                while done < len(o):  # each path again over its set's tokens, so many tokens at a time
+                    end = max(done + 1, int(np.searchsorted(work, (work[done - 1] if done else 0) + TOKENS, "right")))
+                    m = n[o[done:end]]
                     of = np.repeat(np.arange(len(m)), m)
-                    where = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(ends[o[i : i + 512]], m)
-                    at, longer = choose(tokens[where], owner[where], limit, key[i : i + 512][of])
+                    where = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(ends[o[done:end]], m)
+                    at, longer = choose(tokens[where], owner[where], limit, key[done:end][of])
                     second.append(longer)
-                    counts[i : i + 512] = np.bincount(of[at], minlength=len(m))
+                    counts[done:end] = np.bincount(of[at], minlength=len(m))
+                    done = end
                 inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(np.concatenate(second).view(np.int64) if second else np.zeros(0, np.int64)))
                 paths = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), inner], ["key", "longer"])
                 paths = pa.ListArray.from_arrays(pa.array(np.searchsorted(o, np.arange(rows + 1)).astype(np.int32)), paths)
@@ -119,7 +124,7 @@ def signatures(documents: DataFrame, similarity: float, runs: int) -> DataFrame:
     names = ["row", "doc_id", "text_hash", "n", "h1", "h2", "sketch", "paths"]
     kind = documents.schema["doc_id"].dataType.simpleString()
     keyed = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return keyed.mapInArrow(sign, f"row long, doc_id {kind}, text_hash long, n long, h1 long, h2 long, sketch binary, paths array<struct<key:long,longer:array<long>>>")
+    return keyed.mapInArrow(trimmed(sign), f"row long, doc_id {kind}, text_hash long, n long, h1 long, h2 long, sketch binary, paths array<struct<key:long,longer:array<long>>>")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], by: list[str], least: int = 0) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -191,7 +196,7 @@ def bucket_edges(members: DataFrame, similarity: float) -> DataFrame:
                 i = np.flatnonzero(label != np.arange(t.num_rows))
                 yield pa.record_batch({"a": row[label[i]], "b": row[i]})
 
-    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "row", "n", "sketch").mapInArrow(compare, "a long, b long")
+    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "row", "n", "sketch").mapInArrow(trimmed(compare), "a long, b long")
 
 
 def in_blocks(df: DataFrame, count: str, size: int) -> DataFrame:
@@ -265,7 +270,7 @@ def verify(texts: DataFrame, similarity: float) -> DataFrame:
                 r, n, to = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.record_batch({"row": r, "links": n, "to": to})
 
-    return texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").select("component", "i", "j", "side", "row", "copies", "text").mapInArrow(compare, "row long, links long, to long")
+    return texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").select("component", "i", "j", "side", "row", "copies", "text").mapInArrow(trimmed(compare), "row long, links long, to long")
 
 
 def jaccard_join(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

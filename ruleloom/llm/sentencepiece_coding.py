@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -210,4 +210,4 @@ def _mapped(documents: DataFrame, coder: Coder | None, ddl: str, column: str, f)
                 yield pa.record_batch([*(part.column(x.name).cast(kinds.field(x.name).type) for x in old), *(a.cast(kinds.field(x.name).type) for a, x in zip(made, new.fields, strict=True))], names=kinds.names)
 
     extra = [column] if column not in [x.name for x in old] else []
-    return documents.select(*(x.name for x in old), *extra).mapInArrow(run, schema)
+    return documents.select(*(x.name for x in old), *extra).mapInArrow(trimmed(run), schema)

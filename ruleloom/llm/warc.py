@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, sized_join
+from .common import cut, shared_dir, sized_join, trimmed
 
 #: A task goes on to another archive when one has so many bytes.
 ARCHIVE_BYTES = 256 << 20
@@ -132,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
         if out is not None:
             out.close()
 
-    index = with_types(pages, min_revisit_bytes).select(F.col("page_id").cast("long"), "url", "payload", "record_type", F.col("refers_to").cast("long")).mapInArrow(write, INDEX)
+    index = with_types(pages, min_revisit_bytes).select(F.col("page_id").cast("long"), "url", "payload", "record_type", F.col("refers_to").cast("long")).mapInArrow(trimmed(write), INDEX)
     return cut(index.withColumn("archive", F.concat(F.lit(f"{folder}/"), "archive")))
 
 
@@ -189,4 +189,4 @@ def read_records(index: DataFrame) -> DataFrame:
             opened.close()
 
     placed = index.select("archive", "offset", "length")
-    return placed.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(read, schema)
+    return placed.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(trimmed(read), schema)
