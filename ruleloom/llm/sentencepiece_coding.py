@@ -13,7 +13,6 @@ exactly one last piece passes. Letters outside the vocabulary become their UTF-8
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +23,11 @@ from .common import slices, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose pieces, and pairs of pieces whose fit, a worker remembers from one slice to the next; all are forgotten when
-#: there are as many.
+#: Words whose pieces, and pairs of pieces whose fit, a worker remembers from one slice to the next, about. Of words the older
+#: half is forgotten when it wasn't used again.
 REMEMBERED = 1 << 18
+#: Bytes of text that are encoded at a time; what words have in common is remembered, so that small parts cost little.
+PART = 1 << 20
 
 
 class Coder:
@@ -42,8 +43,11 @@ class Coder:
         raw = [of_byte.get(i, b"" if i in special else p.replace(MARK, " ").encode()) for i, p in enumerate(pieces)]
         self.raw, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+        # pieces that merging can make at all
+        self.ends = {p: i for p, i in self.id_of.items() if not merges or len(p) == 1 or self.merged(p) == [p]}
         self._follows: dict[int, bool] = {}
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
     def load(path: str = MODEL, merges: bool = True) -> Coder:
@@ -74,11 +78,6 @@ class Coder:
             got = self._follows[key] = self.merged(x + y) == [x, y]
         return got
 
-    @lru_cache(1 << 16)
-    def whole(self, i: int) -> bool:
-        """Whether merging can make this piece at all."""
-        return len(self.piece[i]) == 1 or self.merged(self.piece[i]) == [self.piece[i]]
-
     def states(self, words: list[str]) -> Iterator[list[int]]:
         """The pieces of each of the sorted words."""
         last: list[int] = [-1]  # the last piece of the best segmentation of so many letters; -2: a letter without a piece
@@ -105,17 +104,21 @@ class Coder:
 
     def _extend(self, word: str, end: int, last: list[int], begin: list[int], total: list[float]) -> None:
         choice, at, best = -2, end - 1, total[end - 1] - 1e6
-        get = self.id_of.get
+        get, known = self.ends.get, self._follows
         for start in range(end - 1, max(-1, end - self.longest - 1), -1):
             i = get(word[start:end])
             if i is None:
                 continue
-            if not self.merges:
-                if (value := total[start] + self.score[i]) > best or choice == -2:
-                    choice, at, best = i, start, value
-            elif (last[start] < 0 or self.follows(last[start], i)) and self.whole(i):
-                choice, at = i, start
-                break
+            if self.merges:
+                before = last[start]
+                ok = before < 0 or known.get(before << 20 | i)
+                if ok is None:
+                    ok = self.follows(before, i)
+                if ok:
+                    choice, at = i, start
+                    break
+            elif (value := total[start] + self.score[i]) > best or choice == -2:
+                choice, at, best = i, start, value
         last.append(choice)
         begin.append(at)
         total.append(best)
@@ -135,14 +138,13 @@ class Coder:
         start = np.flatnonzero(cut)
         words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.r_[start, len(data)].astype(np.int64)), pa.py_buffer(data.tobytes())).dictionary_encode()
         distinct = [w.replace(" ", MARK) for w in words.dictionary.to_pylist()]
-        new = sorted(w for w in distinct if w not in self._known)
-        if len(self._known) + len(new) > REMEMBERED:
-            self._known.clear()
-            new = sorted(distinct)
-        self._known.update(zip(new, self.states(new), strict=True))
-        coded = [self._known[w] for w in distinct]
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
+        known, older = self._known, self._older
+        known.update((w, older[w]) for w in distinct if w not in known and w in older)
+        new = sorted(w for w in distinct if w not in known)
+        known.update(zip(new, map(tuple, self.states(new)), strict=True))
+        coded = [known[w] for w in distinct]
+        if len(known) > REMEMBERED // 2:
+            self._known, self._older = {}, known
         count = np.fromiter(map(len, coded), np.int64, len(coded))
         flat = np.fromiter((i for c in coded for i in c), np.int32, int(count.sum()))
         code = words.indices.to_numpy()
@@ -205,7 +207,7 @@ def _mapped(documents: DataFrame, coder: Coder | None, ddl: str, column: str, f)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = to_arrow_schema(schema)
         for batch in batches:
-            for part in slices(batch, column) if column == "text" else (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in slices(batch, column, PART) if column == "text" else (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 made = f(sent.value, part.column(column))
                 yield pa.record_batch([*(part.column(x.name).cast(kinds.field(x.name).type) for x in old), *(a.cast(kinds.field(x.name).type) for a, x in zip(made, new.fields, strict=True))], names=kinds.names)
 
