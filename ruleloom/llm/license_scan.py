@@ -124,7 +124,8 @@ def scan_licenses(documents: DataFrame, notices: list[tuple[str, str]] = NOTICES
     known = templates(notices)
     keyed = documents.withColumn("__key", F.xxhash64(F.col("doc_id"), F.col("text")))
     found = cut(candidates(keyed.select(F.col("__key").alias("key"), "text"), known)).select(F.col("key").alias("__found"), "spans").withColumnRenamed("spans", "__spans")
-    joined = sized_join(keyed, found, F.col("__key") == F.col("__found"), "left").drop("__key", "__found")
+    spans = found.agg(F.sum(F.size("__spans")).alias("n")).first()["n"] or 0  # what a broadcast would hold
+    joined = sized_join(keyed, found, F.col("__key") == F.col("__found"), "left", spans).drop("__key", "__found")
     new = StructType.fromDDL("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,words:long,share:double>>")
     columns = [f for f in documents.schema.fields if f.name not in new.names]
     schema = StructType([*columns, *new.fields])
