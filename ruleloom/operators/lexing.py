@@ -53,13 +53,14 @@ def headings(lines: DataFrame) -> DataFrame:
     attributes = T.header_attributes(F.col("line"))
     title = T.header_title(F.col("line"))
     heads = lines.where(~F.col("fenced") & F.col("line").rlike(T.HEADER))
-    return heads.select("spec", "ln", T.header_level(F.col("line")).alias("level"), F.coalesce(T.anchor(attributes), T.slug(title)).alias("slug"), title.alias("title"), T.attribute(attributes, "authority").alias("own_authority"), T.attribute(attributes, "tags").alias("own_tags"))
+    last = ["last"] if "last" in lines.columns else []
+    return heads.select("spec", "ln", *last, T.header_level(F.col("line")).alias("level"), F.coalesce(T.anchor(attributes), T.slug(title)).alias("slug"), title.alias("title"), T.attribute(attributes, "authority").alias("own_authority"), T.attribute(attributes, "tags").alias("own_tags"))
 
 
-def section_tree(heads: DataFrame, last_lines: DataFrame) -> DataFrame:
+def section_tree(heads: DataFrame) -> DataFrame:
     """spec, index, level, slug, title, path, authority, tags, parent, header_line, end_line, child_start.
 
-    Of heads (spec, ln, level, slug, title, own_authority, own_tags) and last_lines (spec, last). The open section of level m
+    Of heads (spec, ln, level, slug, title, own_authority, own_tags, and last, the document's last line). The open section of level m
     before a heading is the last one of that level if no heading of a smaller level came after it; the open ones of
     smaller levels are the ancestors. A child's authority and tags are its own or those of the nearest ancestor that has some."""
     here = F.struct("ln", "index", "slug", "own_authority", "own_tags")
@@ -79,7 +80,7 @@ def section_tree(heads: DataFrame, last_lines: DataFrame) -> DataFrame:
     ends = [F.when(F.col("level") >= m, F.col(f"__n{m}")) for m in LEVELS]
     df = df.withColumn("parent", last(F.col("__up"))["index"]).withColumn("path", F.concat(F.transform("__up", lambda x: x["slug"]), F.array("slug")))
     df = df.withColumn("authority", F.coalesce("own_authority", last(chain("own_authority")))).withColumn("tags", F.coalesce("own_tags", last(chain("own_tags")))).withColumn("__end", F.least(*ends) - 1)
-    df = df.join(last_lines, "spec").withColumn("end_line", F.coalesce("__end", "last"))
+    df = df.withColumn("end_line", F.coalesce("__end", "last"))
     # the first child is the next heading if that lies deeper
     child = F.lead("ln").over(_by())
     df = df.withColumn("child_start", F.when(F.lead("level").over(_by()) > F.col("level"), child))
@@ -88,7 +89,7 @@ def section_tree(heads: DataFrame, last_lines: DataFrame) -> DataFrame:
 
 def sections(lines: DataFrame) -> DataFrame:
     """The section tree of fenced lines."""
-    return section_tree(headings(lines), lines.groupBy("spec").agg(F.max("ln").alias("last")))
+    return section_tree(headings(lines.withColumn("last", F.max("ln").over(Window.partitionBy("spec")))))
 
 
 def preambles(tree: DataFrame) -> DataFrame:

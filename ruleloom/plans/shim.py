@@ -34,8 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_of(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+def plain_lines(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    return lines_of(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", together)
 
 
 def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     marker = F.concat(F.lit(" [^m"), F.lpad(((F.col("spec") * 31 + F.col("ln") * 7) % 1000).cast("string"), 3, "0"), F.lit("]"))
     is_head = (F.col("spec") + F.col("ln")) % 4 == 0
     line = F.when(is_head, head).when(F.col("line") == "", "").otherwise(F.concat(F.lit("p "), "line", marker))
-    return L.fences(plain_lines(spark, sf_dir).withColumn("line", line))
+    return L.fences(plain_lines(spark, sf_dir, True).withColumn("line", line))
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def lines_of(df: DataFrame, spec: Column | str, text: Column | str) -> DataFrame:
-    """Lines numbered from 1. An empty last line (after a final newline) is none; a null text has no lines."""
+def lines_of(df: DataFrame, spec: Column | str, text: Column | str, together: bool = False) -> DataFrame:
+    """Lines numbered from 1. An empty last line (after a final newline) is none; a null text has no lines.
+
+    together: the texts are dealt out by spec before they become lines, so that windows over a document's lines need no
+    shuffle of their own; one of whole texts is cheaper than one of all lines for each operator."""
     text = F.col(text) if isinstance(text, str) else text
     spec = F.col(spec) if isinstance(spec, str) else spec
-    parts = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return df.select(spec.alias("spec"), F.posexplode(parts).alias("p", "line")).select("spec", (F.col("p") + 1).alias("ln"), "line")
+    df = df.select(spec.alias("spec"), text.alias("text"))
+    if together:
+        df = df.repartition("spec")
+    df = df.select("spec", F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n").alias("parts"))
+    whole = F.when(F.element_at("parts", -1) == "", F.slice("parts", 1, F.size("parts") - 1)).otherwise(F.col("parts"))
+    return df.select("spec", F.posexplode(whole).alias("p", "line")).select("spec", (F.col("p") + 1).alias("ln"), "line")
 
 
 def lines_from_files(spark: SparkSession, path: str) -> DataFrame:
