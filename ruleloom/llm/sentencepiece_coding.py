@@ -83,14 +83,14 @@ class Coder:
         last: list[int] = [-1]  # the last piece of the best segmentation of so many letters; -2: a letter without a piece
         begin: list[int] = [0]
         total: list[float] = [0.0]
+        extend = self._merge if self.merges else self._sum
         before = ""
         for word in words:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :], begin[shared + 1 :], total[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                self._extend(word, end, last, begin, total)
+            extend(word, shared + 1, last, begin, total)
             out, at = [], len(word)
             while at:
                 if last[at] >= 0:
@@ -102,26 +102,40 @@ class Coder:
             before = word
             yield out
 
-    def _extend(self, word: str, end: int, last: list[int], begin: list[int], total: list[float]) -> None:
-        choice, at, best = -2, end - 1, total[end - 1] - 1e6
-        get, known = self.ends.get, self._follows
-        for start in range(end - 1, max(-1, end - self.longest - 1), -1):
-            i = get(word[start:end])
-            if i is None:
-                continue
-            if self.merges:
-                before = last[start]
-                ok = before < 0 or known.get(before << 20 | i)
-                if ok is None:
-                    ok = self.follows(before, i)
-                if ok:
-                    choice, at = i, start
-                    break
-            elif (value := total[start] + self.score[i]) > best or choice == -2:
-                choice, at, best = i, start, value
-        last.append(choice)
-        begin.append(at)
-        total.append(best)
+    def _merge(self, word: str, first: int, last: list[int], begin: list[int], _: list[float]) -> None:
+        """Adds the states from `first` letters on: the one last piece that fits what stands before it."""
+        get, known, longest = self.ends.get, self._follows.get, self.longest
+        for end in range(first, len(word) + 1):
+            start, low, choice = end - 1, end - longest, -2
+            at = start
+            while start >= 0 and start >= low:
+                i = get(word[start:end])
+                if i is not None:
+                    before = last[start]
+                    if before < 0:
+                        choice, at = i, start
+                        break
+                    ok = known(before << 20 | i)
+                    if ok is None:
+                        ok = self.follows(before, i)
+                    if ok:
+                        choice, at = i, start
+                        break
+                start -= 1
+            last.append(choice)
+            begin.append(at)
+
+    def _sum(self, word: str, first: int, last: list[int], begin: list[int], total: list[float]) -> None:
+        """Adds the states from `first` letters on: the last piece with the largest sum of scores."""
+        for end in range(first, len(word) + 1):
+            choice, at, best = -2, end - 1, total[end - 1] - 1e6
+            for start in range(end - 1, max(-1, end - self.longest - 1), -1):
+                i = self.ends.get(word[start:end])
+                if i is not None and ((value := total[start] + self.score[i]) > best or choice == -2):
+                    choice, at, best = i, start, value
+            last.append(choice)
+            begin.append(at)
+            total.append(best)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end and how many each text has. Null is empty; U+2581 in a text counts as a space, as in the library."""
