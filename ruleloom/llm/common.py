@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only when a count has shown that it has at most so many rows.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that a Python worker handles at a time; one longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +62,7 @@ def trimmed(work):
     @functools.wraps(work)
     def run(batches):
         yield from work(batches)
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL(None).malloc_trim(0)

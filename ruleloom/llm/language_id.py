@@ -25,7 +25,7 @@ MARK = "▁"
 #: A longer word is scored as parts of so many letters.
 LONGEST_WORD = 64
 #: Bytes of text, and distinct words of it, that a worker handles at a time.
-SLICE, WORDS = 8 << 20, 1 << 15
+SLICE, WORDS = 4 << 20, 1 << 14
 #: Keeps products of probabilities within range: each letter counts this factor, taken off at the end.
 _SCALE = 16.0
 _UNKNOWN = 1e-7
