@@ -95,6 +95,16 @@ def test_secrets_without_digit_short_punctuated_and_behind_long_runs(docs):
     assert all(got[len(hidden) + i].redacted == t for i, t in enumerate(plain))
 
 
+def test_forest_on_held_out_kinds(spark):
+    import pyspark.sql.functions as F
+
+    forest, found = default_forest(spark), labelled_findings(spark, 2000, held_out=True)
+    x = features(F.col("found"), F.col("before"), F.col("after"), F.col("path"))
+    got = [(r.label, forest.of([r[n] for n in FEATURES]) >= 0.5) for r in found.select("label", *(c.alias(n) for c, n in zip(x, FEATURES, strict=True))).collect()]
+    assert not {r.found for r in labelled_findings(spark, 2000).where("label = 1 and length(found) > 16").collect()} & {r.found for r in found.where("length(found) > 16").collect()} - {None}
+    assert sum(s and y for y, s in got) > 0.97 * max(sum(s for _, s in got), sum(y for y, _ in got))
+
+
 def test_forest_expression_matches_a_walk(spark):
     import pyspark.sql.functions as F
 
