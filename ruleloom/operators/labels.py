@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +99,50 @@ def permutation_p(labels: DataFrame, linked: DataFrame, permutations: int = 1000
     return df.withColumn("p", (F.col("at_least") + 1) / (permutations + 1))
 
 
+def permutation_p_within(labels: DataFrame, linked: DataFrame, group: str, permutations: int = 1000, seed: int = 0) -> DataFrame:
+    """permutation_p where label sets are dealt anew within each group only, as where labels are a document's own.
+
+    labels: group, id, label (null for an id without one, which is dealt too); linked: group, a, b. Every group is dealt by its
+    own generator of seed and group, so the result doesn't depend on how rows lie. Work is permutations x (rules + pairs) in
+    arrays; a task returns one row."""
+    sets = labels.groupBy(group).agg(F.collect_set("id").alias("ids"), F.collect_set(F.when(F.col("label").isNotNull(), F.struct("id", "label"))).alias("has"))
+    pairs = linked.groupBy(group).agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
+    rows = sets.join(pairs, group).select(F.col(group).cast("string").alias("g"), "ids", "has", "pairs")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, observed = np.zeros(permutations, np.int64), 0
+        for batch in batches:
+            for g, ids, has, pairs in zip(*(batch.column(i) for i in range(4)), strict=True):
+                ids = pc.take(ids.values, pc.sort_indices(ids.values))
+                has, pairs = has.values, pairs.values
+                names = pc.dictionary_encode(has.field("label"))
+                word = names.indices.to_numpy()
+                bits = np.zeros((max(1, -(-len(names.dictionary) // 64)), len(ids)), np.uint64)
+                np.bitwise_or.at(bits, (word // 64, pc.index_in(has.field("id"), ids).to_numpy()), np.uint64(1) << (word % 64).astype(np.uint64))
+                ends = [pc.index_in(pairs.field(x), ids) for x in "ab"]
+                both = pc.and_(ends[0].is_valid(), ends[1].is_valid())
+                a, b = (x.filter(both).to_numpy() for x in ends)
+                if not len(a):
+                    continue
+                observed += int((bits[:, a] & bits[:, b]).any(0).sum())
+                rng = np.random.default_rng([seed, int.from_bytes(hashlib.md5((g.as_py() or "").encode()).digest()[:8], "little")])
+                step = max(1, (1 << 20) // (len(ids) + len(a)))
+                for i in range(0, permutations, step):
+                    n = min(step, permutations - i)
+                    order = rng.permuted(np.tile(np.arange(len(ids), dtype=np.int32), (n, 1)), axis=1)
+                    shared = np.zeros((n, len(a)), bool)
+                    for w in bits:
+                        dealt = w[order]
+                        shared |= (dealt[:, a] & dealt[:, b]) != 0
+                    hits[i : i + n] += shared.sum(1)
+        yield pa.record_batch({"observed": pa.array([observed], pa.int64()), "hits": pa.array([hits.tolist()], pa.list_(pa.int64()))})
+
+    told = rows.mapInArrow(deal, "observed long, hits array<long>")
+    each = told.select("observed", F.posexplode("hits").alias("perm", "hits")).groupBy("perm").agg(F.sum("observed").alias("observed"), F.sum("hits").alias("hits"))
+    df = each.agg(F.coalesce(F.max("observed"), F.lit(0)).alias("observed"), F.when(F.count("*") > 0, F.count_if(F.col("hits") >= F.col("observed"))).otherwise(permutations).alias("at_least"))
+    return df.withColumn("p", (F.col("at_least") + 1) / (permutations + 1))
+
+
 def kappa(a: Column, b: Column) -> Column:
     """Cohen's kappa of two boolean columns, as an aggregate; where chance alone agrees, 1 for full agreement and else 0."""
     po = F.avg((a == b).cast("double"))

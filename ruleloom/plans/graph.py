@@ -267,11 +267,11 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded draw; the part table's brands are the rules, its sizes and kinds the labels."""
-    part = shim.table(spark, sf_dir, "part")
-    labels = part.select(F.col("p_brand").alias("id"), F.concat(F.lit("k"), F.col("p_size") % 7).alias("label")).distinct().where(F.xxhash64("id", "label") % 3 == 0)
-    linked = labels.select(F.col("id").alias("a")).distinct().crossJoin(labels.select(F.col("id").alias("b")).distinct()).where("a < b and xxhash64(a, b) % 4 = 0")
-    return S.permutation_p(labels, linked, 200)
+    """A seeded draw over the rules, labels and undirected citations of all documents; labels are dealt within their document,
+    whose own they are (as in `enrichment`)."""
+    labels = shim.rules(spark, sf_dir).select("spec", "id", F.lit(None).cast("string").alias("label")).unionByName(shim.labels(spark, sf_dir).select("spec", "id", "label"))
+    x = shim.citation_edges(spark, sf_dir)
+    return S.permutation_p_within(labels, E.undirected(x, ["spec"]), "spec")
 
 
 @query("SELECT round((po - pe) / (1 - pe), 6) AS kappa FROM (SELECT po, pa * pb + (1 - pa) * (1 - pb) AS pe FROM (SELECT avg((quality = toxic)::INT::DOUBLE) AS po, avg((quality = 1)::INT::DOUBLE) AS pa, avg((toxic = 1)::INT::DOUBLE) AS pb FROM labels))", shimmed=False)

@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 
 from ruleloom.operators import edges as E
@@ -70,6 +72,32 @@ def test_permutation_counts_are_seeded(spark):
     assert x == y and x.observed == 2 and 0.1 < x.p < 0.7
 
 
+def test_permutations_within_groups(spark):
+    labels = spark.createDataFrame([(g, f"{g}{i}", f"l{l}") for g in (1, 2) for i, l in enumerate([0, 0, 1, 1, 70])] + [(1, "1x", None)] + [(3, f"3{i}", f"m{i}") for i in range(70)], "spec long, id string, label string")
+    linked = spark.createDataFrame([(g, f"{g}{a}", f"{g}{b}") for g in (1, 2) for a, b in ((0, 1), (2, 3), (0, 4))] + [(1, "10", "gone"), (3, "30", "31")], "spec long, a string, b string")
+    x, y = (S.permutation_p_within(labels.repartition(n), linked.repartition(n), "spec").first() for n in (1, 5))
+    assert x == y and x.observed == 4 and x.p == (x.at_least + 1) / 1001
+    # all hits of both: 2 of 15 pairings in the group of 6 ids (one without a label), 2 of 15 in that of 5, within wide bounds
+    exact = [0, 0]
+    for k, n in enumerate((6, 5)):
+        every = list(itertools.permutations([0, 0, 1, 1, 70, None][:n]))
+        exact[k] = sum((p[0] == p[1] is not None) + (p[2] == p[3] is not None) + (p[0] == p[4] is not None) == 2 for p in every) / len(every)
+    assert abs(x.at_least / 1000 - exact[0] * exact[1]) < 0.02
+    none = S.permutation_p_within(labels, linked.where("false"), "spec").first()
+    assert (none.observed, none.p) == (0, 1.0)
+
+
+def test_permutation_query_reads_the_documents(spark, tmp_path):
+    from ruleloom.plans.catalogue import QUERIES
+
+    text = "\n".join(f"line {i}" for i in range(40))
+    got = []
+    for n in (1, 3):
+        spark.createDataFrame([(i, text) for i in range(n)], "doc_id long, text string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        got.append(QUERIES["permutation_p"](spark, f"{tmp_path}/{n}").first())
+    assert 0 < got[0].observed < got[1].observed and all(r.p == (r.at_least + 1) / 1001 for r in got)
+
+
 def test_nesting_and_registry(spark):
     labels = spark.createDataFrame([("1", "a"), ("2", "a"), ("1", "b"), ("2", "b"), ("1", "c")], "id string, label string")
     assert sorted(map(tuple, S.nesting(labels).collect())) == [("a", "b", "duplicate"), ("c", "a", "nested"), ("c", "b", "nested")]
