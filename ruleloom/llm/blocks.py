@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, trimmed
-from .ngram_join import groups_of
+from .common import cut, groups_of, trimmed
+
 
 #: Rows of a block of vectors, and of a block of queries.
 VECTORS, QUERIES = 4096, 4096

@@ -5,8 +5,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import re
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +16,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when a count has shown that it has at most so many rows.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only when its rows have been measured to take at most so many bytes.
+BROADCAST_BYTES = 24 << 20
+#: Bits of the fixed-size map that lets through what may have a partner, where the other side is too large to be broadcast.
+MAP_BITS = 1 << 26
 #: Bytes of text that a Python worker handles at a time; one longer text is handled alone.
 SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the session names none."""
+    """The folder that all executors share; a folder of our own only where the session names none and all runs in one process.
+    Raises on a cluster without one: other machines wouldn't see a local folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -34,10 +42,53 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized_join(left: DataFrame, right: DataFrame, on: Column | list[str], how: str, rows: int | None = None) -> DataFrame:
-    """Broadcast right if it has been counted to fit, else leave a shuffled join to AQE. right should be cut."""
-    n = right.count() if rows is None else rows
-    return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right.hint("merge"), on, how)
+def written(df: DataFrame) -> DataFrame:
+    """As cut, as a Parquet table: what reads it later reads only the columns that it needs."""
+    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows, and about how many bytes they take in memory."""
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(32) * F.greatest(F.size(f.name), F.lit(0)) if f.dataType.simpleString().startswith("array") else F.lit(0) for f in df.schema.fields]
+    row = sum(wide, F.lit(16 + 8 * len(wide)))
+    got = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("b")).first()
+    return got["n"], got["b"]
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: Column | list[str], how: str, size: int | None = None) -> DataFrame:
+    """Broadcast right if it has been measured to fit (size: its bytes), else leave a shuffled join to AQE. right should be cut."""
+    fits = (measured(right)[1] if size is None else size) <= BROADCAST_BYTES
+    return left.join(F.broadcast(right) if fits else right.hint("merge"), on, how)
+
+
+def maybe_in(keys: DataFrame, key: str) -> Callable[[DataFrame, Column], tuple[DataFrame, Column]]:
+    """A function that adds to a table whether its key (a long) may be among the given ones: no for most others, never no for one
+    of them. What is broadcast is a bit map of MAP_BITS bits, whatever the number of keys."""
+    slot = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(MAP_BITS)) + 1
+    bits = keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    bits = cut(bits)
+
+    def mark(df: DataFrame, of: Column) -> tuple[DataFrame, Column]:
+        s = F.pmod(F.xxhash64(of, F.lit(5)), F.lit(MAP_BITS)) + 1
+        place = F.bitmap_bit_position(s)
+        byte = F.conv(F.hex(F.substr(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        out = df.join(F.broadcast(bits), F.bitmap_bucket_number(s) == F.col("__bucket"), "left")
+        return out, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+
+    return mark
+
+
+def matched(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: str, on: Column, how: str = "inner") -> DataFrame:
+    """The rows joined (inner or left) with `wanted` (cut). A side too large for a broadcast is shuffled, and then only those of
+    `rows` that the bit map lets through, so that wide rows without a partner stay where they are."""
+    n, size = measured(wanted)
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(wanted), on, how)
+    some, may = maybe_in(wanted, wanted_key)(rows, key)
+    near = some.where(may).drop("__bucket", "__bits").join(wanted.hint("merge"), on, how)
+    return near if how == "inner" else near.unionByName(some.where(~may).drop("__bucket", "__bits"), allowMissingColumns=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +121,32 @@ def trimmed(work):
     return run
 
 
+def groups_of(batches: Iterator[pa.RecordBatch], by: list[str], least: int = 0) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From sorted batches: tables of whole groups with at least so many rows (all at the end), and where groups begin."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for c in by:
+            x = t.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= max(least, 1):
+            t = pa.Table.from_batches(held)
+            at = starts(t)
+            if len(at) > 1:
+                yield t.slice(0, at[-1]), at[:-1]
+            held = t.slice(at[-1]).to_batches()
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, starts(t)
+
+
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts on end, and where each begins (one more: where the last ends). Null is empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-
 #: Edges for a task.
 TASK_ROWS = 200_000
+#: A node with more edges than this, or than a HOT_SHARE of all, is a hub: hubs are HOT_SHARE at most, and their minima are sent
+#: to the edges instead of the edges to them.
+HUB, HOT_SHARE = 128, 50_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,26 +19,32 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """u, v, m: the least of u and all its v."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
+def _with_least(pairs: DataFrame, edges: int) -> DataFrame:
+    """u, v, m: the least of u and all its v. A hub's edges stay where they are, so that none gathers them."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    hub = F.col("c") > max(HUB, edges // HOT_SHARE)
+    hubs = F.broadcast(least.where(hub).select("u", "m"))
+    found = pairs.join(hubs, "u").unionByName(pairs.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u"))
+    return found.withColumn("m", F.least("u", "m"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (its least node) for every node of the edges (a, b); both long. Loops and repeated edges do no harm.
 
     Each round is two aggregations and joins over the edges, written to the shared folder; the number of rounds grows with
-    the logarithm of the longest path. No component is gathered anywhere. The tasks of a round follow from the edges counted
-    in the one before, TASK_ROWS to each. Raises if `rounds` don't suffice."""
+    the logarithm of the longest path. No component and no hub's edges are gathered anywhere. The tasks of a round follow from
+    the edges counted in the one before, TASK_ROWS to each. Raises if `rounds` don't suffice."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(now)
     for _ in range(rounds):
+        if not state[0]:
+            break
         tasks = 1 + state[0] // TASK_ROWS
         now = now.coalesce(tasks)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(2 * tasks)
-        stars = _with_least(large)
+        large = _with_least(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.coalesce(2 * tasks).distinct())
+        stars = _with_least(large, 2 * state[0])
         small = stars.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v"))).where("u <> v")
         now = cut(small.coalesce(2 * tasks).distinct())
         was, state = state, _state(now)
@@ -44,4 +52,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))

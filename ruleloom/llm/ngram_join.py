@@ -1,45 +1,60 @@
 """N-gram Jaccard join by chosen paths.
 
-A text is the set of its word 5-grams. In each run a set chooses tokens by a hash that all sets share, each with probability
-1 / (similarity * size); sets that choose the same token fall into one bucket, and buckets that are too large are split by
-tokens chosen again under that path. Two sets at the similarity or above meet in a bucket of two levels with probability
-(1 - 1/e)^2 at least, whatever the input's size; the runs are as many as the target recall needs. Buckets that stay too
-large are compared block by block, so that none is dropped or cut.
-
-Equal sets are one before that. In a bucket minhash sketches sort out pairs far below the similarity; what is left gives
-the candidate classes, of which each text is read once more and every pair is compared exactly, block by block. Links are
-counted there and never listed; of each block only a spanning forest leaves.
+A text is the set of its word 5-grams, embedded as T minhashes: two sets agree in a minhash with the probability of their
+similarity. A run is a recursion: at each node a hash of the node's path chooses some of the T places (about 1 / similarity
+of them, one at least), and a set goes down to the child that its minhash at a chosen place names. A child with few sets is a
+bucket, whose sets are compared; one with more is a node again. Runs are repeated: as many as the target recall asks for
+where buckets are small at once, and more for the sets in large ones, whose partners must stay with them on every level. What
+is still large at the last level is compared block by block, so that none is dropped or cut.
+
+Equal sets are one before that. In a bucket sketches (a byte of each minhash) sort out pairs far below the similarity, and
+two sets that are already in one class aren't compared again; so a large group of copies costs a forest, not its pairs. What
+is left gives the candidate classes, of which each text is read once more and every pair is compared exactly, a block of a
+class against another. Links are counted there and never listed; each block returns a row for each of its sets.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Words, cut, mix, rolled, sized_join, slices, trimmed
+from .common import WORD, Words, cut, groups_of, matched, measured, mix, rolled, sized_join, slices, trimmed, written
 from .components import components
 
 K = 5
 SIMILARITY = 0.8
 RECALL = 0.999
-#: Members of a bucket that are compared directly; of a block beyond that.
-BUCKET = 512
-#: Texts in a block of exact comparison.
-BLOCK = 1024
-SKETCH = 64
-#: Shingles that are hashed at a time under longer paths.
-TOKENS = 1 << 18
+#: Minhashes of a set.
+T = 64
+#: Sets that are compared directly in a bucket; of a block of a bucket that stays too large at level LEVELS.
+BUCKET, WIDE = 512, 2048
+LEVELS = 3
+#: Sets, and shingles of them, in a block of exact comparison, about.
+BLOCK, SHINGLES = 1024, 1 << 22
 
 
-def runs_for(recall: float) -> int:
-    """Runs that reach the recall for a pair at the similarity that must meet on both levels."""
-    meet = (1 - math.exp(-1)) ** 2
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+def survival(levels: int, p: float, similarity: float) -> float:
+    """How probable it is that two sets which agree in a minhash with probability p are together after so many levels of a run."""
+    choose = 1 / (similarity * T)
+    places = [math.comb(T, c) * choose**c * (1 - choose) ** (T - c) for c in range(T + 1)]
+    places[1] += places[0]
+    stay = 1.0
+    for _ in range(levels):
+        stay = 1 - sum(places[c] * (1 - p * stay) ** c for c in range(1, T + 1))
+    return stay
+
+
+def runs_for(recall: float, levels: int, similarity: float = SIMILARITY) -> int:
+    """Runs that reach the recall for two sets at the similarity that must meet on so many levels. Their minhashes are taken to
+    agree less often than the similarity says, by two standard deviations."""
+    p = similarity - 2 * math.sqrt(similarity * (1 - similarity) / T)
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(levels, p, similarity)))
 
 
 def shingle_sets(w: Words, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -55,102 +70,107 @@ def shingle_sets(w: Words, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else w.hash[:0], np.fromiter(map(len, out), np.int64, len(out))
 
 
-_MULTIPLY = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-_ADD = mix(np.arange(1001, SKETCH + 1001, dtype=np.uint64)).astype(np.uint32)
+_MULTIPLY = mix(np.arange(1, T + 1, dtype=np.uint64)) | np.uint64(1)
+_ADD = mix(np.arange(1001, T + 1001, dtype=np.uint64))
+_PLACE = mix(np.arange(2001, T + 2001, dtype=np.uint64))
 
 
-def sketches(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """SKETCH bytes of minhash for each set that isn't empty."""
-    at = (np.cumsum(sizes) - sizes)[sizes > 0]
-    out = np.empty((len(at), SKETCH), np.uint8)
-    if len(at):
-        low = (tokens >> np.uint64(32)).astype(np.uint32)
-        for i in range(SKETCH):
-            least = np.minimum.reduceat(low * _MULTIPLY[i] + _ADD[i], at).astype(np.uint64)
-            out[:, i] = mix(least + np.uint64(i)) >> np.uint64(56)
+def minhashes(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """T minhashes of 32 bits for each set; zeros for an empty one."""
+    out = np.zeros((len(sizes), T), np.uint32)
+    some = sizes > 0
+    if some.any():
+        at = (np.cumsum(sizes) - sizes)[some]
+        for i in range(T):
+            least = np.minimum.reduceat(tokens * _MULTIPLY[i] + _ADD[i], at)
+            out[some, i] = mix(least + np.uint64(i)) >> np.uint64(32)
     return out
 
 
-def choose(tokens: np.ndarray, owner: np.ndarray, limit: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where tokens are chosen under their paths, and the keys of the longer paths."""
-    h = mix(tokens ^ path)
-    at = np.flatnonzero(h < limit[owner])
-    return at, mix(h[at] + path[at] if len(path) > 1 else h[at] + path)
+def chosen(paths: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places that each node chooses, as (node, place): each with probability 1 / (similarity T), but one at least."""
+    h = mix(paths[:, None] ^ _PLACE[None, :])
+    pick = h < np.uint64(2.0**64 / (similarity * T))
+    none = np.flatnonzero(~pick.any(1))
+    pick[none, h[none].argmin(1)] = True
+    return np.nonzero(pick)
+
+
+def roots(runs: range, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places that the runs choose at their roots, and the path of each. No place comes twice before all have been chosen."""
+    seeds = mix(np.arange(1, runs.stop + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    run, _ = chosen(seeds, similarity)
+    place = np.argsort(_PLACE)[np.arange(len(run)) % T]
+    path = mix(seeds[run] + np.arange(len(run), dtype=np.uint64))
+    return place[run >= runs.start], path[run >= runs.start]
+
+
+def children(path: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return mix(path + value.astype(np.uint64)).view(np.int64)
+
+
+def _fixed(x: np.ndarray) -> pa.Array:
+    """A binary value for each row of an array."""
+    rows, width = len(x), x.itemsize * x.shape[1]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), rows, [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+
+
+def _rows(column: pa.ChunkedArray | pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 def signatures(documents: DataFrame, similarity: float, runs: int) -> DataFrame:
-    """doc_id, text_hash, n (shingles), h1, h2 (of the set), sketch and chosen paths; a row for each document."""
-    seeds = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    """row, doc_id, text_hash, n (shingles), h1, h2 (of the set), minhashes, sketch and the keys of the runs' first level."""
+    place, path = roots(range(runs), similarity)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 tokens, n = shingle_sets(Words(part.column("text"), WORD))
-                rows = len(n)
-                owner = np.repeat(np.arange(rows), n)
-                ends = np.r_[0, np.cumsum(n)]
-                limit = np.minimum(2.0**64 / (similarity * np.maximum(n, 1)), 2.0**64 - 4096).astype(np.uint64)
+                rows, some = len(n), n > 0
                 h = np.zeros((2, rows), np.uint64)
-                some = n > 0
                 for i in (0, 1):
                     if some.any():
-                        h[i, some] = np.add.reduceat(mix(tokens + np.uint64(i + 1)), ends[:-1][some])
-                sketch = np.zeros((rows, SKETCH), np.uint8)
-                sketch[some] = sketches(tokens, n)
-                first_owner, first_key = [], []
-                for seed in seeds:
-                    at, key = choose(tokens, owner, limit, np.array([seed]))
-                    first_owner.append(owner[at])
-                    first_key.append(key)
-                o, key = np.concatenate(first_owner), np.concatenate(first_key)
-                order = np.argsort(o, kind="stable")
-                o, key = o[order], key[order]
-                second, counts = [], np.zeros(len(o), np.int64)
-                done, work = 0, np.cumsum(n[o])
-                while done < len(o):  # each path again over its set's tokens, so many tokens at a time
-                    end = max(done + 1, int(np.searchsorted(work, (work[done - 1] if done else 0) + TOKENS, "right")))
-                    m = n[o[done:end]]
-                    of = np.repeat(np.arange(len(m)), m)
-                    where = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(ends[o[done:end]], m)
-                    at, longer = choose(tokens[where], owner[where], limit, key[done:end][of])
-                    second.append(longer)
-                    counts[done:end] = np.bincount(of[at], minlength=len(m))
-                    done = end
-                inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(np.concatenate(second).view(np.int64) if second else np.zeros(0, np.int64)))
-                paths = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), inner], ["key", "longer"])
-                paths = pa.ListArray.from_arrays(pa.array(np.searchsorted(o, np.arange(rows + 1)).astype(np.int32)), paths)
-                yield pa.record_batch([*(part.column(c) for c in ("row", "doc_id", "text_hash")), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), rows, [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary()), paths], names)
-
-    names = ["row", "doc_id", "text_hash", "n", "h1", "h2", "sketch", "paths"]
+                        h[i, some] = np.add.reduceat(mix(tokens + np.uint64(i + 1)), (np.cumsum(n) - n)[some])
+                mins = minhashes(tokens, n)
+                keys = children(path[None, :], mins[:, place])
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+                sketch = (mins & np.uint32(255)).astype(np.uint8)
+                yield pa.record_batch([*(part.column(c) for c in ("row", "doc_id", "text_hash")), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), _fixed(mins), _fixed(sketch), keys], names)
+
+    names = ["row", "doc_id", "text_hash", "n", "h1", "h2", "minhashes", "sketch", "keys"]
     kind = documents.schema["doc_id"].dataType.simpleString()
     keyed = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return keyed.mapInArrow(trimmed(sign), f"row long, doc_id {kind}, text_hash long, n long, h1 long, h2 long, sketch binary, paths array<struct<key:long,longer:array<long>>>")
+    return keyed.mapInArrow(trimmed(sign), f"row long, doc_id {kind}, text_hash long, n long, h1 long, h2 long, minhashes binary, sketch binary, keys array<long>")
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], by: list[str], least: int = 0) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """From sorted batches: tables of whole groups with at least so many rows (all at the end), and where groups begin."""
-    held: list[pa.RecordBatch] = []
+def further_keys(rows: DataFrame, runs: range, similarity: float) -> DataFrame:
+    """row, label, key: the first level of other runs, from (row, label, minhashes)."""
+    place, path = roots(runs, similarity)
 
-    def starts(t: pa.Table) -> np.ndarray:
-        new = np.zeros(t.num_rows, bool)
-        new[:1] = True
-        for c in by:
-            x = t.column(c).to_numpy()
-            new[1:] |= x[1:] != x[:-1]
-        return np.flatnonzero(new)
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = children(path[None, :], _rows(batch.column("minhashes"), np.uint32, T)[:, place])
+                again = pa.array(np.repeat(np.arange(batch.num_rows), len(place)))
+                yield pa.record_batch([batch.column("row").take(again), batch.column("label").take(again), pa.array(keys.ravel())], ["row", "label", "key"])
 
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.num_rows for b in held) >= max(least, 1):
-            t = pa.Table.from_batches(held)
-            at = starts(t)
-            if len(at) > 1:
-                yield t.slice(0, at[-1]), at[:-1]
-            held = t.slice(at[-1]).to_batches()
-    if held:
-        t = pa.Table.from_batches(held)
-        yield t, starts(t)
+    return rows.select("row", "label", "minhashes").mapInArrow(trimmed(go), "row long, label long, key long")
+
+
+def next_level(rows: DataFrame, similarity: float) -> DataFrame:
+    """row, label, key: the children of the nodes `key`, from (row, label, key, minhashes)."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                path = part.column("key").to_numpy().view(np.uint64)
+                node, place = chosen(path, similarity)
+                keys = children(mix(path[node] + _PLACE[place]), _rows(part.column("minhashes"), np.uint32, T)[node, place])
+                yield pa.record_batch([part.column("row").take(pa.array(node)), part.column("label").take(pa.array(node)), pa.array(keys)], ["row", "label", "key"])
+
+    return rows.select("row", "label", "key", "minhashes").mapInArrow(trimmed(go), "row long, label long, key long")
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -169,108 +189,307 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def least_agreement(similarity: float) -> float:
+    """The share of equal sketch bytes below which a pair is given up: four standard deviations under the similarity."""
+    return similarity - 4 * math.sqrt(similarity * (1 - similarity) / T)
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a == b).sum(-1) / T - 1 / 256) * (256 / 255)
+
+
 def bucket_edges(members: DataFrame, similarity: float) -> DataFrame:
-    """a, b: a star for each component that sketches make in a bucket (key, i, j), whose rows have side 0, 1 or 2 (both)."""
-    least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / SKETCH)
+    """a, b: labels that sketches join in a bucket (key, own) of (row, label, n, sketch); a forest, so fewer than its members."""
+    least = least_agreement(similarity)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in groups_of(batches, ["key", "i", "j"], 4096):
-            row, n, side = (t.column(c).to_numpy() for c in ("row", "n", "side"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        for t, at in groups_of(batches, ["key", "own"], 4096):
+            n, label = t.column("n").to_numpy(), t.column("label").to_numpy()
+            sketch = _rows(t.column("sketch"), np.uint8, T)
             sizes = np.diff(np.r_[at, t.num_rows])
-            found: list = []
-            # offsets d apart within the groups: every pair of a group once
-            for d in range(1, int(sizes.max(initial=1))):
+            group = np.repeat(np.arange(len(at)), sizes)
+            # rows of one label are one node from the begin: the first of them in the bucket
+            order = np.lexsort((label, group))
+            new = np.r_[True, (np.diff(group[order]) != 0) | (np.diff(label[order]) != 0)]
+            start = np.empty(t.num_rows, np.int64)
+            start[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            now = start.copy()
+            for d in range(1, int(sizes.max(initial=1))):  # pairs d apart: every pair of a bucket once
                 open_ = sizes > d
                 m = sizes[open_] - d
                 a = np.repeat(at[open_], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                b = a + d
-                ok = (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])) & ((side[a] != side[b]) | (side[a] == 2))
-                a, b = a[ok], b[ok]
-                same = (sketch[a] == sketch[b]).sum(1) / SKETCH
-                ok = (same - 1 / 256) * (256 / 255) >= least
-                found.append((a[ok], b[ok]))
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                label = forest(t.num_rows, a, b)
-                i = np.flatnonzero(label != np.arange(t.num_rows))
-                yield pa.record_batch({"a": row[label[i]], "b": row[i]})
-
-    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "row", "n", "sketch").mapInArrow(trimmed(compare), "a long, b long")
-
-
-def in_blocks(df: DataFrame, count: str, size: int) -> DataFrame:
-    """Deals rows of a group of `count` to blocks of about `size`, and each to all pairs (i <= j) of its block with another."""
-    blocks = F.ceil(F.col(count) / size).cast("int")
-    own = F.pmod(F.xxhash64("row", F.lit(7)), blocks).cast("int")
-    df = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return df.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", side).drop("own", "other")
-
-
-def candidate_edges(reps: DataFrame, similarity: float) -> DataFrame:
-    """a, b: stars of the candidate classes. Sets meet by key and row alone; sketches join those that met."""
-    first = reps.select("row", F.explode(F.transform("paths", lambda p: p["key"])).alias("key"))
-    counts = cut(first.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"))
-    met = first.join(counts, "key")
-    members = in_blocks(met.where(F.col("count") <= BUCKET), "count", BUCKET)
-    if (counts.agg(F.max("count")).first()[0] or 0) > BUCKET:
-        paths = reps.select("row", F.explode("paths").alias("path")).select("row", F.col("path.key").alias("key"), F.col("path.longer").alias("longer"))
-        second = paths.join(met.where(F.col("count") > BUCKET), ["row", "key"]).select("row", F.explode("longer").alias("key"))
-        deeper = second.join(second.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"), "key")
-        members = members.unionByName(in_blocks(deeper, "count", BUCKET))
-    return bucket_edges(members.join(reps.select("row", "n", "sketch"), "row"), similarity)
-
-
-def compare_block(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block at the similarity or above, by exact counts of common shingles."""
-    n = np.array([len(s) for s in sets])
-    if len(sets) == 2:
-        both = np.intersect1d(sets[0], sets[1], assume_unique=True).size
-        good = (side[0] != side[1] or side[0] == 2) and both >= similarity * (n.sum() - both) - 1e-9
-        return (np.array([0]), np.array([1])) if good else (np.zeros(0, int), np.zeros(0, int))
-    token, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), n)
-    kept = np.cumsum(times > 1) - 1
-    ok = times[code] > 1
-    owner, code = owner[ok], kept[code[ok]]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+                a = a[(now[a] != now[a + d]) & (np.minimum(n[a], n[a + d]) >= similarity * np.maximum(n[a], n[a + d]))]
+                a = a[agreement(sketch[a], sketch[a + d]) >= least]
+                if len(a):
+                    now = forest(t.num_rows, now[a], now[a + d])[now]
+            i = np.flatnonzero((now != start) & (start == np.arange(t.num_rows)))
+            if len(i):
+                yield pa.record_batch({"a": label[now[i]], "b": label[i]})
+
+    return members.repartition("key", "own").sortWithinPartitions("key", "own").select("key", "own", "row", "label", "n", "sketch").mapInArrow(trimmed(compare), "a long, b long")
+
+
+def cross_edges(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: labels that sketches join between the two sides of (key, p, q): a forest of them, from (side, label, n, sketch)."""
+    least = least_agreement(similarity)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in groups_of(batches, ["key", "p", "q"]):
+            for low, high in zip(at.tolist(), [*at[1:].tolist(), t.num_rows], strict=True):
+                part = t.slice(low, high - low)
+                n, side = part.column("n").to_numpy(), part.column("side").to_numpy()
+                names, now = np.unique(part.column("label").to_numpy(), return_inverse=True)
+                sketch = _rows(part.column("sketch"), np.uint8, T)
+                left = np.flatnonzero(side == 0)
+                merged = np.arange(len(names))
+                for y in np.flatnonzero(side == 1):
+                    x = left[merged[now[left]] != merged[now[y]]]
+                    x = x[np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])]
+                    x = x[agreement(sketch[x], sketch[y]) >= least]
+                    if len(x):
+                        merged[np.isin(merged, merged[now[x]])] = merged[now[y]]
+                i = np.flatnonzero(merged != np.arange(len(names)))
+                if len(i):
+                    yield pa.record_batch({"a": names[merged[i]], "b": names[i]})
+
+    return members.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "side", "label", "n", "sketch").mapInArrow(trimmed(compare), "a long, b long")
+
+
+def _dealt(salt: int, blocks: Column) -> Column:
+    """The block of a row in its bucket: other in other buckets."""
+    return F.pmod(F.xxhash64("row", "key", F.lit(salt)), blocks).cast("int")
+
+
+def largest_first(reps: DataFrame, large: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """a, b of each row's largest bucket alone, and the members of large buckets under the labels that this gives, without the
+    buckets that have one label: a group of copies is joined once and not in every bucket that it fills."""
+    one = large.groupBy("row").agg(F.max_by(F.struct("key", "count"), F.struct("count", "key")).alias("in")).select("in.key", "in.count", "row", F.col("row").alias("label"))
+    dealt = one.select("key", _dealt(1, F.ceil(F.col("count") / WIDE)).alias("own"), "row", "label")
+    edges = cut(bucket_edges(dealt.join(reps.select("row", "n", "sketch"), "row"), similarity))
+    labels = components(edges)
+    rest = rest_edges(reps, one, labels, similarity)  # between the blocks of one bucket
+    if rest is not None:
+        edges = cut(edges.unionByName(rest))
+        labels = components(edges)
+    named = large.drop("label").join(labels.select(F.col("node").alias("row"), F.col("component").alias("label")), "row", "left")
+    named = cut(named.select("key", "row", F.coalesce("label", "row").alias("label"), "count"))
+    mixed = cut(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"))
+    return edges, sized_join(named, mixed, ["key"], "left_semi")
+
+
+def one_round(reps: DataFrame, level: DataFrame, similarity: float, fresh: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """a, b of the buckets under (row, label, key); the rows that were in a large bucket on the first level; and the members of
+    the buckets that are large on the last one, with the bucket's count. fresh: each row is its own label yet."""
+    buckets, joined, first, last = [], [], None, None
+    for depth in range(LEVELS):
+        counts = level.groupBy("key").agg(F.count("*").alias("count"), F.min("label").alias("x"), F.max("label").alias("y"))
+        counts = cut(counts.where("x < y").select("key", "count"))
+        most = counts.agg(F.max("count")).first()[0] or 0
+        met = level.join(counts, "key")
+        buckets.append(met.where(F.col("count") <= BUCKET).select("key", F.lit(0).alias("own"), "row", "label"))
+        if most <= BUCKET:
+            break
+        large = cut(met.where(F.col("count") > BUCKET))
+        if depth == 0:
+            first = large.select("row").distinct()
+            if fresh:
+                edges, large = largest_first(reps, large, similarity)
+                joined.append(edges)
+        if depth == LEVELS - 1:
+            last = large
+            buckets.append(last.select("key", (_dealt(1, F.ceil(F.col("count") / WIDE)) + 1).alias("own"), "row", "label"))
+        else:
+            level = written(next_level(large.join(reps.select("row", "minhashes"), "row"), similarity))
+    members = reduce(DataFrame.unionByName, buckets)
+    joined.append(bucket_edges(members.join(reps.select("row", "n", "sketch"), "row"), similarity))
+    return reduce(DataFrame.unionByName, joined), first, last
+
+
+def rest_edges(reps: DataFrame, last: DataFrame, labels: DataFrame, similarity: float) -> DataFrame | None:
+    """a, b: what joins the labels of a bucket that is large on the last level. Most rows of such a bucket have one label by now;
+    each other row is compared with all, and only those rows meet several blocks."""
+    named = last.select("key", "row").join(labels.select(F.col("node").alias("row"), "component"), "row", "left").select("key", "row", F.coalesce("component", "row").alias("label"))
+    of = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("labels"))
+    of = cut(of.where("labels > 1").select("key", "main", F.ceil(F.col("all") / WIDE).cast("int").alias("ps"), F.ceil((F.col("all") - F.col("most")) / WIDE).cast("int").alias("qs")))
+    if of.isEmpty():
+        return None
+    rows = sized_join(named, of, ["key"], "inner")
+
+    def counted(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    left = rows.withColumn("p", _dealt(2, F.col("ps"))).withColumn("q", counted(F.col("qs"))).withColumn("side", F.lit(0))
+    right = rows.where("label <> main").withColumn("q", _dealt(3, F.col("qs"))).withColumn("p", counted(F.col("ps"))).withColumn("side", F.lit(1))
+    both = left.unionByName(right).select("key", "p", "q", "side", "row", "label")
+    return cross_edges(both.join(reps.select("row", "n", "sketch"), "row"), similarity)
+
+
+def candidate_classes(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """node, component: classes that sketches make of the sets that meet in a bucket. A first round for all, enough runs for one
+    level; another, up to the runs for all levels, for the sets that were in a large bucket."""
+    reached = runs_for(recall, 1, similarity)
+    level = reps.select("row", F.col("row").alias("label"), F.explode("keys").alias("key"))
+    edges, first, last = one_round(reps, level, similarity)
+    edges = cut(edges)
+    for runs in (range(reached, runs_for(recall, LEVELS, similarity)), None):
+        labels = components(edges)
+        if last is not None:
+            rest = rest_edges(reps, last, labels, similarity)
+            if rest is not None:
+                edges = cut(edges.unionByName(rest))
+                labels = components(edges)
+        if first is None or runs is None:
+            break
+        open_ = first.join(reps.select("row", "minhashes"), "row").join(labels.select(F.col("node").alias("row"), F.col("component").alias("label")), "row", "left")
+        level = written(further_keys(open_.select("row", F.coalesce("label", "row").alias("label"), "minhashes"), runs, similarity))
+        more, _, last = one_round(reps, level, similarity, fresh=False)
+        edges, first = cut(edges.unionByName(more)), None
+    return labels
+
+
+def common_counts(own: tuple, chunk: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of own sets (as indexed() gives them) has in common with each of a chunk."""
+    token, place, owner, rows = own
+    n = np.array([len(s) for s in chunk])
+    flat = np.concatenate(chunk) if len(chunk) else np.zeros(0, np.uint64)
+    at = np.minimum(np.searchsorted(token, flat), max(0, len(token) - 1))
+    hit = token[at] == flat if len(token) else np.zeros(len(flat), bool)
+    code, of = at[hit], np.repeat(np.arange(len(chunk)), n)[hit]
+    used = np.unique(code)
+    code = np.searchsorted(used, code)
     order = np.argsort(code, kind="stable")
-    owner, code = owner[order], code[order]
-    wide = 8192
-    for low in range(0, int(code[-1]) + 1 if len(code) else 0, wide):
-        x = slice(*np.searchsorted(code, [low, low + wide]))
-        m = np.zeros((len(sets), wide), np.float32)
-        m[owner[x], code[x] - low] = 1
-        common += m @ m.T
-    good = common >= similarity * (n[:, None] + n[None, :] - common) - 1e-4
-    good &= (side[:, None] != side[None, :]) | ((side[:, None] == 2) & (side[None, :] == 2))
-    return np.nonzero(np.triu(good, 1))
+    code, of = code[order], of[order]
+    out = np.zeros((rows, len(chunk)), np.float32)
+    wide = 4096
+    for low in range(0, len(used), wide):
+        some = used[low : low + wide]
+        a, b = np.zeros((rows, len(some)), np.float32), np.zeros((len(chunk), len(some)), np.float32)
+        count = place[some + 1] - place[some]
+        which = np.repeat(place[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        a[owner[which], np.repeat(np.arange(len(some)), count)] = 1
+        x = slice(*np.searchsorted(code, [low, low + len(some)]))
+        b[of[x], code[x] - low] = 1
+        out += a @ b.T
+    return out
+
+
+def indexed(sets: list[np.ndarray]) -> tuple:
+    """Distinct shingles of some sets, where each one's owners begin, the owners, and the number of sets."""
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.flatnonzero(np.r_[len(flat) > 0, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, int)
+    return flat[new], np.r_[new, len(flat)], owner, len(sets)
 
 
-def verify(texts: DataFrame, similarity: float) -> DataFrame:
-    """row, links and the row's star center `to` of a block, over the blocks (component, i, j) of texts with weight `copies`."""
+def linked(own: list[np.ndarray], chunk: list[np.ndarray], similarity: float, index: tuple | None = None) -> np.ndarray:
+    """Which of own sets and of a chunk's are at the similarity or above, by exact counts of common shingles."""
+    both = common_counts(index or indexed(own), chunk)
+    n, m = (np.array([len(s) for s in x], np.float64) for x in (own, chunk))
+    return both >= similarity * (n[:, None] + m[None, :] - both) - 1e-6
+
+
+def verify_blocks(texts: DataFrame, similarity: float) -> DataFrame:
+    """row, component, block, blocks, copies, links, to and tokens of (component, block): links to the block's other sets, each as
+    often as it has copies, and the least row that the row is joined to in the block. tokens where a class has other blocks."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in groups_of(batches, ["component", "i", "j"]):
-            row, side, copies = (t.column(c).to_numpy() for c in ("row", "side", "copies"))
-            texts = t.column("text").combine_chunks()
+        for t, _ in groups_of(batches, ["component", "block"]):
+            row = t.column("row").to_numpy()
+            t = t.filter(pa.array(np.r_[True, np.diff(row) != 0])) if len(row) else t  # a document that is there twice
+            comp, block, blocks, row, copies = (t.column(c).to_numpy() for c in ("component", "block", "blocks", "row", "copies"))
             sets: list[np.ndarray] = []
-            for part in slices(pa.record_batch({"text": texts}), "text"):
+            for part in slices(pa.record_batch({"text": t.column("text").combine_chunks()}), "text"):
                 tokens, n = shingle_sets(Words(part.column("text"), WORD))
                 sets += np.split(tokens, np.cumsum(n)[:-1])
-            out: list = []
-            for a, b in zip(at.tolist(), [*at[1:].tolist(), t.num_rows], strict=True):
-                x, y = compare_block(sets[a:b], side[a:b], similarity)
-                links = np.bincount(x, copies[a:b][y], b - a) + np.bincount(y, copies[a:b][x], b - a)
-                label = forest(b - a, x, y)
-                i = np.flatnonzero(links > 0)
-                out.append((row[a:b][i], links[i].astype(np.int64), row[a:b][label[i]]))
-            if out:
-                r, n, to = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.record_batch({"row": r, "links": n, "to": to})
+            at = np.flatnonzero(np.r_[True, (np.diff(comp) != 0) | (np.diff(block) != 0)]) if len(row) else np.zeros(0, int)
+            links, to = np.zeros(len(row), np.int64), row.copy()
+            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(row)], strict=True):
+                if b - a == 2:
+                    both = np.intersect1d(sets[a], sets[a + 1], assume_unique=True).size
+                    if both >= similarity * (len(sets[a]) + len(sets[a + 1]) - both) - 1e-6:
+                        links[a], links[a + 1], to[a + 1] = copies[a + 1], copies[a], row[a]
+                elif b - a > 2:
+                    good = linked(sets[a:b], sets[a:b], similarity)
+                    np.fill_diagonal(good, False)
+                    links[a:b] = good @ copies[a:b]
+                    x, y = np.nonzero(np.triu(good))
+                    to[a:b] = row[a:b][forest(b - a, x, y)]
+            tokens = pa.array([s.tobytes() if k > 1 else None for s, k in zip(sets, blocks.tolist(), strict=True)], pa.binary())
+            yield pa.record_batch([pa.array(x) for x in (row, comp, block, blocks, copies, links, to)] + [tokens], names)
+
+    names = ["row", "component", "block", "blocks", "copies", "links", "to", "tokens"]
+    dealt = texts.repartition("component", "block").sortWithinPartitions("component", "block", "row")
+    return dealt.select("component", "block", "blocks", "row", "copies", "text").mapInArrow(trimmed(compare), "row long, component long, block int, blocks int, copies long, links long, to long, tokens binary")
+
+
+def verify_across(blocks: DataFrame, similarity: float) -> DataFrame:
+    """row, links, to: of the classes with several blocks, each block's sets against those of all others. A row for each set of the
+    block with its links there; and one, without links, for each two of the blocks' own groups that a link joins."""
+    own = blocks.where("tokens is not null")
+    kept = own.select("component", F.col("block").alias("strip"), F.lit(0).alias("other"), "block", "row", "copies", "to", "tokens")
+    others = own.withColumn("strip", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("strip <> block").select("component", "strip", F.lit(1).alias("other"), "block", "row", "copies", "to", "tokens")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strip = None
+        held: list[pa.RecordBatch] = []
+        mine: tuple | None = None
+
+        def gathered() -> tuple:
+            t = pa.Table.from_batches(held)
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
+            return sets, indexed(sets), t.column("row").to_numpy(), t.column("to").to_numpy(), np.zeros(len(sets), np.int64), set(), t.column("block")[0].as_py()
 
-    return texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").select("component", "i", "j", "side", "row", "copies", "text").mapInArrow(trimmed(compare), "row long, links long, to long")
+        def result(x: tuple) -> pa.RecordBatch:
+            pairs = np.array(sorted(x[5]), np.int64).reshape(-1, 2)
+            return pa.record_batch({"row": np.r_[x[2], pairs[:, 0]], "links": np.r_[x[4], np.zeros(len(pairs), np.int64)], "to": np.r_[x[2], pairs[:, 1]]})
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                key = list(zip(part.column("component").to_pylist(), part.column("strip").to_pylist(), part.column("other").to_pylist(), strict=True))
+                begin = 0
+                while begin < len(key):
+                    end = begin
+                    while end < len(key) and key[end] == key[begin]:
+                        end += 1
+                    some = part.slice(begin, end - begin)
+                    if key[begin][:2] != strip:
+                        if mine is not None:
+                            yield result(mine)
+                        strip, held, mine = key[begin][:2], [], None
+                    if not key[begin][2]:
+                        held.append(some)
+                    else:
+                        mine = mine or gathered()
+                        sets, index, _, to, links, pairs, block = mine
+                        good = linked(sets, [np.frombuffer(x, np.uint64) for x in some.column("tokens").to_pylist()], similarity, index)
+                        links += good @ some.column("copies").to_numpy()
+                        x, y = np.nonzero(good & (some.column("block").to_numpy() > block)[None, :])
+                        if len(x):
+                            pairs.update(map(tuple, np.unique(np.c_[to[x], some.column("to").to_numpy()[y]], axis=0).tolist()))
+                    begin = end
+        if mine is not None:
+            yield result(mine)
+
+    both = kept.unionByName(others).repartition("component", "strip").sortWithinPartitions("component", "strip", "other")
+    return both.mapInArrow(trimmed(compare), "row long, links long, to long")
+
+
+def exact_links(documents: DataFrame, reps: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """row, links, to: exact links of the sets in candidate classes (node, component), whose texts are read once more."""
+    about = near.join(reps.select(F.col("row").alias("node"), "doc_id", "text_hash", "copies", "n"), "node")
+    about = cut(about.select(F.col("node").alias("row"), "component", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "copies", "n"))
+    sizes = about.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    several = cut(sizes.where("blocks > 1"))
+    wanted = sized_join(about, several, ["component"], "left").select("row", "component", "id", "hash", "copies", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    wanted = cut(wanted.withColumn("block", F.pmod(F.xxhash64("row", F.lit(7)), F.col("blocks")).cast("int")))
+    read = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = matched(read, F.col("text_hash"), wanted, "hash", (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    within = written(verify_blocks(texts, similarity))
+    links = within.select("row", "links", "to")
+    return links if several.isEmpty() else links.unionByName(cut(verify_across(within, similarity)))
 
 
 def jaccard_join(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -281,23 +500,18 @@ def jaccard_join(documents: DataFrame, similarity: float = SIMILARITY, recall: f
     class, that with the smallest id (null ids last). A text without a word (or null) is linked to nothing; one with fewer
     than five words is one shingle. Repeated rows are copies of each other. An empty table gives an empty one.
     """
-    all_ = cut(signatures(documents.select("doc_id", "text"), similarity, runs_for(recall)))
+    all_ = written(signatures(documents.select("doc_id", "text"), similarity, runs_for(recall, 1, similarity)))
     # the representative of equal sets is the document with the smallest id; min() of a structure puts null first
     ranked = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     sets = cut(all_.where("n > 0").groupBy("h1", "h2").agg(F.min(ranked).alias("best"), F.count("*").alias("copies")).select("h1", "h2", F.col("best.row").alias("rep"), F.col("best.doc_id").alias("rep_id"), "copies"))
-    reps = all_.join(sets.select(F.col("rep").alias("row"), "copies"), "row")
-    near = components(candidate_edges(reps, similarity))
-    sizes = near.groupBy("component").agg(F.count("*").alias("members"))
-    # the texts of candidate classes are read once more, by hash and id; a row that is there twice counts once
-    wanted = cut(near.join(sizes, "component").join(reps.select(F.col("row").alias("node"), "doc_id", "text_hash", "copies"), "node").select(F.col("node").alias("row"), "component", "members", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "copies"))
-    read = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    texts = sized_join(read, wanted, F.col("text_hash").eqNullSafe(F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "inner")
-    texts = texts.groupBy("row").agg(*(F.first(c).alias(c) for c in ("component", "members", "copies", "text")))
-    links = cut(verify(in_blocks(texts, "members", BLOCK), similarity))
-    linked = links.groupBy("row").agg(F.sum("links").alias("links"))
+    several = cut(sets.where("copies > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "rep", F.col("copies").alias("times")))
+    reps = sized_join(all_.where("n > 0"), several, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left").where("rep is null or rep = row")
+    reps = reps.select("row", "doc_id", "text_hash", "n", "minhashes", "sketch", "keys", F.coalesce("times", F.lit(1)).alias("copies"))
+    links = exact_links(documents, reps, candidate_classes(reps, similarity, recall), similarity)
+    found = links.groupBy("row").agg(F.sum("links").alias("links")).where("links > 0")
     classes = components(links.select(F.col("row").alias("a"), F.col("to").alias("b")))
     ids = classes.join(sets.select(F.col("rep").alias("node"), "rep_id"), "node").groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("no"), F.col("rep_id").alias("id"), F.col("node"))).alias("least"))
-    known = sets.join(linked.select(F.col("row").alias("rep"), "links"), "rep", "left").join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").join(ids, "component", "left")
+    known = sets.join(found.select(F.col("row").alias("rep"), "links"), "rep", "left").join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").join(ids, "component", "left")
     known = cut(known.where("copies > 1 or links is not null").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("least.id", "rep_id").alias("class"), F.coalesce("least.node", "rep").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
     out = sized_join(all_.select("row", "doc_id", "text_hash", "n", "h1", "h2"), known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") > 0), "left")
     alone = F.col("head").isNull()
@@ -311,10 +525,11 @@ def one_of_each_class(documents: DataFrame, similarity: float = SIMILARITY, reca
     rows = jaccard_join(documents, similarity, recall)
     kept = rows.groupBy("doc_id", "text_hash").agg(F.sum(F.col("first").cast("int")).alias("__keep"), F.count("*").alias("n"))
     gone = cut(kept.where(F.col("__keep") < F.col("n")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__keep"))
-    some = gone.agg(F.count("*").alias("n"), F.max("__keep").alias("keep")).first()
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__hash"))
-    if not some["keep"]:
-        return sized_join(documents, gone, on, "left_anti", some["n"])
-    marked = sized_join(documents, gone, on, "left", some["n"])
+    keep = gone.agg(F.max("__keep")).first()[0]
+    on = F.col("__hash_of").eqNullSafe(F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    hashed = documents.withColumn("__hash_of", F.xxhash64("text"))
+    marked = matched(hashed, F.col("__hash_of"), gone, "__hash", on, "left")
+    if not keep:
+        return marked.where("__hash is null").select(*documents.columns)
     once = marked.where("__keep > 0").dropDuplicates(["__id", "__hash"])
-    return marked.where("__keep is null").unionByName(once).select(*documents.columns)
+    return marked.where("__hash is null").unionByName(once).select(*documents.columns)

@@ -66,8 +66,8 @@ def test_blocks_and_second_level_lose_nothing(docs, monkeypatch):
     """Tiny buckets and blocks make every group take the split ways."""
     import ruleloom.llm.ngram_join as N
 
-    monkeypatch.setattr(N, "BUCKET", 4)
-    monkeypatch.setattr(N, "BLOCK", 8)
+    for name, value in (("BUCKET", 4), ("BLOCK", 8), ("WIDE", 8)):
+        monkeypatch.setattr(N, name, value)
     rows = fixture()
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.class_id, r.n_links) for r in jaccard_join(docs(rows), recall=0.99999).collect())
     assert got == brute(rows)
@@ -85,8 +85,56 @@ def test_empty_table(docs):
     assert jaccard_join(docs([])).count() == one_of_each_class(docs([])).count() == 0
 
 
+def test_a_side_too_large_for_a_broadcast_changes_nothing(docs, monkeypatch):
+    from ruleloom.llm import common
+
+    rows = fixture()
+    want = sorted(map(tuple, one_of_each_class(docs(rows)).fillna(-1).collect()), key=str)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.class_id, r.n_links) for r in jaccard_join(docs(rows)).collect())
+    assert got == brute(rows)
+    assert sorted(map(tuple, one_of_each_class(docs(rows)).fillna(-1).collect()), key=str) == want
+
+
+def test_thousands_of_near_copies_and_a_very_long_text(docs):
+    """Every two of the near copies are at 0.9; beside them copies of a very long text, one of which is altered."""
+    base, rows = words(200, 1), []
+    for i in range(2600):
+        w = list(base)
+        w[5 + i % 190] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    long = words(120_000, 2)
+    rows += [(5000, " ".join(long)), (5001, " ".join(long)), (5002, " ".join(long[:-1000])), (5003, " ".join(long[60_000:])), (5004, " ".join(words(300, 3)))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(docs(rows)).collect()}
+    assert all(got[i] == (0, 2599) for i in range(2600))
+    assert [got[i] for i in range(5000, 5005)] == [(5000, 2), (5000, 2), (5000, 2), (5003, 0), (5004, 0)]
+
+
+def test_a_large_bucket_edge_count_is_linear(spark, docs):
+    """What a bucket of near copies emits is a forest, also where it is dealt to several blocks."""
+    from pyspark.sql import functions as F
+
+    from ruleloom.llm import ngram_join as N
+
+    base, rows = words(200, 1), []
+    for i in range(2600):
+        w = list(base)
+        w[5 + i % 190] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    reps = N.written(N.signatures(docs(rows), 0.8, 3))
+    level = reps.select("row", F.col("row").alias("label"), F.explode("keys").alias("key"))
+    edges, first, last = N.one_round(reps, level, 0.8)
+    assert 2599 <= edges.count() < 2 * 2600 and first.count() == 2600
+
+
+def test_components_with_hubs(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(399, 1000)] + [(1000, i) for i in range(1001, 1300)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(400)} | {i: 0 for i in range(1000, 1300)}
+
+
 def test_runs_follow_the_recall():
-    assert runs_for(0.999) == 14 and runs_for(0.9) < runs_for(0.99)
+    assert runs_for(0.999, 1) < runs_for(0.999, 3) and runs_for(0.9, 1) < runs_for(0.99, 1)
 
 
 @pytest.mark.parametrize("n", [1, 50])
