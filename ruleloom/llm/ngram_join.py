@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, Words, cut, groups_of, matched, measured, mix, rolled, sized_join, slices, trimmed, written
-from .components import components
+from .components import components, forest
 
 K = 5
 SIMILARITY = 0.8
@@ -33,7 +33,7 @@ RECALL = 0.999
 #: Minhashes of a set.
 T = 64
 #: Sets that are compared directly in a bucket; of a block of a bucket that stays too large at level LEVELS.
-BUCKET, WIDE = 512, 2048
+BUCKET, WIDE = 512, 512
 LEVELS = 3
 #: Sets, and shingles of them, in a block of exact comparison, about.
 BLOCK, SHINGLES = 1024, 1 << 22
@@ -173,22 +173,6 @@ def next_level(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("row", "label", "key", "minhashes").mapInArrow(trimmed(go), "row long, label long, key long")
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least node of each node's component, by repeated minima."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def least_agreement(similarity: float) -> float:
     """The share of equal sketch bytes below which a pair is given up: four standard deviations under the similarity."""
     return similarity - 4 * math.sqrt(similarity * (1 - similarity) / T)
@@ -260,27 +244,10 @@ def _dealt(salt: int, blocks: Column) -> Column:
     return F.pmod(F.xxhash64("row", "key", F.lit(salt)), blocks).cast("int")
 
 
-def largest_first(reps: DataFrame, large: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """a, b of each row's largest bucket alone, and the members of large buckets under the labels that this gives, without the
-    buckets that have one label: a group of copies is joined once and not in every bucket that it fills."""
-    one = large.groupBy("row").agg(F.max_by(F.struct("key", "count"), F.struct("count", "key")).alias("in")).select("in.key", "in.count", "row", F.col("row").alias("label"))
-    dealt = one.select("key", _dealt(1, F.ceil(F.col("count") / WIDE)).alias("own"), "row", "label")
-    edges = cut(bucket_edges(dealt.join(reps.select("row", "n", "sketch"), "row"), similarity))
-    labels = components(edges)
-    rest = rest_edges(reps, one, labels, similarity)  # between the blocks of one bucket
-    if rest is not None:
-        edges = cut(edges.unionByName(rest))
-        labels = components(edges)
-    named = large.drop("label").join(labels.select(F.col("node").alias("row"), F.col("component").alias("label")), "row", "left")
-    named = cut(named.select("key", "row", F.coalesce("label", "row").alias("label"), "count"))
-    mixed = cut(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"))
-    return edges, sized_join(named, mixed, ["key"], "left_semi")
-
-
-def one_round(reps: DataFrame, level: DataFrame, similarity: float, fresh: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def one_round(reps: DataFrame, level: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """a, b of the buckets under (row, label, key); the rows that were in a large bucket on the first level; and the members of
-    the buckets that are large on the last one, with the bucket's count. fresh: each row is its own label yet."""
-    buckets, joined, first, last = [], [], None, None
+    the buckets that are large on the last one, with the bucket's count. Buckets of one label alone are done already."""
+    buckets, first, last = [], None, None
     for depth in range(LEVELS):
         counts = level.groupBy("key").agg(F.count("*").alias("count"), F.min("label").alias("x"), F.max("label").alias("y"))
         counts = cut(counts.where("x < y").select("key", "count"))
@@ -292,17 +259,13 @@ def one_round(reps: DataFrame, level: DataFrame, similarity: float, fresh: bool
         large = cut(met.where(F.col("count") > BUCKET))
         if depth == 0:
             first = large.select("row").distinct()
-            if fresh:
-                edges, large = largest_first(reps, large, similarity)
-                joined.append(edges)
         if depth == LEVELS - 1:
             last = large
             buckets.append(last.select("key", (_dealt(1, F.ceil(F.col("count") / WIDE)) + 1).alias("own"), "row", "label"))
         else:
             level = written(next_level(large.join(reps.select("row", "minhashes"), "row"), similarity))
     members = reduce(DataFrame.unionByName, buckets)
-    joined.append(bucket_edges(members.join(reps.select("row", "n", "sketch"), "row"), similarity))
-    return reduce(DataFrame.unionByName, joined), first, last
+    return bucket_edges(members.join(reps.select("row", "n", "sketch"), "row"), similarity), first, last
 
 
 def rest_edges(reps: DataFrame, last: DataFrame, labels: DataFrame, similarity: float) -> DataFrame | None:
@@ -342,7 +305,7 @@ def candidate_classes(reps: DataFrame, similarity: float, recall: float) -> Data
             break
         open_ = first.join(reps.select("row", "minhashes"), "row").join(labels.select(F.col("node").alias("row"), F.col("component").alias("label")), "row", "left")
         level = written(further_keys(open_.select("row", F.coalesce("label", "row").alias("label"), "minhashes"), runs, similarity))
-        more, _, last = one_round(reps, level, similarity, fresh=False)
+        more, _, last = one_round(reps, level, similarity)
         edges, first = cut(edges.unionByName(more)), None
     return labels
 
