@@ -16,22 +16,24 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, sized_join, trimmed
+from .common import cut, matched, shared_dir, trimmed
 
 #: A task goes on to another archive when one has so many bytes.
 ARCHIVE_BYTES = 256 << 20
 #: Ranges are read together if no more than GAP bytes lie between them, up to READ bytes at once (a larger record is read alone).
 GAP, READ = 64 << 10, 8 << 20
+#: Bytes of archives, and records, that a task of reading takes, about.
+TASK_BYTES, TASK_RECORDS = 64 << 20, 4096
 _CRLF = b"\r\n"
 INDEX = "page_id long, url string, record_type string, refers_to long, digest string, payload_bytes long, archive string, offset long, length long"
 _NAMES = [x.split()[0] for x in INDEX.split(", ")]
 _KINDS = [pa.int64() if x.split()[1] == "long" else pa.string() for x in INDEX.split(", ")]
 
 
-def _store(uri: str):
+def store_of(uri: str):
     """The file system of a shared folder's URI, and the path in it."""
     from pyarrow import fs
 
@@ -77,20 +79,22 @@ def with_types(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
 
     Of records with equal payloads of at least min_revisit_bytes that with the largest page_id (then url) is the response and
     the others revisit it; of rows equal in all of them one is the response. Null page_ids are the smallest. The payload of
-    most pages is not shuffled: only digests that occur more than once are joined, by broadcast if they are few."""
+    most pages is not shuffled: only digests that occur more than once are joined, by broadcast if they are few, else after a bit
+    map of them has let other pages through."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     digested = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("__sha1"))
     skinny = digested.where(F.octet_length("payload") >= min_revisit_bytes).select("page_id", "url", "__sha1")
     order = F.struct(F.col("page_id").isNotNull().alias("has"), F.col("page_id").alias("page_id"), F.col("url").isNotNull().alias("named"), F.col("url").alias("url"))
     rows = skinny.groupBy("__sha1", "page_id", "url").agg(F.count("*").alias("rows"))
     shared = cut(rows.groupBy("__sha1").agg(F.max(F.struct(order.alias("o"), F.col("rows"))).alias("best"), F.sum("rows").alias("times")).where("times > 1").select(F.col("__sha1").alias("sha1"), F.col("best.o.page_id").alias("to"), F.col("best.o.url").alias("to_url"), F.col("best.rows").alias("ties")))
-    some = shared.agg(F.count("*").alias("n"), F.max("ties").alias("ties")).first()
-    typed = sized_join(digested, shared, F.col("__sha1") == F.col("sha1"), "left", some["n"])
+    ties = shared.agg(F.max("ties")).first()[0]
+    shared = shared.withColumn("__k", F.xxhash64("sha1"))
+    typed = matched(digested, F.xxhash64("__sha1"), shared, "__k", F.col("__sha1") == F.col("sha1"), "left")
     best = F.col("page_id").eqNullSafe(F.col("to")) & F.col("url").eqNullSafe(F.col("to_url"))
     response = F.col("sha1").isNull() | best
     columns = ["page_id", "url", "payload", "__sha1", "record_type", "refers_to"]
     typed = typed.withColumn("record_type", F.when(response, F.lit("response")).otherwise(F.lit("revisit"))).withColumn("refers_to", F.when(~response, F.col("to")))
-    if (some["ties"] or 1) < 2:
+    if (ties or 1) < 2:
         return typed.select(columns)
     tied = F.col("sha1").isNotNull() & best & (F.col("ties") > 1)
     one = typed.where(tied).groupBy("__sha1").agg(*(F.first(c).alias(c) for c in ("page_id", "url", "payload", "to", "ties")))
@@ -107,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
     stamp = (date or datetime(2020, 1, 1, tzinfo=UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _store(folder)
+        store, path = store_of(folder)
         out = name = None
         at = 0
         for batch in batches:
@@ -152,7 +156,8 @@ def read_records(index: DataFrame) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload of the index rows given.
 
     What comes back is what the archive says; the digest of every response is computed again, and a difference raises. A
-    revisit's payload is null. Rows are dealt out by place, so that a task reads neighbouring records."""
+    revisit's payload is null. Rows are dealt out by place, so that a task reads neighbouring records; the tasks are as many as the
+    bytes and records ask for."""
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload string"
 
@@ -172,7 +177,7 @@ def read_records(index: DataFrame) -> DataFrame:
                 if name != archives[begin]:
                     if opened is not None:
                         opened.close()
-                    store, path = _store(archives[begin])
+                    store, path = store_of(archives[begin])
                     opened, name = store.open_input_file(path), archives[begin]
                 for i, j, low, high in ranges(offsets[begin:end], lengths[begin:end]):
                     data = opened.read_at(high - low, low)
@@ -189,4 +194,21 @@ def read_records(index: DataFrame) -> DataFrame:
             opened.close()
 
     placed = index.select("archive", "offset", "length")
-    return placed.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(trimmed(read), schema)
+    all_ = placed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    tasks = max(1, -(-all_["b"] // TASK_BYTES), -(-all_["n"] // TASK_RECORDS))
+    return placed.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(trimmed(read), schema)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder, with what lost tasks have left in it, once what was to be read from it has been."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def archived(pages: DataFrame, columns: list[str], **options) -> DataFrame:
+    """Columns of all records after writing and reading them, itself written; the archives are gone then."""
+    spark = pages.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    found = cut(read_records(write_archives(pages, folder, **options)).select(*columns))
+    delete_folder(spark, folder)
+    return found
