@@ -11,33 +11,40 @@ from .common import cut, sized_join
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with the sums of what comes before each row in a total order. Rows are dealt out by ranges of the order, each range sums
+    its own, and only one row for each range goes through a window of all."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    per = ranged.groupBy("__range").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    per = per.select("__range", *(F.coalesce(F.sum(f"__{n}").over(whole), F.lit(0)).alias(f"__{n}") for n in sums))
+    out = ranged.join(F.broadcast(per), "__range")
+    return out.select(*df.columns, *((F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"__{n}")).alias(n) for n, c in sums.items()))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """source, source_size, target from (source, size).
 
     Sources in code-point order, null last, get the weights in turn. The total of all sizes is shared by weight; a target
     stops at `most` times its source's size and the excess goes to the others by weight until none is above. That fixed
     point has a closed form: in the order of cap / weight the first sources are capped, the rest get
-    (total - capped) * weight / (weight of the rest). Both windows run over one row for each source, never over documents.
+    (total - capped) * weight / (weight of the rest). Ranks and sums before a source are taken range by range of the sources.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long")
-    by = by.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
-    order = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by = (
-        by.withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("open_weight", F.sum("weight").over(rest))
-    )
-    # a source is above its cap at the level that holds when all before it are capped
-    above = F.col("cap") * F.col("open_weight") < (F.col("total") - F.col("capped")) * F.col("weight")
-    by = by.withColumn("above", above).withColumn("left", F.when(~F.col("above"), F.struct("capped", "open_weight")))
-    level = F.first("left", ignorenulls=True).over(everything)
-    by = by.withColumn("level", level)
-    share = (F.col("total") - F.col("level.capped")) * F.col("weight") / F.col("level.open_weight")
+    by = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    by = running(by, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
+    by = by.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("cap"))
+    place = [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    by = cut(running(by, place, {"capped": F.col("cap"), "passed": F.col("weight")}))
+    every = by.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
+    by = by.crossJoin(F.broadcast(every)).withColumn("open", F.col("weights") - F.col("passed"))
+    # a source is above its cap at the level that holds when all before it are capped; the first that isn't gives the level
+    above = F.col("cap") * F.col("open") < (F.col("total") - F.col("capped")) * F.col("weight")
+    by = by.withColumn("above", above)
+    level = by.where(~F.col("above")).agg(F.min_by(F.struct("capped", "open"), F.struct("capped", "passed")).alias("level"))
+    by = by.crossJoin(F.broadcast(level))
+    share = (F.col("total") - F.col("level.capped")) * F.col("weight") / F.col("level.open")
     return by.select("source", "source_size", F.when(F.col("above") | F.col("level").isNull(), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
