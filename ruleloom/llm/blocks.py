@@ -1,20 +1,15 @@
-"""Vectors in blocks: a stated query set against all rows, each pair of blocks in one task's memory."""
+"""What both vector searches share: which vectors take part, the k best of what was found, and ties."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, groups_of, trimmed
-
+from .common import written
 
-#: Rows of a block of vectors, and of a block of queries.
-VECTORS, QUERIES = 4096, 4096
+NO_ID = np.iinfo(np.int64).max
 
 
 def usable(vector: Column, allow_zero: bool) -> Column:
@@ -23,58 +18,45 @@ def usable(vector: Column, allow_zero: bool) -> Column:
     return fine if allow_zero else fine & F.exists(vector, lambda x: x != 0)
 
 
-def prepared(embeddings: DataFrame, allow_zero: bool) -> DataFrame:
-    """row, vec_id, v of the rows that take part, written once. The most common length of a vector is the dimension (ties: the
-    longer); vectors of another length take no part."""
-    kept = embeddings.select("vec_id", F.col("embedding").alias("v")).where(usable(F.col("embedding"), allow_zero))
-    lengths = kept.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    d = lengths["d"] if lengths else 0
-    return cut(kept.where(F.size("v") == d).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), "v"))
-
-
-@dataclass
-class Block:
-    row: np.ndarray
-    vec_id: np.ndarray  # null ids as the largest long
-    v: np.ndarray
+def prepared(embeddings: DataFrame, is_query: Column, allow_zero: bool) -> tuple[DataFrame, int]:
+    """row, vec_id (null as the largest long), is_query, v of the rows that take part, written once, and the vectors' length.
 
+    Vectors of several lengths are continued with zeros up to the longest, so that all take part in all products."""
+    kept = embeddings.where(usable(F.col("embedding"), allow_zero))
+    d = kept.agg(F.max(F.size("embedding"))).first()[0] or 0
+    v = F.col("embedding").cast("array<double>")
+    v = F.when(F.size(v) == d, v).otherwise(F.concat(v, F.array_repeat(F.lit(0.0), F.lit(d) - F.size(v))))
+    if embeddings.schema["embedding"].dataType.elementType.simpleString() == "float":
+        v = v.cast("array<float>")  # exact: they came from floats
+    return written(kept.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), v.alias("v"))), d
 
-def _block(t: pa.Table) -> Block:
-    v = t.column("v").combine_chunks()
-    flat = v.flatten().to_numpy(zero_copy_only=False)
-    ids = t.column("vec_id").fill_null(np.iinfo(np.int64).max)
-    return Block(t.column("row").to_numpy(), ids.to_numpy(), flat.reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 0)))
 
+def matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
+    """Vectors as rows of a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), d)
 
-def block_search(vectors: DataFrame, queries: DataFrame, search: Callable[[Block, Block], dict[str, np.ndarray]], schema: str, n_vectors: int, n_queries: int) -> DataFrame:
-    """The rows that search(vectors, queries) returns for every pair of blocks. Vectors are repeated for every block of queries
-    and queries for every block of vectors; memory is that of one pair."""
-    nv, nq = max(1, -(-n_vectors // VECTORS)), max(1, -(-n_queries // QUERIES))
 
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int, is_query: int) -> DataFrame:
-        return df.select(F.pmod(F.xxhash64("row"), F.lit(n_own).cast("long")).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))).alias(other), F.lit(is_query).alias("q"), "row", "vec_id", "v")
+def top_of_rows(score: np.ndarray, k: int, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k largest finite values, and of all within the slack of the kth."""
+    n = score.shape[1]
+    least = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(score), -np.inf)
+    return np.nonzero((score >= (least - slack)[:, None]) & (score > -np.inf))
 
-    both = dealt(vectors, "vb", nv, "qb", nq, 0).unionByName(dealt(queries, "qb", nq, "vb", nv, 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in groups_of(batches, ["vb", "qb"]):
-            for a, b in zip(at.tolist(), [*at[1:].tolist(), t.num_rows], strict=True):
-                part = t.slice(a, b - a)
-                n = int((part.column("q").to_numpy() == 0).sum())
-                if 0 < n < b - a:
-                    yield pa.record_batch(search(_block(part.slice(0, n)), _block(part.slice(n))))
-
-    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(nv * nq, 100_000))
-    return both.repartition(parts, "vb", "qb").sortWithinPartitions("vb", "qb", "q").mapInArrow(trimmed(run), schema)
+def k_of_each(query: np.ndarray, score: np.ndarray, vec_id: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best, ties to the smaller id, then row."""
+    order = np.lexsort((row, vec_id, -score, query))
+    q = query[order]
+    at = np.flatnonzero(np.r_[len(q) > 0, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
+    place = np.arange(len(q)) - np.repeat(at, np.diff(np.r_[at, len(q)]))
+    return order[place < k]
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best of each query row; ties to the smaller vec_id, null ids last."""
+    """query_id, rank, vec_id, score of the k best of each query row; ties to the smaller vec_id, null ids last. A row that was
+    found twice counts once."""
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.when(F.col("vec_id") != np.iinfo(np.int64).max, F.col("vec_id")).alias("vec_id"), "score")
-
-
-def top(score: np.ndarray, vec_id: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, ties to the smaller id."""
-    return np.lexsort((vec_id, -score))[:k]
+    ranked = found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["query_row", "rank"])
+    return ranked.select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")

@@ -17,7 +17,7 @@ from .near_search import near_top_k
 from .ngram_join import jaccard_join
 from .secret_scan import scan_secrets
 from .sentencepiece_coding import encode_texts
-from .warc import read_records, write_archives
+from .warc import archived
 
 #: op4: sizes, the fixed point of the capped shares, and the same hash-seeded draw.
 OP4_SQL = r"""
@@ -91,8 +91,7 @@ def op7_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = read_records(write_archives(table(spark, sf_dir, "pages")))
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archived(table(spark, sf_dir, "pages"), ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
 def op9_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
