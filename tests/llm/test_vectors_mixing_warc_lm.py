@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def odd_vectors():
 
 
 def brute(rows, score, zero):
-    ok = [(i, v) for i, v in rows if v is not None and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and (zero or any(v))]
+    ok = [(i, [*v, *[0.0] * (8 - len(v))]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v) and (zero or any(v))]
     out = []
     for a, (i, q) in enumerate(ok):
         if i is not None and i % 20 == 0:
@@ -45,13 +46,51 @@ def test_exact_search(spark):
 
 
 def test_exact_search_in_several_blocks(spark, monkeypatch):
-    import ruleloom.llm.blocks as B
+    import ruleloom.llm.exact_search as E
 
-    monkeypatch.setattr(B, "VECTORS", 40)
-    monkeypatch.setattr(B, "QUERIES", 3)
+    monkeypatch.setattr(E, "VECTORS", 40)
+    monkeypatch.setattr(E, "QUERIES", 3)
     test_exact_search(spark)
 
 
+def test_exact_search_of_large_numbers(spark):
+    big = [(i, [float(x) for x in v]) for i, v in enumerate((np.random.default_rng(1).integers(-(1 << 24), 1 << 24, (60, 3))).astype(np.float32))]
+    whole = lambda v: [64 * int(x) for x in v]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in exact_top_k(vectors(spark, big), F.col("vec_id") % 20 == 0).collect())
+    want = []
+    for i in (0, 20, 40):
+        best = sorted((-sum(a * b for a, b in zip(whole(big[i][1]), whole(v), strict=True)), j) for j, v in big if j != i)[:20]
+        want += [(i, k, j, -x) for k, (x, j) in enumerate(best, 1)]
+    assert got == want
+    with pytest.raises(Exception, match="fit a long"):
+        exact_top_k(vectors(spark, [(0, [1e18]), (1, [1e18])]), F.col("vec_id") % 20 == 0).collect()
+
+
+def test_bounds_hold_and_few_exact_vectors_are_read():
+    from ruleloom.llm.exact_search import scanned
+
+    rng = np.random.default_rng(2)
+    v, q = np.floor(64 * rng.standard_normal((500, 32))), np.floor(64 * rng.standard_normal((20, 32)))
+    low, width = v.min(), max(1.0, np.ceil((v.max() - v.min() + 1) / 256))
+    upper, spread = scanned(((v - low) // width).astype(np.uint8), low, width, q)
+    assert (upper >= q @ v.T).all() and (upper - spread[:, None] <= q @ v.T).all()
+
+
+def test_near_search_in_several_groups_with_a_hot_bucket(spark, monkeypatch):
+    """All rows are visited when the recall is 1 on every query; a bucket of equal vectors is split."""
+    import ruleloom.llm.near_search as N
+
+    for name, value in (("GROUP", 32), ("BUCKET", 8), ("SAMPLE", 1000)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((400, 8)).astype(np.float32))]
+    rows += [(1000 + i, rows[40][1]) for i in range(150)]
+    for parts in (1, 7):
+        got = near_top_k(vectors(spark, rows).repartition(parts), F.col("vec_id") % 20 == 0, recall=1.0).collect()
+        want = [(i, k, j) for i, k, j, _ in brute(rows, lambda q, v: float(np.dot(np.array(q), np.array(v))), False)]
+        assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == sorted(want)
+
+
 def test_near_search_recall_and_scores(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((1500, 16)).astype(np.float32) * rng.random((1500, 1)).astype(np.float32)
@@ -144,9 +183,49 @@ def test_lm_words_without_hot_counts(docs, monkeypatch):
     test_lm_base_score_and_odd_rows(docs, )
 
 
-def test_lm_learns_and_sums_to_one(spark):
-    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = lm.lm_scores(d).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
-    z = np.random.default_rng(0).standard_normal((5, lm.CLASSES))
-    assert np.allclose(np.exp(lm.log_softmax(z)).sum(1), 1)
+def plain_score(model, tokens, count):
+    """log10 probability of a text's tokens by loops over the features and outcomes, with the model's tables alone."""
+    def mixed(x):
+        m = (1 << 64) - 1
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & m
+        x ^= x >> 29
+        x = x * 0x9FB21C651E98DF25 & m
+        return x ^ x >> 32
+
+    hashes, kinds, _ = lm.with_ends(lm.Words(pa.array([" ".join(tokens)]), lm.TOKEN))
+    n, m = len(model.class_weights), len(model.slot_weights) // lm.CLASSES
+    total, back = 0.0, [0x45, 0x45]
+    for h, kind in zip(hashes.tolist(), kinds.tolist(), strict=True):
+        f = [mixed(x ^ s) for x, s in zip((back[0], back[1], (back[0] * 31 + back[1]) % (1 << 64)), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), strict=True)]
+        at = [i for i, x in enumerate(model.frequent.tolist()) if x == h]
+        y, s = (int(model.of_class[at[0]]), int(model.of_slot[at[0]])) if at else (lm.REST, kind)
+        z = [float(model.class_prior[c]) + sum(float(model.class_weights[x % n][c]) for x in f) for c in range(lm.CLASSES)]
+        u = [float(model.slot_prior[y][k]) + sum(float(model.slot_weights[(x >> 20) % m + m * y][k]) for x in f) for k in range(lm.SLOTS)]
+        total += z[y] - math.log(sum(map(math.exp, z))) + u[s] - math.log(sum(map(math.exp, u)))
+        if not at:
+            total += math.log((count.get(h, 0) + 1) / (model.tokens[s] + model.words[s] + 1))
+        back = [h, back[0]]
+    return total / math.log(10)
+
+
+def test_lm_scores_match_plain_loops_however_the_rows_lie(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted(lm.lm_scores(d.repartition(5)).collect(), key=lambda r: r.doc_id)
+    train = d.where(lm.crc_mod("doc_id", 7) != 2)
+    counts = lm.cut(lm.word_counts(train))
+    models = [lm.train(train.repartition(k), counts, rows[0].train_tokens) for k in (1, 6)]
+    assert all(np.array_equal(getattr(models[0], x), getattr(models[1], x)) for x in ("frequent", "class_weights", "slot_weights", "tokens"))
+    count = {r["h"] % (1 << 64): r["c"] for r in counts.collect()}
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    for r in rows[::9]:
+        tokens = re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])
+        assert r.score == pytest.approx(plain_score(models[0], tokens, count), rel=1e-5)
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = lm.lm_scores(d).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] / got[2] > got[1] / got[2] + 0.05
+    z = np.random.default_rng(0).standard_normal((7, lm.CLASSES)).astype(np.float32)
+    assert np.allclose(np.exp(lm.log_softmax(z, np.array([[0, 1], [2, 3], [4, 5]]), z[6])).sum(1), 1, atol=1e-5)
