@@ -22,8 +22,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts to learn from, in each language, about so many (chosen by a hash of the id); the words of whole texts count.
 SAMPLE_TEXTS = 1500
 MARK = "▁"
-#: A longer word is scored as parts of so many letters.
-LONGEST_WORD = 64
+#: Sums along a word are scaled anew after so many letters, so that words of any length stay within range.
+STEP = 32
 #: Bytes of text, and distinct words of it, that a worker handles at a time.
 SLICE, WORDS = 4 << 20, 1 << 14
 #: Keeps products of probabilities within range: each letter counts this factor, taken off at the end.
@@ -64,22 +64,17 @@ class Lattice:
         return mix(h * np.uint64(0x9E3779B97F4A7C15) + point.astype(np.uint64) + np.uint64(1))
 
     def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Of marked words in parts of LONGEST_WORD letters at most: the word of each part, the begin and length of each part,
-        longest first, and by piece length k the piece that begins at each letter (-1: none; n: one unknown letter)."""
+        """Of marked words, longest first: their numbers, begins and lengths, and by piece length k the piece that begins at each
+        letter (-1: none; n: one unknown letter)."""
         joined = MARK + MARK.join(words.to_pylist())
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         begin = np.flatnonzero(points == ord(MARK))
         size = np.diff(np.r_[begin, len(points)])
-        parts = -(-size // LONGEST_WORD)
-        word = np.repeat(np.arange(len(begin)), parts)
-        k = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
-        at = begin[word] + k * LONGEST_WORD
-        long = np.minimum(LONGEST_WORD, size[word] - k * LONGEST_WORD)
-        left = np.repeat(long, long) - (np.arange(len(points)) - np.repeat(at, long))  # letters to the part's end
+        left = np.repeat(size, size) - (np.arange(len(points)) - np.repeat(begin, size))  # letters to the word's end
         found = []
         h = np.zeros(len(points), np.uint64)
         here = np.arange(len(points))
-        for k in range(1, min(self.longest, int(left.max(initial=1))) + 1):
+        for k in range(1, min(self.longest, int(size.max(initial=1))) + 1):
             here = here[left[here] >= k]
             h[here] = self._step(h[here], points[here + k - 1])
             out = np.full(len(points), -1, np.int32)
@@ -92,12 +87,29 @@ class Lattice:
                 good = hashes[i] == h[maybe]
                 out[maybe[good]] = ids[i[good]]
             found.append(out)
-        order = np.argsort(-long, kind="stable")
-        return word[order], at[order], long[order], found
+        order = np.argsort(-size, kind="stable")
+        return order, begin[order], size[order], found
 
-    def forward(self, at: np.ndarray, long: np.ndarray, found: list[np.ndarray], p: np.ndarray) -> list[np.ndarray]:
-        """Scaled forward sums after 0, 1, ... letters for the parts that have as many; p: pieces by languages, unknown last."""
-        sums = [np.ones((len(at), p.shape[1]))]
+    @staticmethod
+    def rescaled(sums: list[np.ndarray], shifts: list[np.ndarray], window: range, m: int) -> np.ndarray:
+        """Divides the sums of a window by their largest, for the first m words, and notes its logarithm, which is returned."""
+        most = np.zeros((m, *sums[window[0]].shape[1:]))
+        for j in window:
+            k = min(m, len(sums[j]))
+            np.maximum(most[:k], sums[j][:k], out=most[:k])
+        most[most <= 0] = 1.0
+        for j in window:
+            k = min(m, len(sums[j]))
+            sums[j][:k] /= most[:k]
+            shifts[j] = shifts[j].copy()
+            shifts[j][:k] += np.log(most[:k])
+        return np.log(most)
+
+    def forward(self, at: np.ndarray, long: np.ndarray, found: list[np.ndarray], p: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Scaled forward sums after 0, 1, ... letters for the words that have as many, and the logarithms to add to theirs; p:
+        pieces by languages, unknown last."""
+        shift = np.zeros((len(at), p.shape[1]))
+        sums, shifts = [np.ones((len(at), p.shape[1]))], [shift]
         for end in range(1, int(long[0]) + 1 if len(long) else 1):
             m = int(np.searchsorted(-long, -end, "right"))
             total = np.zeros((m, p.shape[1]))
@@ -107,7 +119,31 @@ class Lattice:
                 if len(i):
                     total[i] += sums[end - k][i] * p[piece[i]]
             sums.append(total)
-        return sums
+            shifts.append(shift[:m])
+            if end % STEP == 0:
+                shift = shift.copy()
+                shift[:m] += self.rescaled(sums, shifts, range(max(0, end - len(found) + 1), end + 1), m)
+        return sums, shifts
+
+    def backward(self, at: np.ndarray, long: np.ndarray, found: list[np.ndarray], p: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The same from the words' ends, for one language: at each place for the words that reach it."""
+        top = int(long[0])
+        shift = np.zeros(len(at))
+        sums: list = [None] * (top + 1)
+        shifts: list = [None] * (top + 1)
+        for begin in range(top, -1, -1):
+            m = int(np.searchsorted(-long, -begin, "right"))
+            sums[begin] = (long[:m] == begin).astype(float)
+            for k in range(1, min(top - begin, len(found)) + 1):
+                j = int(np.searchsorted(-long, -(begin + k), "right"))
+                piece = found[k - 1][at[:j] + begin]
+                i = np.flatnonzero(piece >= 0)
+                sums[begin][i] += p[piece[i]] * sums[begin + k][i]
+            shifts[begin] = shift[:m]
+            if begin % STEP == 0 and begin:
+                shift = shift.copy()
+                shift[:m] += self.rescaled(sums, shifts, range(begin, min(top, begin + len(found) - 1) + 1), m)
+        return sums, shifts
 
     def scaled(self, p: np.ndarray, pieces: list[str]) -> np.ndarray:
         return p * np.array([_SCALE ** len(x) for x in pieces] + [_SCALE])[:, None]
@@ -117,13 +153,11 @@ class Lattice:
         if not len(words):
             return np.zeros((0, scaled.shape[1]))
         word, at, long, found = self.look(words)
-        sums = self.forward(at, long, found, scaled)
-        last = np.empty((len(at), scaled.shape[1]))
+        sums, shifts = self.forward(at, long, found, scaled)
+        out = np.empty((len(words), scaled.shape[1]))
         for n in np.unique(long):
             i = slice(int(np.searchsorted(-long, -n, "left")), int(np.searchsorted(-long, -n, "right")))
-            last[i] = sums[n][i]
-        out = np.zeros((len(words), scaled.shape[1]))
-        np.add.at(out, word, np.log(np.maximum(last, 1e-300)) - (long * np.log(_SCALE))[:, None])
+            out[word[i]] = np.log(np.maximum(sums[n][i], 1e-300)) + shifts[n][i] - n * np.log(_SCALE)
         return out
 
     def expected(self, words: pa.Array, weight: np.ndarray, scaled: np.ndarray) -> np.ndarray:
@@ -132,23 +166,19 @@ class Lattice:
         if not len(words):
             return out
         word, at, long, found = self.look(words)
-        sums = self.forward(at, long, found, scaled)
-        back = np.zeros((len(at), int(long[0]) + 1))
-        back[np.arange(len(at)), long] = 1
         flat = scaled[:, 0]
-        for begin in range(int(long[0]) - 1, -1, -1):
-            for k in range(1, min(int(long[0]) - begin, len(found)) + 1):
-                m = int(np.searchsorted(-long, -(begin + k), "right"))
-                piece = found[k - 1][at[:m] + begin]
-                i = np.flatnonzero(piece >= 0)
-                back[i, begin] += flat[piece[i]] * back[i, begin + k]
-        n = weight[word] / np.maximum(back[:, 0], 1e-300)
+        (sums, shifts), (back, after) = self.forward(at, long, found, scaled), self.backward(at, long, found, flat)
+        with np.errstate(divide="ignore"):  # sums of nothing are 0
+            fore = [np.log(x[:, 0]) + y[:, 0] for x, y in zip(sums, shifts, strict=True)]
+            rest = [np.log(x) + y for x, y in zip(back, after, strict=True)]
+        whole = rest[0]
         for begin in range(int(long[0])):
             for k in range(1, min(int(long[0]) - begin, len(found)) + 1):
                 m = int(np.searchsorted(-long, -(begin + k), "right"))
                 piece = found[k - 1][at[:m] + begin]
                 i = np.flatnonzero(piece >= 0)
-                out += np.bincount(piece[i], n[i] * sums[begin][i, 0] * flat[piece[i]] * back[i, begin + k], self.n + 1)
+                share = flat[piece[i]] * np.exp(fore[begin][i] + rest[begin + k][i] - whole[i])
+                out += np.bincount(piece[i], weight[word[i]] * share, self.n + 1)
         return out
 
 
@@ -221,7 +251,8 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, sample_texts: int = S
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns with lang_pred and score, the posterior of that language (ties: the first by name).
+    """All columns with lang_pred, score, the posterior of that language (ties: the first by name), and per_letter, the natural
+    logarithm of the text's probability in that language for each letter or mark of a word (0 where nothing is predicted).
 
     `und` and 0 for null texts and texts without a letter, or if nothing was learnt. Whole texts count; each row is its own.
     Only texts go to Python; the other columns wait in the JVM."""
@@ -237,7 +268,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
                 words, code, text = words_of(part.column("text"))
                 n = part.num_rows
                 has = np.bincount(text, minlength=n) > 0
-                best, score = np.zeros(n, int), np.zeros(n)
+                best, score, each = np.zeros(n, int), np.zeros(n), np.zeros(n)
                 if m:
                     log = np.empty((len(words), m))
                     for i in range(0, len(words), WORDS):
@@ -245,16 +276,18 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
                     z = np.stack([np.bincount(text, log[code, j], n) for j in range(m)], 1) + prior
                     best = z.argmax(1)
                     score = 1 / np.exp(z - z.max(1, keepdims=True)).sum(1)
+                    letters = np.bincount(text, (pc.utf8_length(words).to_numpy(zero_copy_only=False) + 1)[code], n)
+                    each = (z - prior)[np.arange(n), best] / np.maximum(letters, 1)
                 has &= m > 0
                 name = np.array([*languages, "und"], object)[np.where(has, best, m)]
-                done.append(pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(np.where(has, score, 0.0))], ["lang_pred", "score"]))
-            yield pa.concat_arrays(done) if done else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
+                done.append(pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(np.where(has, each, 0.0))], ["lang_pred", "score", "per_letter"]))
+            yield pa.concat_arrays(done) if done else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("per_letter", pa.float64())]))
 
     # not deterministic for the optimizer, so that a filter on the result doesn't run the model twice
-    column = F.arrow_udf(trimmed(predict), "lang_pred string, score double").asNondeterministic()(F.col("text"))
-    columns = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    column = F.arrow_udf(trimmed(predict), "lang_pred string, score double, per_letter double").asNondeterministic()(F.col("text"))
+    columns = [c for c in documents.columns if c not in ("lang_pred", "score", "per_letter")]
     found = documents.select(*columns, column.alias("__found"))
-    return found.select(*columns, "__found.lang_pred", "__found.score")
+    return found.select(*columns, "__found.lang_pred", "__found.score", "__found.per_letter")
 
 
 def held_out(m: int = 3, remainder: int = 1) -> Column:

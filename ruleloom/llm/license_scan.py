@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Words, cut, rolled, sized_join, slices, trimmed
+from .common import WORD, Words, cut, matched, rolled, slices, trimmed
 
 # The base phrases with their labels.
 BASE = {
@@ -48,7 +48,7 @@ NOTICES = [
 K = 3
 #: Templates of fewer words must be there word for word.
 LONG = 20
-#: Of a longer template, this share of the words; candidates need half of the votes.
+#: Of a longer template, this share of the words. Candidates need the votes that are left however the other words lie.
 COVERAGE = 0.8
 
 
@@ -60,9 +60,9 @@ class Template:
         self.k = min(K, len(self.words))
         self.grams = rolled(words.hash, self.k).view(np.int64).tolist()
         exact = base or len(self.words) < LONG
-        self.slack = 0 if exact else len(self.words) // 10
         self.coverage = 1.0 if exact else COVERAGE
-        self.votes = len(self.grams) if exact else -(-len(self.grams) // 2)
+        self.slack = int(len(self.words) * (1 - self.coverage) + 1e-9)  # words that may be others
+        self.votes = max(1, len(self.grams) - self.k * self.slack)
 
 
 def templates(notices: list[tuple[str, str]] = NOTICES) -> list[Template]:
@@ -124,8 +124,7 @@ def scan_licenses(documents: DataFrame, notices: list[tuple[str, str]] = NOTICES
     known = templates(notices)
     keyed = documents.withColumn("__key", F.xxhash64(F.col("doc_id"), F.col("text")))
     found = cut(candidates(keyed.select(F.col("__key").alias("key"), "text"), known)).select(F.col("key").alias("__found"), "spans").withColumnRenamed("spans", "__spans")
-    spans = found.agg(F.sum(F.size("__spans")).alias("n")).first()["n"] or 0  # what a broadcast would hold
-    joined = sized_join(keyed, found, F.col("__key") == F.col("__found"), "left", spans).drop("__key", "__found")
+    joined = matched(keyed, F.col("__key"), found, "__found", F.col("__key") == F.col("__found"), "left").drop("__key", "__found")
     new = StructType.fromDDL("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,words:long,share:double>>")
     columns = [f for f in documents.schema.fields if f.name not in new.names]
     schema = StructType([*columns, *new.fields])

@@ -56,6 +56,43 @@ def test_forward_sums_all_segmentations():
     assert np.isclose((counts * [*map(len, pieces), 1]).sum(), sum(len(w) + 1 for w in words))
 
 
+@pytest.mark.parametrize("n", [31, 32, 33, 64, 65, 300, 5000])
+def test_long_words_are_summed_whole(n):
+    """Against the same recursion in logarithms, over every segmentation of words far beyond the range of a double."""
+    pieces = pieces_of(VOCABULARY)
+    at = {p: i for i, p in enumerate(pieces)}
+    p = np.random.default_rng(1).random((len(pieces) + 1, 2)) ** 3
+    p /= p.sum(0)
+    p[-1] = 1e-7
+    lattice, log = Lattice(pieces), np.log(p)
+    words = [("besonders und die zusammen" * n).replace(" ", "")[:n], "z" * (n // 2), "漢" * n, "a"]
+    got = lattice.log_probability(pa.array(words), lattice.scaled(p, pieces))
+    for w, g in zip(words, got, strict=True):
+        t, sums = "▁" + w, [np.zeros(2)]
+        for e in range(1, len(t) + 1):
+            ways = [sums[b] + (log[at[t[b:e]]] if t[b:e] in at else log[-1]) for b in range(max(0, e - lattice.longest), e) if t[b:e] in at or e - b == 1]
+            sums.append(np.logaddexp.reduce(np.array(ways), axis=0))
+        assert np.allclose(sums[-1], g)
+    counts = lattice.expected(pa.array(words), np.ones(len(words)), lattice.scaled(p[:, :1], pieces))
+    assert np.isclose((counts * [*map(len, pieces), 1]).sum(), sum(len(w) + 1 for w in words))
+
+
+def test_language_of_unlearnt_letters_is_less_likely_than_even_letters(docs):
+    train = docs([(i, "the cat and the dog are here", "en") for i in range(5)])
+    got = {r.doc_id: r for r in identify(docs([(1, "the dog and the cat"), (2, "漢字仮名交じり文"), (3, "12")]), fit(train)).collect()}
+    assert got[1].per_letter > -5.3 > got[2].per_letter and got[3].per_letter == 0
+
+
+def test_license_spans_at_the_least_coverage(docs):
+    """Every fifth word of a notice changed; three words put into the middle; one word more than may be changed."""
+    isc = next(t for label, t in NOTICES if label == "isc").split()
+    other = [f"zz{i}" if i % 5 == 2 else w for i, w in enumerate(isc)]
+    more = [*isc[:10], "one", "two", "three", *isc[10:]]
+    worse = [f"zz{i}" if i % 5 == 2 or i == 0 else w for i, w in enumerate(isc)]
+    got = {r.doc_id: r for r in scan_licenses(docs([(1, " ".join(other)), (2, " ".join(more)), (3, " ".join(worse))])).collect()}
+    assert (got[1].labels, got[1].score) == ("isc", 0.8) and (got[2].labels, got[2].score) == ("isc", 1.0) and got[3].labels == ""
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = identify(d, fit(d.where(~held_out()))).where(held_out()).collect()
@@ -68,7 +105,7 @@ def test_language_odd_rows(docs):
     model = fit(train)
     rows = [(1, "the dog"), (1, "the dog"), (2, None), (3, ""), (4, "123 !?"), (5, "le chien"), (None, "LE CHIEN"), (7, "the dog " * 30_000), (8, "z" * 5000)]
     got = identify(docs(rows).selectExpr("*", "'x' as lang_pred"), model)
-    assert got.columns[-2:] == ["lang_pred", "score"] and got.columns.count("lang_pred") == 1
+    assert got.columns[-3:] == ["lang_pred", "score", "per_letter"] and got.columns.count("lang_pred") == 1
     assert [r.lang_pred for r in got.collect()][:8] == ["en", "en", "und", "und", "und", "fr", "fr", "en"]
     assert {(r.lang_pred, r.score) for r in identify(docs(rows), fit(train.limit(0))).collect()} == {("und", 0.0)}
     assert identify(docs([]), model).count() == 0
