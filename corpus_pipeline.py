@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -17,12 +18,15 @@ from ruleloom.llm.sentencepiece_coding import encode_texts
 
 #: Documents whose language is less likely than this are rejected.
 LEAST_POSTERIOR = 0.5
+#: So are those that are less likely in it than letters drawn evenly from an alphabet of so many.
+BACKGROUND_LETTERS = 200
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those of no clear language; a missing lang becomes the predicted one."""
+    """Drops documents without a letter and those of no clear language or of none that was learnt; a missing lang becomes the
+    predicted one."""
     found = identify(docs, fit(docs.select("doc_id", "text", "lang")))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_POSTERIOR))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_POSTERIOR) & (F.col("per_letter") >= -math.log(BACKGROUND_LETTERS)))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
