@@ -1,4 +1,6 @@
 import itertools
+import random
+from itertools import combinations
 
 import pytest
 
@@ -29,17 +31,74 @@ def test_components_of_a_long_chain_and_isolated_nodes(spark):
 
 
 def test_merge_order_cap_and_floor():
-    units = [("comp:01", ["a@x", "b", "c"], "p1"), ("comp:02", ["a@y", "d"], "p2"), ("comp:03", ["e"], "p3")]
-    got = P.merged_units(units, {frozenset(("comp:03", "comp:02")): 5}, cap=4, floor=2)
-    assert got == [["comp:01", ["a@x", "b", "c"], "p1"], ["comp:02", ["a@y", "d", "e"], "p2 + merged comp:03 (affinity 5)"]]
-    assert P.merged_units(units, {}, cap=3, floor=3)[0][1] == ["a@x", "b", "c"]
-
-
-def test_subdivision_keeps_the_cap_and_all_members():
-    members = [f"m{i}" for i in range(10)]
-    ring = {m: {members[(i + 1) % 10], members[i - 1]} for i, m in enumerate(members)}
-    parts = P.subdivided(members, ring, ring, 4)
-    assert sorted(x for p in parts for x in p) == members and all(len(p) <= 4 for p in parts)
+    units = {"comp:01": (3, {"a", "b", "c"}), "comp:02": (2, {"a", "d"}), "comp:03": (1, {"e"})}
+    bridges = {"comp:03": {"comp:02": 5}, "comp:02": {"comp:03": 5}}
+    assert list(P.merges(units, bridges, cap=4, floor=2)) == [("comp:03", "comp:02", 5)]
+    # the rule in common counts twice; then nothing fits under the cap
+    assert list(P.merges(units, {}, cap=5, floor=3)) == [("comp:03", "comp:02", 0)]
+    assert list(P.merges(units, {}, cap=6, floor=4)) == [("comp:03", "comp:02", 0), ("comp:01", "comp:02", 2)]
+    assert list(P.merges(units, {}, cap=3, floor=3)) == [("comp:03", "comp:02", 0)]
+    # without affinity: the smallest other unit, of equals the last by label
+    assert list(P.merges({"a": (1, {"x"}), "b": (2, {"y"}), "c": (2, {"z"}), "d": (9, {"u"})}, {}, cap=20, floor=2)) == [("a", "c", 0)]
+
+
+def plain_merges(units, bridges, cap, floor):
+    """The rule said once more, over all pairs in every step."""
+    now, out = {u: (n, set(r)) for u, (n, r) in units.items()}, []
+    while len(now) > 1:
+        n, small = min((n, u) for u, (n, _) in now.items())
+        fits = [(2 * len(now[u][1] & now[small][1]) + bridges.get(small, {}).get(u, 0), -now[u][0], u) for u in now if u != small and now[u][0] + n <= cap]
+        if n >= floor or not fits:
+            return out
+        w, _, into = max(fits)
+        now[into] = (now[into][0] + n, now[into][1] | now.pop(small)[1])
+        out.append((small, into, w))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_merges_match_the_rule(seed):
+    r = random.Random(seed)
+    units = {f"comp:{i:02d}": (n := r.randrange(1, 9), {f"r{r.randrange(25)}" for _ in range(n)}) for i in range(r.randrange(2, 20))}
+    bridges: dict = {}
+    for _ in range(r.randrange(15)):
+        a, b = r.choice(list(units)), r.choice(list(units))
+        if a != b:
+            n = r.randrange(1, 5)
+            bridges.setdefault(a, {})[b] = bridges.setdefault(b, {})[a] = n
+    cap, floor = r.randrange(4, 16), r.randrange(2, 10)
+    assert list(P.merges(units, bridges, cap, floor)) == plain_merges(units, bridges, cap, floor)
+
+
+def plain_parts(members, links, cap):
+    """Joining by the heaviest pair that fits, all pairs looked at in every step; then the small ones."""
+    parts = {i: {m} for i, m in enumerate(members)}
+
+    def weight(i, j, kinds):
+        return sum(1 for a, b, s in links if s in kinds and ((a in parts[i] and b in parts[j]) or (a in parts[j] and b in parts[i])))
+
+    while True:
+        fits = [(-weight(i, j, (True,)), len(parts[i] | parts[j]), i, j) for i, j in combinations(parts, 2) if len(parts[i] | parts[j]) <= cap]
+        if not fits or not min(fits)[0]:
+            break
+        _, _, i, j = min(fits)
+        parts[i] |= parts.pop(j)
+    for i in sorted(i for i, p in parts.items() if len(p) < 4):
+        fits = [(weight(i, j, (True, False)), -len(p), j) for j, p in parts.items() if j != i and len(p | parts[i]) <= cap]
+        if fits:
+            parts[max(fits)[2]] |= parts.pop(i)
+    return [sorted(parts[i]) for i in sorted(parts, key=lambda i: (-len(parts[i]), i))]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_subdivision_matches_the_rule(seed):
+    r = random.Random(seed)
+    members = [f"m{i:02d}" for i in range(r.randrange(2, 18))]
+    links = sorted({(a, b, r.random() < 0.6) for a, b in combinations(members, 2) if r.random() < 0.3}, key=lambda x: x[:2])
+    cap = r.randrange(2, 9)
+    parts = P.subdivided(members, links, cap)
+    assert parts == plain_parts(members, links, cap)
+    assert sorted(x for p in parts for x in p) == members and all(len(p) <= cap for p in parts)
 
 
 def test_dominant_label_takes_the_first_met(spark):
