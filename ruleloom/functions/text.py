@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,8 +20,7 @@ COMMENTARY = r'^\s*!!!\s+meta\s+"Commentary"'
 EXAMPLE_HEAD = r"^\*\*Example\[\^(eg\d{3})\]\*\*:?\s*(.*)$"
 VERDICT = r"<!--\s*(GOOD|OK|BAD)(?:\[#([\w_]+)\])?\s*:?\s*(.*?)\s*-->"
 LIST_ITEM = r"^\s*(?:[-*+]|\d+\.)\s+"
-ABBREVIATIONS = [r"\be\.g\.", r"\bi\.e\.", r"\betc\.", r"\bvs\.", r"\bcf\.", r"\bal\.", r"\bDr\.", r"\bMr\.", r"\bMs\.", r"\bSt\.", r"\bNo\.", r"\bU\.S\.", r"\bapprox\."]
-SENTENCE_END = "".join(f"(?<!{a})" for a in ABBREVIATIONS) + r"(?<=[.!?])[\"'\)\]]*\s+(?=[A-Z\(\[\"'*`])"
+SENTENCE_END = r"(?<!\be\.g\.)(?<!\bi\.e\.)(?<!\betc\.)(?<!\bvs\.)(?<!\bcf\.)(?<!\bal\.)(?<!\bDr\.)(?<!\bMr\.)(?<!\bMs\.)(?<!\bSt\.)(?<!\bNo\.)(?<!\bU\.S\.)(?<!\bapprox\.)(?<=[.!?])[\"'\)\]]*\s+(?=[A-Z\(\[\"'*`])"
 
 
 def strip(c: Column) -> Column:
@@ -89,24 +89,44 @@ def split_list(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, ","), strip), lambda x: x != "")
 
 
+#: Lengths that are summed one by one before the sums of whole runs are used.
+_RUN = 256
+
+
+def with_value(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it, also inside lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
+def starts(parts: Column) -> Column:
+    """Where each part begins, from 0: the lengths of whole runs of parts before it, and of the parts before it in its own run."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, n: s + n)
+    whole = lambda i: F.floor(i / _RUN).cast("int")
+
+    def of(size: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), whole(F.size(size) - 1)), lambda k: total(F.slice(size, k * _RUN + 1, F.lit(_RUN))))
+        return with_value(runs, lambda r: F.transform(size, lambda _, i: total(F.slice(r, F.lit(1), whole(i))) + total(F.slice(size, whole(i) * _RUN + 1, i % _RUN))))
+
+    return with_value(F.transform(parts, lambda p: F.length(p)), of)
+
+
 def sentences(text: Column) -> Column:
     """[(sentence, start, end, text)]: spans from 0 that cover the text; blank spans are left out and not counted.
 
     Each boundary with what it consumes belongs to the sentence before it, so the parts' lengths give the offsets."""
-    parts = F.split(F.regexp_replace(text, SENTENCE_END, "$0\u0001"), "\u0001")
-    placed = F.aggregate(
-        parts,
-        F.array().cast("array<struct<start:int,end:int,text:string>>"),
-        lambda done, p: F.concat(done, F.array(F.struct(F.coalesce(F.element_at(F.when(F.size(done) > 0, done), -1)["end"], F.lit(0)).alias("start"), (F.coalesce(F.element_at(F.when(F.size(done) > 0, done), -1)["end"], F.lit(0)) + F.length(p)).alias("end"), p.alias("text")))),
-    )
-    return F.transform(F.filter(placed, lambda s: strip(s["text"]) != ""), lambda s, i: F.struct(i.alias("sentence"), s["start"].alias("start"), s["end"].alias("end"), strip(s["text"]).alias("text")))
+
+    def of(parts: Column) -> Column:
+        placed = F.zip_with(parts, starts(parts), lambda p, at: F.struct(at.alias("start"), (at + F.length(p)).alias("end"), p.alias("text")))
+        return F.transform(F.filter(placed, lambda s: strip(s["text"]) != ""), lambda s, i: F.struct(i.alias("sentence"), s["start"].alias("start"), s["end"].alias("end"), strip(s["text"]).alias("text")))
+
+    return with_value(F.split(F.regexp_replace(text, SENTENCE_END, "$0\u0001"), "\u0001"), of)
 
 
 def sentence_at(text: Column, position: Column) -> Column:
     """The sentence over a position; number 0 and the whole text if there is none."""
-    over = F.filter(sentences(text), lambda s: (s["start"] <= position) & (position < s["end"]))
     none = F.struct(F.lit(0).alias("sentence"), F.lit(0).alias("start"), F.length(text).alias("end"), strip(text).alias("text"))
-    return F.coalesce(F.element_at(F.when(F.size(over) > 0, over), 1), none)
+    over = F.filter(sentences(text), lambda s: (s["start"] <= position) & (position < s["end"]))
+    return F.coalesce(F.get(over, F.lit(0)), none)
 
 
 @F.pandas_udf(StringType())
@@ -126,8 +146,10 @@ def normalize(text: Column) -> Column:
 
 
 def without_trailing_commas(text: Column) -> Column:
-    """Model output without commas before } or ], where something stands before them; strings stay as they are."""
-    return F.regexp_replace(text, r'("(?:[^"\\]++|\\.)*+(?:"|$))|(?<=[^\[{,:\s]\s{0,64}),(?=[ \t\r\n]*[}\]])', "$1")
+    """Model output without commas before } or ], where something stands before them; strings stay as they are.
+
+    Each string, and each run of anything but openings, colons and commas, is taken with the white space and comma after it."""
+    return F.regexp_replace(text, r'("(?:[^"\\]++|\\.)*+(?:"|$)|[^\[{,:\s"]++)(?:(\s*+),(?=[ \t\r\n]*[}\]]))?', "$1$2")
 
 
 def removed_commas(text: Column) -> Column:

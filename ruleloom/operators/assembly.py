@@ -106,12 +106,13 @@ def original(copy: Column) -> Column:
 
 def kept_items(items: DataFrame, anchors: DataFrame, rules: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items (spec, subject, where, quote) whose place exists and whose quote is grounded, and the others with a reason."""
-    from .context import grounded
+    from .context import beside_texts, grounded
 
     df = items.withColumn("__a", F.regexp_extract("where", "^#(.+)$", 1)).withColumn("__r", F.regexp_extract("where", r"^(?:\[\^)?([^#\]]+)\]?$", 1))
     df = df.join(anchors.select(F.col("slug").alias("__a"), F.lit(True).alias("__x")).distinct(), "__a", "left").join(rules.select(F.col("rule").alias("__r"), F.lit(True).alias("__y")).distinct(), "__r", "left")
-    df = df.join(documents.select("spec", F.col("text").alias("__d")), "spec", "left")
-    reason = F.when(F.col("__x").isNull() & F.col("__y").isNull(), "where").when(~grounded(F.col("quote"), F.col("__d")), "quote")
+    good = beside_texts(items, documents).select("spec", F.explode(F.filter("quotes", lambda q: grounded(q, F.col("text")))).alias("quote")).withColumn("__good", F.lit(True))
+    df = df.join(good, ["spec", "quote"], "left")
+    reason = F.when(F.col("__x").isNull() & F.col("__y").isNull(), "where").when(F.col("__good").isNull(), "quote")
     df = df.withColumn("reason", reason).select("spec", "subject", "where", "quote", "reason")
     return df.where("reason is null").drop("reason"), df.where("reason is not null")
 

@@ -28,17 +28,39 @@ def searchable(passages: DataFrame, normal: Column | None = None) -> tuple[DataF
     return df.groupBy("spec").agg(text.alias("text")), spans
 
 
+#: Groups that a document's quotes are dealt to; a text is copied once for each group and not for each quote.
+GROUPS = 8
+#: Characters of a stretch by which occurrences and passages meet.
+STRETCH = 1024
+
+
+def beside_texts(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """spec, quotes, text: a document's distinct quotes in a few groups, each with the text, which is searched for all of them."""
+    groups = quotes.select("spec", "quote").where("quote is not null").groupBy("spec", F.pmod(F.xxhash64("quote"), F.lit(GROUPS)).alias("__g")).agg(F.collect_set("quote").alias("quotes"))
+    return groups.join(texts.select("spec", "text"), "spec").select("spec", "quotes", "text")
+
+
 def quote_passages(quotes: DataFrame, texts: DataFrame, spans: DataFrame) -> DataFrame:
     """spec, quote, passage: the passages that any occurrence of a quote touches, so also quotes across passages.
 
-    Occurrences come from splitting the text at the quote (they don't overlap); spans are found by an interval join of one
-    specification's passages."""
-    found = quotes.join(texts, "spec").withColumn("needle", T.normalize(F.replace(F.col("quote"), F.lit("[...]"), F.lit(" ")))).where("needle <> '' and instr(text, needle) > 0")
-    parts = F.split(F.col("text"), F.concat(F.lit(r"\Q"), F.col("needle"), F.lit(r"\E")), -1)
-    df = found.select("spec", "quote", "needle", parts.alias("p")).select("spec", "quote", "needle", "p", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
-    low = F.aggregate(F.slice("p", F.lit(1), F.col("k")), F.lit(0), lambda s, x: s + F.length(x)) + (F.col("k") - 1) * F.length("needle")
-    at = df.select("spec", "quote", low.alias("low"), (low + F.length("needle")).alias("high"))
-    return at.join(spans, "spec").where("low < end and high > start").select("spec", "quote", "passage").distinct()
+    Occurrences come from splitting the text at the quote (they don't overlap); they meet the spans of their own stretch of the
+    text, by an equi-join."""
+    needles = quotes.select("spec", "quote").distinct().withColumn("needle", T.normalize(F.replace(F.col("quote"), F.lit("[...]"), F.lit(" ")))).where("needle <> ''")
+    found = beside_texts(needles.select("spec", F.col("needle").alias("quote")), texts).select("spec", "text", F.filter("quotes", lambda q: F.instr(F.col("text"), q) > 0).alias("quotes"))
+
+    def begins(q: Column) -> Column:
+        def of(parts: Column) -> Column:
+            ends = F.zip_with(parts, T.starts(parts), lambda p, at: at + F.length(p))
+            return F.transform(F.slice(ends, F.lit(1), F.size(parts) - 1), lambda e, i: e + i * F.length(q))
+
+        return F.struct(q.alias("needle"), T.with_value(F.split(F.col("text"), F.concat(F.lit(r"\Q"), q, F.lit(r"\E")), -1), of).alias("at"))
+
+    at = found.select("spec", F.explode(F.transform("quotes", begins)).alias("f")).select("spec", "f.needle", F.explode("f.at").alias("low")).withColumn("high", F.col("low") + F.length("needle"))
+    stretches = lambda low, high: F.explode(F.sequence(F.floor(low / STRETCH), F.floor(high / STRETCH)))
+    left = at.withColumn("__s", stretches(F.col("low"), F.col("high")))
+    right = spans.withColumn("__s", stretches(F.col("start"), F.col("end")))
+    met = left.join(right, ["spec", "__s"]).where("low < end and high > start").select("spec", "needle", "passage").distinct()
+    return met.join(needles, ["spec", "needle"]).select("spec", "quote", "passage").distinct()
 
 
 def grounded(quote: Column, document: Column, least: int = 12) -> Column:
@@ -128,6 +150,5 @@ def shared_context(context: Column) -> Column:
 
 def rotated(chapters: DataFrame, coders: int) -> DataFrame:
     """coder, chapter, place: each coder reads the chapters (chapter, n from 0) from another begin."""
-    total = F.count("*").over(Window.partitionBy(F.lit(1)))
-    df = chapters.withColumn("total", total).withColumn("coder", F.explode(F.sequence(F.lit(0), F.lit(coders - 1))))
+    df = chapters.crossJoin(F.broadcast(chapters.agg(F.count("*").alias("total")))).withColumn("coder", F.explode(F.sequence(F.lit(0), F.lit(coders - 1))))
     return df.select("coder", "chapter", F.pmod(F.col("n") - F.col("coder"), F.col("total")).alias("place"))

@@ -19,9 +19,10 @@ def inverse(direction: Column) -> Column:
 
 
 def pairs(df: DataFrame, id_: str, keys: list[str]) -> DataFrame:
-    """Ordered pairs src <> dst of one key: an equi-join, so that hot keys are split by AQE."""
-    a = df.select(*keys, F.col(id_).alias("src"))
-    return a.join(df.select(*keys, F.col(id_).alias("dst")), keys).where("src <> dst").select("src", "dst", *keys).distinct()
+    """Ordered pairs src <> dst of one key: an equi-join, so that hot keys are split by AQE. What is repeated goes before the join
+    and not among its pairs."""
+    once = df.select(*keys, F.col(id_).alias("src")).distinct()
+    return once.join(once.withColumnRenamed("src", "dst"), keys).where("src <> dst").select("src", "dst", *keys)
 
 
 def shared_labels(labels: DataFrame, within: list[str] | None = None) -> DataFrame:
@@ -118,8 +119,11 @@ def semantic_only(edges: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataF
 
 
 def unrelated_thematic(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Thematic pairs without a label in common."""
-    return undirected(edges.where("relation = 'thematic'"), []).join(shared_labels(labels).select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
+    """Thematic pairs without a label in common, tested on the edges that there are."""
+    held = labels.groupBy("id").agg(F.collect_set("label").alias("set"))
+    of = lambda x: held.select(F.col("id").alias(x), F.col("set").alias(f"of_{x}"))
+    pair = undirected(edges.where("relation = 'thematic'"), [])
+    return pair.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce(F.arrays_overlap("of_a", "of_b"), F.lit(False))).select("a", "b")
 
 
 def affected(changed: DataFrame, edges: DataFrame) -> DataFrame:

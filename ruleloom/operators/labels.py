@@ -11,7 +11,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .edges import shared_labels
 
 
 def leaves(registry: DataFrame) -> DataFrame:
@@ -73,10 +72,18 @@ def coverage(rules: DataFrame, labels: DataFrame, floor: int = 3) -> DataFrame:
 
 def enrichment(labels: DataFrame, rules: DataFrame, linked: DataFrame) -> DataFrame:
     """One row: base, the share of all pairs of rules with a label in common; observed, that of linked pairs (a < b); ratio."""
-    shared = shared_labels(labels).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    held = labels.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("set"))
+    # rules with one set of labels count as often as they are; different sets meet by label
+    sets = held.groupBy("set").agg(F.count("*").alias("n"))
+    each = sets.select("set", "n", F.explode("set").alias("label"))
+    met = each.join(each.select(F.col("set").alias("other"), F.col("n").alias("m"), "label"), "label").where("set < other").select("set", "other", "n", "m").distinct()
+    alike = sets.select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("p")).unionByName(met.select((F.col("n") * F.col("m")).alias("p")))
     n = rules.agg(F.countDistinct("id").alias("rules"))
-    hit = linked.select("a", "b").distinct().join(shared.withColumn("s", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("linked"), F.count("s").alias("hits"))
-    df = shared.agg(F.count("*").alias("sharing")).crossJoin(n).crossJoin(hit)
+    pair = linked.select("a", "b").distinct()
+    of = lambda x: held.select(F.col("id").alias(x), F.col("set").alias(f"of_{x}"))
+    both = pair.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    hit = both.agg(F.count("*").alias("linked"), F.count_if(F.coalesce(F.arrays_overlap("of_a", "of_b"), F.lit(False))).alias("hits"))
+    df = alike.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("sharing")).crossJoin(n).crossJoin(hit)
     df = df.withColumn("base", F.try_divide(F.col("sharing"), F.col("rules") * (F.col("rules") - 1) / 2)).withColumn("observed", F.try_divide(F.col("hits"), F.col("linked")))
     return df.withColumn("ratio", F.try_divide("observed", "base"))
 
@@ -87,10 +94,11 @@ def permutation_p(labels: DataFrame, linked: DataFrame, permutations: int = 1000
     The label sets are dealt anew to the ids in every permutation, by the order of a seeded hash; all permutations run at
     once, dealt out by permutation. Work is permutations x (rules + pairs)."""
     sets = labels.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("set"))
-    base = sets.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id")))
     many = labels.sparkSession.range(permutations).select(F.col("id").alias("perm"))
-    dealt = many.crossJoin(base.select("set", F.col("id").alias("old"))).withColumn("k", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "old"), "old")))
-    at = dealt.join(base.select("k", "id"), "k").select("perm", "id", "set")
+    dealt = many.crossJoin(sets.select("set", "id"))
+    place, drawn = Window.partitionBy("perm").orderBy("id"), Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "id"), "id")
+    dealt = dealt.withColumn("k", F.row_number().over(place)).withColumn("d", F.row_number().over(drawn))
+    at = dealt.select("perm", "k", "id").join(dealt.select("perm", F.col("d").alias("k"), "set"), ["perm", "k"]).select("perm", "id", "set")
     pair = linked.select("a", "b").distinct()
     met = pair.join(at.select("perm", F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(at.select("perm", F.col("id").alias("b"), F.col("set").alias("sb")), ["perm", "b"])
     hits = many.join(met.groupBy("perm").agg(F.count_if(F.arrays_overlap("sa", "sb")).alias("hits")), "perm", "left")

@@ -36,7 +36,7 @@ def _blank(c: Column) -> Column:
 
 def simple_fences(lines: DataFrame, is_fence: Column | None = None) -> DataFrame:
     """fenced by ~~~ alone; the fence lines are fenced."""
-    mark = F.coalesce(is_fence if is_fence is not None else F.ltrim("line").startswith("~~~"), F.lit(False))
+    mark = F.coalesce(is_fence if is_fence is not None else F.regexp_replace("line", r"(?U)^\s+", "").startswith("~~~"), F.lit(False))
     return lines.withColumn("__m", mark.cast("int")).withColumn("fenced", (F.col("__m") == 1) | (F.sum("__m").over(_so_far()) % 2 == 1)).drop("__m")
 
 
@@ -222,20 +222,28 @@ def commentary_lines(lines: DataFrame) -> DataFrame:
 def example_bodies(lines: DataFrame) -> DataFrame:
     """spec, example, first, last, text: from a head to the close of its fenced body; problem says what is missing.
 
-    The close is the first later line of at least as many of the fence's characters. Not found: last and text are null."""
+    The close is the first later line of at least as many of the fence's characters. Not found: last and text are null. What
+    follows a head or an opening is looked up by windows, so that a document's heads never meet all its fences."""
     fence = F.regexp_extract("line", r"^\s*(~{3,}|`{3,})", 1)
-    heads = examples(lines).select("spec", F.col("ln").alias("first"), "example")
-    stops = lines.where((fence != "") | F.col("line").rlike(r"^#{1,6}\s") | T.strip(F.col("line")).rlike(T.EXAMPLE_HEAD)).select("spec", "ln", fence.alias("fence"))
-    opened = heads.join(stops, "spec").where("ln > first").groupBy("spec", "example", "first").agg(F.min(F.struct("ln", "fence")).alias("open"))
-    closes = lines.where(F.col("line").rlike(r"^\s*(~{3,}|`{3,})\s*$")).select("spec", F.col("ln").alias("close"), fence.alias("mark"))
-    ok = (F.col("close") > F.col("open.ln")) & (F.left("mark", F.lit(1)) == F.left("open.fence", F.lit(1))) & (F.length("mark") >= F.length("open.fence"))
-    closed = opened.join(closes, "spec").where(ok & (F.col("open.fence") != "")).groupBy("spec", "example").agg(F.min("close").alias("last"))
-    spans = heads.join(opened.drop("first"), ["spec", "example"], "left").join(closed, ["spec", "example"], "left")
-    problem = F.when(F.col("open").isNull() | (F.col("open.fence") == ""), "no fenced body").when(F.col("last").isNull(), "not closed")
-    spans = spans.select("spec", "example", "first", "last", problem.alias("problem"))
-    inside = spans.join(lines.select("spec", "ln", "line"), "spec").where("ln between first and last")
+    heads = examples(lines).select("spec", "ln", "example")
+    stop = (fence != "") | F.col("line").rlike(r"^#{1,6}\s") | T.strip(F.col("line")).rlike(T.EXAMPLE_HEAD)
+    df = lines.withColumn("__fence", fence).withColumn("__open", F.first(F.when(stop, F.struct("ln", F.col("__fence").alias("fence"))), ignorenulls=True).over(_after()))
+    bare = F.col("line").rlike(r"^\s*(~{3,}|`{3,})\s*$")
+    opened = df.join(heads, ["spec", "ln"]).select("spec", "example", F.col("ln").alias("first"), F.col("__open").alias("open"))
+    spans = opened.withColumn("problem", F.when(F.col("open").isNull() | (F.col("open.fence") == ""), "no fenced body"))
+    wanted = spans.where("problem is null").select("spec", F.col("open.ln").alias("ln"), F.left("open.fence", F.lit(1)).alias("mark"), F.length("open.fence").alias("width")).distinct()
+    marks = df.where(bare).select("spec", "ln", F.left("__fence", F.lit(1)).alias("mark"), F.length("__fence").alias("width"), F.lit(True).alias("close"))
+    # openings and closing lines of one character in order; for each width that an opening has, the next closing line at least as wide
+    widths = wanted.select("spec", "mark", "width").distinct().withColumnRenamed("width", "w")
+    both = wanted.withColumn("close", F.lit(False)).unionByName(marks).join(widths, ["spec", "mark"])
+    after = Window.partitionBy("spec", "mark", "w").orderBy("ln").rowsBetween(1, Window.unboundedFollowing)
+    both = both.withColumn("last", F.min(F.when(F.col("close") & (F.col("width") >= F.col("w")), F.col("ln"))).over(after))
+    closed = both.where("not close and width = w").select("spec", F.col("ln").alias("__at"), "last")
+    spans = spans.withColumn("__at", F.col("open.ln")).join(closed, ["spec", "__at"], "left").select("spec", "example", "first", "last", F.coalesce("problem", F.when(F.col("last").isNull(), "not closed")).alias("problem"))
+    own = spans.where("last is not null").select("spec", "example", F.explode(F.sequence("first", "last")).alias("ln"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n")
-    return spans.join(inside.groupBy("spec", "example").agg(text.alias("text")), ["spec", "example"], "left")
+    texts = own.join(lines.select("spec", "ln", "line"), ["spec", "ln"]).groupBy("spec", "example").agg(text.alias("text"))
+    return spans.join(texts, ["spec", "example"], "left")
 
 
 def passages(lines: DataFrame, bodies: DataFrame, tree: DataFrame) -> DataFrame:
@@ -261,19 +269,22 @@ def chapters(tree: DataFrame) -> DataFrame:
 def stems(lines: DataFrame, spots: DataFrame, words: int = 40) -> DataFrame:
     """spec, ln, stem, framing of list items at spots (spec, ln): prose blocks above, past blanks and other items.
 
-    The nearest is the stem; the framing is the nearest of the next three that doesn't end with a colon, else the next. Looking up stops at a heading or
-    a fence. Blocks here are runs of lines that are no items; only those of the same stretch count."""
+    The nearest is the stem; the framing is the nearest of the next three that doesn't end with a colon, else the next. Looking up
+    stops at a heading or a fence. Blocks here are runs of lines that are no items; only those of the same stretch count. Each run
+    carries the three before it, and an item takes the last run above it, so that items never meet all runs."""
     raw = F.col("line")
     wall = F.col("fenced") | raw.rlike(T.HEADER)
     item, blank = raw.rlike(T.LIST_ITEM), _blank(raw)
     df = lines.withColumn("__wall", F.sum(wall.cast("int")).over(_so_far())).withColumn("__prose", ~wall & ~item & ~blank)
     df = df.withColumn("__run", F.sum((~F.col("__prose")).cast("int")).over(_so_far()))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", T.strip(raw).alias("t")))), lambda x: x["t"]), " ")
-    runs = df.where("__prose").groupBy("spec", "__wall", "__run").agg(F.max("ln").alias("end"), text.alias("text"))
-    here = df.join(spots.select("spec", "ln").distinct(), ["spec", "ln"]).where(item & ~wall).select("spec", "ln", "__wall")
-    near = here.join(runs, ["spec", "__wall"]).where("end < ln")
-    near = near.withColumn("k", F.row_number().over(Window.partitionBy("spec", "ln").orderBy(F.desc("end")))).where("k <= 4")
-    got = near.groupBy("spec", "ln").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("b"))
+    runs = df.where("__prose").groupBy("spec", "__wall", "__run").agg(F.max("ln").alias("ln"), text.alias("text"))
+    last = Window.partitionBy("spec", "__wall").orderBy("ln")
+    runs = runs.withColumn("b", F.filter(F.array("text", *(F.lag("text", k).over(last) for k in (1, 2, 3))), lambda x: x.isNotNull()))
+    ends = df.join(runs.select("spec", "ln", "b"), ["spec", "ln"], "left")
+    above = Window.partitionBy("spec", "__wall").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("b", F.last("b", ignorenulls=True).over(above)).where(item & ~wall)
+    got = ends.join(spots.select("spec", "ln").distinct(), ["spec", "ln"]).where("b is not null")
     later = F.slice("b", 2, 3)
     plain = F.filter(later, lambda x: ~F.rtrim(x).endswith(":"))
     framing = F.coalesce(F.get(plain, F.lit(0)), F.get(later, F.lit(0)))

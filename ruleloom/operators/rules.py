@@ -82,11 +82,16 @@ def section_jobs(index: DataFrame) -> DataFrame:
 
 
 def new_ids(untagged: DataFrame, tagged: DataFrame) -> DataFrame:
-    """Ids zNNN for untagged places (spec, ln, col) after the highest zNNN in use, in document order."""
-    number = F.when(F.col("rule").rlike(r"^z\d{3}$"), F.substring("rule", 2, 3).cast("int"))
-    most = tagged.groupBy("spec").agg(F.max(number).alias("most"))
-    n = F.row_number().over(Window.partitionBy("spec").orderBy("ln", "col")) + F.coalesce("most", F.lit(0))
-    return untagged.join(most, "spec", "left").select("spec", "ln", "col", F.concat(F.lit("z"), F.lpad(n.cast("string"), 3, "0")).alias("rule"))
+    """Ids zNNN for untagged places (spec, ln, col) after the highest z number in use, in document order; above z999 the number
+    takes as many digits as it needs, so that no id comes twice. example: the ids egNNN of places whose kind is `example` (a
+    column that may be missing), counted apart."""
+    kind = F.col("kind") if "kind" in untagged.columns else F.lit("rule")
+    places = untagged.withColumn("kind", F.coalesce(kind, F.lit("rule"))).withColumn("head", F.when(F.col("kind") == "example", "eg").otherwise("z"))
+    used = F.regexp_extract("rule", r"^(z|eg)(\d{3,})$", 1).alias("head"), F.regexp_extract("rule", r"^(z|eg)(\d{3,})$", 2).alias("number")
+    most = tagged.select("spec", *used).where("number <> ''").groupBy("spec", "head").agg(F.max(F.col("number").cast("int")).alias("most"))
+    n = F.row_number().over(Window.partitionBy("spec", "head").orderBy("ln", "col")) + F.coalesce("most", F.lit(0))
+    number = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(3)), F.lit("0"))
+    return places.join(most, ["spec", "head"], "left").select("spec", "ln", "col", F.concat("head", number).alias("rule"))
 
 
 def resolved_links(lines: DataFrame, titles: DataFrame) -> DataFrame:
@@ -107,8 +112,8 @@ def resolved_links(lines: DataFrame, titles: DataFrame) -> DataFrame:
 def additions_only(before: DataFrame, after: DataFrame) -> DataFrame:
     """spec, ok, place, word: whether a text's words are the other's with tags added only; the first place that differs.
 
-    The comparison walks both word streams of one document, since a tag that stands alone is passed over only where it
-    doesn't match; one document's words are one group."""
+    Each word of the text takes the next one of the other that isn't a tag alone, or is the same; one document's words are one
+    group, as where a word is found depends on all before it."""
     import re
 
     import pandas as pd
@@ -119,16 +124,23 @@ def additions_only(before: DataFrame, after: DataFrame) -> DataFrame:
         found = tag.findall(b)
         return all(found.count(t) >= tag.findall(a).count(t) for t in set(tag.findall(a)))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = ((pdf.loc[pdf["side"] == s, "text"].iloc[0] or "").split() if (pdf["side"] == s).any() else [] for s in (0, 1))
-        i = 0
-        for word in b:
-            if i < len(a) and (a[i] == word or (tag.sub("", a[i]) == tag.sub("", word) and kept(a[i], word))):
-                i += 1
-            elif not tag.fullmatch(word):
-                return pd.DataFrame({"spec": [pdf["spec"].iloc[0]], "ok": [False], "place": [i + 1], "word": [word]})
-        ok = i == len(a)
-        return pd.DataFrame({"spec": [pdf["spec"].iloc[0]], "ok": [ok], "place": [None if ok else i + 1], "word": [None if ok else a[i]]})
+    def same(was: str, word: str) -> bool:
+        return was == word or (tag.sub("", was) == tag.sub("", word) and kept(was, word))
+
+    def difference(was: list[str], now: list[str]) -> tuple[int, str] | None:
+        """The first place of `was`, from 1, where `now` has another word."""
+        left = iter(now)
+        for k, w in enumerate(was, 1):
+            met = next((x for x in left if same(w, x) or not tag.fullmatch(x)), None)
+            if met is None or not same(w, met):
+                return k, w if met is None else met
+        more = next((x for x in left if not tag.fullmatch(x)), None)
+        return None if more is None else (len(was) + 1, more)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        was, now = (" ".join(pdf.loc[pdf["side"] == s, "text"].dropna()).split() for s in (0, 1))
+        place, word = difference(was, now) or (None, None)
+        return pd.DataFrame({"spec": [pdf["spec"].iloc[0]], "ok": [place is None], "place": pd.array([place], "Int64"), "word": [word]})
 
     both = before.select("spec", "text", F.lit(0).alias("side")).unionByName(after.select("spec", "text", F.lit(1).alias("side")))
-    return both.groupBy("spec").applyInPandas(walk, f"spec {before.schema['spec'].dataType.simpleString()}, ok boolean, place long, word string")
+    return both.groupBy("spec").applyInPandas(compare, f"spec {before.schema['spec'].dataType.simpleString()}, ok boolean, place long, word string")

@@ -11,6 +11,8 @@ from ruleloom.functions import text as T
 #: What a finding looks like to schema_of_variant: exactly the four fields with their types.
 _SHAPE = "OBJECT<context_resolution: STRING, rule_ids: ARRAY<STRING>, unsat_reason: STRING, witness: STRING>"
 EFFORTS = ["low", "medium", "high", "xhigh", "max"]
+#: Where none is asked for, of a model that takes one.
+DEFAULT_EFFORT = "xhigh"
 HEADROOM = 2048
 
 
