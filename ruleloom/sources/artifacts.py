@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import posixpath
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom import schema
@@ -75,18 +76,63 @@ def inside(root: str, path: str) -> str:
     return full
 
 
+def escapes(path: Column) -> Column:
+    """Whether a path leaves the folder that it is relative to: absolute, or going up more often than down at some point."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    low = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda s, x: F.struct((s["at"] + F.when(x == "..", -1).otherwise(1)).alias("at"), F.least(s["low"], s["at"] + F.when(x == "..", -1).otherwise(1)).alias("low")))
+    return path.startswith("/") | (low["low"] < 0)
+
+
 def publish(df: DataFrame, path: str) -> None:
-    """Writes to a folder beside the target and renames it, so that a reader sees all of it or nothing; refuses a target that exists."""
+    """Writes a folder that a reader sees whole or not at all; refuses one that has been published.
+
+    A claim on the name, created exclusively, decides between several writers before any of them writes; the data go to a
+    folder of their own, which the target file names once they are there. Nothing is renamed, so stores without an atomic
+    rename will do. What was claimed but never finished is reported by `published` as missing."""
     spark = df.sparkSession
-    fs, target = _file_system(spark, path)
-    if fs.exists(target):
+    staged = f"{path}.data-{uuid.uuid4().hex}"
+    if not claim(spark, f"{path}.claim", staged):
         raise FileExistsError(path)
-    staged = f"{path}.staged-{uuid.uuid4().hex}"
     df.write.json(staged)
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), target):
+    if not claim(spark, path, staged):
         raise FileExistsError(path)
 
 
+def published(spark: SparkSession, path: str, shape: str) -> DataFrame:
+    """What publish() has written, by the folder that the target names."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return read_lines(spark, spark.read.text(path, wholetext=True).first()["value"], shape)
+
+
+def replace_json(df: DataFrame, path: str) -> None:
+    """Replaces one JSON document (one row) by a new one: written beside it, then renamed over it."""
+    spark = df.sparkSession
+    value = pretty(df).collect()
+    if len(value) != 1:
+        raise ValueError("one row makes one document")
+    fs, target = _file_system(spark, path)
+    beside = f"{path}.{uuid.uuid4().hex}"
+    claim(spark, beside, value[0]["value"] + "\n")
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), target, options)
+
+
+@contextlib.contextmanager
+def locked(spark: SparkSession, folder: str):
+    """Holds a run's folder, or raises BlockingIOError at once if another holds it."""
+    path = f"{folder.rstrip('/')}/run.lock"
+    if not claim(spark, path, uuid.uuid4().hex):
+        raise BlockingIOError(f"another runner holds {folder}")
+    try:
+        yield
+    finally:
+        fs, p = _file_system(spark, path)
+        fs.delete(p, False)
+
+
 def claim(spark: SparkSession, path: str, text: str) -> bool:
     """Creates a ledger file once; False if it is there already."""
     fs, p = _file_system(spark, path)
