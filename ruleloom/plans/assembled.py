@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleloom.functions import text as T
 from ruleloom.operators import assembly as A
 from ruleloom.operators import edges as E
 from ruleloom.operators import labels as S
@@ -80,13 +81,21 @@ def example_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.example_origins(r.withColumn("examples", F.array(*map(F.lit, ("e0", "e2", "e4")))), some(0, 3), some(2, 3, 5))
 
 
-@query("SELECT reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN ln % 3 = 0 THEN 'where' WHEN ln % 5 = 0 THEN 'quote' END AS reason FROM R WHERE owner IS NOT NULL) WHERE reason IS NOT NULL GROUP BY reason")
+@query("SELECT subject, reason FROM (SELECT id AS subject, CASE WHEN ln % 3 = 0 THEN 'where' WHEN ln % 5 = 0 THEN 'quote' END AS reason FROM R WHERE owner IS NOT NULL AND length(regexp_replace(line, '[^a-z]', '', 'g')) >= 20) WHERE reason IS NOT NULL")
 def evidence_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = shim.rules(spark, sf_dir).where("owner is not null")
+    """Quotes are the documents' own lines, every fifth altered; all are looked for in the whole texts."""
+    r = shim.rules(spark, sf_dir).where("owner is not null").join(shim.plain_lines(spark, sf_dir).select("spec", "ln", T.nfkc(F.col("line")).alias("line")), ["spec", "ln"])
+    r = shim.kept(r.where(F.length(F.regexp_replace("line", "[^a-z]", "")) >= 20).select("spec", "ln", "id", "owner", "line"))
     anchors = r.select("spec", F.concat(F.lit("s"), "owner").alias("slug")).distinct()
-    items = r.select("spec", F.col("id").alias("subject"), F.when(F.col("ln") % 3 == 0, "#nowhere").otherwise(F.concat(F.lit("#s"), "owner")).alias("where"), F.when(F.col("ln") % 5 == 0, "absent words here").otherwise("some grounded words").alias("quote"))
-    documents = r.select("spec").distinct().withColumn("text", F.lit("a document with some grounded words in it"))
-    return A.reject_counts(A.kept_items(items, anchors, r.select(F.col("id").alias("rule")), documents)[1])
+    quote = F.when(F.col("ln") % 5 == 0, F.concat("line", F.lit(" words that are absent"))).otherwise(F.col("line"))
+    items = r.select("spec", F.col("id").alias("subject"), F.when(F.col("ln") % 3 == 0, "#nowhere").otherwise(F.concat(F.lit("#s"), "owner")).alias("where"), quote.alias("quote"))
+    documents = shim.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("spec"), T.normalize(F.col("text")).alias("text"))
+    return A.kept_items(items, anchors, r.select(F.col("id").alias("rule")), documents)[1].select("subject", "reason")
+
+
+@query("SELECT reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN ln % 3 = 0 THEN 'where' WHEN ln % 5 = 0 THEN 'quote' END AS reason FROM R WHERE owner IS NOT NULL AND length(regexp_replace(line, '[^a-z]', '', 'g')) >= 20) WHERE reason IS NOT NULL GROUP BY reason")
+def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.reject_counts(evidence_rejects(spark, sf_dir))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'BAD[#c' || p_size || ']' ELSE 'GOOD' END || CASE WHEN p_size % 3 = 0 THEN ': n' ELSE '' END AS note FROM part", shimmed=False)
@@ -96,16 +105,16 @@ def verdict_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shim.table(spark, sf_dir, "part").select("p_partkey", note.alias("note"))
 
 
-@query("SELECT doc_id AS spec, ln::BIGINT AS ln, 'see A and NewCo''s newco, not AcmeX ' || ln AS line FROM L", shimmed=True)
+@query("SELECT doc_id AS spec, ln::BIGINT AS ln, 'see A and NewCo''s newco, not AcmeX ' || line AS line FROM L", shimmed=True)
 def anonymized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = shim.plain_lines(spark, sf_dir)
-    raw = F.concat(F.lit("see [A](#a1)[^ab12] and Acme's acme, not AcmeX "), "ln")
+    raw = F.concat(F.lit("see [A](#a1)[^ab12] and Acme's acme, not AcmeX "), "line")
     return lines.select("spec", *big("ln"), A.substituted(A.blinded(raw), [("Acme", "NewCo")]).alias("line"))
 
 
 @query("SELECT 'Acme' AS token, (2 * count(*))::BIGINT AS n FROM L")
 def substitution_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = shim.plain_lines(spark, sf_dir).withColumn("line", F.lit("Acme's acme, not AcmeX"))
+    lines = shim.plain_lines(spark, sf_dir).withColumn("line", F.concat(F.lit("Acme's acme, not AcmeX "), "line"))
     return A.substitution_counts(lines, [("Acme", "NewCo")])
 
 

@@ -28,18 +28,9 @@ def query(sql: str | None = None, shimmed: bool = True):
     return add
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """A folder of our own for checkpoint() only where the session names none."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
 @query("SELECT authority, count(*)::BIGINT AS n FROM R a JOIN R b ON a.doc_id = b.doc_id AND a.path = b.path AND a.id <> b.id GROUP BY authority".replace("SELECT authority", "SELECT a.authority").replace("GROUP BY authority", "GROUP BY a.authority"))
 def same_section_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = shim.rules(spark, sf_dir).where("path <> ''")
+    r = shim.kept(shim.rules(spark, sf_dir).where("path <> ''").select("spec", "id", "path", "authority"))
     met = E.pairs(r, "id", ["spec", "path"])
     return met.join(r.select("spec", F.col("id").alias("src"), "authority"), ["spec", "src"]).groupBy("authority").agg(F.count("*").alias("n"))
 
@@ -159,7 +150,7 @@ def _label_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 @query("SELECT size, count(*)::BIGINT AS n FROM (SELECT c, count(*)::BIGINT AS size FROM (SELECT n.id, min(r.m) AS c FROM R n JOIN (SELECT id, m FROM reach) r ON r.id = n.id GROUP BY n.id) GROUP BY c) GROUP BY size".replace("(SELECT id, m FROM reach)", "reach"))
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _checkpoints(spark)
+    shim.shared_folder(spark)
     nodes, edges = _label_graph(spark, sf_dir)
     by = P.components(nodes, edges).groupBy("component").agg(F.count("*").alias("size"))
     return by.groupBy("size").agg(F.count("*").alias("n"))
@@ -177,7 +168,7 @@ def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _units(spark: SparkSession, sf_dir: str, even: bool) -> DataFrame:
     """Every document is an authority of its own, so that the units spread over the cluster."""
-    _checkpoints(spark)
+    shim.shared_folder(spark)
     b = shim.labels(spark, sf_dir)
     nodes = P.split_vertices(b.select("id", "label"))
     spec = F.split_part("copy", F.lit(":"), F.lit(1))

@@ -75,13 +75,14 @@ def innermost_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id AS spec, count(*)::BIGINT AS fenced FROM (SELECT doc_id, ln % 9 = 0 OR sum((ln % 9 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY ln) % 2 = 1 AS f FROM L) WHERE f GROUP BY doc_id")
 def fence_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.simple_fences(shim.plain_lines(spark, sf_dir), F.col("ln") % 9 == 0).where("fenced").groupBy("spec").agg(F.count("*").alias("fenced"))
+    line = F.concat(F.when(F.col("ln") % 9 == 0, "\t ~~~ ").otherwise("p "), "line")
+    return L.simple_fences(shim.plain_lines(spark, sf_dir).withColumn("line", line)).where("fenced").groupBy("spec").agg(F.count("*").alias("fenced"))
 
 
 @query("""SELECT doc_id AS spec, count(*)::BIGINT AS fenced FROM (SELECT *, t OR odd OR (k AND NOT odd) OR sum((k AND NOT odd AND NOT t)::INT) OVER (PARTITION BY doc_id ORDER BY ln) % 2 = 1 AS f
 FROM (SELECT doc_id, ln, ln % 11 = 3 AS t, ln % 7 = 2 AND ln % 11 <> 3 AS k, sum((ln % 11 = 3)::INT) OVER (PARTITION BY doc_id ORDER BY ln) % 2 = 1 AS odd FROM L)) WHERE f GROUP BY doc_id""")
 def nested_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.when(F.col("ln") % 11 == 3, "  ~~~").when(F.col("ln") % 7 == 2, "```text").otherwise("p")
+    line = F.concat(F.when(F.col("ln") % 11 == 3, "  ~~~ ").when(F.col("ln") % 7 == 2, "\t```text ").otherwise("p "), "line")
     return L.fences(shim.plain_lines(spark, sf_dir).withColumn("line", line)).where("fenced").groupBy("spec").agg(F.count("*").alias("fenced"))
 
 
@@ -109,9 +110,9 @@ def marker_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.concat(F.lit("**Example[^eg"), F.lpad((F.col("ln") % 1000).cast("string"), 3, "0"), F.lit("]**: title "), "ln")
-    verdict = F.concat(F.lit("x <!-- GOOD: fine -->"), F.when(F.col("ln") % 3 == 0, F.lit(" <!-- BAD[#a1]: why -->")).otherwise(F.lit("")))
-    line = F.when(F.col("ln") % 5 == 1, head).when(F.col("ln") % 2 == 0, verdict).otherwise("text")
+    head = F.concat(F.lit("**Example[^eg"), F.lpad((F.col("ln") % 1000).cast("string"), 3, "0"), F.lit("]**: title "), "ln", F.lit(" "), "line", F.lit("."))
+    verdict = F.concat(F.lit("x "), "line", F.lit(" <!-- GOOD: fine -->"), F.when(F.col("ln") % 3 == 0, F.lit(" <!-- BAD[#a1]: why -->")).otherwise(F.lit("")))
+    line = F.when(F.col("ln") % 5 == 1, head).when(F.col("ln") % 2 == 0, verdict).otherwise(F.concat(F.lit("text "), "line"))
     return L.fences(shim.plain_lines(spark, sf_dir).withColumn("line", line))
 
 
@@ -122,24 +123,26 @@ def example_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.verdicts(_examples(spark, sf_dir)).groupBy("spec", "example", "verdict", "cause", "note").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id AS spec, 'eg' || lpad((ln % 1000)::VARCHAR, 3, '0') AS example, ln::BIGINT AS ln, 'title ' || ln AS title FROM L WHERE ln % 5 = 1")
+@query("SELECT doc_id AS spec, 'eg' || lpad((ln % 1000)::VARCHAR, 3, '0') AS example, ln::BIGINT AS ln, 'title ' || ln || ' ' || line || '.' AS title FROM L WHERE ln % 5 = 1")
 def example_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.examples(_examples(spark, sf_dir)).select("spec", "example", *big("ln"), "title")
 
 
-@query("""SELECT doc_id AS spec, eg AS example, first::BIGINT AS first, CASE WHEN ok THEN (first + 3)::BIGINT END AS last, CASE WHEN ok THEN NULL WHEN first + 1 <= e.last THEN 'not closed' ELSE 'no fenced body' END AS problem
-FROM (SELECT l.doc_id, 'eg' || lpad((ln % 1000)::VARCHAR, 3, '0') AS eg, ln AS first, ln + 3 <= e.last AS ok FROM L l JOIN E e USING (doc_id) WHERE ln % 5 = 1) q JOIN E e USING (doc_id)""")
+@query("""SELECT doc_id AS spec, eg AS example, first::BIGINT AS first, CASE WHEN ok THEN (first + 3)::BIGINT END AS last, CASE WHEN ok THEN NULL WHEN first + 1 <= e.last THEN 'not closed' ELSE 'no fenced body' END AS problem,
+CASE WHEN ok THEN '**Example[^' || eg || ']**: t ' || one || '.' || chr(10) || '~~~text' || chr(10) || 'body ' || three || chr(10) || '~~~~' END AS text
+FROM (SELECT l.doc_id, 'eg' || lpad((l.ln % 1000)::VARCHAR, 3, '0') AS eg, l.ln AS first, l.ln + 3 <= e.last AS ok, l.line AS one, (SELECT t.line FROM L t WHERE t.doc_id = l.doc_id AND t.ln = l.ln + 2) AS three FROM L l JOIN E e USING (doc_id) WHERE l.ln % 5 = 1) q JOIN E e USING (doc_id)""")
 def example_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("ln") % 5
-    line = F.when(r == 1, F.concat(F.lit("**Example[^eg"), F.lpad((F.col("ln") % 1000).cast("string"), 3, "0"), F.lit("]**: t"))).when(r == 2, "~~~text").when(r == 4, "~~~~").otherwise("body")
+    head = F.concat(F.lit("**Example[^eg"), F.lpad((F.col("ln") % 1000).cast("string"), 3, "0"), F.lit("]**: t "), "line", F.lit("."))
+    line = F.when(r == 1, head).when(r == 2, "~~~text").when(r == 4, "~~~~").otherwise(F.concat(F.lit("body "), "line"))
     found = L.example_bodies(L.fences(shim.plain_lines(spark, sf_dir).withColumn("line", line)))
-    return found.select("spec", "example", *big("first", "last"), "problem")
+    return found.select("spec", "example", *big("first", "last"), "problem", "text")
 
 
-@query("""SELECT doc_id AS spec, head::BIGINT AS ln, string_agg('c' || ln, ' ' ORDER BY ln) AS text FROM (SELECT doc_id, ln, max(CASE WHEN ln % 6 = 1 THEN ln END) OVER (PARTITION BY doc_id ORDER BY ln) AS head FROM L) WHERE ln % 6 IN (2, 4) AND head IS NOT NULL GROUP BY ALL""")
+@query("""SELECT doc_id AS spec, head::BIGINT AS ln, string_agg('c' || ln || ' ' || line || '.', ' ' ORDER BY ln) AS text FROM (SELECT doc_id, ln, line, max(CASE WHEN ln % 6 = 1 THEN ln END) OVER (PARTITION BY doc_id ORDER BY ln) AS head FROM L) WHERE ln % 6 IN (2, 4) AND head IS NOT NULL GROUP BY ALL""")
 def commentary_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("ln") % 6
-    line = F.when(r == 1, '!!! meta "Commentary"').when((r == 2) | (r == 4), F.concat(F.lit("    c"), "ln")).when(r == 3, "").otherwise("prose")
+    line = F.when(r == 1, '!!! meta "Commentary"').when((r == 2) | (r == 4), F.concat(F.lit("    c"), "ln", F.lit(" "), "line", F.lit("."))).when(r == 3, "").otherwise(F.concat(F.lit("prose "), "line"))
     return L.commentary(L.fences(shim.plain_lines(spark, sf_dir).withColumn("line", line))).select("spec", *big("ln"), "text")
 
 
@@ -157,18 +160,30 @@ def source_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.passages(lines, L.example_bodies(lines), L.sections(lines)).select("spec", "passage", *big("last"))
 
 
-@query("""SELECT l.doc_id AS spec, l.ln::BIGINT AS ln, 's' || (l.ln - 2) || ' a' AS stem FROM L l WHERE ln % 8 IN (3, 4) AND ln % 8 = 3 UNION ALL SELECT l.doc_id, l.ln::BIGINT, 's' || (l.ln - 3) || ' a' FROM L l WHERE ln % 8 = 4""")
+#: The first 40 words of a text in SQL.
+_CLIP = "CASE WHEN len(w) <= 40 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:40], ' ') || ' [...]' END"
+
+
+@query(f"""SELECT spec, ln, (SELECT {_CLIP} FROM (SELECT string_split_regex(trim(stem), '\\s+') AS w)) AS stem, (SELECT {_CLIP} FROM (SELECT string_split_regex(trim(framing), '\\s+') AS w)) AS framing
+FROM (SELECT l.doc_id AS spec, l.ln::BIGINT AS ln, 's ' || s.line || ' a' AS stem, CASE WHEN l.ln // 16 % 2 = 0 THEN 'f ' || f.line || '.' ELSE 'g ' || g.line || ' b' END AS framing
+FROM L l JOIN L s ON s.doc_id = l.doc_id AND s.ln = l.ln - l.ln % 16 + 5 JOIN L g ON g.doc_id = l.doc_id AND g.ln = s.ln - 2 JOIN L f ON f.doc_id = l.doc_id AND f.ln = s.ln - 4 WHERE l.ln % 16 IN (6, 7))""")
 def list_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.col("ln") % 8
-    line = F.when(r == 0, "# H").when(r == 1, F.concat(F.lit("s"), "ln", F.lit(" a"))).when((r == 3) | (r == 4), "- item").when(r == 2, "").otherwise("tail")
+    """Of 16 lines each: a heading, three paragraphs, of which the second may end with a colon, two items, and prose."""
+    r, text = F.col("ln") % 16, lambda a, b: F.concat(F.lit(a), "line", F.lit(b))
+    second = F.when(F.floor(F.col("ln") / 16) % 2 == 0, text("g ", ":")).otherwise(text("g ", " b"))
+    line = F.when(r == 0, text("# H ", "")).when(r == 1, text("f ", ".")).when(r.isin(2, 4), "").when(r == 3, second).when(r == 5, text("s ", " a")).when(r.isin(6, 7), text("- item ", "")).otherwise(text("tail ", ""))
     lines = L.fences(shim.plain_lines(spark, sf_dir).withColumn("line", line))
-    return L.stems(lines, lines.where(r.isin(3, 4))).select("spec", *big("ln"), "stem")
+    return L.stems(lines, lines.where(r.isin(6, 7))).select("spec", *big("ln"), "stem", "framing")
 
 
-@query("SELECT doc_id AS spec, path, count(*)::BIGINT AS n FROM R WHERE path IS NOT NULL GROUP BY ALL")
+@query("SELECT spec, path, n, rules, row_number() OVER (PARTITION BY spec ORDER BY n DESC, path) AS place FROM (SELECT doc_id AS spec, path, count(*)::BIGINT AS n, string_agg(id, ',' ORDER BY ln) AS rules FROM R WHERE path IS NOT NULL GROUP BY ALL)")
 def section_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs with their members in order of place, and their own order within each document."""
+    from pyspark.sql import Window
+
     index = shim.rules(spark, sf_dir).where("path <> ''").withColumnRenamed("id", "rule")
-    return R.section_jobs(index).select("spec", F.array_join("sections", "/").alias("path"), *big("n"))
+    jobs = R.section_jobs(index).select("spec", F.array_join("sections", "/").alias("path"), *big("n"), F.array_join("rules", ",").alias("rules"))
+    return jobs.withColumn("place", F.row_number().over(Window.partitionBy("spec").orderBy(F.desc("n"), "path")).cast("long"))
 
 
 @query("""SELECT coalesce(authority, CASE WHEN (doc_id + ln) % 2 = 0 THEN 'user' END) AS authority, CASE WHEN authority IS NULL AND (doc_id + ln) % 2 = 0 THEN 'why' ELSE 'section_header' END AS provenance, count(*)::BIGINT AS n FROM R GROUP BY ALL""")
@@ -208,26 +223,27 @@ def additions_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'changed without a brand' AS \"check\", doc_id || ':' || ln AS subject FROM L WHERE ln % 17 = 0 AND ln % 5 <> 0")
 def brand_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = shim.plain_lines(spark, sf_dir).withColumn("line", F.lit("text"))
-    raw = lines.withColumn("line", F.when(F.col("ln") % 5 == 0, "an Acme text").otherwise(F.col("line")))
-    other = lines.withColumn("line", F.when((F.col("ln") % 5 == 0) | (F.col("ln") % 17 == 0), "a text").otherwise(F.col("line")))
+    lines = shim.plain_lines(spark, sf_dir)
+    raw = lines.withColumn("line", F.when(F.col("ln") % 5 == 0, F.concat(F.lit("an Acme "), "line")).otherwise(F.col("line")))
+    other = lines.withColumn("line", F.when(F.col("ln") % 5 == 0, F.concat(F.lit("a "), "line")).when(F.col("ln") % 17 == 0, F.concat("line", F.lit(" changed"))).otherwise(F.col("line")))
     return K.anonymization(raw, other, ["acme"]).select("check", "subject")
 
 
-@query("SELECT l.doc_id AS spec, sum((h.ln IS NOT NULL)::INT)::BIGINT AS n, sum((h.ln IS NULL)::INT)::BIGINT AS unknown, sum(CASE WHEN h.ln IS NOT NULL THEN length('see [T' || h.ln || '](#s' || h.ln || ')') ELSE length('see [?](#s' || ((l.doc_id + l.ln * 5) % e.last + 1) || ')') END)::BIGINT AS characters FROM L l JOIN E e USING (doc_id) LEFT JOIN H h ON h.doc_id = l.doc_id AND h.ln = (l.doc_id + l.ln * 5) % e.last + 1 GROUP BY l.doc_id")
+@query("SELECT l.doc_id AS spec, sum((h.ln IS NOT NULL)::INT)::BIGINT AS n, sum((h.ln IS NULL)::INT)::BIGINT AS unknown, sum(length(l.line) + 1 + CASE WHEN h.ln IS NOT NULL THEN length('see [T' || h.ln || '](#s' || h.ln || ')') ELSE length('see [?](#s' || ((l.doc_id + l.ln * 5) % e.last + 1) || ')') END)::BIGINT AS characters FROM L l JOIN E e USING (doc_id) LEFT JOIN H h ON h.doc_id = l.doc_id AND h.ln = (l.doc_id + l.ln * 5) % e.last + 1 GROUP BY l.doc_id")
 def crossref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = shim.plain_lines(spark, sf_dir)
     last = plain.groupBy("spec").agg(F.max("ln").alias("last"))
-    lines = plain.join(last, "spec").select("spec", "ln", F.concat(F.lit("see [?](#s"), (F.col("spec") + F.col("ln") * 5) % F.col("last") + 1, F.lit(")")).alias("line"))
+    lines = plain.join(last, "spec").select("spec", "ln", F.concat("line", F.lit(" see [?](#s"), (F.col("spec") + F.col("ln") * 5) % F.col("last") + 1, F.lit(")")).alias("line"))
     titles = L.headings(shim.marked_lines(spark, sf_dir)).select("spec", "slug", "title")
     return R.resolved_links(lines, titles).groupBy("spec").agg(F.sum("n").cast("long").alias("n"), F.sum("unknown").cast("long").alias("unknown"), F.sum(F.length("line")).alias("characters"))
 
 
-@query("SELECT doc_id AS spec, ln::BIGINT AS ln, 'z' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY ln) + coalesce((SELECT max(ln % 100) FROM R q WHERE q.doc_id = r.doc_id AND q.ln % 2 = 0), 0))::VARCHAR, 3, '0') AS rule FROM R r WHERE ln % 2 = 1")
+@query("SELECT doc_id AS spec, ln::BIGINT AS ln, CASE WHEN ln % 4 = 1 THEN 'eg' ELSE 'z' END || repeat('0', greatest(0, 3 - length(n::VARCHAR))) || n AS rule FROM (SELECT doc_id, ln, row_number() OVER (PARTITION BY doc_id, ln % 4 ORDER BY ln) + coalesce((SELECT max(ln % 100) FROM R q WHERE q.doc_id = r.doc_id AND q.ln % 2 = 0 AND r.ln % 4 = 3), 0) AS n FROM R r WHERE ln % 2 = 1)")
 def new_marker_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = shim.rules(spark, sf_dir).select("spec", "ln", F.lit(0).alias("col"))
     tagged = r.where("ln % 2 = 0").withColumn("rule", F.concat(F.lit("z"), F.lpad((F.col("ln") % 100).cast("string"), 3, "0")))
-    return R.new_ids(r.where("ln % 2 = 1"), tagged).select("spec", *big("ln"), "rule")
+    kind = F.when(F.col("ln") % 4 == 1, "example").otherwise("rule")
+    return R.new_ids(r.where("ln % 2 = 1").withColumn("kind", kind), tagged).select("spec", *big("ln"), "rule")
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand || '!'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, CASE WHEN len(string_split_regex(trim(p_name), '\\s+')) <= 2 THEN trim(p_name) ELSE array_to_string(string_split_regex(trim(p_name), '\\s+')[1:2], ' ') || ' [...]' END AS clipped FROM part", shimmed=False)

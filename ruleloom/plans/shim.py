@@ -5,6 +5,10 @@ line that isn't blank a rule with a marker. Labels, examples and citations follo
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,29 @@ X AS (SELECT c.doc_id, c.src, o.id AS dst, min(c.ln) AS ln FROM C c JOIN R o ON
 """
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, set for checkpoint() too; one of our own only where the session names none and all runs
+    in one process. Raises on a cluster without one."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table that several branches of a query read, written once."""
+    folder = fresh_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,7 +94,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """spec, src, dst, ln: a rule cites the rules of the section whose heading its residue names."""
-    r = rules(spark, sf_dir)
+    r = kept(rules(spark, sf_dir).select("spec", "ln", "id", "owner"))
     last = plain_lines(spark, sf_dir).groupBy("spec").agg(F.max("ln").alias("last"))
     cites = r.join(last, "spec").select("spec", "ln", F.col("id").alias("src"), ((F.col("spec") + F.col("ln") * 5) % F.col("last") + 1).alias("owner"))
     met = cites.join(r.select("spec", "owner", F.col("id").alias("dst")), ["spec", "owner"]).where("src <> dst")

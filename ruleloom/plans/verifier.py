@@ -35,13 +35,15 @@ def section_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("spec", "anchor").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_brand AS spec, p_partkey::VARCHAR AS passage FROM part", shimmed=False)
+@query("SELECT l.doc_id AS spec, 'e' || l.doc_id || '-' || l.ln || 'x b' || l.doc_id || '-' || (l.ln + 1) || 'x' AS quote, p.ln::BIGINT AS passage FROM L l JOIN E e USING (doc_id) JOIN L p ON p.doc_id = l.doc_id AND p.ln IN (l.ln, l.ln + 1) WHERE l.ln < e.last")
 def quote_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quote that runs over the end of one passage into the next is in both."""
-    part = shim.table(spark, sf_dir, "part").select(F.col("p_brand").alias("spec"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("passage"), F.concat(F.lit("begin"), "p_partkey", F.lit(" middle end"), "p_partkey").alias("text"))
-    texts, spans = C.searchable(part)
-    quotes = part.select("spec", F.concat(F.lit("“begin"), F.regexp_extract("text", r"begin(\d+)", 1), F.lit("” middle")).alias("raw"), "passage").select("spec", F.regexp_replace("raw", "[“”]", "").alias("quote"))
-    return C.quote_passages(quotes, texts, spans).select("spec", F.col("passage").cast("long").cast("string").alias("passage"))
+    """Every line of a document is a passage; a quote that runs over the end of one into the next is in both."""
+    name = lambda letter, by: F.concat(F.lit(letter), "spec", F.lit("-"), F.col("ln") + by, F.lit("x"))
+    lines = shim.plain_lines(spark, sf_dir)
+    passages = lines.select("spec", F.lpad(F.col("ln").cast("string"), 9, "0").alias("passage"), F.concat(name("b", 0), F.lit(" "), "line", F.lit(" "), name("e", 0)).alias("text"))
+    texts, spans = C.searchable(passages)
+    quotes = lines.select("spec", F.concat(name("e", 0), F.lit(" "), name("b", 1)).alias("quote"))
+    return C.quote_passages(quotes, texts, spans).select("spec", "quote", F.col("passage").cast("long").alias("passage"))
 
 
 @query("SELECT (doc_id % 50)::BIGINT AS unit, min('ctx' || doc_id || '-' || ln) AS passage, count(*)::BIGINT AS places FROM L WHERE line <> '' GROUP BY doc_id % 50, line")
