@@ -203,7 +203,8 @@ def united(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def stratified_sample(rules: DataFrame, size: int = 40, seed: int = 0) -> DataFrame:
     """id, chapter: `size` rules (all, if fewer) in turn from the chapters, in each by a seeded hash."""
-    k = F.row_number().over(Window.partitionBy("chapter").orderBy(F.xxhash64(F.lit(seed), "id"), "id"))
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"))
+    k = F.row_number().over(Window.partitionBy("chapter").orderBy(drawn, "id"))
     return rules.withColumn("k", k).orderBy("k", "chapter").limit(size).select("id", "chapter")
 
 

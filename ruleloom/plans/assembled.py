@@ -13,8 +13,8 @@ from ruleloom.operators import lexing as L
 from ruleloom.operators import partition as P
 
 from . import shim
-from .graph import _directed
-from .lexical import big
+from .graph import PACKED, _directed
+from .lexical import LINKED, big, linked_lines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,13 +30,28 @@ def query(sql: str | None = None, shimmed: bool = True):
     return add
 
 
-@query()
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = linked_lines(spark, sf_dir)
+    rules = L.markers(lines).select("spec", "rule", F.array(F.concat(F.lit("eg"), F.col("ln") % 4)).alias("examples")).dropDuplicates(["spec", "rule"])
+    return A.mechanical_graph(lines, rules)
+
+
+@query(LINKED + """SELECT spec, relation, count(*)::BIGINT AS n FROM (SELECT a.doc_id AS spec, 'same_sentence' AS relation FROM IS_ a JOIN IS_ b ON a.doc_id = b.doc_id AND a.block = b.block AND a.sentence = b.sentence AND a.ln <> b.ln
+UNION ALL SELECT a.doc_id, 'same_section' FROM R a JOIN R b ON a.doc_id = b.doc_id AND coalesce(a.path, '') = coalesce(b.path, '') AND a.ln <> b.ln
+UNION ALL SELECT a.doc_id, 'shares_example' FROM R a JOIN R b ON a.doc_id = b.doc_id AND a.ln % 4 = b.ln % 4 AND a.ln <> b.ln
+UNION ALL SELECT doc_id, 'cross_reference' FROM (SELECT DISTINCT l.doc_id, a.ln AS src, r.ln AS dst FROM LK l JOIN IS_ a ON a.doc_id = l.doc_id AND a.block = l.block AND a.sentence = l.sentence JOIN R r ON r.doc_id = l.doc_id AND r.owner = l.target WHERE a.ln <> r.ln)) GROUP BY ALL""")
 def mechanical_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All four relations by the lexer's sentences, which SQL can't say; tests hold it against small documents."""
-    lines = shim.marked_lines(spark, sf_dir)
-    found = L.markers(lines)
-    rules = found.select("spec", "rule", F.array(F.concat(F.lit("eg"), F.col("ln") % 4)).alias("examples")).dropDuplicates(["spec", "rule"])
-    return A.edge_counts(A.mechanical_graph(lines, rules)[0], "spec", "relation")
+    """All four relations from what the lines say: sentences, sections, examples, and links to sections that own rules."""
+    return A.edge_counts(_graph(spark, sf_dir)[0], "spec", "relation")
+
+
+@query(LINKED + """SELECT spec, rule, anchor, scope, ln::BIGINT AS ln FROM (SELECT l.doc_id AS spec, 'm' || lpad(((a.doc_id * 31 + a.ln * 7) % 1000)::VARCHAR, 3, '0') AS rule, 's' || l.target AS anchor, 'sentence' AS scope, l.ln
+  FROM LK l JOIN IS_ a ON a.doc_id = l.doc_id AND a.block = l.block AND a.sentence = l.sentence WHERE NOT EXISTS (SELECT 1 FROM R r WHERE r.doc_id = l.doc_id AND r.owner = l.target)
+UNION ALL SELECT l.doc_id, 'm' || lpad(((r.doc_id * 31 + r.ln * 7) % 1000)::VARCHAR, 3, '0'), 's' || l.target, 'section', l.ln
+  FROM LK l JOIN R o ON o.doc_id = l.doc_id AND o.ln = l.ln JOIN R r ON r.doc_id = l.doc_id AND r.path = o.path WHERE NOT EXISTS (SELECT 1 FROM IS_ a WHERE a.doc_id = l.doc_id AND a.block = l.block AND a.sentence = l.sentence))""")
+def section_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that make no edge: of a sentence's rules to sections without rules, and of a section's rules where the sentence has none."""
+    return _graph(spark, sf_dir)[1].select("spec", "rule", "anchor", "scope", *big("ln"))
 
 
 @query("SELECT t.doc_id AS spec, t.slug, count(*)::BIGINT AS n FROM T t JOIN T u ON u.doc_id = t.doc_id AND u.slug <> t.slug AND list_contains(string_split(t.path, '/'), u.slug) JOIN (SELECT DISTINCT doc_id, owner, run FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ln) AS run FROM (SELECT r.*, (coalesce(lag(ln) OVER (PARTITION BY doc_id ORDER BY ln), -1) <> ln - 1)::INT AS new FROM R r)) QUALIFY dense_rank() OVER (PARTITION BY doc_id, owner ORDER BY run) <= 3) p ON p.doc_id = u.doc_id AND p.owner = u.ln GROUP BY ALL")
@@ -132,12 +147,12 @@ def dimension_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.dimension_payloads(shim.labels(spark, sf_dir), registry).select("key", "title", F.size("members").cast("long").alias("n"))
 
 
-@query()
+@query(PACKED + "SELECT 'job' || lpad(p.job::VARCHAR, 2, '0') AS job, count(*)::BIGINT AS sections, string_agg(p.path, ',' ORDER BY s.start, p.path) AS paths FROM PK p JOIN (SELECT path, min(coalesce(owner, 0)) AS start FROM R GROUP BY path) s USING (path) WHERE p.k > 0 GROUP BY p.job")
 def section_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the packing's strict order of choices."""
+    """Packets by the packing's strict order of choices; a packet's sections by first line."""
     r = shim.rules(spark, sf_dir).where("path <> ''").select("path", F.col("id").alias("rule"), F.col("owner").alias("start"))
     jobs = P.packed(r.groupBy("path").agg(F.count("*").alias("n")), 12)
-    return A.section_payloads(r, jobs).select("job", F.size("sections").alias("sections"))
+    return A.section_payloads(r, jobs).select("job", F.size("sections").cast("long").alias("sections"), F.array_join(F.transform("sections", lambda x: x["path"]), ",").alias("paths"))
 
 
 @query("SELECT source || '-' || doc_id AS custom_id, '{\"model\":\"m\",\"max_tokens\":100,\"system\":\"s\",\"messages\":[{\"role\":\"user\",\"content\":\"check ' || doc_id || '\"}],\"output_config\":{\"effort\":\"high\"}}' AS line FROM documents", shimmed=False)

@@ -12,7 +12,7 @@ from ruleloom.operators import lexing as L
 from ruleloom.operators import partition as P
 
 from . import shim
-from .lexical import big
+from .lexical import SENTENCES, big
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,9 +41,9 @@ def same_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pairs(places, "ln", ["spec", "block"]).groupBy("spec").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(SENTENCES + "SELECT a.doc_id AS spec, count(*)::BIGINT AS n FROM IS_ a JOIN IS_ b ON a.doc_id = b.doc_id AND a.block = b.block AND a.sentence = b.sentence AND a.ln <> b.ln GROUP BY a.doc_id")
 def same_sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the sentences that lookbehinds bound; SQL can't say them, tests do."""
+    """By the sentences that lookbehinds bound; SQL marks boundaries and takes them back."""
     lines = shim.marked_lines(spark, sf_dir)
     at = L.at_sentence(L.markers(lines), lines).withColumn("id", F.concat_ws(":", "spec", "ln"))
     return E.pairs(at, "id", ["spec", "block", "sentence"]).groupBy("spec").agg(F.count("*").alias("n"))
@@ -159,9 +159,17 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["components"] = shim.SQL.rstrip() + ", G AS (SELECT DISTINCT a.id AS a, b.id AS b FROM B a JOIN B b ON a.doc_id = b.doc_id AND a.label = b.label AND a.id <> b.id), reach AS (SELECT id, id AS m FROM R UNION SELECT g.b, r.m FROM reach r JOIN G g ON g.a = r.id) " + "SELECT size, count(*)::BIGINT AS n FROM (SELECT c, count(*)::BIGINT AS size FROM (SELECT id, min(m) AS c FROM reach GROUP BY id) GROUP BY c) GROUP BY size"
 
 
-@query()
+#: Sections by size (J), and each dealt to the packet with least so far: one step of the recursion for each section.
+PACKED = """, J0 AS (SELECT path, count(*)::BIGINT AS n FROM R WHERE path IS NOT NULL GROUP BY path),
+J AS (SELECT *, row_number() OVER (ORDER BY n DESC, path) AS k FROM J0),
+PK AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS path, list_transform(range(1, 13), lambda x: 0::BIGINT) AS load, 0::BIGINT AS job
+  UNION ALL SELECT j.k, j.path, list_transform(range(1, 13), lambda i: load[i] + CASE WHEN i = list_position(load, list_min(load)) THEN j.n ELSE 0 END), list_position(load, list_min(load))::BIGINT FROM PK JOIN J j ON j.k = PK.k + 1)
+"""
+
+
+@query(PACKED + "SELECT path, 'job' || lpad(job::VARCHAR, 2, '0') AS job FROM PK WHERE k > 0")
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A strict order of choices; tests hold it against a loop."""
+    """A strict order of choices over one row for each section path."""
     jobs = shim.rules(spark, sf_dir).where("path <> ''").groupBy("path").agg(F.count("*").alias("n"))
     return P.packed(jobs, 12)
 
@@ -295,9 +303,8 @@ def labeller_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.disagreement(b.where("ln % 2 <> 0"), b.where("ln % 3 <> 0")).select("pairs", "differ")
 
 
-@query()
+@query("SELECT id, chapter FROM (SELECT id, coalesce(authority, 'none') AS chapter, row_number() OVER (PARTITION BY coalesce(authority, 'none') ORDER BY md5('0:' || id), id) AS k FROM R) ORDER BY k, chapter LIMIT 40")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By a seeded hash that SQL doesn't have; tests check the quotas."""
     return S.stratified_sample(shim.rules(spark, sf_dir).select("id", F.coalesce("authority", F.lit("none")).alias("chapter")))
 
 
