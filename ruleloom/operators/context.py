@@ -121,14 +121,17 @@ def rendered_passages(passages: DataFrame) -> DataFrame:
 
 
 def packets(units: DataFrame, rules: DataFrame, passages: DataFrame, examples: DataFrame, relations: DataFrame) -> DataFrame:
-    """unit and its nested context, examples, rules and relations; each child table has a `unit` column."""
+    """unit and its nested context, examples, rules and relations; each child table has a `unit` column. Passages, examples and
+    rules are in the order of their ids, relations in that of all their fields as JSON."""
 
-    def nested(df: DataFrame, order: str, name: str) -> DataFrame:
-        rest = [c for c in df.columns if c not in ("unit", order)]
-        return df.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias(name))
+    def nested(df: DataFrame, order: Column, name: str) -> DataFrame:
+        row = F.struct(order.alias("k"), F.struct(*(c for c in df.columns if c != "unit")).alias("row"))
+        by_key = F.array_sort(F.collect_list(row), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+        return df.groupBy("unit").agg(F.transform(by_key, lambda x: x["row"]).alias(name))
 
     out = units.select("unit").distinct()
-    for df, order, name in ((passages, "passage", "context"), (examples, "example", "examples"), (rules, "rule", "rules"), (relations, "a", "relations")):
+    whole = F.to_json(F.struct(*sorted(c for c in relations.columns if c != "unit")))
+    for df, order, name in ((passages, F.col("passage"), "context"), (examples, F.col("example"), "examples"), (rules, F.col("rule"), "rules"), (relations, whole, "relations")):
         out = out.join(nested(df, order, name), "unit", "left")
     return out
 

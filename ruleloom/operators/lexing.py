@@ -236,7 +236,7 @@ def example_bodies(lines: DataFrame) -> DataFrame:
     # openings and closing lines of one character in order; for each width that an opening has, the next closing line at least as wide
     widths = wanted.select("spec", "mark", "width").distinct().withColumnRenamed("width", "w")
     both = wanted.withColumn("close", F.lit(False)).unionByName(marks).join(widths, ["spec", "mark"])
-    after = Window.partitionBy("spec", "mark", "w").orderBy("ln").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("spec", "mark", "w").orderBy("ln", F.desc("close")).rowsBetween(1, Window.unboundedFollowing)
     both = both.withColumn("last", F.min(F.when(F.col("close") & (F.col("width") >= F.col("w")), F.col("ln"))).over(after))
     closed = both.where("not close and width = w").select("spec", F.col("ln").alias("__at"), "last")
     spans = spans.withColumn("__at", F.col("open.ln")).join(closed, ["spec", "__at"], "left").select("spec", "example", "first", "last", F.coalesce("problem", F.when(F.col("last").isNull(), "not closed")).alias("problem"))

@@ -10,6 +10,7 @@ from ruleloom.operators import assembly as A
 from ruleloom.operators import edges as E
 from ruleloom.operators import labels as S
 from ruleloom.operators import lexing as L
+from ruleloom.operators import packets as K
 from ruleloom.operators import partition as P
 
 from . import shim
@@ -168,8 +169,123 @@ def taxonomy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.taxonomy({"nesting": S.nesting(labels), "span": None, "registry": S.registry_problems(registry, 1, 20)})
 
 
-@query("SELECT DISTINCT id AS rule, p AS passage FROM R, (VALUES ('own'), ('governing'), ('quoted')) v(p) WHERE p <> 'quoted' OR ln % 2 = 0")
+#: Passages (PS), what each rule's sections, citations and named rules ask for (WA), and the contexts that follow (CX).
+CONTEXTS = """, PS0 AS (SELECT *, sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY ln) AS run FROM (SELECT *, (doc_id + ln) % 4 = 0 OR line = '' AS stop FROM L)),
+PS AS (SELECT p.doc_id, min(p.ln) AS first, max(p.ln) AS last, any_value(r.owner) AS owner FROM PS0 p JOIN R r ON r.doc_id = p.doc_id AND r.ln = p.ln WHERE NOT stop GROUP BY p.doc_id, run),
+FR AS (SELECT r.* FROM R r JOIN (SELECT doc_id, min(ln) AS ln FROM R GROUP BY doc_id) f USING (doc_id, ln)),
+WA AS (SELECT doc_id, ln, path FROM R UNION SELECT c.doc_id, c.ln, t.path FROM C c JOIN T t ON t.doc_id = c.doc_id AND t.ln = c.target UNION SELECT r.doc_id, r.ln, f.path FROM R r JOIN FR f ON f.doc_id = r.doc_id WHERE r.ln % 5 = 0),
+ON_ AS (SELECT DISTINCT doc_id, ln, unnest(string_split(path, '/')) AS slug FROM WA WHERE path IS NOT NULL),
+CX AS (SELECT o.doc_id, o.ln, p.first FROM ON_ o JOIN PS p ON p.doc_id = o.doc_id AND 's' || p.owner = o.slug UNION SELECT r.doc_id, r.ln, p.first FROM R r JOIN PS p ON p.doc_id = r.doc_id AND r.ln BETWEEN p.first AND p.last
+  UNION SELECT r.doc_id, r.ln, p.first FROM R r JOIN FR f ON f.doc_id = r.doc_id JOIN PS p ON p.doc_id = r.doc_id AND f.ln BETWEEN p.first AND p.last WHERE r.ln % 5 = 0)
+"""
+_NAME = "'m' || lpad(((doc_id * 31 + ln * 7) % 1000)::VARCHAR, 3, '0')"
+
+
+def _derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Passages, and the contexts of all rules from their sections, their citations and, for some, the document's first rule."""
+    lines = shim.marked_lines(spark, sf_dir)
+    tree = shim.kept(L.sections(lines))
+    passages = shim.kept(L.passages(lines, L.example_bodies(lines), tree))
+    marker = F.concat(F.lit("m"), F.lpad(((F.col("spec") * 31 + F.col("ln") * 7) % 1000).cast("string"), 3, "0"))
+    r = shim.kept(shim.rules(spark, sf_dir).select("spec", "ln", "sections", marker.alias("rule"), F.array().cast("array<string>").alias("examples")))
+    last = shim.plain_lines(spark, sf_dir).groupBy("spec").agg(F.max("ln").alias("last"))
+    target = (F.col("spec") + F.col("ln") * 5) % F.col("last") + 1
+    heads = tree.select("spec", F.col("slug").alias("anchor"))
+    anchors = r.join(last, "spec").select("spec", "rule", F.concat(F.lit("s"), target).alias("anchor")).join(heads, ["spec", "anchor"], "left_semi").select("spec", "rule", F.concat(F.lit("#"), "anchor").alias("anchor"))
+    firsts = r.groupBy("spec").agg(F.min_by("rule", "ln").alias("ref"))
+    refs = r.where("ln % 5 = 0").join(firsts, "spec").select("spec", "rule", "ref")
+    quotes = spark.createDataFrame([], f"spec {dict(r.dtypes)['spec']}, rule string, quote string")
+    bodies = K.placed_bodies(lines, tree)
+    return passages, K.derived_contexts(tree, passages, bodies, r, anchors, refs, quotes)[0]
+
+
+@query(CONTEXTS + f"SELECT c.doc_id AS spec, {_NAME.replace('doc_id', 'c.doc_id').replace('ln', 'c.ln')} AS rule, 'ctx' || lpad(c.first::VARCHAR, 5, '0') AS passage, c.ln BETWEEN p.first AND p.last AS own FROM CX c JOIN PS p ON p.doc_id = c.doc_id AND p.first = c.first")
 def rule_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = shim.rules(spark, sf_dir).select(F.col("id").alias("rule"), "ln")
-    of = lambda name: r.withColumn("passage", F.lit(name))
-    return A.rule_context(of("own"), of("governing"), of("own"), of("governing"), of("quoted").where("ln % 2 = 0"))
+    """Derived from the lines: sections on the path, cited sections, a named rule's passage and sections, the own passage."""
+    return _derived(spark, sf_dir)[1].select("spec", "rule", "passage", "own")
+
+
+@query(CONTEXTS + f"""SELECT m.doc_id AS unit, m.n AS rules, c.n AS passages, c.first AS first_passage, o.own_refs FROM (SELECT doc_id, count(DISTINCT id)::BIGINT AS n FROM B GROUP BY doc_id) m
+JOIN (SELECT doc_id, count(DISTINCT first)::BIGINT AS n, 'ctx' || lpad(min(first)::VARCHAR, 5, '0') AS first FROM CX WHERE doc_id || ':' || ln IN (SELECT id FROM B) GROUP BY doc_id) c USING (doc_id)
+JOIN (SELECT doc_id, string_agg(own, ',' ORDER BY own) AS own_refs FROM (SELECT b.doc_id, {_NAME.replace('doc_id', 'b.doc_id').replace('ln', 'b.ln')} || '=ctx' || lpad(p.first::VARCHAR, 5, '0') AS own FROM (SELECT DISTINCT doc_id, ln FROM B) b JOIN PS p ON p.doc_id = b.doc_id AND b.ln BETWEEN p.first AND p.last) GROUP BY doc_id) o USING (doc_id)""")
+def unit_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unit for each document, of the copies of its labelled rules, with everything that its judge must see."""
+    passages, contexts = _derived(spark, sf_dir)
+    one = lambda c: F.concat_ws(":", "spec", c)
+    marker = F.concat(F.lit("m"), F.lpad(((F.col("spec") * 31 + F.col("ln") * 7) % 1000).cast("string"), 3, "0"))
+    labels = shim.labels(spark, sf_dir).select("spec", F.concat_ws(":", "spec", marker).alias("id"), "label").distinct()
+    nodes = P.split_vertices(labels.select("id", "label"))
+    units = nodes.groupBy(F.split_part("rule", F.lit(":"), F.lit(1)).cast("long").alias("unit")).agg(F.collect_list("copy").alias("members"))
+    units = units.select("unit", F.lit("user").alias("authority"), F.concat(F.lit("unit:"), "unit").alias("cid"), F.lit("whole").alias("provenance"), "members")
+    records = labels.select(F.col("id").alias("rule")).distinct().select("rule", F.lit("must").alias("modality"), F.create_map(F.lit("age"), F.lit("applies")).alias("facets"), F.lit(None).cast("map<string,string>").alias("facet_specifics"))
+    none = F.lit(None).cast("string")
+    edges = E.shared_labels(labels, ["spec"]).select("src", "dst", F.lit("shares_dimension").alias("relation"), none.alias("subtype"), none.alias("source"), none.alias("via"), none.alias("evidence"), none.alias("note"))
+    examples = spark.createDataFrame([], "rule string, example string")
+    bodies = spark.createDataFrame([], "example string, text string")
+    got = K.unit_packets(units, nodes, records, contexts.select(one("rule").alias("rule"), one("passage").alias("passage"), "own"), examples, passages.select(one("passage").alias("passage"), "text", "commentary", "first", "last"), bodies, edges)
+    own = F.array_join(F.array_sort(F.flatten(F.transform("rules", lambda r: F.transform(r["source_text_refs"], lambda p: F.concat(F.split_part(r["rule"], F.lit(":"), F.lit(2)), F.lit("="), F.split_part(p, F.lit(":"), F.lit(2))))))), ",")
+    return got.select("unit", F.size("rules").cast("long").alias("rules"), F.size("context").cast("long").alias("passages"), F.split_part(F.col("context")[0]["passage"], F.lit(":"), F.lit(2)).alias("first_passage"), own.alias("own_refs"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """spec, ln, rule, id; records of all rules; and what the lines alone say of them."""
+    lines = shim.marked_lines(spark, sf_dir)
+    marker = F.concat(F.lit("m"), F.lpad(((F.col("spec") * 31 + F.col("ln") * 7) % 1000).cast("string"), 3, "0"))
+    names = shim.kept(shim.rules(spark, sf_dir).select("spec", "ln", marker.alias("rule"), "id", "authority", "owner", "path"))
+    text = shim.plain_lines(spark, sf_dir).select("spec", "ln", F.concat(F.lit("p "), "line").alias("text"))
+    records = names.join(text, ["spec", "ln"]).select("spec", "rule", "authority", F.array().cast("array<string>").alias("system_flags"), "text", F.concat(F.lit("t"), "ln").alias("trigger"), F.lit("b").alias("behavior"), F.lit("must").alias("modality"), F.array().cast("array<string>").alias("examples"))
+    return names, records, shim.kept(K.mechanical_context(lines))
+
+
+@query("""SELECT r.doc_id AS spec, 'm' || lpad(((r.doc_id * 31 + r.ln * 7) % 1000)::VARCHAR, 3, '0') AS rule, r.authority, r.path, 'p ' || r.line AS text, (SELECT string_agg(label, ',' ORDER BY label) FROM B WHERE B.id = r.id) AS dimensions,
+(SELECT string_agg(z, ',' ORDER BY z) FROM (SELECT 'm' || lpad(((o.doc_id * 31 + o.ln * 7) % 1000)::VARCHAR, 3, '0') AS z FROM X JOIN R o ON o.id = X.dst WHERE X.src = r.id)) AS neighbors,
+coalesce((SELECT count(*) FROM (SELECT DISTINCT u.ln, p.run FROM T t JOIN T u ON u.doc_id = t.doc_id AND u.slug <> t.slug AND list_contains(string_split(t.path, '/'), u.slug) JOIN PG p ON p.doc_id = u.doc_id AND p.owner = u.ln WHERE t.doc_id = r.doc_id AND t.ln = r.owner)), 0)::BIGINT AS guards,
+CASE WHEN r.ln % 2 = 0 THEN 'applies' ELSE 'unconditional_or_unspecified' END AS age, r.ln % 3 = 0 AS noted FROM R r""".replace("FROM R r", "FROM R r"))
+def dossier_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule's whole record."""
+    names, records, contexts = _records(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    key = names.select(F.col("id").alias("dst"), F.col("rule").alias("to"))
+    x = _directed(spark, sf_dir).join(names.select(F.col("id").alias("src"), "spec", F.col("rule").alias("from")), "src").join(key, "dst")
+    edges = x.select("spec", F.col("from").alias("src"), F.col("to").alias("dst"), "relation", none.alias("subtype"), F.lit("out").alias("direction"), none.alias("source"), F.lit(None).cast("array<string>").alias("via"), F.lit(None).cast("struct<where:string,quote:string>").alias("evidence"), none.alias("note"))
+    dims = shim.labels(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("dimensions"))
+    empty = F.array().cast("array<string>")
+    facets = F.when(F.col("ln") % 2 == 0, F.create_map(F.lit("age"), F.lit("applies")))
+    enriched = names.join(dims, "id", "left").select("spec", "rule", "dimensions", *(empty.alias(c) for c in ("definitions", "meta_resolution", "exceptions")), facets.alias("facets"), F.lit(None).cast("map<string,string>").alias("facet_specifics"), empty.alias("facet_evidence"), F.lit(None).cast("array<struct<id:string,housed_in:string,why:string,verdict_notes:array<string>>>").alias("external_examples"), F.when(F.col("ln") % 3 == 0, "n").alias("coverage_notes"))
+    groups = names.select("spec", "rule", F.array(F.concat(F.lit("sec:"), "path")).alias("groups"))
+    references = names.select("spec", "rule", F.lit("s1").alias("anchor"), F.lit("section").alias("scope"), F.lit("q").alias("quote")).limit(0)
+    found = K.grouped_records(records.withColumn("authority_provenance", F.lit("section_header")).withColumn("sections", empty), contexts, enriched, groups, edges, references)
+    related = F.col("related_context")
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
+    return found.select("spec", "rule", "authority", F.when(F.size("sections") > 0, F.array_join("sections", "/")).alias("path"), "text", joined(F.col("dimensions")).alias("dimensions"), joined(F.array_sort(F.transform("neighbor", lambda n: n["id"]))).alias("neighbors"), F.size(related["ancestor_guards"]).cast("long").alias("guards"), related["facets"]["age"].alias("age"), related["coverage_notes"].isNotNull().alias("noted"))
+
+
+#: The first three paragraphs of each section's own lines (PG).
+ORACLES["dossier_records"] = ORACLES["dossier_records"].replace(shim.SQL, shim.SQL + ", PG AS (SELECT doc_id, owner, run FROM (SELECT doc_id, owner, run, dense_rank() OVER (PARTITION BY doc_id, owner ORDER BY run) AS k FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ln) AS run FROM (SELECT r.*, (coalesce(lag(ln) OVER (PARTITION BY doc_id ORDER BY ln), -1) <> ln - 1)::INT AS new FROM R r))) WHERE k <= 3 GROUP BY ALL) ")
+
+
+@query(PACKED + "SELECT 'job' || lpad(p.job::VARCHAR, 2, '0') AS job_id, sum(s.n)::BIGINT AS rule_count, count(*)::BIGINT AS section_count, string_agg(s.rules, '/' ORDER BY s.start, p.path) AS rules FROM PK p JOIN (SELECT path, min(coalesce(owner, 0)) AS start, count(*) AS n, string_agg('t' || ln, ',' ORDER BY 'm' || lpad(((doc_id * 31 + ln * 7) % 1000)::VARCHAR, 3, '0'), doc_id) AS rules FROM R WHERE doc_id % 40 = 3 GROUP BY path) s USING (path) WHERE p.k > 0 GROUP BY p.job".replace(" WHERE doc_id % 40 = 3", ""))
+def section_job_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of sections with whole entries of their rules."""
+    names, records, contexts = _records(spark, sf_dir)
+    inside = names.where("path <> ''")
+    jobs = P.packed(inside.groupBy("path").agg(F.count("*").alias("n")), 12)
+    spans = inside.groupBy("path").agg(F.min("owner").alias("start_line"), F.max("ln").alias("end_line"))
+    none = F.lit(None).cast("string")
+    edges = names.select("spec", F.col("rule").alias("src"), F.col("rule").alias("dst"), none.alias("anchor"), none.alias("quote")).limit(0)
+    order = records.join(names.select("spec", "rule", "path").where("path <> ''"), ["spec", "rule"], "left_semi")
+    found = K.section_jobs(order, contexts, edges, jobs, spans)
+    told = F.array_join(F.transform("sections", lambda s: F.array_join(F.transform(s["rules"], lambda r: r["trigger"]), ",")), "/")
+    return found.select("job_id", *big("rule_count", "section_count"), told.alias("rules"))
+
+
+@query("SELECT label AS \"key\", 'T' || label AS title, 'about ' || label AS definition, count(DISTINCT id)::BIGINT AS member_count, md5(string_agg(DISTINCT ln::VARCHAR || ':' || doc_id, ',' ORDER BY ln::VARCHAR || ':' || doc_id)) AS members FROM B WHERE label <> 'k4' GROUP BY label")
+def dimension_job_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimensions of the registry with their definition and whole entries of their rules."""
+    names, records, contexts = _records(spark, sf_dir)
+    registry = spark.createDataFrame([(f"k{i}", f"Tk{i}", f"about k{i}") for i in (0, 1, 2, 3, 5)], "key string, title string, definition string")
+    labels = shim.labels(spark, sf_dir).join(names.select("id", "rule"), "id").select("spec", F.col("rule").alias("id"), "label")
+    whole = records.join(contexts, ["spec", "rule"]).withColumn("place", F.concat(F.substring("trigger", 2, 20), F.lit(":"), "spec"))
+    found = K.dimension_jobs(whole, labels, registry)
+    members = F.md5(F.array_join(F.array_sort(F.transform("members", lambda m: m["place"])), ",").cast("binary"))
+    return found.select("key", "title", "definition", *big("member_count"), members.alias("members"))
