@@ -121,3 +121,21 @@ def hash_problems(manifest: DataFrame, files: DataFrame) -> DataFrame:
     df = manifest.join(files.select("name", F.col("sha256").alias("now"), F.lit(True).alias("there")), "name", "full")
     problem = F.when(F.col("there").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("sha256") != F.col("now"), "changed")
     return df.withColumn("problem", problem).where("problem is not null").select("name", "problem")
+
+
+def provenance(manifest: DataFrame, files: DataFrame, runs: DataFrame, parents: DataFrame, ledger: DataFrame, requests: DataFrame, results: DataFrame) -> DataFrame:
+    """Where what a run holds isn't what its records say: files against the manifest's hashes, the parent's manifest against the hash
+    that the run was made from, the batch of its results against the ledger's, and the ids of results against those asked for.
+
+    manifest, files: name, sha256; runs: run, parent, parent_sha256; parents: parent, sha256; ledger: run, batch; requests: run,
+    custom_id; results: run, batch, custom_id."""
+    named = F.concat_ws("/", "run", "custom_id")
+    lost = runs.join(parents, "parent", "left").where(~F.col("sha256").eqNullSafe(F.col("parent_sha256")))
+    other = results.select("run", "batch").distinct().join(ledger.select("run", F.col("batch").alias("filed")), "run", "left").where(~F.col("batch").eqNullSafe(F.col("filed")))
+    ids = R.missing_and_extra(requests.select(named.alias("id")), results.select(named.alias("id")), "id")
+    return all_of(
+        violations(hash_problems(manifest, files), "manifest", "name", F.col("problem")),
+        violations(lost, "parent", "run", F.col("parent")),
+        violations(other, "batch", "run", F.col("batch")),
+        violations(ids, "results", "id", F.col("side")),
+    )

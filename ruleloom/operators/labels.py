@@ -185,6 +185,28 @@ def refinement_problems(registry: DataFrame, labels: DataFrame) -> DataFrame:
     return lost.unionByName(gained).unionByName(same)
 
 
+def gates(registry: DataFrame, labels: DataFrame, rules: DataFrame, chapters: DataFrame, groups: DataFrame, linked: DataFrame | None = None, kappas: DataFrame | None = None, retained: DataFrame | None = None, band: tuple[int, int] = (12, 20), tau: int = 30, least_members: int = 2, most_p: float = 0.01, least_kappa: float = 0.6, permutations: int = 1000, seed: int = 0) -> dict[str, DataFrame | None]:
+    """The violations of each of the eight conditions on a taxonomy, by name; None where there is nothing to judge by.
+
+    Shape of the registry, seeds in several chapters and labels that are no section group, labels told apart by their rules, every
+    rule labelled and no label too thin, links that share labels more often than chance, pilot agreement, size, and refinement."""
+    last = leaves(registry).select(F.col("key").alias("label"))
+    own = labels.join(last, "label", "left_semi")
+    thin = last.join(own.groupBy("label").agg(F.countDistinct("id").alias("n")), "label", "left").where(F.coalesce("n", F.lit(0)) < least_members)
+    kept = retained if retained is not None else registry.select(F.col("key").alias("label")).limit(0)
+    flat = registry.where("parent is not null").isEmpty()
+    return {
+        "R1": registry_problems(registry, *band).select("subject"),
+        "R2": span(registry, chapters).where("not ok").select(F.col("key").alias("subject")).unionByName(coextensive(labels, groups).select(F.col("label").alias("subject"))),
+        "R3": nesting(own).where("kind = 'duplicate'").select(F.concat_ws("=", "a", "b").alias("subject")),
+        "R4": residue(rules, labels).select(F.col("id").cast("string").alias("subject")).unionByName(thin.select(F.col("label").alias("subject"))),
+        "R5": None if linked is None or linked.isEmpty() else permutation_p(labels, linked, permutations, seed).where(F.col("p") > most_p),
+        "R6": None if kappas is None or kappas.isEmpty() else kappas.where(F.col("kappa") < least_kappa),
+        "R7": oversize(own, kept, tau).where("not documented"),
+        "R8": None if flat else refinement_problems(registry, labels),
+    }
+
+
 def axis_status(votes: DataFrame, coders: int) -> DataFrame:
     """axis, n, status of (axis, coder): unanimous, majority or singleton."""
     df = votes.groupBy("axis").agg(F.countDistinct("coder").alias("n"))

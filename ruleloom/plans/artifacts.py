@@ -18,7 +18,7 @@ from ruleloom.operators import state
 from ruleloom.sources import artifacts as IO
 from ruleloom.sources import service as far
 
-from . import shim
+from . import graph, shim
 from .graph import _directed
 from .lexical import big
 
@@ -300,3 +300,39 @@ def rule_record_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = spark.createDataFrame([("eg001",)], "example string")
     found = K.rule_records(rules, r.select("rule"), examples, r.select("rule", "sections", "authority"))
     return found.select("check", "subject")
+
+
+@query("""SELECT "check", subject, detail FROM (SELECT 'manifest' AS "check", 'f' || doc_id AS subject, CASE doc_id % 9 WHEN 1 THEN 'missing' WHEN 2 THEN 'changed' WHEN 3 THEN 'unlisted' END AS detail FROM documents
+UNION ALL SELECT 'parent', doc_id::VARCHAR, CASE WHEN doc_id % 9 IN (4, 5) THEN 'p' || doc_id END FROM documents UNION ALL SELECT 'batch', doc_id::VARCHAR, CASE WHEN doc_id % 9 = 6 THEN 'other' END FROM documents
+UNION ALL SELECT 'results', doc_id || '/a', CASE WHEN doc_id % 9 = 7 THEN 'missing' END FROM documents UNION ALL SELECT 'results', doc_id || '/x', CASE WHEN doc_id % 9 = 7 THEN 'extra' END FROM documents) WHERE detail IS NOT NULL""", shimmed=False)
+def provenance_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text as a file of a run, with seven kinds of faults by id."""
+    d = _documents(spark, sf_dir).select(F.col("doc_id").alias("run"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    k, name = F.col("run") % 9, F.concat(F.lit("f"), "run").alias("name")
+    manifest = d.where(k != 3).select(name, F.when(k == 2, "0").otherwise(F.col("sha256")).alias("sha256"))
+    files = d.where(k != 1).select(name, "sha256")
+    run, parent = F.col("run").cast("string").alias("run"), F.concat(F.lit("p"), "run").alias("parent")
+    runs = d.select(run, parent, F.when(k == 4, "1").otherwise(F.col("sha256")).alias("parent_sha256"))
+    parents = d.where(k != 5).select(parent, "sha256")
+    ledger = d.select(run, F.concat(F.lit("b"), "run").alias("batch"))
+    results = d.select(run, F.when(k == 6, "other").otherwise(F.concat(F.lit("b"), "run")).alias("batch"), F.when(k == 7, "x").otherwise("a").alias("custom_id"))
+    return K.provenance(manifest, files, runs, parents, ledger, d.select(run, F.lit("a").alias("custom_id")), results).select("check", "subject", "detail")
+
+
+@query(f"""SELECT condition, CASE WHEN n IS NULL THEN 'SKIP' WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, coalesce(n, 0)::BIGINT AS n FROM (SELECT 'R1' AS condition, 1 AS n
+UNION ALL SELECT 'R2', (SELECT count(*) FROM (SELECT v.k, count(DISTINCT string_split(R.path, '/')[1]) AS c FROM (VALUES ('k0', 1), ('k0', 2), ('k2', 3), ('k2', 4), ('k3', 99999), ('k4', 5), ('k4', 6)) v(k, s) LEFT JOIN R ON R.owner = v.s GROUP BY v.k) WHERE c < 2)
+UNION ALL SELECT 'R3', (SELECT count(*) FROM ({graph.ORACLES["leaf_nesting"].removeprefix(shim.SQL)}) WHERE kind = 'duplicate' AND a <> 'k0' AND b <> 'k0')
+UNION ALL SELECT 'R4', (SELECT count(*) FROM R WHERE id NOT IN (SELECT id FROM B)) + (SELECT count(*) FROM (VALUES ('k1'), ('k2'), ('k3'), ('k4'), ('k5')) v(k) WHERE (SELECT count(DISTINCT id) FROM B WHERE label = v.k) < 2)
+UNION ALL SELECT 'R5', NULL UNION ALL SELECT 'R6', (SELECT count(*) FROM ({graph.ORACLES["pilot_kappas"]}) WHERE kappa < 0.6)
+UNION ALL SELECT 'R7', (SELECT count(*) FROM (SELECT label FROM B WHERE label NOT IN ('k0', 'k1', 'k3') GROUP BY label HAVING count(DISTINCT id) > 30))
+UNION ALL SELECT 'R8', (SELECT coalesce(sum(n), 0) FROM ({graph.ORACLES["refine_valid"].removeprefix(shim.SQL)})))""")
+def taxonomy_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight conditions over the rules and labels of all documents; `permutation_p` is the fifth's own query."""
+    rows = [("k0", None, [1, 2]), ("k1", "k0", [7]), ("k2", None, [3, 4]), ("k3", None, [99999]), ("k4", None, [5, 6]), ("k5", "k0", [8])]
+    registry = spark.createDataFrame([(k, f"T{k}", f"about {k}", [f"s{i}" for i in s], p) for k, p, s in rows], "key string, title string, definition string, seed_anchors array<string>, parent string")
+    r, b = shim.kept(shim.rules(spark, sf_dir).select("id", "owner", "path")), shim.kept(shim.labels(spark, sf_dir).select("id", "label"))
+    chapters = r.where("path <> ''").select(F.concat(F.lit("s"), "owner").alias("slug"), F.split("path", "/")[0].alias("chapter")).distinct()
+    kappas = graph.pilot_kappas(spark, sf_dir)
+    retained = spark.createDataFrame([("k1",), ("k3",)], "label string")
+    groups = spark.createDataFrame([], "gid string, members array<string>")
+    return A.taxonomy(S.gates(registry, b, r, chapters, groups, kappas=kappas, retained=retained))
