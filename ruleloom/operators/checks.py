@@ -94,6 +94,39 @@ def grouped(rules: DataFrame, edges: DataFrame, labels: DataFrame, registry: Dat
     )
 
 
+def grouped_again(rules: DataFrame, edges: DataFrame, labels: DataFrame, registry: DataFrame, groups: DataFrame, inventory: DataFrame) -> DataFrame:
+    """check, subject, detail: what grouped() looks at, said once more in SQL and by sets, without the operators that have built
+    the graph; a fault in one of those shows here. The inputs are grouped()'s."""
+    spark = rules.sparkSession
+    return spark.sql(
+        """
+        WITH held AS (SELECT id, array_sort(collect_set(label)) AS set FROM {labels} GROUP BY id),
+        told AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM {labels} a JOIN {labels} b ON a.label = b.label AND a.id <> b.id),
+        share AS (SELECT t.src, t.dst, array_sort(array_intersect(x.set, y.set)) AS via FROM told t JOIN held x ON x.id = t.src JOIN held y ON y.id = t.dst),
+        placed AS (SELECT rule, array_join(sections, '/') AS path FROM {rules}),
+        near AS (SELECT a.rule AS src, b.rule AS dst FROM placed a JOIN placed b ON a.path = b.path WHERE a.rule <> b.rule),
+        want AS (SELECT concat('dim:', label) AS gid, array_sort(collect_set(id)) AS members FROM {labels} GROUP BY label UNION ALL SELECT concat('sec:', path), array_sort(collect_set(rule)) FROM placed GROUP BY path),
+        have AS (SELECT gid, array_sort(members) AS members FROM {groups}),
+        seen AS (SELECT src, dst, relation, subtype, direction, array_join(via, ',') AS via FROM {edges})
+        SELECT 'identifiers' AS check, CAST(rule AS STRING) AS subject, 'missing' AS detail FROM {inventory} WHERE rule NOT IN (SELECT rule FROM {rules})
+        UNION ALL SELECT 'identifiers', CAST(rule AS STRING), 'extra' FROM {rules} WHERE rule NOT IN (SELECT rule FROM {inventory})
+        UNION ALL SELECT 'unknown end', CAST(rule AS STRING), NULL FROM (SELECT src AS rule FROM {edges} UNION SELECT dst FROM {edges}) WHERE rule NOT IN (SELECT rule FROM {rules})
+        UNION ALL SELECT 'loop', CAST(src AS STRING), NULL FROM {edges} WHERE src = dst
+        UNION ALL SELECT 'no mirror', concat_ws('>', src, dst), relation FROM seen e WHERE NOT EXISTS (SELECT 1 FROM seen b WHERE b.src = e.dst AND b.dst = e.src AND b.relation <=> e.relation AND b.subtype <=> e.subtype AND b.via <=> e.via
+          AND b.direction = CASE e.direction WHEN 'out' THEN 'in' WHEN 'in' THEN 'out' ELSE 'none' END)
+        UNION ALL SELECT 'unknown label', CAST(id AS STRING), label FROM {labels} WHERE label NOT IN (SELECT key FROM {registry})
+        UNION ALL SELECT 'no label', CAST(r.rule AS STRING), NULL FROM {rules} r LEFT ANTI JOIN held h ON h.id = r.rule
+        UNION ALL SELECT 'shares_dimension', concat_ws('>', s.src, s.dst), 'missing' FROM share s LEFT ANTI JOIN {edges} e ON e.relation = 'shares_dimension' AND e.src = s.src AND e.dst = s.dst AND e.via = s.via
+        UNION ALL SELECT 'shares_dimension', concat_ws('>', e.src, e.dst), 'extra' FROM {edges} e LEFT ANTI JOIN share s ON e.src = s.src AND e.dst = s.dst AND e.via = s.via WHERE e.relation = 'shares_dimension'
+        UNION ALL SELECT 'same_section', concat_ws('>', n.src, n.dst), 'missing' FROM near n LEFT ANTI JOIN {edges} e ON e.relation = 'same_section' AND e.src = n.src AND e.dst = n.dst
+        UNION ALL SELECT 'same_section', concat_ws('>', e.src, e.dst), 'extra' FROM {edges} e LEFT ANTI JOIN near n ON e.src = n.src AND e.dst = n.dst WHERE e.relation = 'same_section'
+        UNION ALL SELECT 'groups', w.gid, 'missing' FROM want w LEFT ANTI JOIN have h ON h.gid = w.gid AND h.members = w.members
+        UNION ALL SELECT 'groups', h.gid, 'extra' FROM have h LEFT ANTI JOIN want w ON h.gid = w.gid AND h.members = w.members
+        """,
+        rules=rules.select("rule", "sections"), edges=edges.select("src", "dst", "relation", "subtype", "direction", "via"), labels=labels.select("id", "label"), registry=registry.select("key"), groups=groups.select("gid", "members"), inventory=inventory.select("rule"),
+    )
+
+
 def quotes(quoted: DataFrame, documents: DataFrame, anchors: DataFrame, rules: DataFrame) -> DataFrame:
     """(spec, subject, where, quote): places that are no #anchor or [^rule], and quotes that the normalized document lacks."""
     from .context import grounded

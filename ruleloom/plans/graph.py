@@ -340,14 +340,25 @@ def affected_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.affected(changed, _directed(spark, sf_dir).withColumn("relation", F.lit("thematic")))
 
 
-@query("SELECT \"check\", count(*)::BIGINT AS n FROM (SELECT 'no label' AS \"check\" FROM R WHERE id NOT IN (SELECT id FROM B) UNION ALL SELECT 'no mirror' FROM X x WHERE NOT EXISTS (SELECT 1 FROM X y WHERE y.src = x.dst AND y.dst = x.src) UNION ALL SELECT 'same_section' FROM R a JOIN R b ON a.doc_id = b.doc_id AND a.path = b.path AND a.id <> b.id UNION ALL SELECT 'shares_dimension' FROM (SELECT DISTINCT a.id, b.id AS j FROM B a JOIN B b ON a.doc_id = b.doc_id AND a.label = b.label AND a.id <> b.id) UNION ALL SELECT 'unknown label' FROM B WHERE label = 'k5') GROUP BY ALL")
-def checks_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph of citations alone, without mirrors, pairs or one registered label: what the checks find."""
+def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """A graph of citations alone, without mirrors, pairs or one registered label."""
     spec = lambda c: F.concat_ws("/", "spec", c)
-    r = shim.rules(spark, sf_dir).withColumn("rule", F.col("id"))
+    r = shim.kept(shim.rules(spark, sf_dir).withColumn("rule", F.col("id")))
     rules = r.select("rule", F.when(F.size("sections") > 0, F.concat(F.array(F.col("spec").cast("string")), "sections")).otherwise(F.array(F.concat(F.lit("-"), "id"))).alias("sections"))
-    b = shim.labels(spark, sf_dir).select("id", spec("label").alias("label"))
+    b = shim.kept(shim.labels(spark, sf_dir).select("id", spec("label").alias("label")))
     x = _directed(spark, sf_dir).withColumn("direction", F.lit("none")).withColumn("via", F.lit(None).cast("array<string>"))
     registry = b.select(F.col("label").alias("key")).distinct().where(~F.col("key").endswith("k5"))
     wanted = E.label_groups(b).select("gid", "members").unionByName(E.section_groups(rules.withColumn("authority", F.lit(None).cast("string"))).select("gid", "members"))
-    return K.grouped(rules, x, b, registry, wanted, rules).groupBy("check").agg(F.count("*").alias("n"))
+    return rules, x, b, registry, wanted, rules
+
+
+@query("SELECT \"check\", count(*)::BIGINT AS n FROM (SELECT 'no label' AS \"check\" FROM R WHERE id NOT IN (SELECT id FROM B) UNION ALL SELECT 'no mirror' FROM X x WHERE NOT EXISTS (SELECT 1 FROM X y WHERE y.src = x.dst AND y.dst = x.src) UNION ALL SELECT 'same_section' FROM R a JOIN R b ON a.doc_id = b.doc_id AND a.path = b.path AND a.id <> b.id UNION ALL SELECT 'shares_dimension' FROM (SELECT DISTINCT a.id, b.id AS j FROM B a JOIN B b ON a.doc_id = b.doc_id AND a.label = b.label AND a.id <> b.id) UNION ALL SELECT 'unknown label' FROM B WHERE label = 'k5') GROUP BY ALL")
+def checks_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the builder's own checks find."""
+    return K.grouped(*_checked(spark, sf_dir)).groupBy("check").agg(F.count("*").alias("n"))
+
+
+@query("SELECT \"check\", count(*)::BIGINT AS n FROM (SELECT 'no label' AS \"check\" FROM R WHERE id NOT IN (SELECT id FROM B) UNION ALL SELECT 'no mirror' FROM X x WHERE NOT EXISTS (SELECT 1 FROM X y WHERE y.src = x.dst AND y.dst = x.src) UNION ALL SELECT 'same_section' FROM R a JOIN R b ON a.doc_id = b.doc_id AND a.path = b.path AND a.id <> b.id UNION ALL SELECT 'shares_dimension' FROM (SELECT DISTINCT a.id, b.id AS j FROM B a JOIN B b ON a.doc_id = b.doc_id AND a.label = b.label AND a.id <> b.id) UNION ALL SELECT 'unknown label' FROM B WHERE label = 'k5') GROUP BY ALL")
+def checks_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What checks that don't share its code find."""
+    return K.grouped_again(*_checked(spark, sf_dir)).groupBy("check").agg(F.count("*").alias("n"))
