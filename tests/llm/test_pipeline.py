@@ -34,6 +34,36 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert all(list(r.ids) == lib.encode(texts[r.doc_id]) and r.round_trip for r in out[5].collect()) and len(ids[5]) == len(ids[4])
 
 
+def staged(spark, docs, folder):
+    """What each stage returns, written and read again."""
+    out = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, out[-1], "").write.parquet(f"{folder}/{k}")
+        out.append(spark.read.parquet(f"{folder}/{k}"))
+    return out
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Repeated rows, null ids, a very long text, ties, and columns named as the operators' own."""
+    long = " ".join(f"the river number w{i} runs by the old house" for i in range(20_000))
+    rows = [(1, long, "en", "a", len(long)), (2, "the people of the house like the river very much indeed", None, None, None)]
+    rows += [(3, "a letter to the people who live by the old river house today", "en", "a", 60)] * 2
+    rows += [(None, "the rain was on the road and in the fields near the town", "en", "b", 57), (None, "the rain was on the road and in the fields near the town", "en", "b", 57), (4, None, None, None, None), (5, "", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = docs.select("*", *(F.lit(7).alias(c) for c in ("row", "n", "key", "score", "lang_pred", "per_letter", "findings", "redacted", "copies", "size")))
+    out = staged(spark, clash, str(tmp_path))
+    assert all(d.columns == clash.columns for d in out[1:5])
+    ids = [sorted((r.doc_id or 0) for r in d.select("doc_id").collect()) for d in out]
+    assert ids[1] == [0, 0, 1, 2, 3, 3] and ids[2] == ids[3] == [0, 1, 2, 3]
+    assert out[3].where("doc_id = 1").first().text == long and {r.row for r in out[4].collect()} <= {7}
+    assert out[5].where(~F.col("round_trip")).count() == 0
+
+
+def test_empty_documents(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [d.count() for d in staged(spark, docs, str(tmp_path))] == [0] * 6
+
+
 def test_run_matches_the_stages(spark):
     sf = "/root/testdata/sf0.001"
     got = corpus_pipeline.run(spark, sf)

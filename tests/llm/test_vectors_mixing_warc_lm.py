@@ -158,6 +158,24 @@ def test_warc_round_trip(spark):
     assert read_records(write_archives(pages(spark, []))).count() == 0
 
 
+def test_warc_leaves_orphans_alone_and_nothing_behind(spark, tmp_path):
+    """A lost task's archive in the folder is never read; after reading the archives are gone."""
+    import os
+
+    from ruleloom.llm.common import shared_dir
+    from ruleloom.llm.warc import archived
+
+    folder = tmp_path / "warcs"
+    folder.mkdir()
+    (folder / "lost.warc.gz").write_bytes(b"half a record")
+    rows = [(i, f"http://h/{i}", f"page {i % 4}") for i in range(40)]
+    assert read_records(write_archives(pages(spark, rows), f"file:{folder}")).count() == 40
+    before = {x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith("warc-")}
+    got = archived(pages(spark, rows), ["page_id", "record_type"])
+    assert got.count() == 40 and got.where("record_type = 'response'").count() == 4
+    assert {x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith("warc-")} == before
+
+
 def test_warc_ranges_and_bad_records():
     assert list(ranges([0, 10, 100_000], [10, 10, 5])) == [(0, 2, 0, 20), (2, 3, 100_000, 100_005)]
     with pytest.raises(ValueError):
