@@ -31,8 +31,9 @@ from .common import TOKEN, Words, crc_mod, cut, mix, slices, trimmed
 #: Classes; slots of a class. The last class is that of all words that have no slot of their own.
 CLASSES, SLOTS = 16, 16
 REST = CLASSES - 1
-#: A weight row for so many training tokens, in powers of two and within these bounds; the word factor has twice as many.
-TOKENS_PER_ROW, ROWS = 2048, (1 << 12, 1 << 16)
+#: Weight rows of the class factor for each unit of the cube root of the training tokens, at every size; the word factor has twice
+#: as many. 80 give 34,000 rows for 75 million tokens (0.5 GB), 130,000 for 30 GB and 2 million for 100 TB.
+ROWS_PER_ROOT = 80
 FEATURES = 3
 #: Rounds of training, the first of which only counts.
 ROUNDS = 3
@@ -235,7 +236,7 @@ def start(counts: DataFrame, n: int) -> Model:
     slots[REST] = tokens
     of_class = slots.sum(1)
     order = np.argsort(h)
-    rows = min(max(1 << max(0, (n // TOKENS_PER_ROW).bit_length() - 1), ROWS[0]), ROWS[1])
+    rows = CLASSES * max(1, round(ROWS_PER_ROOT * n ** (1 / 3) / CLASSES))
     return Model(
         h[order], c[order], (place // SLOTS)[order], (place % SLOTS)[order],
         np.log((of_class + 1) / (of_class.sum() + CLASSES)).astype(np.float32), np.log((slots + 1) / (of_class[:, None] + SLOTS)).astype(np.float32),
@@ -265,7 +266,7 @@ def lm_scores(documents: DataFrame, held_out: tuple[int, int] = (7, 2), rounds:
 
     Texts whose id has the held-out remainder (crc32 of the id as text; a null id counts as '') aren't learnt from. A null or
     empty text has its end alone. Rows with equal ids are scored each on its own. Without training texts every count is 0 and
-    train_tokens is 0. What is sent to workers grows with the input up to 3 x ROWS rows of 16 floats, and HOT_WORDS counts.
+    train_tokens is 0. What is sent to workers grows with the cube root of the input (three times the weight rows, of 16 floats each), beside HOT_WORDS counts.
     Rerunning gives the same weights, however the rows are dealt out.
     """
     spark = documents.sparkSession
