@@ -236,3 +236,17 @@ def rolled(h: np.ndarray, k: int) -> np.ndarray:
 def crc_mod(column: str, m: int) -> Column:
     """crc32 of the id as text modulo m; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m
+
+
+def written_in(df: DataFrame) -> tuple[DataFrame, str]:
+    """As written, and the folder, for `removed` once nothing reads it any more."""
+    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders of the shared folder."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import clustered
 from .common import table
 from .exact_search import exact_top_k
 from .language_id import fit, held_out, identify
@@ -55,6 +56,27 @@ k AS (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id A
 SELECT query_id, rank::INT AS rank, vec_id, score FROM k WHERE rank <= 20
 """
 
+#: op13: one step of assigning and moving for each round; distances in whole numbers, floors of quotients that may be negative.
+_OP13_MOVE = """
+a{i} AS MATERIALIZED (SELECT r, arg_min(c, d * 8 + c) AS c FROM (SELECT v.r, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i])))::BIGINT AS d FROM v, c{i} c) GROUP BY r),
+s{i} AS (SELECT c, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT a.c, unnest(v.e) AS x, unnest(range(1, 65)) AS j FROM a{i} a JOIN v ON a.r = v.r) GROUP BY c, j),
+m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS e FROM s{i} GROUP BY c),
+c{k} AS MATERIALIZED (SELECT c.c, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m ON c.c = m.c)"""
+
+OP13_SQL = (
+    """
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR) ASC NULLS LAST, e) - 1 AS c, e FROM v ORDER BY c LIMIT 8),"""
+    + ",".join(_OP13_MOVE.format(i=i, k=i + 1) for i in range(10))
+    + """,
+d AS (SELECT v.r, v.vec_id, c.c, c.e, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i])))::BIGINT AS d FROM v, c10 c),
+w AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(e, ',')) AS centroid_sha256 FROM w
+"""
+)
+
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
@@ -102,6 +124,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_license_scan": op2_license_scan,
@@ -113,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_exact_search": op9_exact_search,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-ORACLES: dict[str, str] = {"op4_source_mixing": OP4_SQL, "op8_warc": OP8_SQL, "op9_exact_search": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_source_mixing": OP4_SQL, "op8_warc": OP8_SQL, "op9_exact_search": OP9_SQL, "op13_centroid_clustering": OP13_SQL}
