@@ -19,6 +19,8 @@ from .near_search import near_top_k
 from .ngram_join import jaccard_join
 from .secret_scan import scan_secrets
 from .sentencepiece_coding import encode_texts
+from .toxicity import fit as fit_toxicity
+from .toxicity import toxicity
 from .warc import archived
 
 #: op4: sizes, the fixed point of the capped shares, and the same hash-seeded draw.
@@ -151,6 +153,12 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit_toxicity(documents.where(~held_out()).select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity(documents, model, ["doc_id", held_out().alias("held_out")])
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "embeddings"))
 
@@ -167,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_search": op9_exact_search,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_toxicity": op12_toxicity,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
