@@ -10,17 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# The forms of the marked-up specification.
-HEADER = r"^(#{1,6})\s+(.*?)\s*(?:\{(.+?)\})?\s*$"
-RULE_MARKER = r"\[\^((?U)\w{4})\]"
-EXAMPLE_MARKER = r"\[\^(eg\d{3})\]"
-ANY_TAG = r"\[\^(?:(?U:\w{4})|eg\d{3})\]"
-LINK = r"\[[^\]]*\]\(#([\w-]+)\)"
-COMMENTARY = r'^\s*!!!\s+meta\s+"Commentary"'
-EXAMPLE_HEAD = r"^\*\*Example\[\^(eg\d{3})\]\*\*:?\s*(.*)$"
-VERDICT = r"<!--\s*(GOOD|OK|BAD)(?:\[#([\w_]+)\])?\s*:?\s*(.*?)\s*-->"
-LIST_ITEM = r"^\s*(?:[-*+]|\d+\.)\s+"
-SENTENCE_END = r"(?<!\be\.g\.)(?<!\bi\.e\.)(?<!\betc\.)(?<!\bvs\.)(?<!\bcf\.)(?<!\bal\.)(?<!\bDr\.)(?<!\bMr\.)(?<!\bMs\.)(?<!\bSt\.)(?<!\bNo\.)(?<!\bU\.S\.)(?<!\bapprox\.)(?<=[.!?])[\"'\)\]]*\s+(?=[A-Z\(\[\"'*`])"
+# The forms of the marked-up specification. White space, letters and digits are those of all scripts.
+HEADER = r"(?U)^(#{1,6})\s+(.*?)\s*(?:\{(.+?)\})?\s*$"
+RULE_MARKER = r"(?U)\[\^(\w{4})\]"
+EXAMPLE_MARKER = r"(?U)\[\^(eg\d{3})\]"
+ANY_TAG = r"(?U)\[\^(?:\w{4}|eg\d{3})\]"
+LINK = r"(?U)\[[^\]]*\]\(#([\w-]+)\)"
+COMMENTARY = r'(?U)^\s*!!!\s+meta\s+"Commentary"'
+EXAMPLE_HEAD = r"(?U)^\*\*Example\[\^(eg\d{3})\]\*\*:?\s*(.*)$"
+VERDICT = r"(?U)<!--\s*(GOOD|OK|BAD)(?:\[#([\w_]+)\])?\s*:?\s*(.*?)\s*-->"
+LIST_ITEM = r"(?U)^\s*(?:[-*+]|\d+\.)\s+"
+SENTENCE_END = r"(?U)(?<!\be\.g\.)(?<!\bi\.e\.)(?<!\betc\.)(?<!\bvs\.)(?<!\bcf\.)(?<!\bal\.)(?<!\bDr\.)(?<!\bMr\.)(?<!\bMs\.)(?<!\bSt\.)(?<!\bNo\.)(?<!\bU\.S\.)(?<!\bapprox\.)(?<=[.!?])[\"'\)\]]*\s+(?=[A-Z\(\[\"'*`])"
 
 
 def strip(c: Column) -> Column:
@@ -45,12 +45,12 @@ def header_attributes(line: Column) -> Column:
 
 def anchor(attributes: Column) -> Column:
     """The first #anchor of an attribute block."""
-    return empty_to_null(F.regexp_extract(attributes, r"#([\w_]+)", 1))
+    return empty_to_null(F.regexp_extract(attributes, r"(?U)#([\w_]+)", 1))
 
 
 def attribute(attributes: Column, name: str) -> Column:
     """The last name=value of a block, without a closing brace."""
-    values = F.regexp_extract_all(attributes, F.lit(rf"(?<!\w){name}=(\S+)"), F.lit(1))
+    values = F.regexp_extract_all(attributes, F.lit(rf"(?U)(?<!\w){name}=(\S+)"), F.lit(1))
     return F.regexp_replace(F.element_at(F.when(F.size(values) > 0, values), -1), r"\}+$", "")
 
 

@@ -105,13 +105,15 @@ def original(copy: Column) -> Column:
 
 
 def kept_items(items: DataFrame, anchors: DataFrame, rules: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items (spec, subject, where, quote) whose place exists and whose quote is grounded, and the others with a reason."""
-    from .context import beside_texts, grounded
-
-    df = items.withColumn("__a", F.regexp_extract("where", "^#(.+)$", 1)).withColumn("__r", F.regexp_extract("where", r"^(?:\[\^)?([^#\]]+)\]?$", 1))
-    df = df.join(anchors.select(F.col("slug").alias("__a"), F.lit(True).alias("__x")).distinct(), "__a", "left").join(rules.select(F.col("rule").alias("__r"), F.lit(True).alias("__y")).distinct(), "__r", "left")
-    good = beside_texts(items, documents).select("spec", F.explode(F.filter("quotes", lambda q: grounded(q, F.col("text")))).alias("quote")).withColumn("__good", F.lit(True))
-    df = df.join(good, ["spec", "quote"], "left")
+    """Items (spec, subject, where, quote) whose place exists in their own document and whose quote is grounded in it, and the others with a
+    reason. anchors: spec, slug; rules: spec, rule; documents: spec and the normalized text."""
+    from .context import LEAST_QUOTE, held_quotes, needle
+
+    df = items.withColumn("__a", F.regexp_extract("where", "^#(.+)$", 1)).withColumn("__r", F.regexp_extract("where", r"^(?:\[\^)?([^#\]]+)\]?$", 1)).withColumn("__n", needle(F.col("quote")))
+    df = df.join(anchors.select("spec", F.col("slug").alias("__a"), F.lit(True).alias("__x")).distinct(), ["spec", "__a"], "left")
+    df = df.join(rules.select("spec", F.col("rule").alias("__r"), F.lit(True).alias("__y")).distinct(), ["spec", "__r"], "left")
+    long = df.where(F.length("__n") >= LEAST_QUOTE).select("spec", F.col("__n").alias("quote"))
+    df = df.join(held_quotes(long, documents).select("spec", F.col("quote").alias("__n"), F.lit(True).alias("__good")), ["spec", "__n"], "left")
     reason = F.when(F.col("__x").isNull() & F.col("__y").isNull(), "where").when(F.col("__good").isNull(), "quote")
     df = df.withColumn("reason", reason).select("spec", "subject", "where", "quote", "reason")
     return df.where("reason is null").drop("reason"), df.where("reason is not null")

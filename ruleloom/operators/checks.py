@@ -42,8 +42,8 @@ def annotation(before: DataFrame, after: DataFrame) -> DataFrame:
     cover = count(before, r"\*\*Example\*\*", "expected").join(count(after, r"\*\*Example\[\^eg\d{3}\]\*\*", "tagged"), "spec")
     return all_of(
         violations(first.where("not ok"), "words", "spec", F.concat_ws(" ", "place", "word")),
-        violations(R.repeats(ids, "spec", "rule"), "repeated rule", "rule"),
-        violations(R.repeats(tags, "spec", "rule"), "repeated example", "rule"),
+        violations(R.repeats(ids, "spec", "rule"), "repeated rule", "spec", F.col("rule")),
+        violations(R.repeats(tags, "spec", "rule"), "repeated example", "spec", F.col("rule")),
         violations(cover.where("expected > 0 and tagged <> expected"), "example coverage", "spec", F.concat_ws("/", "tagged", "expected")),
     )
 
@@ -108,13 +108,13 @@ def grouped_again(rules: DataFrame, edges: DataFrame, labels: DataFrame, registr
         want AS (SELECT concat('dim:', label) AS gid, array_sort(collect_set(id)) AS members FROM {labels} GROUP BY label UNION ALL SELECT concat('sec:', path), array_sort(collect_set(rule)) FROM placed GROUP BY path),
         have AS (SELECT gid, array_sort(members) AS members FROM {groups}),
         seen AS (SELECT src, dst, relation, subtype, direction, array_join(via, ',') AS via FROM {edges})
-        SELECT 'identifiers' AS check, CAST(rule AS STRING) AS subject, 'missing' AS detail FROM {inventory} WHERE rule NOT IN (SELECT rule FROM {rules})
-        UNION ALL SELECT 'identifiers', CAST(rule AS STRING), 'extra' FROM {rules} WHERE rule NOT IN (SELECT rule FROM {inventory})
-        UNION ALL SELECT 'unknown end', CAST(rule AS STRING), NULL FROM (SELECT src AS rule FROM {edges} UNION SELECT dst FROM {edges}) WHERE rule NOT IN (SELECT rule FROM {rules})
+        SELECT 'identifiers' AS check, CAST(rule AS STRING) AS subject, 'missing' AS detail FROM {inventory} i LEFT ANTI JOIN {rules} r ON r.rule = i.rule
+        UNION ALL SELECT 'identifiers', CAST(rule AS STRING), 'extra' FROM {rules} r LEFT ANTI JOIN {inventory} i ON r.rule = i.rule
+        UNION ALL SELECT 'unknown end', CAST(rule AS STRING), NULL FROM (SELECT src AS rule FROM {edges} UNION SELECT dst FROM {edges}) e LEFT ANTI JOIN {rules} r ON r.rule = e.rule
         UNION ALL SELECT 'loop', CAST(src AS STRING), NULL FROM {edges} WHERE src = dst
         UNION ALL SELECT 'no mirror', concat_ws('>', src, dst), relation FROM seen e WHERE NOT EXISTS (SELECT 1 FROM seen b WHERE b.src = e.dst AND b.dst = e.src AND b.relation <=> e.relation AND b.subtype <=> e.subtype AND b.via <=> e.via
           AND b.direction = CASE e.direction WHEN 'out' THEN 'in' WHEN 'in' THEN 'out' ELSE 'none' END)
-        UNION ALL SELECT 'unknown label', CAST(id AS STRING), label FROM {labels} WHERE label NOT IN (SELECT key FROM {registry})
+        UNION ALL SELECT 'unknown label', CAST(id AS STRING), label FROM {labels} l LEFT ANTI JOIN {registry} g ON g.key = l.label
         UNION ALL SELECT 'no label', CAST(r.rule AS STRING), NULL FROM {rules} r LEFT ANTI JOIN held h ON h.id = r.rule
         UNION ALL SELECT 'shares_dimension', concat_ws('>', s.src, s.dst), 'missing' FROM share s LEFT ANTI JOIN {edges} e ON e.relation = 'shares_dimension' AND e.src = s.src AND e.dst = s.dst AND e.via = s.via
         UNION ALL SELECT 'shares_dimension', concat_ws('>', e.src, e.dst), 'extra' FROM {edges} e LEFT ANTI JOIN share s ON e.src = s.src AND e.dst = s.dst AND e.via = s.via WHERE e.relation = 'shares_dimension'
@@ -127,16 +127,6 @@ def grouped_again(rules: DataFrame, edges: DataFrame, labels: DataFrame, registr
     )
 
 
-def quotes(quoted: DataFrame, documents: DataFrame, anchors: DataFrame, rules: DataFrame) -> DataFrame:
-    """(spec, subject, where, quote): places that are no #anchor or [^rule], and quotes that the normalized document lacks."""
-    from .context import grounded
-
-    place = quoted.withColumn("anchor", F.regexp_extract("where", "^#(.+)$", 1)).withColumn("rule", F.regexp_extract("where", r"^\[\^(.+)\]$", 1))
-    place = place.join(anchors.select(F.col("slug").alias("anchor"), F.lit(True).alias("ok1")).distinct(), "anchor", "left").join(rules.select("rule", F.lit(True).alias("ok2")).distinct(), "rule", "left")
-    found = quoted.join(documents.select("spec", "text"), "spec").where(~grounded(F.col("quote"), F.col("text")))
-    return all_of(violations(place.where("ok1 is null and ok2 is null"), "where", "subject", F.col("where")), violations(found, "quote", "subject", F.col("quote")))
-
-
 def verdicts(table: DataFrame, conditions: list[str]) -> DataFrame:
     """condition, verdict (PASS, FAIL), n for each condition, from its violations."""
     names = table.sparkSession.createDataFrame([(c,) for c in conditions], "condition string")

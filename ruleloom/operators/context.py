@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ruleloom.functions import text as T
 
@@ -28,34 +34,73 @@ def searchable(passages: DataFrame, normal: Column | None = None) -> tuple[DataF
     return df.groupBy("spec").agg(text.alias("text")), spans
 
 
-#: Groups that a document's quotes are dealt to; a text is copied once for each group and not for each quote.
-GROUPS = 8
+#: Quotes of a document that one automaton holds; a document with more is read once for each group of so many.
+QUOTES = 1 << 17
 #: Characters of a stretch by which occurrences and passages meet.
 STRETCH = 1024
 
 
-def beside_texts(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """spec, quotes, text: a document's distinct quotes in a few groups, each with the text, which is searched for all of them."""
-    groups = quotes.select("spec", "quote").where("quote is not null").groupBy("spec", F.pmod(F.xxhash64("quote"), F.lit(GROUPS)).alias("__g")).agg(F.collect_set("quote").alias("quotes"))
-    return groups.join(texts.select("spec", "text"), "spec").select("spec", "quotes", "text")
+def _beside(quotes: DataFrame, texts: DataFrame, of: str, schema: str, found: Callable[[object, str], Iterator[tuple]]) -> DataFrame:
+    """What `found` yields for each text of a document and the automaton of the document's distinct quotes.
 
+    Quotes and texts of a document come to one task; the automaton is built once and each text is read once, however many quotes there
+    are and whether or not they overlap. Null and empty quotes are nowhere."""
+    quotes = quotes.select("spec", F.col(of).alias("__q")).where(F.col("__q") != "").distinct()
+    groups = quotes.groupBy("spec").agg(F.ceil(F.count("*") / QUOTES).cast("int").alias("__n"))
+    quotes = quotes.join(groups, "spec").select("spec", F.pmod(F.xxhash64("__q"), F.col("__n")).cast("int").alias("__g"), "__q")
+    texts = texts.where("text is not null").join(groups, "spec").withColumn("__g", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    key = quotes.schema["spec"].dataType.simpleString()
+
+    def work(needles: pa.Table, held: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if needles.num_rows and held.num_rows:
+            spec = held["spec"][0].as_py()
+            automaton = ahocorasick.Automaton()
+            for q in needles["__q"].to_pylist():
+                automaton.add_word(q, q)
+            automaton.make_automaton()
+            for row in held.drop_columns(["spec", "__g"]).to_batches():
+                for values in row.to_pylist():
+                    out += [(spec, *x) for x in found(automaton, values)]
+        return pa.Table.from_pylist([dict(zip(names, x, strict=True)) for x in out], target)
+
+    names = ["spec", *(c.split()[0] for c in schema.split(", "))]
+    target = to_arrow_schema(StructType.fromDDL(f"spec {key}, {schema}"))
+    quotes = quotes.select(F.col("spec").alias("__s"), F.col("__g").alias("__h"), "__q")  # other names, as both sides may come from one table
+    return quotes.groupBy("__s", "__h").cogroup(texts.groupBy("spec", "__g")).applyInArrow(work, f"spec {key}, {schema}")
+
+
+def occurrences(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """spec, quote, start: every place (from 0) of a document's quotes in its text (spec, text), overlapping ones too."""
+
+    def found(automaton, row: dict) -> Iterator[tuple]:
+        return ((q, end - len(q) + 1) for end, q in automaton.iter(row["text"]))
+
+    return _beside(quotes, texts.select("spec", "text"), "quote", "quote string, start bigint", found)
 
-def quote_passages(quotes: DataFrame, texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """spec, quote, passage: the passages that any occurrence of a quote touches, so also quotes across passages.
 
-    Occurrences come from splitting the text at the quote (they don't overlap); they meet the spans of their own stretch of the
-    text, by an equi-join."""
-    needles = quotes.select("spec", "quote").distinct().withColumn("needle", T.normalize(F.replace(F.col("quote"), F.lit("[...]"), F.lit(" ")))).where("needle <> ''")
-    found = beside_texts(needles.select("spec", F.col("needle").alias("quote")), texts).select("spec", "text", F.filter("quotes", lambda q: F.instr(F.col("text"), q) > 0).alias("quotes"))
+def held_quotes(quotes: DataFrame, texts: DataFrame, name: str | None = None) -> DataFrame:
+    """spec, quote (and the text's name): which quotes stand in a document's text, or in each of its texts (spec, name, text)."""
+    more = [name] if name else []
 
-    def begins(q: Column) -> Column:
-        def of(parts: Column) -> Column:
-            ends = F.zip_with(parts, T.starts(parts), lambda p, at: at + F.length(p))
-            return F.transform(F.slice(ends, F.lit(1), F.size(parts) - 1), lambda e, i: e + i * F.length(q))
+    def found(automaton, row: dict) -> Iterator[tuple]:
+        return ((q, *(row[n] for n in more)) for q in {q for _, q in automaton.iter(row["text"])})
 
-        return F.struct(q.alias("needle"), T.with_value(F.split(F.col("text"), F.concat(F.lit(r"\Q"), q, F.lit(r"\E")), -1), of).alias("at"))
+    schema = ", ".join(["quote string", *(f"{n} {texts.schema[n].dataType.simpleString()}" for n in more)])
+    return _beside(quotes, texts.select("spec", *more, "text"), "quote", schema, found).distinct()
 
-    at = found.select("spec", F.explode(F.transform("quotes", begins)).alias("f")).select("spec", "f.needle", F.explode("f.at").alias("low")).withColumn("high", F.col("low") + F.length("needle"))
+
+def needle(quote: Column) -> Column:
+    """A quote as it is looked for: an omission is a blank."""
+    return T.normalize(F.replace(quote, F.lit("[...]"), F.lit(" ")))
+
+
+def quote_passages(quotes: DataFrame, texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """spec, quote, passage: the passages that any occurrence of a quote touches, so also quotes across passages.
+
+    Occurrences meet the spans of their own stretch of the text, by an equi-join."""
+    needles = quotes.select("spec", "quote").distinct().withColumn("needle", needle(F.col("quote"))).where("needle <> ''")
+    at = occurrences(needles.select("spec", F.col("needle").alias("quote")), texts).select("spec", F.col("quote").alias("needle"), F.col("start").alias("low"), (F.col("start") + F.length("quote")).alias("high"))
     stretches = lambda low, high: F.explode(F.sequence(F.floor(low / STRETCH), F.floor(high / STRETCH)))
     left = at.withColumn("__s", stretches(F.col("low"), F.col("high")))
     right = spans.withColumn("__s", stretches(F.col("start"), F.col("end")))
@@ -63,7 +108,11 @@ def quote_passages(quotes: DataFrame, texts: DataFrame, spans: DataFrame) -> Dat
     return met.join(needles, ["spec", "needle"]).select("spec", "quote", "passage").distinct()
 
 
-def grounded(quote: Column, document: Column, least: int = 12) -> Column:
+#: Characters that a normalized quote has at least, to count as evidence.
+LEAST_QUOTE = 12
+
+
+def grounded(quote: Column, document: Column, least: int = LEAST_QUOTE) -> Column:
     """Whether a normalized quote of at least so many characters stands in the normalized document."""
     n = T.folded(F.replace(quote, F.lit("[...]"), F.lit(" ")))
     return F.coalesce((F.length(n) >= least) & (F.instr(document, n) > 0), F.lit(False))

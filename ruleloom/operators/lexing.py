@@ -1,7 +1,8 @@
 """Structure recovery: fences, sections, blocks, sentences, markers, examples, links and commentary from (spec, ln, line).
 
 All state is kept by window functions over one document's lines, so the work is dealt out by document and no driver loop or
-self join is needed; a tree of sections takes six running maxima, one for each heading level.
+self join is needed; a tree of sections takes six running maxima, one for each heading level. Where documents may be huge, `chunk`
+(lines) deals the lines of one document out too: fences, sections, innermost and blocks then go by chunks of lines, with the same results.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ruleloom.functions import text as T
 
+from . import chunks
+from .chunks import scan
+
 LEVELS = range(1, 7)
 
 def _by():
@@ -40,9 +44,11 @@ def simple_fences(lines: DataFrame, is_fence: Column | None = None) -> DataFrame
     return lines.withColumn("__m", mark.cast("int")).withColumn("fenced", (F.col("__m") == 1) | (F.sum("__m").over(_so_far()) % 2 == 1)).drop("__m")
 
 
-def fences(lines: DataFrame) -> DataFrame:
+def fences(lines: DataFrame, chunk: int | None = None) -> DataFrame:
     """fenced by ~~~ or, outside those, ```; the fence lines are fenced."""
     head = F.regexp_replace("line", r"(?U)^\s+", "")
+    if chunk is not None:
+        return chunks.fences(lines, head.startswith("~~~"), head.startswith("```"), chunk)
     df = lines.withColumn("__t", head.startswith("~~~").cast("int")).withColumn("__in", F.sum("__t").over(_so_far()) % 2 == 1)
     df = df.withColumn("__k", (~F.col("__in") & (F.col("__t") == 0) & head.startswith("```")).cast("int"))
     return df.withColumn("fenced", (F.col("__t") == 1) | F.col("__in") | (F.col("__k") == 1) | (F.sum("__k").over(_so_far()) % 2 == 1)).drop("__t", "__in", "__k")
@@ -57,16 +63,18 @@ def headings(lines: DataFrame) -> DataFrame:
     return heads.select("spec", "ln", *last, T.header_level(F.col("line")).alias("level"), F.coalesce(T.anchor(attributes), T.slug(title)).alias("slug"), title.alias("title"), T.attribute(attributes, "authority").alias("own_authority"), T.attribute(attributes, "tags").alias("own_tags"))
 
 
-def section_tree(heads: DataFrame) -> DataFrame:
+def section_tree(heads: DataFrame, chunk: int | None = None) -> DataFrame:
     """spec, index, level, slug, title, path, authority, tags, parent, header_line, end_line, child_start.
 
     Of heads (spec, ln, level, slug, title, own_authority, own_tags, and last, the document's last line). The open section of level m
     before a heading is the last one of that level if no heading of a smaller level came after it; the open ones of
     smaller levels are the ancestors. A child's authority and tags are its own or those of the nearest ancestor that has some."""
     here = F.struct("ln", "index", "slug", "own_authority", "own_tags")
-    df = heads.withColumn("index", F.row_number().over(_by()) - 1)
+    df = scan(heads, {"index": ("total", F.lit(1))}, chunk).withColumn("index", (F.col("index") - 1).cast("int"))
+    wanted = {"__next": ("following", F.struct("ln", "level"))}
     for m in LEVELS:
-        df = df.withColumn(f"__l{m}", F.max(F.when(F.col("level") == m, here)).over(_before())).withColumn(f"__n{m}", F.min(F.when(F.col("level") == m, F.col("ln"))).over(_after()))
+        wanted |= {f"__l{m}": ("highest_before", F.when(F.col("level") == m, here)), f"__n{m}": ("lowest_after", F.when(F.col("level") == m, F.col("ln")))}
+    df = scan(df, wanted, chunk)
     open_ = []
     for m in LEVELS:
         above = [F.coalesce(F.col(f"__l{j}.ln"), F.lit(0)) for j in range(1, m)]
@@ -82,13 +90,14 @@ def section_tree(heads: DataFrame) -> DataFrame:
     df = df.withColumn("authority", F.coalesce("own_authority", last(chain("own_authority")))).withColumn("tags", F.coalesce("own_tags", last(chain("own_tags")))).withColumn("__end", F.least(*ends) - 1)
     df = df.withColumn("end_line", F.coalesce("__end", "last"))
     # the first child is the next heading if that lies deeper
-    child = F.lead("ln").over(_by())
-    df = df.withColumn("child_start", F.when(F.lead("level").over(_by()) > F.col("level"), child))
+    df = df.withColumn("child_start", F.when(F.col("__next.level") > F.col("level"), F.col("__next.ln")))
     return df.select("spec", "index", "level", "slug", "title", "path", "authority", "tags", "parent", F.col("ln").alias("header_line"), "end_line", "child_start")
 
 
-def sections(lines: DataFrame) -> DataFrame:
+def sections(lines: DataFrame, chunk: int | None = None) -> DataFrame:
     """The section tree of fenced lines."""
+    if chunk is not None:
+        return section_tree(headings(lines).join(lines.groupBy("spec").agg(F.max("ln").alias("last")), "spec"), chunk)
     return section_tree(headings(lines.withColumn("last", F.max("ln").over(Window.partitionBy("spec")))))
 
 
@@ -102,20 +111,20 @@ def slugs(tree: DataFrame) -> DataFrame:
     return tree.groupBy("spec", "slug").agg(F.min("index").alias("index"))
 
 
-def innermost(lines: DataFrame, tree: DataFrame) -> DataFrame:
+def innermost(lines: DataFrame, tree: DataFrame, chunk: int | None = None) -> DataFrame:
     """Lines with `section`, the index of the innermost section (null before the first heading). Sections nest, so it is the last that began."""
     marked = lines.join(tree.select("spec", F.col("header_line").alias("ln"), "index"), ["spec", "ln"], "left")
-    return marked.withColumn("section", F.last("index", ignorenulls=True).over(_so_far())).drop("index")
+    return scan(marked, {"section": ("last", F.col("index"))}, chunk).drop("index")
 
 
-def blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def blocks(lines: DataFrame, chunk: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Wrapped lines joined: (spec, block, first, last, text) and the place of each line (spec, ln, block, offset).
 
     A block ends at a fenced or blank line, a heading or a commentary head; a list item begins another."""
     stop = F.col("fenced") | _blank(F.col("line")) | F.col("line").rlike(T.HEADER) | F.col("line").rlike(T.COMMENTARY)
-    df = lines.withColumn("__stop", stop)
-    new = ~F.col("__stop") & (F.col("line").rlike(T.LIST_ITEM) | F.coalesce(F.lag("__stop").over(_by()), F.lit(True)))
-    df = df.withColumn("block", F.sum(new.cast("int")).over(_so_far()) - 1).where(~F.col("__stop")).withColumn("piece", T.strip(F.col("line")))
+    df = scan(lines.withColumn("__stop", stop), {"__was": ("previous", F.col("__stop"))}, chunk)
+    new = ~F.col("__stop") & (F.col("line").rlike(T.LIST_ITEM) | F.coalesce("__was", F.lit(True)))
+    df = scan(df, {"block": ("total", new.cast("int"))}, chunk).withColumn("block", F.col("block") - 1).drop("__was").where(~F.col("__stop")).withColumn("piece", T.strip(F.col("line")))
     inside = Window.partitionBy("spec", "block").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
     places = df.select("spec", "ln", "block", F.coalesce(F.sum(F.length("piece") + 1).over(inside), F.lit(0)).alias("offset"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", "piece"))), lambda x: x["piece"]), " ")
@@ -224,11 +233,11 @@ def example_bodies(lines: DataFrame) -> DataFrame:
 
     The close is the first later line of at least as many of the fence's characters. Not found: last and text are null. What
     follows a head or an opening is looked up by windows, so that a document's heads never meet all its fences."""
-    fence = F.regexp_extract("line", r"^\s*(~{3,}|`{3,})", 1)
+    fence = F.regexp_extract("line", r"(?U)^\s*(~{3,}|`{3,})", 1)
     heads = examples(lines).select("spec", "ln", "example")
-    stop = (fence != "") | F.col("line").rlike(r"^#{1,6}\s") | T.strip(F.col("line")).rlike(T.EXAMPLE_HEAD)
+    stop = (fence != "") | F.col("line").rlike(r"(?U)^#{1,6}\s") | T.strip(F.col("line")).rlike(T.EXAMPLE_HEAD)
     df = lines.withColumn("__fence", fence).withColumn("__open", F.first(F.when(stop, F.struct("ln", F.col("__fence").alias("fence"))), ignorenulls=True).over(_after()))
-    bare = F.col("line").rlike(r"^\s*(~{3,}|`{3,})\s*$")
+    bare = F.col("line").rlike(r"(?U)^\s*(~{3,}|`{3,})\s*$")
     opened = df.join(heads, ["spec", "ln"]).select("spec", "example", F.col("ln").alias("first"), F.col("__open").alias("open"))
     spans = opened.withColumn("problem", F.when(F.col("open").isNull() | (F.col("open.fence") == ""), "no fenced body"))
     wanted = spans.where("problem is null").select("spec", F.col("open.ln").alias("ln"), F.left("open.fence", F.lit(1)).alias("mark"), F.length("open.fence").alias("width")).distinct()

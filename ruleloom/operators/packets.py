@@ -57,8 +57,7 @@ def derived_contexts(tree: DataFrame, passages: DataFrame, bodies: DataFrame, ru
     held = said.join(base, key).join(normal, ["spec", "passage"]).where("instr(n, quote) > 0").select(*key, "quote").distinct()
     open_ = said.join(held, [*key, "quote"], "left_anti").checkpoint()
     found = C.quote_passages(open_, *C.searchable(passages)).join(open_, ["spec", "quote"]).select(*key, "quote", "passage").checkpoint()
-    inside = C.beside_texts(open_, bodies.select("spec", T.normalize(F.col("text")).alias("text"), "example").groupBy("spec").agg(F.collect_list(F.struct("example", "text")).alias("text")))
-    inside = inside.select("spec", F.explode("quotes").alias("quote"), "text").select("spec", "quote", F.explode(F.filter("text", lambda b: F.instr(b["text"], F.col("quote")) > 0)).alias("b")).select("spec", "quote", "b.example")
+    inside = C.held_quotes(open_, bodies.select("spec", "example", T.normalize(F.col("text")).alias("text")), "example")
     inside = inside.join(open_, ["spec", "quote"]).select(*key, "quote", "example").checkpoint()
     every = union(base, found.select(*key, "passage")).distinct()
     tags = passages.select("spec", "passage", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(T.EXAMPLE_MARKER), F.lit(1)))).alias("example"))

@@ -279,12 +279,7 @@ def annotation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(k == 2, "**Example** ").otherwise("**Example[^eg001]** ")
     tail = F.when(k == 1, " more").when(k == 3, "[^ab12] [^ab12]").when(k == 4, "[^eg001]").otherwise("[^ab12]")
     after = docs.withColumn("text", F.concat(head, F.substring("text", 13, 1 << 30), tail))
-    found = K.annotation(docs, after)
-    by_spec = after.select("spec", F.explode(F.array(F.lit("ab12"), F.lit("eg001"))).alias("rule"), k.alias("k"))
-    repeated = by_spec.where("(k = 3 and rule = 'ab12') or (k = 4 and rule = 'eg001')")
-    n = found.where(F.col("check").startswith("repeated")).groupBy("check").agg(F.count("*").alias("n"))
-    named = repeated.select(F.when(F.col("rule") == "ab12", "repeated rule").otherwise("repeated example").alias("check"), F.col("spec").cast("string").alias("subject")).join(n, "check")
-    return found.where(~F.col("check").startswith("repeated")).select("check", "subject").unionByName(named.select("check", "subject"))
+    return K.annotation(docs, after).select("check", "subject")
 
 
 @query("""SELECT "check", subject FROM (SELECT id AS subject, ln, authority, unnest(['identifiers', 'modality', 'blank field', 'unknown example', 'sections', 'authority term']) AS "check" FROM R) WHERE ("check" = 'identifiers' AND ln % 13 = 1) OR ("check" <> 'identifiers' AND ln % 13 <> 1 AND

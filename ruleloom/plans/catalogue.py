@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import artifacts, assembled, graph, lexical, verifier
+from . import artifacts, assembled, graph, large, lexical, verifier
 
-QUERIES: dict = {**lexical.QUERIES, **graph.QUERIES, **assembled.QUERIES, **verifier.QUERIES, **artifacts.QUERIES}
-ORACLES: dict[str, str] = {**lexical.ORACLES, **graph.ORACLES, **assembled.ORACLES, **verifier.ORACLES, **artifacts.ORACLES}
+QUERIES: dict = {**lexical.QUERIES, **graph.QUERIES, **assembled.QUERIES, **verifier.QUERIES, **artifacts.QUERIES, **large.QUERIES}
+ORACLES: dict[str, str] = {**lexical.ORACLES, **graph.ORACLES, **assembled.ORACLES, **verifier.ORACLES, **artifacts.ORACLES, **large.ORACLES}

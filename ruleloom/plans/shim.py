@@ -18,7 +18,7 @@ from ruleloom.sources.lines import lines_of
 AUTHORITY = "CASE (doc_id + ln) % 7 WHEN 0 THEN 'root' WHEN 1 THEN 'system' WHEN 2 THEN 'developer' WHEN 3 THEN 'user' WHEN 4 THEN 'guideline' END"
 
 #: L: lines; H: headings; T: section tree with path and authority; R: rules; B: labels of rules.
-SQL = f"""WITH RECURSIVE A AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS a FROM documents),
+SQL = f"""WITH RECURSIVE A AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n|[\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), chr(10)) AS a FROM documents),
 L0 AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS ln, len(a) AS n FROM A),
 L AS (SELECT doc_id, ln, line FROM L0 WHERE NOT (ln = n AND line = '')),
 E AS (SELECT doc_id, max(ln) AS last FROM L GROUP BY doc_id),

@@ -99,3 +99,79 @@ def test_empty_input(spark):
     ls = lines(spark)
     tree = L.sections(ls)
     assert tree.count() == L.blocks(ls)[0].count() == L.markers(ls).count() == L.passages(ls, L.example_bodies(ls), tree).count() == 0
+
+
+# --- large documents ----------------------------------------------------------------------------------------------------
+
+
+def random_documents(seed, n=6):
+    import random
+
+    rng = random.Random(seed)
+    some = ["", " ", "text here.", "- item", "1. item", "~~~", "  ~~~", "```", "```python", "# One {#a authority=user}", "## Two", "### Three {#c tags=x}", "# Four", "###### Six", '!!! meta "Commentary"', "    body", "more text"]
+    return ["\n".join(rng.choice(some) for _ in range(rng.randrange(1, 60))) for _ in range(n)]
+
+
+def test_chunks_of_any_size_give_the_same_rows(spark):
+    plain = lines_of(spark.createDataFrame(list(enumerate(random_documents(1))), "spec int, text string"), "spec", "text").cache()
+
+    def found(chunk):
+        fenced = L.fences(plain, chunk)
+        tree = L.sections(fenced, chunk)
+        inner = L.innermost(fenced, tree, chunk)
+        whole, places = L.blocks(fenced, chunk)
+        return [sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr) for df in (fenced, tree, inner, whole, places)]
+
+    want = found(None)
+    assert sum(map(len, want)) > 300
+    for chunk in (1, 3, 16, 1000):
+        assert found(chunk) == want, chunk
+
+
+def test_a_huge_document_is_dealt_to_many_tasks(spark):
+    df = spark.range(1, 200_001).select(F.lit(1).alias("spec"), F.col("id").alias("ln"), F.when(F.col("id") % 1000 == 1, "# H").when(F.col("id") % 777 == 0, "~~~").otherwise("text").alias("line"))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(was, ("false", "16"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        tasks = L.fences(df, 4096).groupBy(F.spark_partition_id()).count().collect()
+        tree = L.sections(L.fences(df, 4096), 64)
+        assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 60_000
+        assert tree.count() == L.sections(L.fences(df)).count() > 90
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+# --- files --------------------------------------------------------------------------------------------------------------
+
+
+def test_lines_of_split_files_equal_splitlines(spark, tmp_path):
+    from ruleloom.sources.lines import lines_from_files
+
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", " ", " "]
+    texts = {"a": "".join(f"é{i}ü{ends[i % 11]}" for i in range(60)), "b": "one\r\n\r\ntwo", "c": "x\x0b", "d": "x\x0b\n", "e": "x\r", "f": "\n\n", "g": "", "h": "\r\r\n\n\r", "i": "€ €", "j": "\x0b\x0b", "k": "no end é"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.md").write_bytes(text.encode())
+    want = sorted((f"{name}.md", i, line) for name, text in texts.items() for i, line in enumerate(text.splitlines(), 1))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1", "2", "3", "7", "64", was):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert sorted(map(tuple, lines_from_files(spark, str(tmp_path)).collect())) == want, size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    rows_ = spark.createDataFrame([(n, t) for n, t in texts.items()] + [("z", None)], "spec string, text string")
+    assert sorted((f"{r.spec}.md", r.ln, r.line) for r in lines_of(rows_, "spec", "text").collect()) == want
+
+
+# --- forms in all scripts -----------------------------------------------------------------------------------------------
+
+
+def test_forms_take_letters_and_blanks_of_all_scripts(spark):
+    doc = '# Über {#résumé authority=user}\nsee [x](#été) and [^ñ123]\n1. item\n !!! meta "Commentary"\n    note'
+    df = lines(spark, doc)
+    assert [(r.slug, r.title) for r in L.headings(df).collect()] == [("résumé", "Über")]
+    assert [r.anchor for r in L.links(df).collect()] == ["été"] and [r.rule for r in L.markers(df).collect()] == ["ñ123"]
+    assert [r.text for r in L.commentary(df).collect()] == ["note"]
+    assert df.where(F.col("line").rlike(T.LIST_ITEM)).count() == 1

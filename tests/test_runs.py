@@ -87,3 +87,43 @@ def test_artifacts(spark, tmp_path):
     (tmp_path / "f/a.json").write_text(json.dumps({"records": [{"id": "r1", "trigger": "t"}, {"id": "r2"}]}))
     assert sorted((r.file, r.id) for r in A.read_fragments(spark, str(tmp_path / "f")).collect()) == [("a.json", "r1"), ("a.json", "r2"), ("b.json", "r1")]
     assert A.content_hashes(spark, str(tmp_path / "f")).count() == 2
+
+
+def test_overlapping_quotes_are_all_found_and_texts_read_once(spark, monkeypatch):
+    from ruleloom.operators import context as C
+
+    texts = spark.createDataFrame([("a", "ababab aba"), ("a", "xaba"), ("b", "aba"), ("c", None), ("d", "")], "spec string, text string")
+    quotes = spark.createDataFrame([("a", "aba"), ("a", "ab"), ("a", "aba"), ("a", ""), ("a", None), ("b", "b"), ("b", "nowhere"), ("c", "x"), (None, "aba")], "spec string, quote string")
+
+    def plain():
+        out = []
+        for s, t in [tuple(r) for r in texts.collect()]:
+            for q in {q for s2, q in map(tuple, quotes.collect()) if s2 == s and q}:
+                out += [(s, q, i) for i in range(len(t or "")) if (t or "").startswith(q, i)]
+        return sorted(out)
+
+    for size in (C.QUOTES, 1):
+        monkeypatch.setattr(C, "QUOTES", size)
+        assert sorted(map(tuple, C.occurrences(quotes, texts).collect())) == plain() and len(plain()) > 8
+    named = texts.withColumn("name", F.concat("spec", F.lit("!")))
+    assert sorted(map(tuple, C.held_quotes(quotes, named, "name").collect())) == [("a", "ab", "a!"), ("a", "aba", "a!"), ("b", "b", "b!")]
+
+
+def test_evidence_of_another_document_is_no_evidence(spark):
+    from ruleloom.operators import assembly as A
+
+    items = spark.createDataFrame([(1, "x", "#only_in_2", "a quote long enough"), (2, "y", "#only_in_2", "a quote long enough"), (1, "z", "[^aa22]", "a quote long enough"), (1, "w", "[^aa11]", "short"), (1, "v", "[^aa11]", "a quote [...] long ﬁ")], "spec int, subject string, where string, quote string")
+    anchors = spark.createDataFrame([(2, "only_in_2")], "spec int, slug string")
+    rules = spark.createDataFrame([(1, "aa11"), (2, "aa22")], "spec int, rule string")
+    documents = spark.createDataFrame([(1, "this is a quote long enough and a quote long fi"), (2, "a quote long enough")], "spec int, text string")
+    good, bad = A.kept_items(items, anchors, rules, documents)
+    assert sorted(r.subject for r in good.collect()) == ["v", "y"]
+    assert sorted((r.subject, r.reason) for r in bad.collect()) == [("w", "quote"), ("x", "where"), ("z", "where")]
+
+
+def test_repeated_tags_name_their_document(spark):
+    from ruleloom.operators import checks as K
+
+    before = spark.createDataFrame([(1, "a b"), (2, "a b")], "spec int, text string")
+    after = spark.createDataFrame([(1, "a[^ab12] b[^ab12]"), (2, "a[^ab12] b[^eg001][^eg001]")], "spec int, text string")
+    assert sorted(map(tuple, K.annotation(before, after).collect())) == [("repeated example", "2", "eg001"), ("repeated rule", "1", "ab12")]
