@@ -168,9 +168,9 @@ def dossiers(rules: DataFrame, labels: DataFrame, memberships: DataFrame, edges:
 
 
 def section_payloads(rules: DataFrame, jobs: DataFrame) -> DataFrame:
-    """job, sections [(start, path, rules)]: rules (path, rule, start) of each packet's sections, by first line (none first)."""
-    by = rules.groupBy("path").agg(F.min(F.coalesce("start", F.lit(0))).alias("start"), F.array_sort(F.collect_set("rule")).alias("rules"))
-    return by.join(jobs, "path").groupBy("job").agg(F.sort_array(F.collect_list(F.struct("start", "path", "rules"))).alias("sections"))
+    """job, sections [(spec, start, path, rules)]: rules (spec, path, rule, start) of each packet's sections, by first line (none first)."""
+    by = rules.groupBy("spec", "path").agg(F.min(F.coalesce("start", F.lit(0))).alias("start"), F.array_sort(F.collect_set("rule")).alias("rules"))
+    return by.join(jobs, ["spec", "path"]).groupBy("job").agg(F.sort_array(F.collect_list(F.struct("spec", "start", "path", "rules"))).alias("sections"))
 
 
 def dimension_payloads(labels: DataFrame, registry: DataFrame, least: int = 2) -> DataFrame:

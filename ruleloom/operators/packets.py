@@ -135,14 +135,15 @@ def grouped_records(rules: DataFrame, contexts: DataFrame, enriched: DataFrame,
 def section_jobs(records: DataFrame, contexts: DataFrame, edges: DataFrame, jobs: DataFrame, spans: DataFrame) -> DataFrame:
     """job_id, rule_count, section_count, sections: every packet's sections by first line with whole entries of their rules.
 
-    records: spec, rule and fields; jobs: path, job; spans: path, start_line, end_line; edges: spec, src, dst, anchor, quote."""
+    records: spec, rule and fields; jobs: spec, path, job; spans: spec, path, start_line, end_line; edges: spec, src, dst, anchor, quote."""
     key = ["spec", "rule"]
     xref = edges.groupBy("spec", F.col("src").alias("rule")).agg(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("target_id"), "anchor", F.col("quote").alias("citing_sentence")))).alias("cross_reference_edges"))
     df = records.drop("sections").join(contexts, key).join(xref, key, "left").withColumn("path", F.array_join("sections", "/"))
     entry = F.struct("rule", *(c for c in df.columns if c not in ("spec", "rule", "path")))
-    by = df.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("rule", entry.alias("e")))).alias("r")).join(jobs, "path").join(spans, "path", "left")
-    section = F.struct(F.coalesce("start_line", F.lit(0)).alias("start_line"), F.col("path").alias("section_path"), "end_line", F.transform("r", lambda x: x["rule"]).alias("marker_ids"), F.transform("r", lambda x: x["e"]).alias("rules"))
-    sections = F.array_sort(F.collect_list(section), lambda a, b: F.when(a["start_line"] < b["start_line"], -1).when(a["start_line"] > b["start_line"], 1).when(a["section_path"] < b["section_path"], -1).otherwise(1))
+    place = ["spec", "path"]
+    by = df.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("rule", entry.alias("e")))).alias("r")).join(jobs, place).join(spans, place, "left")
+    section = F.struct("spec", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.col("path").alias("section_path"), "end_line", F.transform("r", lambda x: x["rule"]).alias("marker_ids"), F.transform("r", lambda x: x["e"]).alias("rules"))
+    sections = F.array_sort(F.collect_list(section), lambda a, b: F.when(F.struct(a["spec"], a["start_line"], a["section_path"]) < F.struct(b["spec"], b["start_line"], b["section_path"]), -1).otherwise(1))
     return by.groupBy(F.col("job").alias("job_id")).agg(F.sum(F.size("r")).alias("rule_count"), F.count("*").alias("section_count"), sections.alias("sections"))
 
 

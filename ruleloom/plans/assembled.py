@@ -148,11 +148,12 @@ def dimension_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.dimension_payloads(shim.labels(spark, sf_dir), registry).select("key", "title", F.size("members").cast("long").alias("n"))
 
 
-@query(PACKED + "SELECT 'job' || lpad(p.job::VARCHAR, 2, '0') AS job, count(*)::BIGINT AS sections, string_agg(p.path, ',' ORDER BY s.start, p.path) AS paths FROM PK p JOIN (SELECT path, min(coalesce(owner, 0)) AS start FROM R GROUP BY path) s USING (path) WHERE p.k > 0 GROUP BY p.job")
+@query(PACKED + "SELECT 'job' || lpad(p.job::VARCHAR, 2, '0') AS job, count(*)::BIGINT AS sections, string_agg(p.path, ',' ORDER BY p.doc_id, s.start, p.path) AS paths FROM PK p JOIN (SELECT doc_id, path, min(coalesce(owner, 0)) AS start FROM R GROUP BY doc_id, path) s USING (doc_id, path) WHERE p.k > 0 GROUP BY p.job")
 def section_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets by the packing's strict order of choices; a packet's sections by first line."""
-    r = shim.rules(spark, sf_dir).where("path <> ''").select("path", F.col("id").alias("rule"), F.col("owner").alias("start"))
-    jobs = P.packed(r.groupBy("path").agg(F.count("*").alias("n")), 12)
+    shim.shared_folder(spark)
+    r = shim.rules(spark, sf_dir).where("path <> ''").select("spec", "path", F.col("id").alias("rule"), F.col("owner").alias("start"))
+    jobs = P.packed(r.groupBy("spec", "path").agg(F.count("*").alias("n")), 12, ("spec", "path"))
     return A.section_payloads(r, jobs).select("job", F.size("sections").cast("long").alias("sections"), F.array_join(F.transform("sections", lambda x: x["path"]), ",").alias("paths"))
 
 
@@ -264,13 +265,13 @@ def dossier_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["dossier_records"] = ORACLES["dossier_records"].replace(shim.SQL, shim.SQL + ", PG AS (SELECT doc_id, owner, run FROM (SELECT doc_id, owner, run, dense_rank() OVER (PARTITION BY doc_id, owner ORDER BY run) AS k FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ln) AS run FROM (SELECT r.*, (coalesce(lag(ln) OVER (PARTITION BY doc_id ORDER BY ln), -1) <> ln - 1)::INT AS new FROM R r))) WHERE k <= 3 GROUP BY ALL) ")
 
 
-@query(PACKED + "SELECT 'job' || lpad(p.job::VARCHAR, 2, '0') AS job_id, sum(s.n)::BIGINT AS rule_count, count(*)::BIGINT AS section_count, string_agg(s.rules, '/' ORDER BY s.start, p.path) AS rules FROM PK p JOIN (SELECT path, min(coalesce(owner, 0)) AS start, count(*) AS n, string_agg('t' || ln, ',' ORDER BY 'm' || lpad(((doc_id * 31 + ln * 7) % 1000)::VARCHAR, 3, '0'), doc_id) AS rules FROM R WHERE doc_id % 40 = 3 GROUP BY path) s USING (path) WHERE p.k > 0 GROUP BY p.job".replace(" WHERE doc_id % 40 = 3", ""))
+@query(PACKED + "SELECT 'job' || lpad(p.job::VARCHAR, 2, '0') AS job_id, sum(s.n)::BIGINT AS rule_count, count(*)::BIGINT AS section_count, string_agg(s.rules, '/' ORDER BY p.doc_id, s.start, p.path) AS rules FROM PK p JOIN (SELECT doc_id, path, min(coalesce(owner, 0)) AS start, count(*) AS n, string_agg('t' || ln, ',' ORDER BY 'm' || lpad(((doc_id * 31 + ln * 7) % 1000)::VARCHAR, 3, '0')) AS rules FROM R GROUP BY doc_id, path) s USING (doc_id, path) WHERE p.k > 0 GROUP BY p.job")
 def section_job_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of sections with whole entries of their rules."""
     names, records, contexts = _records(spark, sf_dir)
     inside = names.where("path <> ''")
-    jobs = P.packed(inside.groupBy("path").agg(F.count("*").alias("n")), 12)
-    spans = inside.groupBy("path").agg(F.min("owner").alias("start_line"), F.max("ln").alias("end_line"))
+    jobs = P.packed(inside.groupBy("spec", "path").agg(F.count("*").alias("n")), 12, ("spec", "path"))
+    spans = inside.groupBy("spec", "path").agg(F.min("owner").alias("start_line"), F.max("ln").alias("end_line"))
     none = F.lit(None).cast("string")
     edges = names.select("spec", F.col("rule").alias("src"), F.col("rule").alias("dst"), none.alias("anchor"), none.alias("quote")).limit(0)
     order = records.join(names.select("spec", "rule", "path").where("path <> ''"), ["spec", "rule"], "left_semi")

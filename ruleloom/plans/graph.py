@@ -160,18 +160,19 @@ ORACLES["components"] = shim.SQL.rstrip() + ", G AS (SELECT DISTINCT a.id AS a,
 
 
 #: Sections by size (J), and each dealt to the packet with least so far: one step of the recursion for each section.
-PACKED = """, J0 AS (SELECT path, count(*)::BIGINT AS n FROM R WHERE path IS NOT NULL GROUP BY path),
-J AS (SELECT *, row_number() OVER (ORDER BY n DESC, path) AS k FROM J0),
-PK AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS path, list_transform(range(1, 13), lambda x: 0::BIGINT) AS load, 0::BIGINT AS job
-  UNION ALL SELECT j.k, j.path, list_transform(range(1, 13), lambda i: load[i] + CASE WHEN i = list_position(load, list_min(load)) THEN j.n ELSE 0 END), list_position(load, list_min(load))::BIGINT FROM PK JOIN J j ON j.k = PK.k + 1)
+PACKED = """, J0 AS (SELECT doc_id, path, count(*)::BIGINT AS n FROM R WHERE path IS NOT NULL GROUP BY doc_id, path),
+J AS (SELECT *, row_number() OVER (ORDER BY n DESC, doc_id, path) AS k FROM J0),
+PK AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS doc_id, NULL::VARCHAR AS path, list_transform(range(1, 13), lambda x: 0::BIGINT) AS load, 0::BIGINT AS job
+  UNION ALL SELECT j.k, j.doc_id, j.path, list_transform(range(1, 13), lambda i: load[i] + CASE WHEN i = list_position(load, list_min(load)) THEN j.n ELSE 0 END), list_position(load, list_min(load))::BIGINT FROM PK JOIN J j ON j.k = PK.k + 1)
 """
 
 
-@query(PACKED + "SELECT path, 'job' || lpad(job::VARCHAR, 2, '0') AS job FROM PK WHERE k > 0")
+@query(PACKED + "SELECT doc_id AS spec, path, 'job' || lpad(job::VARCHAR, 2, '0') AS job FROM PK WHERE k > 0")
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A strict order of choices over one row for each section path."""
-    jobs = shim.rules(spark, sf_dir).where("path <> ''").groupBy("path").agg(F.count("*").alias("n"))
-    return P.packed(jobs, 12)
+    """A strict order of choices over the sections of all documents."""
+    shim.shared_folder(spark)
+    jobs = shim.rules(spark, sf_dir).where("path <> ''").groupBy("spec", "path").agg(F.count("*").alias("n"))
+    return P.packed(jobs, 12, ("spec", "path"))
 
 
 def _units(spark: SparkSession, sf_dir: str, even: bool) -> DataFrame:

@@ -106,15 +106,38 @@ def test_dominant_label_takes_the_first_met(spark):
     assert P.dominant_labels(m).first().label == "x"
 
 
-def test_packing_matches_a_loop(spark):
-    sizes = [(f"s{i:02d}", (i * 7) % 11 + 1) for i in range(30)]
-    got = {r.path: r.job for r in P.packed(spark.createDataFrame(sizes, "path string, n int"), 4).collect()}
-    load, want = [0] * 4, {}
+def plain_packing(sizes, packets):
+    load, want = [0] * packets, {}
     for path, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
         j = load.index(min(load))
         load[j] += n
         want[path] = f"job{j + 1:02d}"
-    assert got == want
+    return want
+
+
+def test_packing_matches_a_loop(spark):
+    rng = random.Random(4)
+    for packets, sizes in ((4, [(f"s{i:02d}", (i * 7) % 11 + 1) for i in range(30)]), (12, [(f"s{i:04d}", rng.choice([1, 1, 1, 2, 3, 50, 900])) for i in range(900)]), (3, [("a", 5)]), (3, [])):
+        got = {r.path: r.job for r in P.packed(spark.createDataFrame(sizes, "path string, n int").repartition(5), packets).collect()}
+        assert got == plain_packing(sizes, packets)
+
+
+def test_runs_of_a_size_equal_dealing_one_by_one():
+    rng = random.Random(9)
+    for _ in range(300):
+        packets = rng.randrange(1, 9)
+        sizes = sorted({rng.choice([0, 1, 2, 3, 7, 10, 64, 1000]) for _ in range(5)}, reverse=True)
+        classes = [(n, rng.randrange(1, 60)) for n in sizes]
+        runs = list(P.deals(classes, packets))
+        got = [turn[i % len(turn)] for _, _, many, turn in runs for i in range(many)]
+        load, want = [0] * packets, []
+        for n, many in classes:
+            for _ in range(many):
+                j = load.index(min(load))
+                load[j] += n
+                want.append(j)
+        assert got == want
+        assert all(sum(n == m for n, *_ in runs) <= 2 * packets for m, _ in classes)
 
 
 def test_kappa_edges(spark):

@@ -84,8 +84,8 @@ def test_records_payloads_and_packets(spark):
     assert len(c.related_context) == 15 and c.related_context.facets == {"age": "applies"} and c.related_context.section_references[0].anchor == "#right"
     assert [(e.id, e.origin, e.housed_in) for e in c.related_context.examples] == [("eg001", "inventory", "#deep"), ("eg009", "external", "#right")] and c.related_context.examples[0].verdict_notes == ["GOOD[#top]: fine"]
     assert a.related_context.facets["state"] is None and a.related_context.facets["age"] == "unconditional_or_unspecified" and a.dimensions == [] and a.related_context.definitions == []
-    jobs = spark.createDataFrame([("top", "job01"), ("top/left", "job01"), ("top/left/deep", "job02"), ("top/right", "job01")], "path string, job string")
-    spans = spark.createDataFrame([("top", 1, 9), ("top/left", 4, 8), ("top/right", None, None)], "path string, start_line int, end_line int")
+    jobs = spark.createDataFrame([(1, "top", "job01"), (1, "top/left", "job01"), (1, "top/left/deep", "job02"), (1, "top/right", "job01"), (2, "top", "job02")], "spec long, path string, job string")
+    spans = spark.createDataFrame([(1, "top", 1, 9), (1, "top/left", 4, 8), (1, "top/right", None, None)], "spec long, path string, start_line int, end_line int")
     x = edges.where("relation = 'cross_reference'").select("spec", "src", "dst", F.lit("left").alias("anchor"), F.lit("said").alias("quote"))
     got = {r.job_id: r for r in K.section_jobs(rules, context, x, jobs, spans).collect()}
     assert [s.section_path for s in got["job01"].sections] == ["top/right", "top", "top/left"] and got["job01"].rule_count == 3
