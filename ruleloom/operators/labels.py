@@ -88,39 +88,53 @@ def enrichment(labels: DataFrame, rules: DataFrame, linked: DataFrame) -> DataFr
     return df.withColumn("ratio", F.try_divide("observed", "base"))
 
 
+#: Permutations that one digest orders (32 bits each), and tasks that the permutations of one whole set of rules are dealt to.
+_OF_DIGEST, _TASKS = 4, 25
+
+
 def permutation_p(labels: DataFrame, linked: DataFrame, permutations: int = 1000, seed: int = 0) -> DataFrame:
     """One row: observed hits, at_least (permutations with as many), p = (at_least + 1) / (permutations + 1).
 
-    The label sets are dealt anew to the ids in every permutation, by the order of a seeded hash; all permutations run at
-    once, dealt out by permutation. Work is permutations x (rules + pairs)."""
-    sets = labels.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("set"))
-    many = labels.sparkSession.range(permutations).select(F.col("id").alias("perm"))
-    dealt = many.crossJoin(sets.select("set", "id"))
-    place, drawn = Window.partitionBy("perm").orderBy("id"), Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "id"), "id")
-    dealt = dealt.withColumn("k", F.row_number().over(place)).withColumn("d", F.row_number().over(drawn))
-    at = dealt.select("perm", "k", "id").join(dealt.select("perm", F.col("d").alias("k"), "set"), ["perm", "k"]).select("perm", "id", "set")
-    pair = linked.select("a", "b").distinct()
-    met = pair.join(at.select("perm", F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(at.select("perm", F.col("id").alias("b"), F.col("set").alias("sb")), ["perm", "b"])
-    hits = many.join(met.groupBy("perm").agg(F.count_if(F.arrays_overlap("sa", "sb")).alias("hits")), "perm", "left")
-    real = pair.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").agg(F.count_if(F.arrays_overlap("sa", "sb")).alias("observed"))
-    df = hits.crossJoin(real).agg(F.max("observed").alias("observed"), F.count_if(F.coalesce("hits", F.lit(0)) >= F.col("observed")).alias("at_least"))
-    return df.withColumn("p", (F.col("at_least") + 1) / (permutations + 1))
+    The label sets are dealt anew to the ids (those with a label) in every permutation; the permutations are dealt to tasks."""
+    one = lambda df: df.withColumn("__all", F.lit(""))
+    return permutation_p_within(one(labels), one(linked), "__all", permutations, seed, _TASKS)
+
+
+def drawn(ids: list[str], first: int, many: int, seed: int) -> np.ndarray:
+    """Permutations `first` and following as rows of places: the sorted ids in the order of 32 bits of md5(seed:block:id), ties by id.
+
+    Permutation k takes the (k mod 4)th 32 bits of block k div 4, so that it is named by seed, number and id alone."""
+    words = [x.encode() for x in ids]
+    out = []
+    for block in range(first // _OF_DIGEST, -(-(first + many) // _OF_DIGEST)):
+        head = hashlib.md5(f"{seed}:{block}:".encode())
+        digests = []
+        for w in words:
+            h = head.copy()
+            h.update(w)
+            digests.append(h.digest())
+        keys = np.frombuffer(b"".join(digests), ">u4").reshape(len(words), _OF_DIGEST)
+        out.append(np.argsort(keys, axis=0, kind="stable").T)
+    skip = first % _OF_DIGEST
+    return np.concatenate(out)[skip : skip + many]
 
 
-def permutation_p_within(labels: DataFrame, linked: DataFrame, group: str, permutations: int = 1000, seed: int = 0) -> DataFrame:
+def permutation_p_within(labels: DataFrame, linked: DataFrame, group: str, permutations: int = 1000, seed: int = 0, tasks: int = 1) -> DataFrame:
     """permutation_p where label sets are dealt anew within each group only, as where labels are a document's own.
 
-    labels: group, id, label (null for an id without one, which is dealt too); linked: group, a, b. Every group is dealt by its
-    own generator of seed and group, so the result doesn't depend on how rows lie. Work is permutations x (rules + pairs) in
-    arrays; a task returns one row."""
+    labels: group, id, label (null for an id without one, which is dealt too); linked: group, a, b. Permutations are those of drawn(),
+    so the result doesn't depend on how rows lie. Work is permutations x (rules + pairs) in arrays; a group's
+    permutations are dealt to so many tasks, and a task returns one row."""
     sets = labels.groupBy(group).agg(F.collect_set("id").alias("ids"), F.collect_set(F.when(F.col("label").isNotNull(), F.struct("id", "label"))).alias("has"))
     pairs = linked.groupBy(group).agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
-    rows = sets.join(pairs, group).select(F.col(group).cast("string").alias("g"), "ids", "has", "pairs")
+    rows = sets.join(pairs, group).select("ids", "has", "pairs", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("part"))
+    rows = rows.repartition(F.col("part"), F.xxhash64("ids")) if tasks > 1 else rows
+    share = -(-permutations // tasks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits, observed = np.zeros(permutations, np.int64), 0
         for batch in batches:
-            for g, ids, has, pairs in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for ids, has, pairs, part in zip(*(batch.column(i) for i in range(4)), strict=True):
                 ids = pc.take(ids.values, pc.sort_indices(ids.values))
                 has, pairs = has.values, pairs.values
                 names = pc.dictionary_encode(has.field("label"))
@@ -132,12 +146,13 @@ def permutation_p_within(labels: DataFrame, linked: DataFrame, group: str, permu
                 a, b = (x.filter(both).to_numpy() for x in ends)
                 if not len(a):
                     continue
-                observed += int((bits[:, a] & bits[:, b]).any(0).sum())
-                rng = np.random.default_rng([seed, int.from_bytes(hashlib.md5((g.as_py() or "").encode()).digest()[:8], "little")])
-                step = max(1, (1 << 20) // (len(ids) + len(a)))
-                for i in range(0, permutations, step):
-                    n = min(step, permutations - i)
-                    order = rng.permuted(np.tile(np.arange(len(ids), dtype=np.int32), (n, 1)), axis=1)
+                begin, end = part.as_py() * share, min(permutations, (part.as_py() + 1) * share)
+                if not begin:
+                    observed += int((bits[:, a] & bits[:, b]).any(0).sum())
+                step = max(1, (1 << 20) // (len(ids) + len(a)) // _OF_DIGEST * _OF_DIGEST)
+                for i in range(begin, end, step):
+                    n = min(step, end - i)
+                    order = drawn(ids.to_pylist(), i, n, seed)
                     shared = np.zeros((n, len(a)), bool)
                     for w in bits:
                         dealt = w[order]
@@ -185,11 +200,12 @@ def refinement_problems(registry: DataFrame, labels: DataFrame) -> DataFrame:
     return lost.unionByName(gained).unionByName(same)
 
 
-def gates(registry: DataFrame, labels: DataFrame, rules: DataFrame, chapters: DataFrame, groups: DataFrame, linked: DataFrame | None = None, kappas: DataFrame | None = None, retained: DataFrame | None = None, band: tuple[int, int] = (12, 20), tau: int = 30, least_members: int = 2, most_p: float = 0.01, least_kappa: float = 0.6, permutations: int = 1000, seed: int = 0) -> dict[str, DataFrame | None]:
+def gates(registry: DataFrame, labels: DataFrame, rules: DataFrame, chapters: DataFrame, groups: DataFrame, chance: DataFrame | None = None, kappas: DataFrame | None = None, retained: DataFrame | None = None, band: tuple[int, int] = (12, 20), tau: int = 30, least_members: int = 2, most_p: float = 0.01, least_kappa: float = 0.6) -> dict[str, DataFrame | None]:
     """The violations of each of the eight conditions on a taxonomy, by name; None where there is nothing to judge by.
 
     Shape of the registry, seeds in several chapters and labels that are no section group, labels told apart by their rules, every
-    rule labelled and no label too thin, links that share labels more often than chance, pilot agreement, size, and refinement."""
+    rule labelled and no label too thin, links that share labels more often than chance, pilot agreement, size, and refinement. chance: the row of
+    permutation_p or permutation_p_within."""
     last = leaves(registry).select(F.col("key").alias("label"))
     own = labels.join(last, "label", "left_semi")
     thin = last.join(own.groupBy("label").agg(F.countDistinct("id").alias("n")), "label", "left").where(F.coalesce("n", F.lit(0)) < least_members)
@@ -200,7 +216,7 @@ def gates(registry: DataFrame, labels: DataFrame, rules: DataFrame, chapters: Da
         "R2": span(registry, chapters).where("not ok").select(F.col("key").alias("subject")).unionByName(coextensive(labels, groups).select(F.col("label").alias("subject"))),
         "R3": nesting(own).where("kind = 'duplicate'").select(F.concat_ws("=", "a", "b").alias("subject")),
         "R4": residue(rules, labels).select(F.col("id").cast("string").alias("subject")).unionByName(thin.select(F.col("label").alias("subject"))),
-        "R5": None if linked is None or linked.isEmpty() else permutation_p(labels, linked, permutations, seed).where(F.col("p") > most_p),
+        "R5": None if chance is None else chance.where(F.col("p") > most_p),
         "R6": None if kappas is None or kappas.isEmpty() else kappas.where(F.col("kappa") < least_kappa),
         "R7": oversize(own, kept, tau).where("not documented"),
         "R8": None if flat else refinement_problems(registry, labels),

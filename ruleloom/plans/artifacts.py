@@ -314,15 +314,15 @@ def provenance_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.provenance(manifest, files, runs, parents, ledger, d.select(run, F.lit("a").alias("custom_id")), results).select("check", "subject", "detail")
 
 
-@query(f"""SELECT condition, CASE WHEN n IS NULL THEN 'SKIP' WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, coalesce(n, 0)::BIGINT AS n FROM (SELECT 'R1' AS condition, 1 AS n
+@query(f"""{graph.PERMUTED}SELECT condition, CASE WHEN n IS NULL THEN 'SKIP' WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, coalesce(n, 0)::BIGINT AS n FROM (SELECT 'R1' AS condition, 1 AS n
 UNION ALL SELECT 'R2', (SELECT count(*) FROM (SELECT v.k, count(DISTINCT string_split(R.path, '/')[1]) AS c FROM (VALUES ('k0', 1), ('k0', 2), ('k2', 3), ('k2', 4), ('k3', 99999), ('k4', 5), ('k4', 6)) v(k, s) LEFT JOIN R ON R.owner = v.s GROUP BY v.k) WHERE c < 2)
 UNION ALL SELECT 'R3', (SELECT count(*) FROM ({graph.ORACLES["leaf_nesting"].removeprefix(shim.SQL)}) WHERE kind = 'duplicate' AND a <> 'k0' AND b <> 'k0')
 UNION ALL SELECT 'R4', (SELECT count(*) FROM R WHERE id NOT IN (SELECT id FROM B)) + (SELECT count(*) FROM (VALUES ('k1'), ('k2'), ('k3'), ('k4'), ('k5')) v(k) WHERE (SELECT count(DISTINCT id) FROM B WHERE label = v.k) < 2)
-UNION ALL SELECT 'R5', NULL UNION ALL SELECT 'R6', (SELECT count(*) FROM ({graph.ORACLES["pilot_kappas"]}) WHERE kappa < 0.6)
+UNION ALL SELECT 'R5', (SELECT count(*) FROM PV WHERE p > 0.01) UNION ALL SELECT 'R6', (SELECT count(*) FROM ({graph.ORACLES["pilot_kappas"]}) WHERE kappa < 0.6)
 UNION ALL SELECT 'R7', (SELECT count(*) FROM (SELECT label FROM B WHERE label NOT IN ('k0', 'k1', 'k3') GROUP BY label HAVING count(DISTINCT id) > 30))
 UNION ALL SELECT 'R8', (SELECT coalesce(sum(n), 0) FROM ({graph.ORACLES["refine_valid"].removeprefix(shim.SQL)})))""")
 def taxonomy_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All eight conditions over the rules and labels of all documents; `permutation_p` is the fifth's own query."""
+    """All eight conditions over the rules, labels and links of all documents."""
     rows = [("k0", None, [1, 2]), ("k1", "k0", [7]), ("k2", None, [3, 4]), ("k3", None, [99999]), ("k4", None, [5, 6]), ("k5", "k0", [8])]
     registry = spark.createDataFrame([(k, f"T{k}", f"about {k}", [f"s{i}" for i in s], p) for k, p, s in rows], "key string, title string, definition string, seed_anchors array<string>, parent string")
     r, b = shim.kept(shim.rules(spark, sf_dir).select("id", "owner", "path")), shim.kept(shim.labels(spark, sf_dir).select("id", "label"))
@@ -330,4 +330,4 @@ def taxonomy_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     kappas = graph.pilot_kappas(spark, sf_dir)
     retained = spark.createDataFrame([("k1",), ("k3",)], "label string")
     groups = spark.createDataFrame([], "gid string, members array<string>")
-    return A.taxonomy(S.gates(registry, b, r, chapters, groups, kappas=kappas, retained=retained))
+    return A.taxonomy(S.gates(registry, b, r, chapters, groups, chance=graph.permutation_p(spark, sf_dir), kappas=kappas, retained=retained))

@@ -265,13 +265,25 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.enrichment(b, shim.rules(spark, sf_dir), linked).select(F.round("base", 9).alias("base"), F.round("observed", 6).alias("observed"))
 
 
-@query()
+#: Rules with their labels as bits (PI), each permutation's orders by id and by digest (PO), and the labels that each rule is dealt (PD).
+PERMUTED = """, PP AS (SELECT DISTINCT doc_id, least(src, dst) AS a, greatest(src, dst) AS b FROM X),
+PI AS MATERIALIZED (SELECT R.doc_id, R.id, coalesce(b.bits, 0)::BIGINT AS bits FROM R LEFT JOIN (SELECT id, sum(1 << substr(label, 2)::INT)::BIGINT AS bits FROM (SELECT DISTINCT id, label FROM B) GROUP BY id) b ON b.id = R.id WHERE R.doc_id IN (SELECT doc_id FROM PP)),
+PK_ AS (SELECT doc_id, id, bits, b * 4 + j AS perm, substr(h, (8 * j + 1)::INT, 8) AS key FROM (SELECT *, md5('0:' || b || ':' || id) AS h FROM PI, range(0, 250) s(b)), range(0, 4) t(j)),
+PO AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, perm ORDER BY id) AS place, row_number() OVER (PARTITION BY doc_id, perm ORDER BY key, id) AS drawn FROM PK_),
+PD AS MATERIALIZED (SELECT x.perm, x.id, y.bits FROM PO x JOIN PO y ON x.doc_id = y.doc_id AND x.perm = y.perm AND y.drawn = x.place),
+PH AS (SELECT x.perm, count_if(x.bits & y.bits <> 0) AS hits FROM PP JOIN PD x ON x.id = PP.a JOIN PD y ON y.id = PP.b AND y.perm = x.perm GROUP BY x.perm),
+PV AS (SELECT observed::BIGINT AS observed, at_least::BIGINT AS at_least, (at_least + 1)::DOUBLE / 1001 AS p FROM (SELECT (SELECT count_if(x.bits & y.bits <> 0) FROM PP JOIN PI x ON x.id = PP.a JOIN PI y ON y.id = PP.b) AS observed,
+  (SELECT count_if(hits >= (SELECT count_if(x.bits & y.bits <> 0) FROM PP JOIN PI x ON x.id = PP.a JOIN PI y ON y.id = PP.b)) FROM PH) AS at_least))
+"""
+
+
+@query(PERMUTED + "SELECT observed, at_least, round(p, 9) AS p FROM PV")
 def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded draw over the rules, labels and undirected citations of all documents; labels are dealt within their document,
     whose own they are (as in `enrichment`)."""
     labels = shim.rules(spark, sf_dir).select("spec", "id", F.lit(None).cast("string").alias("label")).unionByName(shim.labels(spark, sf_dir).select("spec", "id", "label"))
     x = shim.citation_edges(spark, sf_dir)
-    return S.permutation_p_within(labels, E.undirected(x, ["spec"]), "spec")
+    return S.permutation_p_within(labels, E.undirected(x, ["spec"]), "spec").select("observed", "at_least", F.round("p", 9).alias("p"))
 
 
 @query("SELECT round((po - pe) / (1 - pe), 6) AS kappa FROM (SELECT po, pa * pb + (1 - pa) * (1 - pb) AS pe FROM (SELECT avg((quality = toxic)::INT::DOUBLE) AS po, avg((quality = 1)::INT::DOUBLE) AS pa, avg((toxic = 1)::INT::DOUBLE) AS pb FROM labels))", shimmed=False)

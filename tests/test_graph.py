@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 from itertools import combinations
@@ -152,6 +153,15 @@ def test_permutation_counts_are_seeded(spark):
     linked = spark.createDataFrame([("a", "b"), ("c", "d")], "a string, b string")
     x, y = S.permutation_p(labels, linked, 60).first(), S.permutation_p(labels, linked, 60).first()
     assert x == y and x.observed == 2 and 0.1 < x.p < 0.7
+    parts = [S.permutation_p_within(labels.selectExpr("*", "1 AS g"), linked.selectExpr("*", "1 AS g"), "g", 61, 0, n).first() for n in (1, 3, 61)]
+    assert parts[0] == parts[1] == parts[2]
+
+
+def test_permutations_are_named_by_seed_number_and_id():
+    ids = ["a", "b", "c", "d"]
+    got = [x.tolist() for x in S.drawn(ids, 5, 6, 3)]
+    key = lambda k, i: hashlib.md5(f"3:{k // 4}:{ids[i]}".encode()).hexdigest()[8 * (k % 4) : 8 * (k % 4) + 8]
+    assert got == [sorted(range(4), key=lambda i: (key(k, i), i)) for k in range(5, 11)]
 
 
 def test_permutations_within_groups(spark):
@@ -177,7 +187,7 @@ def test_permutation_query_reads_the_documents(spark, tmp_path):
     for n in (1, 3):
         spark.createDataFrame([(i, text) for i in range(n)], "doc_id long, text string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
         got.append(QUERIES["permutation_p"](spark, f"{tmp_path}/{n}").first())
-    assert 0 < got[0].observed < got[1].observed and all(r.p == (r.at_least + 1) / 1001 for r in got)
+    assert 0 < got[0].observed < got[1].observed and all(r.p == round((r.at_least + 1) / 1001, 9) for r in got)
 
 
 def test_nesting_and_registry(spark):
