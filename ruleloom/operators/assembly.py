@@ -40,17 +40,21 @@ def ancestor_guards(tree: DataFrame, paragraphs: DataFrame, most: int = 3, words
 def mechanical_graph(lines: DataFrame, rules: DataFrame, words: int = 40) -> tuple[DataFrame, DataFrame]:
     """Edges (spec, src, dst, relation, scope, via, anchor, quote) and section references of fenced lines and rules (spec, rule, examples).
 
-    Relations: same_sentence, same_section, shares_example and cross_reference, each from what the lines say."""
-    tree = L.sections(lines)
-    owner = L.innermost(lines, tree).select("spec", "ln", "section").join(tree.select("spec", F.col("index").alias("section"), "path"), ["spec", "section"], "left")
-    at = L.at_sentence(L.markers(lines), lines).join(owner, ["spec", "ln"]).join(rules.select("spec", "rule", "examples"), ["spec", "rule"])
-    at = at.withColumn("sections", F.coalesce("path", F.array().cast("array<string>"))).withColumn("key", F.array_join("sections", "/"))
+    Relations: same_sentence, same_section, shares_example and cross_reference, each from what the lines say. Lines, tree, and the places of
+    markers and links (found in one go) are cut by checkpoint(), as every relation reads them."""
+    lines = lines.select("spec", "ln", "line", "fenced").checkpoint()
+    tree = L.sections(lines).checkpoint()
+    marks, links = L.markers(lines).withColumn("anchor", F.lit(None).cast("string")), L.links(lines).withColumn("rule", F.lit(None).cast("string"))
+    spots = L.at_sentence(marks.unionByName(links), lines)
+    spots = L.innermost(lines, tree).select("spec", "ln", "section").join(spots, ["spec", "ln"]).join(tree.select("spec", F.col("index").alias("section"), "path"), ["spec", "section"], "left").checkpoint()
+    at = spots.where("rule is not null").drop("anchor").join(rules.select("spec", "rule", "examples"), ["spec", "rule"])
+    at = at.withColumn("sections", F.coalesce("path", F.array().cast("array<string>"))).withColumn("key", F.array_join("sections", "/")).checkpoint()
     none = F.lit(None).cast("string")
 
     def edge(df: DataFrame, relation: str, via: Column = none) -> DataFrame:
         return df.select("spec", "src", "dst", F.lit(relation).alias("relation"), none.alias("scope"), via.alias("via"), none.alias("anchor"), none.alias("quote"))
 
-    cited = L.at_sentence(L.links(lines), lines).join(owner, ["spec", "ln"]).where("section is not null").withColumn("section_path", F.array_join("path", "/"))
+    cited = spots.where("anchor is not null and section is not null").drop("rule").withColumn("section_path", F.array_join("path", "/"))
     xref, refs = E.citations(cited, at, L.slugs(tree), E.direct_owners(at), words)
     shown = at.select("spec", "rule", F.explode("examples").alias("example"))
     return (

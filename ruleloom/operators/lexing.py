@@ -136,10 +136,13 @@ def at_sentence(spots: DataFrame, lines: DataFrame) -> DataFrame:
 
     The column counts in the raw line although the block's pieces are stripped, as the rule records expect."""
     whole, places = blocks(lines)
-    df = spots.join(places, ["spec", "ln"], "left").join(whole.select("spec", "block", "text"), ["spec", "block"], "left").join(lines.select("spec", "ln", "line"), ["spec", "ln"])
-    found = T.sentence_at(F.coalesce("text", "line"), F.coalesce(F.col("offset"), F.lit(0)) + F.col("col"))
-    df = df.withColumn("__s", found).withColumn("block", F.coalesce("block", -F.col("ln")))
-    return df.withColumn("sentence", F.col("__s.sentence")).withColumn("sentence_text", F.col("__s.text")).drop("__s", "text", "offset", "line")
+    # a block is cut into sentences once, and its spots look theirs up
+    cut = whole.select("spec", "block", "text", T.sentences(F.col("text")).alias("__spans"))
+    inside = spots.join(places, ["spec", "ln"]).join(cut, ["spec", "block"]).withColumn("__s", T.sentence_in(F.col("__spans"), F.col("text"), F.col("offset") + F.col("col")))
+    outside = spots.join(places, ["spec", "ln"], "left_anti").join(lines.select("spec", "ln", "line"), ["spec", "ln"])
+    outside = outside.withColumn("block", -F.col("ln")).withColumn("__s", T.sentence_at(F.col("line"), F.col("col")))
+    told = [*spots.columns, "block", F.col("__s.sentence").alias("sentence"), F.col("__s.text").alias("sentence_text")]
+    return inside.select(*told).unionByName(outside.select(*told))
 
 
 def _matches(lines: DataFrame, pattern: str, group: int, name: str) -> DataFrame:
