@@ -158,11 +158,6 @@ def substitution_counts(lines: DataFrame, table: list[tuple[str, str]]) -> DataF
     return lines.agg(*counts).select(F.explode(F.map_from_arrays(F.array(*(F.lit(o) for o, _ in table)), F.array(*(F.coalesce(F.col(f"`{o}`"), F.lit(0)).cast("long") for o, _ in table)))).alias("token", "n"))
 
 
-def rule_context(own: DataFrame, governing: DataFrame, referenced: DataFrame, marked: DataFrame, quoted: DataFrame) -> DataFrame:
-    """rule, passage from every source of context, once: the rule's own path, governing and referenced sections, passages with its marker, quotes."""
-    return reduce(DataFrame.unionByName, (d.select("rule", "passage") for d in (own, governing, referenced, marked, quoted))).distinct()
-
-
 def dossiers(rules: DataFrame, labels: DataFrame, memberships: DataFrame, edges: DataFrame) -> DataFrame:
     """rule, sections, dimensions, groups, neighbor: a nested record for each rule; neighbours by relation, id, subtype, via."""
     dims = labels.groupBy(F.col("id").alias("rule")).agg(F.array_sort(F.collect_set("label")).alias("dimensions"))

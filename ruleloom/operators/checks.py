@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom import schema
@@ -67,15 +67,80 @@ def rule_records(rules: DataFrame, markers: DataFrame, examples: DataFrame, stru
     )
 
 
+#: Hashes of ids are below this prime.
+_PRIME = (1 << 31) - 1
+
+
+def _hash(c: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(_PRIME)).cast("decimal(10,0)")
+
+
+def _expected(members: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, f, g, d: a group's number and sums of two hashes of its ids and of their product: all that a fingerprint of its pairs takes."""
+    f, g = _hash(F.col("id"), 7), _hash(F.col("id"), 8)
+    return members.groupBy(*by).agg(F.count("*").alias("n"), F.sum(f).alias("f"), F.sum(g).alias("g"), F.sum(f * g).alias("d"))
+
+
+def _given(edges: DataFrame, by: list[str]) -> DataFrame:
+    """by, pairs, print: number of edges and sum of the products of their ends' hashes; any order gives the same."""
+    return edges.groupBy(*by).agg(F.count("*").alias("pairs"), F.sum(_hash(F.col("src"), 7) * _hash(F.col("dst"), 8)).alias("print"))
+
+
+def _unlike(want: DataFrame, have: DataFrame, by: list[str]) -> DataFrame:
+    """The groups whose number or fingerprint of pairs differs."""
+    zero = lambda c: F.coalesce(F.col(c).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    met = want.join(have.withColumnsRenamed({"pairs": "__p", "print": "__q"}), by, "full")
+    return met.where((zero("pairs") != zero("__p")) | (zero("print") != zero("__q"))).select(*by)
+
+
+def _differences(want: DataFrame, have: DataFrame) -> DataFrame:
+    return want.exceptAll(have).withColumn("s", F.lit("missing")).unionByName(have.exceptAll(want).withColumn("s", F.lit("extra")))
+
+
+def section_pair_problems(rules: DataFrame, edges: DataFrame) -> DataFrame:
+    """src, dst, s: ordered pairs of rules (rule, path) of one path that the edges (src, dst) lack or have too much.
+
+    The pairs of a section are a sum over all less one over equal ends, so its fingerprint needs one look at its rules; only sections
+    whose edges have another one are listed as pairs."""
+    at = rules.select(F.col("rule").alias("id"), "path").distinct()
+    end = lambda x: at.select(F.col("id").alias(x), F.col("path").alias(f"__{x}"))
+    placed = edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    same = F.coalesce(F.col("__src") == F.col("__dst"), F.lit(False))
+    inside, astray = placed.where(same).select("src", "dst", F.col("__src").alias("path")), placed.where(~same)
+    want = _expected(at, ["path"]).select("path", (F.col("n") * (F.col("n") - 1)).alias("pairs"), (F.col("f") * F.col("g") - F.col("d")).alias("print"))
+    unlike = _unlike(want, _given(inside, ["path"]), ["path"])
+    listed = E.pairs(at.join(unlike, "path", "left_semi"), "id", ["path"]).select("src", "dst")
+    return _differences(listed, inside.join(unlike, "path", "left_semi").select("src", "dst")).unionByName(astray.select("src", "dst", F.lit("extra").alias("s")))
+
+
+def shared_label_problems(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """src, dst, s: ordered pairs of ids that share labels, which the edges (src, dst, via) lack, have too much or with other labels.
+
+    Rules with one set of labels are a class. Classes meet by label, and what two share is the same for all their pairs; so
+    fingerprints are compared by two classes, and only where they differ are pairs listed."""
+    held = labels.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("set"))
+    sets = _expected(held, ["set"])
+    each = sets.select("set", F.explode("set").alias("label"))
+    met = each.join(each.withColumnRenamed("set", "other"), "label").select("set", "other").distinct()
+    mine, theirs = sets.select("set", "n", "f", "d"), sets.select(F.col("set").alias("other"), F.col("n").alias("m"), "g")
+    own = F.col("set") == F.col("other")
+    want = met.join(mine, "set").join(theirs, "other").select("set", "other", (F.col("n") * F.col("m") - F.when(own, F.col("n")).otherwise(0)).alias("pairs"), (F.col("f") * F.col("g") - F.when(own, F.col("d")).otherwise(0)).alias("print"))
+    end = lambda x, name: held.select(F.col("id").alias(x), F.col("set").alias(name))
+    placed = edges.join(end("src", "set"), "src", "left").join(end("dst", "other"), "dst", "left")
+    right = F.coalesce((F.array_sort(F.array_intersect("set", "other")) == F.col("via")) & (F.size("via") > 0), F.lit(False))
+    fine, astray = placed.where(right).select("src", "dst", "set", "other"), placed.where(~right)
+    key = ["set", "other"]
+    unlike = _unlike(want, _given(fine, key), key)
+    listed = unlike.join(held.select("set", F.col("id").alias("src")), "set").join(held.select(F.col("set").alias("other"), F.col("id").alias("dst")), "other").where("src <> dst")
+    return _differences(listed.select("src", "dst"), fine.join(unlike, key, "left_semi").select("src", "dst")).unionByName(astray.select("src", "dst", F.lit("extra").alias("s")))
+
+
 def grouped(rules: DataFrame, edges: DataFrame, labels: DataFrame, registry: DataFrame, groups: DataFrame, inventory: DataFrame) -> DataFrame:
     """The graph against what it was made of: closed identifiers, mirrors, terms, labels, pairs, groups and their members.
 
     rules: rule, sections; edges: src, dst, relation, subtype, direction, via; labels: id, label; registry: key; groups: gid, members."""
     ends = edges.select(F.col("src").alias("rule")).unionByName(edges.select(F.col("dst").alias("rule"))).distinct()
-    share = E.shared_labels(labels)
-    share = share.unionByName(share.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "via"))
     have = edges.where("relation = 'shares_dimension'").select("src", "dst", "via")
-    placed = E.pairs(rules.select("rule", F.array_join("sections", "/").alias("path")), "rule", ["path"]).select("src", "dst")
     drawn = edges.where("relation = 'same_section'").select("src", "dst")
     wanted = E.label_groups(labels).select("gid", "members").unionByName(E.section_groups(rules.withColumn("authority", F.lit(None).cast("string"))).select("gid", "members"))
     is_ = groups.select("gid", F.array_sort("members").alias("members"))
@@ -88,23 +153,35 @@ def grouped(rules: DataFrame, edges: DataFrame, labels: DataFrame, registry: Dat
         violations(E.bad_terms(edges), "term", pair, F.col("problem")),
         violations(labels.join(registry.select(F.col("key").alias("label")), "label", "left_anti"), "unknown label", "id", F.col("label")),
         violations(rules.select(F.col("rule").alias("id")).join(labels, "id", "left_anti"), "no label", "id"),
-        violations(share.exceptAll(have).withColumn("s", F.lit("missing")).unionByName(have.exceptAll(share).withColumn("s", F.lit("extra"))), "shares_dimension", pair, F.col("s")),
-        violations(placed.exceptAll(drawn).withColumn("s", F.lit("missing")).unionByName(drawn.exceptAll(placed).withColumn("s", F.lit("extra"))), "same_section", pair, F.col("s")),
+        violations(shared_label_problems(labels, have), "shares_dimension", pair, F.col("s")),
+        violations(section_pair_problems(rules.select("rule", F.array_join("sections", "/").alias("path")), drawn), "same_section", pair, F.col("s")),
         violations(wanted.exceptAll(is_).withColumn("s", F.lit("missing")).unionByName(is_.exceptAll(wanted).withColumn("s", F.lit("extra"))), "groups", "gid", F.col("s")),
     )
 
 
 def grouped_again(rules: DataFrame, edges: DataFrame, labels: DataFrame, registry: DataFrame, groups: DataFrame, inventory: DataFrame) -> DataFrame:
     """check, subject, detail: what grouped() looks at, said once more in SQL and by sets, without the operators that have built
-    the graph; a fault in one of those shows here. The inputs are grouped()'s."""
+    the graph or its fingerprints; a fault in one of those shows here. The inputs are grouped()'s. Pairs are listed only for sections and
+    classes of labels whose number or mark of pairs differs."""
     spark = rules.sparkSession
     return spark.sql(
         """
-        WITH held AS (SELECT id, array_sort(collect_set(label)) AS set FROM {labels} GROUP BY id),
-        told AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM {labels} a JOIN {labels} b ON a.label = b.label AND a.id <> b.id),
-        share AS (SELECT t.src, t.dst, array_sort(array_intersect(x.set, y.set)) AS via FROM told t JOIN held x ON x.id = t.src JOIN held y ON y.id = t.dst),
-        placed AS (SELECT rule, array_join(sections, '/') AS path FROM {rules}),
-        near AS (SELECT a.rule AS src, b.rule AS dst FROM placed a JOIN placed b ON a.path = b.path WHERE a.rule <> b.rule),
+        WITH held AS (SELECT id, array_join(array_sort(collect_set(label)), '\u0001') AS set, conv(left(md5(concat('a', id)), 7), 16, 10) AS x, conv(left(md5(concat('b', id)), 7), 16, 10) AS y FROM {labels} GROUP BY id),
+        class AS (SELECT set, count(*) AS n, sum(CAST(x AS DECIMAL(10))) AS x, sum(CAST(y AS DECIMAL(10))) AS y, sum(CAST(x AS DECIMAL(10)) * CAST(y AS DECIMAL(10))) AS xy FROM held GROUP BY set),
+        word AS (SELECT set, explode(split(set, '\u0001')) AS label FROM class),
+        touch AS (SELECT DISTINCT a.set AS one, b.set AS two FROM word a JOIN word b ON a.label = b.label),
+        due AS (SELECT t.one, t.two, a.n * b.n - IF(t.one = t.two, a.n, 0) AS n, a.x * b.y - IF(t.one = t.two, a.xy, 0) AS mark FROM touch t JOIN class a ON a.set = t.one JOIN class b ON b.set = t.two),
+        drawn AS (SELECT e.src, e.dst, e.via, a.set AS one, b.set AS two, a.x AS x, b.y AS y FROM {edges} e LEFT JOIN held a ON a.id = e.src LEFT JOIN held b ON b.id = e.dst WHERE e.relation = 'shares_dimension'),
+        good AS (SELECT * FROM drawn WHERE size(via) > 0 AND via = array_sort(array_intersect(split(one, '\u0001'), split(two, '\u0001')))),
+        paid AS (SELECT one, two, count(*) AS n, sum(CAST(x AS DECIMAL(10)) * CAST(y AS DECIMAL(10))) AS mark FROM good GROUP BY one, two),
+        odd AS (SELECT coalesce(d.one, p.one) AS one, coalesce(d.two, p.two) AS two FROM due d FULL JOIN paid p ON d.one = p.one AND d.two = p.two WHERE NOT (coalesce(d.n, 0) = coalesce(p.n, 0) AND coalesce(d.mark, 0) = coalesce(p.mark, 0))),
+        share AS (SELECT a.id AS src, b.id AS dst FROM odd o JOIN held a ON a.set = o.one JOIN held b ON b.set = o.two WHERE a.id <> b.id),
+        placed AS (SELECT DISTINCT rule, array_join(sections, '/') AS path, conv(left(md5(concat('a', rule)), 7), 16, 10) AS x, conv(left(md5(concat('b', rule)), 7), 16, 10) AS y FROM {rules}),
+        room AS (SELECT path, count(*) * (count(*) - 1) AS n, sum(CAST(x AS DECIMAL(10))) * sum(CAST(y AS DECIMAL(10))) - sum(CAST(x AS DECIMAL(10)) * CAST(y AS DECIMAL(10))) AS mark FROM placed GROUP BY path),
+        beside AS (SELECT e.src, e.dst, a.path AS one, b.path AS two, a.x AS x, b.y AS y FROM {edges} e LEFT JOIN placed a ON a.rule = e.src LEFT JOIN placed b ON b.rule = e.dst WHERE e.relation = 'same_section'),
+        filled AS (SELECT one, count(*) AS n, sum(CAST(x AS DECIMAL(10)) * CAST(y AS DECIMAL(10))) AS mark FROM beside WHERE one = two GROUP BY one),
+        uneven AS (SELECT coalesce(r.path, f.one) AS path FROM room r FULL JOIN filled f ON r.path = f.one WHERE NOT (coalesce(r.n, 0) = coalesce(f.n, 0) AND coalesce(r.mark, 0) = coalesce(f.mark, 0))),
+        near AS (SELECT a.rule AS src, b.rule AS dst FROM uneven u JOIN placed a ON a.path = u.path JOIN placed b ON b.path = u.path WHERE a.rule <> b.rule),
         want AS (SELECT concat('dim:', label) AS gid, array_sort(collect_set(id)) AS members FROM {labels} GROUP BY label UNION ALL SELECT concat('sec:', path), array_sort(collect_set(rule)) FROM placed GROUP BY path),
         have AS (SELECT gid, array_sort(members) AS members FROM {groups}),
         seen AS (SELECT src, dst, relation, subtype, direction, array_join(via, ',') AS via FROM {edges})
@@ -116,10 +193,12 @@ def grouped_again(rules: DataFrame, edges: DataFrame, labels: DataFrame, registr
           AND b.direction = CASE e.direction WHEN 'out' THEN 'in' WHEN 'in' THEN 'out' ELSE 'none' END)
         UNION ALL SELECT 'unknown label', CAST(id AS STRING), label FROM {labels} l LEFT ANTI JOIN {registry} g ON g.key = l.label
         UNION ALL SELECT 'no label', CAST(r.rule AS STRING), NULL FROM {rules} r LEFT ANTI JOIN held h ON h.id = r.rule
-        UNION ALL SELECT 'shares_dimension', concat_ws('>', s.src, s.dst), 'missing' FROM share s LEFT ANTI JOIN {edges} e ON e.relation = 'shares_dimension' AND e.src = s.src AND e.dst = s.dst AND e.via = s.via
-        UNION ALL SELECT 'shares_dimension', concat_ws('>', e.src, e.dst), 'extra' FROM {edges} e LEFT ANTI JOIN share s ON e.src = s.src AND e.dst = s.dst AND e.via = s.via WHERE e.relation = 'shares_dimension'
-        UNION ALL SELECT 'same_section', concat_ws('>', n.src, n.dst), 'missing' FROM near n LEFT ANTI JOIN {edges} e ON e.relation = 'same_section' AND e.src = n.src AND e.dst = n.dst
-        UNION ALL SELECT 'same_section', concat_ws('>', e.src, e.dst), 'extra' FROM {edges} e LEFT ANTI JOIN near n ON e.src = n.src AND e.dst = n.dst WHERE e.relation = 'same_section'
+        UNION ALL SELECT 'shares_dimension', concat_ws('>', src, dst), 'missing' FROM (SELECT src, dst FROM share EXCEPT ALL SELECT src, dst FROM good)
+        UNION ALL SELECT 'shares_dimension', concat_ws('>', src, dst), 'extra' FROM (SELECT g.src, g.dst FROM good g LEFT SEMI JOIN odd o ON o.one = g.one AND o.two = g.two EXCEPT ALL SELECT src, dst FROM share)
+        UNION ALL SELECT 'shares_dimension', concat_ws('>', src, dst), 'extra' FROM (SELECT src, dst FROM drawn EXCEPT ALL SELECT src, dst FROM good)
+        UNION ALL SELECT 'same_section', concat_ws('>', src, dst), 'missing' FROM (SELECT src, dst FROM near EXCEPT ALL SELECT src, dst FROM beside)
+        UNION ALL SELECT 'same_section', concat_ws('>', src, dst), 'extra' FROM (SELECT b.src, b.dst FROM beside b LEFT SEMI JOIN uneven u ON u.path = b.one WHERE b.one = b.two EXCEPT ALL SELECT src, dst FROM near)
+        UNION ALL SELECT 'same_section', concat_ws('>', src, dst), 'extra' FROM beside WHERE NOT coalesce(one = two, false)
         UNION ALL SELECT 'groups', w.gid, 'missing' FROM want w LEFT ANTI JOIN have h ON h.gid = w.gid AND h.members = w.members
         UNION ALL SELECT 'groups', h.gid, 'extra' FROM have h LEFT ANTI JOIN want w ON h.gid = w.gid AND h.members = w.members
         """,
@@ -134,9 +213,48 @@ def verdicts(table: DataFrame, conditions: list[str]) -> DataFrame:
     return names.join(n, "condition", "left").select("condition", F.when(F.col("n").isNull(), "PASS").otherwise("FAIL").alias("verdict"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def rerun_difference(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Rows that one of two runs has more often."""
-    return first.exceptAll(second).withColumn("only_in", F.lit("first")).unionByName(second.exceptAll(first).withColumn("only_in", F.lit("second")))
+#: Buckets of the digests' two levels.
+BUCKETS, WITHIN = 64, 64
+
+
+def _row(df: DataFrame) -> Column:
+    """A row as text that tells nulls and columns apart."""
+    return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+
+
+def _bucket(df: DataFrame) -> Column:
+    return F.pmod(F.xxhash64(_row(df), F.lit(1)), F.lit(BUCKETS * WITHIN)).cast("int")
+
+
+def row_digests(df: DataFrame) -> DataFrame:
+    """bucket, n, sum, other: of each bucket of rows their number and two sums of hashes, the same in whatever order the rows lie. To be
+    written beside a run: at most BUCKETS x WITHIN rows."""
+    total = lambda salt: F.sum(F.xxhash64(_row(df), F.lit(salt)).cast("decimal(38,0)"))
+    return df.groupBy(_bucket(df).alias("bucket")).agg(F.count("*").alias("n"), total(2).alias("sum"), total(3).alias("other"))
+
+
+def rerun_difference(first: DataFrame, second: DataFrame, digests: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Rows that one of two runs has more often, with only_in.
+
+    Digests are compared first, those of the upper level (sums over WITHIN buckets) and then those within what differs; rows are read and
+    compared only in buckets that differ. With the digests that the runs have written, equal tables aren't read at all."""
+    a, b = digests or (row_digests(first), row_digests(second))
+    spark = first.sparkSession
+    told = lambda df, side: df.select("bucket", F.floor(F.col("bucket") / WITHIN).cast("int").alias("upper"), F.struct("n", "sum", "other").alias(side))
+    both = told(a, "a").join(told(b, "b"), ["bucket", "upper"], "full").select("bucket", "upper", "a", "b").collect()  # bounded: BUCKETS x WITHIN
+    upper: dict[int, list] = {}
+    for r in both:
+        s = upper.setdefault(r["upper"], [0] * 6)
+        for k, side in ((0, r["a"]), (3, r["b"])):
+            for i, x in enumerate(side or (0, 0, 0)):
+                s[k + i] += x
+    open_ = {u for u, s in upper.items() if s[:3] != s[3:]}
+    differ = [r["bucket"] for r in both if r["upper"] in open_ and r["a"] != r["b"]]
+    if not differ:
+        return spark.createDataFrame([], first.schema).withColumn("only_in", F.lit("first"))
+    within = lambda df: df.where(_bucket(df).isin(differ))
+    x, y = within(first), within(second.select(*first.columns))
+    return x.exceptAll(y).withColumn("only_in", F.lit("first")).unionByName(y.exceptAll(x).withColumn("only_in", F.lit("second")))
 
 
 def hash_problems(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -240,10 +240,13 @@ def united(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def stratified_sample(rules: DataFrame, size: int = 40, seed: int = 0) -> DataFrame:
-    """id, chapter: `size` rules (all, if fewer) in turn from the chapters, in each by a seeded hash."""
+    """id, chapter: `size` rules (all, if fewer) in turn from the chapters, in each by a seeded hash.
+
+    No chapter gives more than `size`, so every task passes on the least of its own alone and no chapter is gathered or sorted whole (up
+    to spark.sql.optimizer.windowGroupLimitThreshold)."""
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"))
     k = F.row_number().over(Window.partitionBy("chapter").orderBy(drawn, "id"))
-    return rules.withColumn("k", k).orderBy("k", "chapter").limit(size).select("id", "chapter")
+    return rules.withColumn("k", k).where(F.col("k") <= size).orderBy("k", "chapter").limit(size).select("id", "chapter")
 
 
 def saturated(proposed: DataFrame, registry: DataFrame) -> DataFrame:

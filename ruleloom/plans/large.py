@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ruleloom.functions import text as T
 from ruleloom.operators import context as C
+from ruleloom.operators import labels as S
 from ruleloom.operators import lexing as L
+from ruleloom.operators import rules as R
 from ruleloom.sources import artifacts as IO
 from ruleloom.sources.lines import lines_from_files
 
@@ -116,3 +118,38 @@ def forms_of_all_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for df in found:
         heads = heads.unionByName(df)
     return heads.select("spec", *big("ln"), "kind", "value")
+
+
+@query("""SELECT id AS rule, problem FROM (SELECT id, authority, ln % 5 AS k, CASE WHEN ln % 5 = 1 THEN 'unknown rule' WHEN authority IS NOT NULL THEN 'redundant' WHEN ln % 5 = 2 THEN 'unknown authority' WHEN ln % 5 = 3 THEN 'no reason' END AS problem FROM
+(SELECT CASE WHEN ln % 5 = 1 THEN 'no:' || id ELSE id END AS id, ln, CASE WHEN ln % 5 = 1 THEN NULL ELSE authority END AS authority FROM R)) WHERE problem IS NOT NULL""")
+def override_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An override for every rule, some of rules that aren't there, some of no known authority, some without a reason."""
+    r, k = shim.rules(spark, sf_dir).select("ln", F.col("id").alias("rule"), "authority"), F.col("ln") % 5
+    overrides = r.select(F.when(k == 1, F.concat(F.lit("no:"), "rule")).otherwise(F.col("rule")).alias("rule"), F.when(k == 2, "king").otherwise("user").alias("authority"), F.when(k == 3, " ").otherwise("said so").alias("reason"))
+    return R.override_problems(r.select("rule", "authority"), overrides)
+
+
+@query("SELECT id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT id, label FROM B WHERE ln % 3 <> 0 UNION SELECT id, label FROM B WHERE ln % 3 <> 1 OR label = 'k0') GROUP BY id")
+def united_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two labellers' labels of all rules, united and committed."""
+    b = shim.labels(spark, sf_dir)
+    both = S.united(b.where("ln % 3 <> 0"), b.where("ln % 3 <> 1 OR label = 'k0'"))
+    return both.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"))
+
+
+@query("SELECT count(*)::BIGINT AS documents, sum(length(text))::BIGINT AS characters, 'second' AS state FROM documents", shimmed=False)
+def json_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's state as one document, replaced in place by a later one; the folder holds that alone."""
+    folder = shim.fresh_folder(spark)
+    totals = shim.table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.sum(F.length("text")).cast("long").alias("characters"))
+    for state in ("first", "second"):
+        IO.replace_json(totals.withColumn("state", F.lit(state)), f"{folder}/state.json")
+    return IO.read_json(spark, folder, "documents long, characters long, state string")
+
+
+@query("""SELECT doc_id AS spec, 'm' || lpad(((doc_id * 31 + ln * 7) % 1000)::VARCHAR, 3, '0') AS rule, ln::BIGINT AS ln, authority, path FROM R""")
+def rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each marker with the authority and sections that the text gives it."""
+    lines = shim.marked_lines(spark, sf_dir)
+    index = R.rule_index(L.markers(lines), lines, L.sections(lines))
+    return index.select("spec", "rule", *big("ln"), "authority", F.when(F.size("sections") > 0, F.array_join("sections", "/")).alias("path"))

@@ -193,8 +193,10 @@ def chapter_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rotated(chapters, 4).select(*big("coder"), "chapter", *big("place"))
 
 
-@query("SELECT 'second' AS only_in, count(*)::BIGINT AS n FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'first', count(*) FROM nation WHERE n_nationkey % 5 = 0", shimmed=False)
+@query("SELECT doc_id, md5(text || CASE WHEN k = 'second' THEN '!' ELSE '' END) AS digest, k AS only_in FROM documents, (VALUES ('first'), ('second')) s(k) WHERE doc_id % 50 = 7 AND text IS NOT NULL UNION ALL SELECT doc_id, md5(text), 'second' FROM documents WHERE doc_id % 50 = 8 AND text IS NOT NULL", shimmed=False)
 def rerun_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = shim.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    other = t.withColumn("n_name", F.when(F.col("n_nationkey") % 5 == 0, "X").otherwise(F.col("n_name")))
-    return K.rerun_difference(t, other).groupBy("only_in").agg(F.count("*").alias("n"))
+    """A second run over all documents with other texts for some and some documents twice."""
+    t = shim.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", "lang")
+    other = t.withColumn("text", F.when(F.col("doc_id") % 50 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    found = K.rerun_difference(t, other.unionByName(t.where("doc_id % 50 = 8")))
+    return found.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "only_in")
