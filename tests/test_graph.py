@@ -193,3 +193,30 @@ def test_permutation_query_reads_the_documents(spark, tmp_path):
 def test_nesting_and_registry(spark):
     labels = spark.createDataFrame([("1", "a"), ("2", "a"), ("1", "b"), ("2", "b"), ("1", "c")], "id string, label string")
     assert sorted(map(tuple, S.nesting(labels).collect())) == [("a", "b", "duplicate"), ("c", "a", "nested"), ("c", "b", "nested")]
+
+
+def test_an_updated_graph_equals_a_rebuilt_one_and_leaves_other_files(spark, tmp_path):
+    import os
+
+    from ruleloom.operators import maintain as M
+
+    rng = random.Random(11)
+    make = lambda rows: spark.createDataFrame(sorted(rows), "spec int, key string, id string")
+    keys = ["spec", "key"]
+    rows = {(rng.randrange(3), f"g{rng.randrange(12)}", f"r{rng.randrange(30):02d}") for _ in range(160)}
+    path = str(tmp_path / "graph")
+    M.write_graph(make(rows), path, keys, 8)
+    files = lambda: {f"{os.path.basename(d)}/{f}" for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    for changes in (6, 1, 0, 40):
+        gone = set(rng.sample(sorted(rows), changes))
+        new = rows - gone | {(rng.randrange(3), f"g{rng.randrange(14)}", f"r{rng.randrange(30):02d}") for _ in range(changes)}
+        before = files()
+        touched = M.update_graph(path, make(rows), make(new), keys, 8)
+        kept = {f for f in before if int(f.split("/")[0].removeprefix("part=")) not in touched}
+        assert kept <= files() and (bool(touched) == bool(rows ^ new))
+        want = sorted((s, k, a, b) for s, k, a in new for t, m, b in new if (s, k) == (t, m) and a != b)
+        assert sorted((r.spec, r.key, r.src, r.dst) for r in spark.read.parquet(path).collect()) == want
+        rows = new
+    gone = {r for r in rows if r[0] != 1}
+    M.update_graph(path, make(rows), make(rows - gone), keys, 8)
+    assert {r.spec for r in spark.read.parquet(path).select("spec").distinct().collect()} == {1}
