@@ -215,9 +215,9 @@ def dominant_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dominant_labels(_members(spark, sf_dir))
 
 
-@query("SELECT count(DISTINCT id)::BIGINT AS rules, count(*)::BIGINT AS copies, (SELECT count(DISTINCT doc_id) FROM B)::BIGINT AS units, (SELECT min(n) FROM s)::BIGINT AS min, (SELECT floor(median(n)) FROM s)::BIGINT AS median, (SELECT max(n) FROM s)::BIGINT AS max FROM B".replace("FROM s)", "FROM (SELECT count(*) AS n FROM B GROUP BY doc_id))"))
+@query("SELECT count(DISTINCT id)::BIGINT AS rules, count(*)::BIGINT AS copies, (SELECT count(DISTINCT doc_id) FROM B)::BIGINT AS units, (SELECT min(n) FROM s)::BIGINT AS min, (SELECT floor(median(n)) FROM s)::BIGINT AS median, (SELECT max(n) FROM s)::BIGINT AS max, (SELECT string_agg(n, ',' ORDER BY n DESC) FROM s) AS sizes, round_even(count(*)::DOUBLE / count(DISTINCT id), 2) AS duplication FROM B".replace("FROM s)", "FROM (SELECT count(*) AS n FROM B GROUP BY doc_id))"))
 def unit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.balance(_members(spark, sf_dir)).select("rules", "copies", *big("units", "min", "median", "max"))
+    return P.balance(_members(spark, sf_dir)).select("rules", "copies", *big("units", "min", "median", "max"), F.array_join("sizes", ",").alias("sizes"), "duplication")
 
 
 @query("SELECT count(*)::BIGINT AS n FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM X) p JOIN R x ON x.id = p.a JOIN R y ON y.id = p.b WHERE x.ln % 2 <> y.ln % 2")

@@ -28,6 +28,10 @@ def query(sql: str | None = None, shimmed: bool = True):
     return add
 
 
+#: A rule's Markdown line in SQL.
+_MARKED = "'p ' || line || ' [^m' || lpad(((doc_id * 31 + ln * 7) % 1000)::VARCHAR, 3, '0') || ']'"
+
+
 def big(*columns: str):
     return [F.col(c).cast("long").alias(c) for c in columns]
 
@@ -172,18 +176,21 @@ def commentary_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.commentary(L.fences(shim.plain_lines(spark, sf_dir).withColumn("line", line))).select("spec", *big("ln"), "text")
 
 
-@query("""SELECT doc_id AS spec, owner::BIGINT AS owner, count(DISTINCT run)::BIGINT AS n, count(*)::BIGINT AS lines FROM (SELECT r.doc_id, r.ln, r.owner, r.ln - row_number() OVER (PARTITION BY r.doc_id, r.owner ORDER BY r.ln) AS run FROM R r) GROUP BY ALL""")
+@query(f"""SELECT spec, owner, row_number() OVER (PARTITION BY spec, owner ORDER BY first)::BIGINT AS paragraph, first, last, text FROM (SELECT doc_id AS spec, owner::BIGINT AS owner, min(ln)::BIGINT AS first, max(ln)::BIGINT AS last, string_agg({_MARKED}, ' ' ORDER BY ln) AS text
+FROM (SELECT r.doc_id, r.ln, r.line, r.owner, r.ln - row_number() OVER (PARTITION BY r.doc_id, r.owner ORDER BY r.ln) AS run FROM R r) GROUP BY doc_id, owner, run)""")
 def paragraph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = shim.marked_lines(spark, sf_dir)
     tree = L.sections(lines)
     found = L.paragraphs(L.innermost(lines, tree)).join(tree.select("spec", F.col("index").alias("section"), F.col("header_line").alias("owner")), ["spec", "section"], "left")
-    return found.groupBy("spec", F.col("owner").cast("long").alias("owner")).agg(F.count("*").alias("n"), F.sum(F.col("last") - F.col("first") + 1).alias("lines"))
+    return found.select("spec", *big("owner", "paragraph", "first", "last"), "text")
 
 
-@query("""SELECT doc_id AS spec, 'ctx' || lpad(min(ln)::VARCHAR, 5, '0') AS passage, max(ln)::BIGINT AS last FROM (SELECT *, sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY ln) AS run FROM (SELECT *, (doc_id + ln) % 4 = 0 OR line = '' AS stop FROM L)) WHERE NOT stop GROUP BY doc_id, run""")
+@query(f"""SELECT doc_id AS spec, 'ctx' || lpad(min(ln)::VARCHAR, 5, '0') AS passage, max(ln)::BIGINT AS last, (SELECT max(h.ln) FROM H h WHERE h.doc_id = q.doc_id AND h.ln <= min(q.ln))::BIGINT AS owner, false AS commentary, string_agg({_MARKED}, chr(10) ORDER BY ln) AS text FROM (SELECT *, sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY ln) AS run FROM (SELECT *, (doc_id + ln) % 4 = 0 OR line = '' AS stop FROM L)) q WHERE NOT stop GROUP BY doc_id, run""")
 def source_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = shim.marked_lines(spark, sf_dir)
-    return L.passages(lines, L.example_bodies(lines), L.sections(lines)).select("spec", "passage", *big("last"))
+    tree = L.sections(lines)
+    owner = tree.select("spec", F.col("index").alias("section"), F.col("header_line").alias("owner"))
+    return L.passages(lines, L.example_bodies(lines), tree).join(owner, ["spec", "section"], "left").select("spec", "passage", *big("last", "owner"), "commentary", "text")
 
 
 #: The first 40 words of a text in SQL.
