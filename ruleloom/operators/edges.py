@@ -98,10 +98,11 @@ def label_groups(labels: DataFrame) -> DataFrame:
 
 
 def section_groups(rules: DataFrame) -> DataFrame:
-    """gid, members, n, authorities: the rules of each section, and their authorities as text."""
-    path = F.array_join("sections", "/")
-    df = rules.groupBy(path.alias("path")).agg(F.array_sort(F.collect_set("rule")).alias("members"), F.array_join(F.array_sort(F.collect_set("authority")), ", ").alias("authorities"))
-    return df.select(F.concat(F.lit("sec:"), F.col("path")).alias("gid"), "members", F.size("members").alias("n"), "authorities")
+    """gid, members, n, authorities: the rules of each section, and their authorities as text; with spec, if the rules have it, as sections of
+    different documents may have one path."""
+    path, by = F.array_join("sections", "/"), ["spec"] if "spec" in rules.columns else []
+    df = rules.groupBy(*by, path.alias("path")).agg(F.array_sort(F.collect_set("rule")).alias("members"), F.array_join(F.array_sort(F.collect_set("authority")), ", ").alias("authorities"))
+    return df.select(*by, F.concat(F.lit("sec:"), F.col("path")).alias("gid"), "members", F.size("members").alias("n"), "authorities")
 
 
 def groups_of_rules(groups: DataFrame) -> DataFrame:

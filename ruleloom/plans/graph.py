@@ -110,10 +110,10 @@ def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("gid", *big("n"), F.array_min("members").alias("first"), F.array_max("members").alias("last"))
 
 
-@query("SELECT 'sec:' || path AS gid, count(*)::BIGINT AS n, coalesce(string_agg(DISTINCT authority, ', ' ORDER BY authority), '') AS authorities FROM R WHERE path IS NOT NULL GROUP BY path")
+@query("SELECT doc_id AS spec, 'sec:' || path AS gid, count(*)::BIGINT AS n, coalesce(string_agg(DISTINCT authority, ', ' ORDER BY authority), '') AS authorities FROM R WHERE path IS NOT NULL GROUP BY doc_id, path")
 def section_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = E.section_groups(shim.rules(spark, sf_dir).where("path <> ''").withColumnRenamed("id", "rule"))
-    return g.select("gid", *big("n"), "authorities")
+    return g.select("spec", "gid", *big("n"), "authorities")
 
 
 @query("SELECT id AS rule, string_agg(DISTINCT 'dim:' || label, ',' ORDER BY 'dim:' || label) AS groups FROM B GROUP BY id")
