@@ -175,3 +175,40 @@ def test_forms_take_letters_and_blanks_of_all_scripts(spark):
     assert [r.anchor for r in L.links(df).collect()] == ["été"] and [r.rule for r in L.markers(df).collect()] == ["ñ123"]
     assert [r.text for r in L.commentary(df).collect()] == ["note"]
     assert df.where(F.col("line").rlike(T.LIST_ITEM)).count() == 1
+
+
+def plain_difference(was, now):
+    """The first place of `was`, from 1, where `now` has another word."""
+    import re
+
+    tag = re.compile(r"\[\^(?:\w{4}|eg\d{3})\]")
+    same = lambda a, b: a == b or (tag.sub("", a) == tag.sub("", b) and all(tag.findall(b).count(t) >= tag.findall(a).count(t) for t in tag.findall(a)))
+    left = iter(now.split())
+    for k, w in enumerate(was.split(), 1):
+        met = next((x for x in left if same(w, x) or not tag.fullmatch(x)), None)
+        if met is None or not same(w, met):
+            return k, w if met is None else met
+    more = next((x for x in left if not tag.fullmatch(x)), None)
+    return (None, None) if more is None else (len(was.split()) + 1, more)
+
+
+def test_added_tags_equal_a_plain_walk_on_random_texts(spark):
+    import random
+
+    rng = random.Random(6)
+    some = ["a", "b.", "[^ab12]", "a[^ab12]", "b.[^eg001]", "[^ab12][^cd34]", "[^é123]", "[^ab12]x"]
+    pairs = []
+    for i in range(400):
+        was = [rng.choice(some) for _ in range(rng.randrange(12))]
+        now = []
+        for w in was:
+            r = rng.random()
+            now += [w] if r < 0.7 else [w + "[^zz99]"] if r < 0.8 else ["[^zz99]", w] if r < 0.95 else [rng.choice(some)] if r < 0.98 else []
+        blank = lambda: rng.choice([" ", "\n", " ", "\x1c", "  \t"])
+        pairs.append((i, "".join(w + blank() for w in was), "".join(w + blank() for w in now) + rng.choice(["", "", "[^qq11]", " more"])))
+    before = spark.createDataFrame([(i, a) for i, a, _ in pairs] + [(1000, "only before"), (1002, None)], "spec int, text string")
+    after = spark.createDataFrame([(i, b) for i, _, b in pairs] + [(1001, "only after"), (1002, "")], "spec int, text string")
+    want = [(i, *plain_difference(a, b)) for i, a, b in pairs] + [(1000, 1, "only"), (1001, 1, "only"), (1002, None, None)]
+    got = rows(R.additions_only(before, after).select("spec", "place", "word", "ok"), "spec")
+    assert [g[:3] for g in got] == want and all(g[3] == (g[1] is None) for g in got)
+    assert 50 < sum(p is None for _, p, _ in want) < 350
