@@ -14,7 +14,7 @@ from ruleloom.operators import packets as K
 from ruleloom.operators import partition as P
 
 from . import shim
-from .graph import PACKED, _directed
+from .graph import PACKED, REGISTRY, _directed, registry_check
 from .lexical import LINKED, big, linked_lines
 
 QUERIES: dict = {}
@@ -163,11 +163,12 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.requests(prompts, "m", 100, "s", "high").select("custom_id", F.to_json("params").alias("line"))
 
 
-@query("SELECT condition, verdict, n FROM (VALUES ('nesting', 'FAIL', 1::BIGINT), ('span', 'SKIP', 0::BIGINT), ('registry', 'PASS', 0::BIGINT)) v(condition, verdict, n)", shimmed=False)
+@query(", " + REGISTRY + """SELECT condition, CASE WHEN n IS NULL THEN 'SKIP' WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, coalesce(n, 0)::BIGINT AS n FROM (SELECT 'unlabelled' AS condition, (SELECT count(*) FROM R WHERE id NOT IN (SELECT id FROM B)) AS n
+UNION ALL SELECT 'unknown rules', (SELECT count(*) FROM B WHERE id NOT IN (SELECT id FROM R)) UNION ALL SELECT 'span', NULL UNION ALL SELECT 'registry', (SELECT count(*) FROM RP))""")
 def taxonomy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = shim.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("label"))
-    registry = spark.createDataFrame([("a", "A", "one", ["s"], None), ("b", "B", "two", ["s"], None)], "key string, title string, definition string, seed_anchors array<string>, parent string")
-    return A.taxonomy({"nesting": S.nesting(labels), "span": None, "registry": S.registry_problems(registry, 1, 20)})
+    """A condition that fails, one that holds, one without anything to judge by, and the registry's, over all documents."""
+    rules, labels = shim.rules(spark, sf_dir).select("id"), shim.labels(spark, sf_dir).select("id", "label")
+    return A.taxonomy({"unlabelled": S.residue(rules, labels), "unknown rules": labels.join(rules, "id", "left_anti"), "span": None, "registry": registry_check(spark, sf_dir)})
 
 
 #: Passages (PS), what each rule's sections, citations and named rules ask for (WA), and the contexts that follow (CX).

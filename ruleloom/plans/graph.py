@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleloom import schema
 from ruleloom.operators import checks as K
 from ruleloom.operators import edges as E
 from ruleloom.operators import labels as S
@@ -121,11 +124,12 @@ def groups_of_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.groups_of_rules(E.label_groups(shim.labels(spark, sf_dir))).select("rule", F.array_join("groups", ",").alias("groups"))
 
 
-@query("SELECT a.authority, count(*)::BIGINT AS n FROM X JOIN R a ON a.id = X.src JOIN R b ON b.id = X.dst WHERE a.authority = b.authority AND a.authority IN ('root', 'user') GROUP BY a.authority")
+@query("SELECT a.authority, count(*)::BIGINT AS n FROM X JOIN R a ON a.id = X.src JOIN R b ON b.id = X.dst WHERE a.authority = b.authority GROUP BY a.authority")
 def authority_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, x = shim.rules(spark, sf_dir), shim.citation_edges(spark, sf_dir)
-    views = [E.induced(x, r.where(F.col("authority") == a).select("id")).select(F.lit(a).alias("authority")) for a in ("root", "user")]
-    return views[0].unionByName(views[1]).groupBy("authority").agg(F.count("*").alias("n"))
+    r, x = shim.kept(r.select("id", "authority")), shim.kept(x)
+    views = [E.induced(x, r.where(F.col("authority") == a).select("id")).select(F.lit(a).alias("authority")) for a in schema.AUTHORITIES]
+    return reduce(DataFrame.unionByName, views).groupBy("authority").agg(F.count("*").alias("n"))
 
 
 @query("SELECT n AS labels, count(*)::BIGINT AS rules, (n * count(*))::BIGINT AS copies, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS marked FROM (SELECT id, count(*)::BIGINT AS n FROM B GROUP BY id) GROUP BY n")
@@ -321,10 +325,24 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.stratified_sample(shim.rules(spark, sf_dir).select("id", F.coalesce("authority", F.lit("none")).alias("chapter")))
 
 
-@query("SELECT \"check\", subject FROM (VALUES ('repeated key', 'a'), ('unknown parent', 'd'), ('depth', 'e'), ('missing field', 'c'), ('roots', '4')) v(\"check\", subject)", shimmed=False)
+#: A registry with a topic for each document (RG), and its problems (RP): keys and definitions of several, titles that lack, parents unknown or too deep.
+REGISTRY = """RG AS (SELECT CASE WHEN doc_id % 11 = 1 THEN 'd' || (doc_id - 1) ELSE 'd' || doc_id END AS k, CASE WHEN doc_id % 11 = 2 THEN '' ELSE 'T' END AS t,
+CASE WHEN doc_id % 11 = 5 THEN 'same' ELSE 'about ' || doc_id END AS def, CASE doc_id % 11 WHEN 3 THEN 'zz' || doc_id WHEN 4 THEN 'd' || (doc_id - 1) END AS p FROM documents),
+RP AS (SELECT 'repeated key' AS "check", k AS subject FROM RG GROUP BY k HAVING count(*) > 1 UNION ALL SELECT 'repeated definition', def FROM RG GROUP BY def HAVING count(*) > 1 UNION ALL SELECT 'missing field', k FROM RG WHERE t = ''
+UNION ALL SELECT 'unknown parent', k FROM RG WHERE p IS NOT NULL AND p NOT IN (SELECT k FROM RG) UNION ALL SELECT 'depth', RG.k FROM RG JOIN RG h ON h.k = RG.p WHERE h.p IS NOT NULL
+UNION ALL SELECT 'roots', n::VARCHAR FROM (SELECT count(*) AS n FROM RG WHERE p IS NULL) WHERE n NOT BETWEEN 12 AND 20)
+"""
+
+
+@query("WITH " + REGISTRY + 'SELECT "check", subject FROM RP', shimmed=False)
 def registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", "A", "one", ["s1"], None), ("a", "A", "two", ["s2"], None), ("b", "B", "three", ["s1"], None), ("c", "", "four", ["s1"], None), ("d", "D", "five", ["s2"], "zz"), ("f", "F", "six", ["s4"], "b"), ("e", "E", "seven", ["s4"], "f")]
-    registry = spark.createDataFrame(rows, "key string, title string, definition string, seed_anchors array<string>, parent string")
+    """A topic for each document, with mistakes by its id."""
+    i = F.col("doc_id")
+    k, name = i % 11, lambda x: F.concat(F.lit("d"), x)
+    registry = shim.table(spark, sf_dir, "documents").select(
+        F.when(k == 1, name(i - 1)).otherwise(name(i)).alias("key"), F.when(k == 2, "").otherwise("T").alias("title"), F.when(k == 5, "same").otherwise(F.concat(F.lit("about "), i)).alias("definition"),
+        F.array(F.lit("s1")).alias("seed_anchors"), F.when(k == 3, F.concat(F.lit("zz"), i)).when(k == 4, name(i - 1)).alias("parent"),
+    )
     return S.registry_problems(registry)
 
 
