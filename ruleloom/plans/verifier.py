@@ -78,10 +78,11 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.select(F.col("spec").alias("unit"), C.filled("Rules of $unit:\n$rules\nContext: $context", slots).alias("prompt"))
 
 
-@query("SELECT doc_id AS unit, string_agg(CASE WHEN new AND path IS NOT NULL THEN 'Section: ' || replace(path, '/', ' / ') || chr(10) ELSE '' END || '[' || pid || '] t', chr(10) || chr(10) ORDER BY pid) AS text FROM (SELECT *, lpad(ln::VARCHAR, 6, '0') AS pid, lag(path) OVER (PARTITION BY doc_id ORDER BY ln) IS DISTINCT FROM path OR lag(ln) OVER (PARTITION BY doc_id ORDER BY ln) IS NULL AS new FROM R) GROUP BY doc_id")
+@query("SELECT doc_id AS unit, string_agg(CASE WHEN new AND path IS NOT NULL THEN 'Section: ' || replace(path, '/', ' / ') || chr(10) ELSE '' END || '[' || pid || '] p ' || line || '.', chr(10) || chr(10) ORDER BY pid) AS text FROM (SELECT *, lpad(ln::VARCHAR, 6, '0') AS pid, lag(path) OVER (PARTITION BY doc_id ORDER BY ln) IS DISTINCT FROM path OR lag(ln) OVER (PARTITION BY doc_id ORDER BY ln) IS NULL AS new FROM R) GROUP BY doc_id")
 def passage_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = shim.rules(spark, sf_dir).select(F.col("spec").alias("unit"), F.lpad(F.col("ln").cast("string"), 6, "0").alias("passage"), F.col("sections").alias("path"), F.lit("t").alias("text"))
-    return C.rendered_passages(r)
+    r = shim.rules(spark, sf_dir).select(F.col("spec").alias("unit"), F.lpad(F.col("ln").cast("string"), 6, "0").alias("passage"), F.col("sections").alias("path"), "ln")
+    text = shim.plain_lines(spark, sf_dir).select(F.col("spec").alias("unit"), "ln", F.concat(F.lit("p "), "line", F.lit(".")).alias("text"))
+    return C.rendered_passages(r.join(text, ["unit", "ln"]).drop("ln"))
 
 
 @query("SELECT doc_id || '-pass-' || lpad(p::VARCHAR, 3, '0') AS custom_id, p::BIGINT AS pass FROM documents, range(1, 6) s(p)", shimmed=False)
@@ -108,7 +109,7 @@ def payload_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A request for each document, and results of ten kinds by doc_id % 10; kind 9 has none."""
     docs = shim.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10).alias("k"))
-    one = '{{"rule_ids": ["a", "{b}"], "witness": "w {n}", "unsat_reason": "u", "context_resolution": "{c}"{more}}}'
+    one = '{{"rule_ids": ["a", "{b}"], "witness": " w  {n}", "unsat_reason": "u", "context_resolution": "{c}"{more}}}'
     text = {0: "[]", 1: "[" + one.format(b="b", n="1", c="c", more="") + "]", 2: "[" + one.format(b="b", n="x, ]", c="c", more=",") + " , ]", 3: "[" + one.format(b="b", n="1", c="c", more=""), 4: "[" + one.format(b="b", n="1", c="c", more=', "x": 1') + "]", 5: "[" + one.format(b="a", n="1", c="c", more="") + "]", 6: "[" + one.format(b="z", n="1", c="c", more="") + "]", 7: "[" + one.format(b="b", n="1", c=" ", more="") + "]", 8: "[" + one.format(b="b", n="1", c="c", more="") + "]"}
     said = F.lit(None).cast("string")
     for k, v in text.items():
@@ -129,10 +130,11 @@ def result_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("error").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("findings"), F.lit(0))).cast("long").alias("findings"), F.sum("repaired").alias("repaired"))
 
 
-@query("SELECT group_key, \"group\" AS pair, n FROM (SELECT doc_id % 7 AS group_key, 'a|b' AS \"group\", count(*)::BIGINT AS n FROM documents WHERE doc_id % 10 IN (1, 2) GROUP BY ALL)", shimmed=False)
+@query("SELECT doc_id % 7 AS group_key, 'a|b' AS pair, CASE WHEN doc_id % 10 = 1 THEN 'w 1' ELSE 'w x, ]' END AS witness, 'u' AS unsat_reason, 'c' AS context_resolution, count(*)::BIGINT AS n FROM documents WHERE doc_id % 10 IN (1, 2) GROUP BY ALL", shimmed=False)
 def findings_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = V.outcomes(*_raw(spark, sf_dir)).select("group_key", F.explode("findings").alias("f")).select("group_key", F.array_join(V.finding_key(F.col("f"))["pair"], "|").alias("pair"))
-    return out.groupBy("group_key", "pair").agg(F.count("*").alias("n"))
+    out = V.outcomes(*_raw(spark, sf_dir)).select("group_key", F.explode("findings").alias("f")).select("group_key", V.finding_key(F.col("f")).alias("key"))
+    by = ["group_key", F.array_join("key.pair", "|").alias("pair"), "key.witness", "key.unsat_reason", "key.context_resolution"]
+    return out.groupBy(*by).agg(F.count("*").alias("n"))
 
 
 @query("SELECT problem, count(*)::BIGINT AS n FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'repeated' ELSE 'unexpected' END AS problem FROM documents WHERE doc_id % 10 <> 9 AND (doc_id % 3 = 0 OR doc_id % 2 = 0)) GROUP BY ALL", shimmed=False)
