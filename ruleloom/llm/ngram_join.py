@@ -9,8 +9,10 @@ is still large at the last level is compared block by block, so that none is dro
 
 Equal sets are one before that. In a bucket sketches (a byte of each minhash) sort out pairs far below the similarity, and
 two sets that are already in one class aren't compared again; so a large group of copies costs a forest, not its pairs. What
-is left gives the candidate classes, of which each text is read once more and every pair is compared exactly, a block of a
-class against another. Links are counted there and never listed; each block returns a row for each of its sets.
+is left gives the candidate classes, of which each text is read once more and every pair is decided exactly. A class of one
+block is compared there. In a larger one each set becomes its difference from the class's centre: sets that are close enough to it
+are linked to each other without a comparison and counted by two sums, and only differences meet for the others. Links are
+counted and never listed.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ T = 64
 #: Sets that are compared directly in a bucket; of a block of a bucket that stays too large at level LEVELS.
 BUCKET, WIDE = 512, 512
 LEVELS = 3
-#: Sets, and shingles of them, in a block of exact comparison, about.
-BLOCK, SHINGLES = 1024, 1 << 22
+#: Sets, and shingles of them, in a block of exact comparison, about; sets whose differences from a centre make a strip.
+BLOCK, SHINGLES, STRIP = 1024, 1 << 22, 1 << 14
 
 
 def survival(levels: int, p: float, similarity: float) -> float:
@@ -354,8 +356,9 @@ def linked(own: list[np.ndarray], chunk: list[np.ndarray], similarity: float, in
 
 
 def verify_blocks(texts: DataFrame, similarity: float) -> DataFrame:
-    """row, component, block, blocks, copies, links, to and tokens of (component, block): links to the block's other sets, each as
-    often as it has copies, and the least row that the row is joined to in the block. tokens where a class has other blocks."""
+    """row, component, block, blocks, copies, links, to, tokens and centre of (component, block). Of a class of one block: links to
+    its other sets, each as often as it has copies, and the least row that the row is joined to. Of a class of several: tokens, and
+    on one row of each block the shingles that more than half of the block's sets have."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in groups_of(batches, ["component", "block"]):
@@ -368,8 +371,12 @@ def verify_blocks(texts: DataFrame, similarity: float) -> DataFrame:
                 sets += np.split(tokens, np.cumsum(n)[:-1])
             at = np.flatnonzero(np.r_[True, (np.diff(comp) != 0) | (np.diff(block) != 0)]) if len(row) else np.zeros(0, int)
             links, to = np.zeros(len(row), np.int64), row.copy()
+            centre: list[bytes | None] = [None] * len(row)
             for a, b in zip(at.tolist(), [*at[1:].tolist(), len(row)], strict=True):
-                if b - a == 2:
+                if blocks[a] > 1:
+                    token, place, _, _ = indexed(sets[a:b])
+                    centre[a] = token[2 * np.diff(place) > b - a].tobytes()
+                elif b - a == 2:
                     both = np.intersect1d(sets[a], sets[a + 1], assume_unique=True).size
                     if both >= similarity * (len(sets[a]) + len(sets[a + 1]) - both) - 1e-6:
                         links[a], links[a + 1], to[a + 1] = copies[a + 1], copies[a], row[a]
@@ -380,37 +387,100 @@ def verify_blocks(texts: DataFrame, similarity: float) -> DataFrame:
                     x, y = np.nonzero(np.triu(good))
                     to[a:b] = row[a:b][forest(b - a, x, y)]
             tokens = pa.array([s.tobytes() if k > 1 else None for s, k in zip(sets, blocks.tolist(), strict=True)], pa.binary())
-            yield pa.record_batch([pa.array(x) for x in (row, comp, block, blocks, copies, links, to)] + [tokens], names)
+            yield pa.record_batch([pa.array(x) for x in (row, comp, block, blocks, copies, links, to)] + [tokens, pa.array(centre, pa.binary())], names)
 
-    names = ["row", "component", "block", "blocks", "copies", "links", "to", "tokens"]
+    names = ["row", "component", "block", "blocks", "copies", "links", "to", "tokens", "centre"]
     dealt = texts.repartition("component", "block").sortWithinPartitions("component", "block", "row")
-    return dealt.select("component", "block", "blocks", "row", "copies", "text").mapInArrow(trimmed(compare), "row long, component long, block int, blocks int, copies long, links long, to long, tokens binary")
+    return dealt.select("component", "block", "blocks", "row", "copies", "text").mapInArrow(trimmed(compare), "row long, component long, block int, blocks int, copies long, links long, to long, tokens binary, centre binary")
+
+
+def differences(blocks: DataFrame, similarity: float) -> DataFrame:
+    """row, component, copies, n, base, gone, light, diff of the classes with several blocks: how each set differs from its class's
+    centre, which is any set of shingles and here those that most sets of one block have. base counts the centre's shingles, gone
+    those that the set lacks; diff holds these and what it has beside the centre. Two sets have
+    base - gone - gone + |diff and diff| shingles in common, so that the sets themselves needn't meet.
+
+    light are those for which gone + similarity * added is at most (1 - similarity) * base / 2: any two of them are linked."""
+    own = blocks.where("tokens is not null").select("row", "component", "copies", "tokens")
+    centres = cut(blocks.where("centre is not null").groupBy("component").agg(F.min_by("centre", "block").alias("centre")))
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, base, gone, light, diff = [], [], [], [], []
+            for tokens, centre in zip(batch.column("tokens"), batch.column("centre"), strict=True):
+                x, c = (np.frombuffer(v.as_buffer(), np.uint64) for v in (tokens, centre))
+                lacks, has = np.setdiff1d(c, x, assume_unique=True), np.setdiff1d(x, c, assume_unique=True)
+                n.append(len(x))
+                base.append(len(c))
+                gone.append(len(lacks))
+                light.append(len(lacks) + similarity * len(has) <= (1 - similarity) * len(c) / 2)
+                diff.append(np.concatenate([lacks, has]).tobytes())
+            yield pa.record_batch([*(batch.column(c) for c in ("row", "component", "copies")), pa.array(n, pa.int64()), pa.array(base, pa.int64()), pa.array(gone, pa.int64()), pa.array(light, pa.bool_()), pa.array(diff, pa.binary())], names)
+
+    names = ["row", "component", "copies", "n", "base", "gone", "light", "diff"]
+    met = sized_join(own, centres, ["component"], "inner").select("row", "component", "copies", "tokens", "centre")
+    return met.mapInArrow(trimmed(differ), "row long, component long, copies long, n long, base long, gone long, light boolean, diff binary")
+
+
+def shared_counts(index: tuple, chunk: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sets in indexed() has in common with each of a chunk; work as the common elements ask for."""
+    token, place, owner, rows = index
+    flat = np.concatenate(chunk) if chunk else np.zeros(0, np.uint64)
+    of = np.repeat(np.arange(len(chunk)), [len(x) for x in chunk])
+    out = np.zeros(rows * len(chunk), np.int64)
+    if len(token) and len(flat):
+        at = np.minimum(np.searchsorted(token, flat), len(token) - 1)
+        hit = token[at] == flat
+        at, of = at[hit], of[hit]
+        times = place[at + 1] - place[at]
+        ends = np.cumsum(times)
+        low = 0
+        while low < len(at):  # about 2^21 common elements at once
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + (1 << 21), "right")))
+            t = times[low:high]
+            which = np.repeat(place[at[low:high]] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+            out += np.bincount(owner[which] * len(chunk) + np.repeat(of[low:high], t), minlength=len(out))
+            low = high
+    return out.reshape(rows, len(chunk))
+
+
+def shipped(diffs: DataFrame) -> DataFrame:
+    """What meets in the strips (component, strip) of the classes that have sets which aren't light: every set once in its own strip
+    (other 0), and those that aren't light in every strip of their class (other 1)."""
+    size = F.sum(F.octet_length("diff") / 8)
+    classes = diffs.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / STRIP), F.ceil(size / SHINGLES), F.lit(1)).cast("int").alias("strips"), F.sum((~F.col("light")).cast("long")).alias("heavy"))
+    met = sized_join(diffs, cut(classes.where("heavy > 0").select("component", "strips")), ["component"], "inner")
+    own = met.withColumn("strip", F.pmod(F.xxhash64("row", F.lit(11)), F.col("strips")).cast("int")).withColumn("other", F.lit(0))
+    others = met.where(~F.col("light")).withColumn("strip", F.explode(F.sequence(F.lit(0), F.col("strips") - 1))).withColumn("other", F.lit(1))
+    return own.unionByName(others).select("component", "strip", "other", "row", "copies", "n", "base", "gone", "light", "diff")
 
 
 def verify_across(blocks: DataFrame, similarity: float) -> DataFrame:
-    """row, links, to: of the classes with several blocks, each block's sets against those of all others. A row for each set of the
-    block with its links there; and one, without links, for each two of the blocks' own groups that a link joins."""
-    own = blocks.where("tokens is not null")
-    kept = own.select("component", F.col("block").alias("strip"), F.lit(0).alias("other"), "block", "row", "copies", "to", "tokens")
-    others = own.withColumn("strip", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("strip <> block").select("component", "strip", F.lit(1).alias("other"), "block", "row", "copies", "to", "tokens")
+    """row, links, to: the links of the classes with several blocks. Light sets are linked to each other without a comparison, by
+    two sums of their class; the others' differences meet those of all sets, strip by strip. Only pairs with a set that isn't light
+    are compared, and only differences are shipped."""
+    diffs = written(differences(blocks, similarity))
+    light = diffs.where("light")
+    totals = cut(light.groupBy("component").agg(F.sum("copies").alias("total"), F.min("row").alias("least")))
+    closed = sized_join(light.select("row", "component", "copies"), totals, ["component"], "inner")
+    closed = closed.select("row", (F.col("total") - F.col("copies")).alias("links"), F.col("least").alias("to"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strip = None
         held: list[pa.RecordBatch] = []
-        mine: tuple | None = None
+        mine: dict | None = None
 
-        def gathered() -> tuple:
-            t = pa.Table.from_batches(held)
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
-            return sets, indexed(sets), t.column("row").to_numpy(), t.column("to").to_numpy(), np.zeros(len(sets), np.int64), set(), t.column("block")[0].as_py()
+        def sets_of(t: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+            return [np.frombuffer(x, np.uint64) for x in t.column("diff").to_pylist()]
 
-        def result(x: tuple) -> pa.RecordBatch:
-            pairs = np.array(sorted(x[5]), np.int64).reshape(-1, 2)
-            return pa.record_batch({"row": np.r_[x[2], pairs[:, 0]], "links": np.r_[x[4], np.zeros(len(pairs), np.int64)], "to": np.r_[x[2], pairs[:, 1]]})
+        def gathered() -> dict:
+            t = pa.Table.from_batches(held)
+            x = {c: t.column(c).to_numpy() for c in ("row", "copies", "n", "base", "gone")}
+            return x | {"light": np.array(t.column("light").to_pylist(), bool), "index": indexed(sets_of(t)), "links": np.zeros(t.num_rows, np.int64), "to": np.arange(t.num_rows)}
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 key = list(zip(part.column("component").to_pylist(), part.column("strip").to_pylist(), part.column("other").to_pylist(), strict=True))
                 begin = 0
                 while begin < len(key):
@@ -420,24 +490,32 @@ def verify_across(blocks: DataFrame, similarity: float) -> DataFrame:
                     some = part.slice(begin, end - begin)
                     if key[begin][:2] != strip:
                         if mine is not None:
-                            yield result(mine)
+                            yield pa.record_batch({"row": mine["row"], "links": mine["links"], "to": mine["row"][mine["to"]]})
                         strip, held, mine = key[begin][:2], [], None
                     if not key[begin][2]:
                         held.append(some)
                     else:
                         mine = mine or gathered()
-                        sets, index, _, to, links, pairs, block = mine
-                        good = linked(sets, [np.frombuffer(x, np.uint64) for x in some.column("tokens").to_pylist()], similarity, index)
-                        links += good @ some.column("copies").to_numpy()
-                        x, y = np.nonzero(good & (some.column("block").to_numpy() > block)[None, :])
-                        if len(x):
-                            pairs.update(map(tuple, np.unique(np.c_[to[x], some.column("to").to_numpy()[y]], axis=0).tolist()))
+                        row, copies, n, gone = (some.column(c).to_numpy() for c in ("row", "copies", "n", "gone"))
+                        both = mine["base"][:, None] - mine["gone"][:, None] - gone[None, :] + shared_counts(mine["index"], sets_of(some))
+                        good = both >= similarity * (mine["n"][:, None] + n[None, :] - both) - 1e-6
+                        good &= mine["row"][:, None] != row[None, :]
+                        mine["links"] += good @ copies
+                        # one of the strip's sets for each that came; all others that it is linked to are joined to that one
+                        first = good.argmax(0)
+                        x, y = np.nonzero(good)
+                        a, b = mine["to"][x], mine["to"][first[y]]
+                        if (a != b).any():
+                            a, b = np.unique(np.c_[a, b][a != b], axis=0).T
+                            mine["to"] = forest(len(mine["row"]), a, b)[mine["to"]]
+                        some_ = np.flatnonzero(good.any(0))
+                        yield pa.record_batch({"row": row[some_], "links": (good * mine["light"][:, None]).T[some_] @ mine["copies"], "to": mine["row"][first[some_]]})
                     begin = end
         if mine is not None:
-            yield result(mine)
+            yield pa.record_batch({"row": mine["row"], "links": mine["links"], "to": mine["row"][mine["to"]]})
 
-    both = kept.unionByName(others).repartition("component", "strip").sortWithinPartitions("component", "strip", "other")
-    return both.mapInArrow(trimmed(compare), "row long, links long, to long")
+    met = shipped(diffs).repartition("component", "strip").sortWithinPartitions("component", "strip", "other")
+    return closed.unionByName(met.mapInArrow(trimmed(compare), "row long, links long, to long"))
 
 
 def exact_links(documents: DataFrame, reps: DataFrame, near: DataFrame, similarity: float) -> DataFrame:

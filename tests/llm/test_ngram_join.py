@@ -66,7 +66,7 @@ def test_blocks_and_second_level_lose_nothing(docs, monkeypatch):
     """Tiny buckets and blocks make every group take the split ways."""
     import ruleloom.llm.ngram_join as N
 
-    for name, value in (("BUCKET", 4), ("BLOCK", 8), ("WIDE", 8)):
+    for name, value in (("BUCKET", 4), ("BLOCK", 8), ("WIDE", 8), ("STRIP", 8)):
         monkeypatch.setattr(N, name, value)
     rows = fixture()
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.class_id, r.n_links) for r in jaccard_join(docs(rows), recall=0.99999).collect())
@@ -128,6 +128,53 @@ def test_a_large_bucket_edge_count_is_linear(spark, docs):
     assert 2599 <= edges.count() < 4 * level.count() and first.count() == 2600
 
 
+def near_copies(n, edits, seed=1):
+    """n texts of 200 words with so many words replaced, all different."""
+    base, rows = words(200, seed), []
+    for i in range(n):
+        w = list(base)
+        for j in range(edits):
+            w[(7 * i + 61 * j + i // 200) % 195] = f"x{i}y{j}"
+        rows.append((10_000 * seed + i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("edits", [1, 3, 5])
+def test_large_classes_by_differences(docs, monkeypatch, edits):
+    """Two families in many blocks and strips, with sets near the centre, at the limit and beyond it: links and classes as by brute
+    force, whichever of the ways a pair takes."""
+    import ruleloom.llm.ngram_join as N
+
+    for name, value in (("BLOCK", 16), ("STRIP", 16)):
+        monkeypatch.setattr(N, name, value)
+    rows = near_copies(50, edits) + near_copies(40, edits, 2) + near_copies(12, 6)[6:]
+    rows += rows[:3]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join(docs(rows), recall=0.99999).collect())
+    assert got == brute(rows)
+
+
+def test_what_verification_ships_is_linear(docs):
+    """Near copies of one text: no set goes to several strips, and sets near the centre go to none."""
+    from pyspark.sql import functions as F
+
+    from ruleloom.llm import ngram_join as N
+
+    for n in (1500, 3000, 6000):
+        reps = N.written(N.signatures(docs(near_copies(n, 1)), 0.8, 3).withColumn("copies", F.lit(1).cast("long")))
+        near = reps.select(F.col("row").alias("node"), F.lit(0).cast("long").alias("component"))
+        seen = []
+        real, whole = N.shipped, N.differences
+        try:
+            N.shipped = lambda diffs: seen.append(real(diffs)) or seen[-1]
+            N.differences = lambda blocks, s: seen.append(blocks) or whole(blocks, s)
+            links = N.exact_links(docs(near_copies(n, 1)), reps, near, 0.8)
+            assert [tuple(r) for r in links.groupBy("row").agg(F.sum("links").alias("l")).groupBy("l").count().collect()] == [(n - 1, n)]
+        finally:
+            N.shipped, N.differences = real, whole
+        blocks, strips = seen
+        assert blocks.count() == n and strips.count() == 0
+
+
 @pytest.mark.parametrize("rows", [200_000, 50])
 def test_components_with_hubs(spark, monkeypatch, rows):
     from ruleloom.llm import components as C
