@@ -48,27 +48,71 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return by.select("source", "source_size", F.when(F.col("above") | F.col("level").isNull(), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
+def unit(name: Column) -> Column:
+    """A number in [0, 1) that depends on the name alone."""
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def seeded(seed: str, doc_id: Column, text: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the id alone (without an id: on the text)."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    return unit(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))))
+
+
+def size_class(size: Column) -> Column:
+    """The size itself up to 127, then 64 classes for each doubling: a source has some thousands of classes at most."""
+    shift = F.greatest(F.length(F.bin(size)) - 7, F.lit(0))
+    return (shift * 64 + F.call_function("shiftright", size, shift)).cast("long")
+
+
+def draws(per: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """source, cell, limit: the documents of a source and size class whose number is at most the limit get the copy for the
+    fraction, from (source, cell, u, n) and (source, fraction).
+
+    A source's documents stand in the order of their classes, and of their numbers in a class. With one offset a source, drawn from
+    the seed, the running sums of the fraction pass a whole number in some classes: as often as that, documents of the class with the
+    smallest numbers are drawn. So every document's chance is the fraction, and the sizes drawn add up to their share within about
+    one document. Numbers are ranked range by range over rows of three numbers; the limits are a row for each class.
+    """
+    order = [F.col("source").asc_nulls_last(), F.col("cell")]
+    cells = cut(per.groupBy("source", "cell").agg(F.sum("n").alias("n")))
+    cells = running(cells, order, {"start": F.col("n")}).withColumnRenamed("source", "s")
+    first = cut(cells.groupBy("s").agg(F.min("start").alias("base")))
+    about = targets.select(F.col("source").alias("t"), "fraction", unit(F.concat(F.lit(f"{seed}offset:"), F.coalesce("source", F.lit("")))).alias("offset"))
+    about = cut(first.join(about, F.col("s").eqNullSafe(F.col("t"))).select(F.col("s").alias("r"), "base", "fraction", "offset"))
+    cells = sized_join(cells, about, F.col("s").eqNullSafe(F.col("r")), "inner")
+
+    def passed(before: Column) -> Column:
+        return F.floor(F.col("fraction") * before.cast("double") + F.col("offset"))
+
+    before = F.col("start") - F.col("base")
+    cells = cut(cells.select("s", F.col("cell").alias("c"), "start", (passed(before + F.col("n")) - passed(before)).alias("wanted")).where("wanted > 0"))
+    ranked = running(per.select("source", "cell", "u", "n"), [*order, F.col("u")], {"place": F.col("n")})
+    drawn = sized_join(ranked, cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")), "inner").where(F.col("place") - F.col("start") < F.col("wanted"))
+    return drawn.groupBy("source", "cell").agg(F.max("u").alias("limit"))
 
 
 def mix_plan(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix:", keep: list[str] | None = None) -> DataFrame:
     """Each document with size, source_size, target and copies: floor(rate) plus one with the fraction's probability.
 
-    rate is target / source_size. Null text has size 0; documents of a source whose size is 0 get no copy; null sources
-    are one source; repeated rows with one id share its draw. An empty table gives an empty one. `keep` names the columns
-    that are carried (all by default). Only the sizes are written before the second pass; the per-source table is joined
-    by broadcast after a count.
+    rate is target / source_size. The draws of one source depend on each other (see draws), so that its taken words come within
+    about a document of its target. Null text has size 0; documents of a source whose size is 0 get no copy; null sources are one
+    source; repeated rows with one id share its draw. An empty table gives an empty one. `keep` names the columns that are carried
+    (all by default). The texts are read twice and stay where they are: sizes and numbers are added up by source and size class, and
+    the tables of sources and classes are joined by broadcast after a count.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    targets = cut(source_targets(documents.select("source", size.alias("size"))))
-    wide = documents.select(*(keep if keep is not None else documents.columns), size.alias("__size"), F.col("source").alias("__source"), seeded(seed, F.col("doc_id"), F.col("text")).alias("__u"))
-    targets = targets.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    wide = sized_join(wide, targets, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s", "__source")
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
-    return wide.withColumn("__copies", (F.floor(rate) + (F.col("__u") < rate - F.floor(rate)).cast("long")).cast("long"))
+    number = seeded(seed, F.col("doc_id"), F.col("text"))
+    per = documents.select("source", size.alias("size"), number.alias("u")).groupBy("source", size_class(F.col("size")).alias("cell"), "u").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    per = cut(per)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    targets = source_targets(per.select("source", "size")).withColumn("rate", rate)
+    targets = cut(targets.select("source", "source_size", "target", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("fraction")))
+    limits = cut(draws(per, targets, seed).select(F.col("source").alias("__s"), F.col("cell").alias("__c"), F.col("limit").alias("__limit")))
+    wide = documents.select(*(keep if keep is not None else documents.columns), size.alias("__size"), F.col("source").alias("__source"), number.alias("__u"))
+    of = targets.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"))
+    wide = sized_join(wide, of, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    wide = sized_join(wide, limits, F.col("__source").eqNullSafe(F.col("__s")) & (size_class(F.col("__size")) == F.col("__c")), "left").drop("__s", "__c", "__source")
+    return wide.withColumn("__copies", (F.col("__whole") + F.coalesce((F.col("__u") <= F.col("__limit")).cast("long"), F.lit(0))).cast("long")).drop("__whole", "__limit")
 
 
 def mixed(documents: DataFrame, **options) -> DataFrame:

@@ -23,9 +23,12 @@ from .toxicity import fit as fit_toxicity
 from .toxicity import toxicity
 from .warc import archived
 
-#: op4: sizes, the fixed point of the capped shares, and the same hash-seeded draw.
+#: op4: sizes, the fixed point of the capped shares, and the same hash-seeded draws: as many documents of each source's size class as
+#: whole numbers that the running sums of the fraction pass there.
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH z AS (SELECT doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+d AS MATERIALIZED (SELECT doc_id, source, size, greatest(length(bin(size)) - 7, 0) * 64 + (size >> greatest(length(bin(size)) - 7, 0)::INT) AS cell,
+  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS u FROM z),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, 1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS cap FROM s),
 o AS (SELECT *, sum(source_size) OVER () AS total,
@@ -34,10 +37,14 @@ o AS (SELECT *, sum(source_size) OVER () AS total,
 l AS (SELECT (total - capped)::BIGINT AS rest, open_weight::BIGINT AS open_weight FROM o WHERE cap * open_weight >= (total - capped) * weight ORDER BY cap / weight, source ASC NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN l.rest IS NULL OR cap * o.open_weight < (total - capped) * weight THEN cap::DOUBLE
   ELSE (l.rest * weight)::DOUBLE / l.open_weight::DOUBLE END AS target FROM o LEFT JOIN l ON true),
-j AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-  ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'text:' || coalesce(d.text, ''))), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM j
+f AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+  ('0x' || substr(md5('mix:offset:' || coalesce(source, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS off FROM t),
+c AS (SELECT source, cell, count(*) AS n FROM d GROUP BY source, cell),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c),
+w AS (SELECT b.source, b.cell, floor((rate - floor(rate)) * (before + n)::DOUBLE + off) - floor((rate - floor(rate)) * before::DOUBLE + off) AS wanted FROM b JOIN f ON b.source IS NOT DISTINCT FROM f.source),
+k AS (SELECT *, rank() OVER (PARTITION BY source, cell ORDER BY u) - 1 AS place FROM d)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN place < wanted THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM k JOIN f ON k.source IS NOT DISTINCT FROM f.source JOIN w ON k.source IS NOT DISTINCT FROM w.source AND k.cell = w.cell
 """
 
 

@@ -122,13 +122,27 @@ def test_mixing_targets_and_draws(docs):
     assert max(open_) == pytest.approx(min(open_))
     for s, (size, target) in by.items():
         taken = sum(r["__size"] * r["__copies"] for r in got if r["source"] == s)
-        assert all(r["__copies"] <= 3 for r in got) and (not size or abs(taken - target) < 0.15 * target + 3)
+        assert all(r["__copies"] <= 3 for r in got) and (not size or abs(taken - target) <= max(50, 0.02 * target))
     assert {r.doc_id: r["__size"] for r in got}[9002] == 2
     again = {(r.doc_id, r["__copies"]) for r in mix_plan(docs(rows[::-1])).collect()}
     assert again == {(r.doc_id, r["__copies"]) for r in got}
     assert mixed(docs(rows)).count() == sum(r["__copies"] for r in got) and mixed(docs([])).count() == 0
 
 
+def test_small_sources_meet_their_targets(docs):
+    """Sources of some dozen documents of sizes far apart, a very long one, rows without an id and an extra column of a clashing
+    name: each source within a document or 2 % of its target."""
+    rows = [(i, "w " * (1 + (i * i * 37) % 900), None, f"s{i % 23}") for i in range(800)]
+    rows += [(None, "w " * (5 + i), None, "noid") for i in range(40)] + [(5000, "w " * 400_000, None, "long"), (5001, "w w", None, "long")]
+    got = mix_plan(docs(rows).selectExpr("*", "1 as size", "2 as cell", "3 as u", "4 as n")).collect()
+    by = {}
+    for r in got:
+        x = by.setdefault(r["source"], [0, r["__target"], 0])
+        x[0] += r["__size"] * r["__copies"]
+        x[2] = max(x[2], r["__size"])
+    assert len(by) == 25 and all(abs(taken - target) <= max(most, 0.02 * target) for taken, target, most in by.values())
+
+
 def test_one_source_mix(docs):
     got = mix_plan(docs([(1, "a b c", None, "only"), (2, None, None, "only")])).collect()
     assert [(r["__target"], r["__copies"]) for r in got] == [(3.0, 1), (3.0, 1)]
