@@ -394,7 +394,7 @@ def verify_blocks(texts: DataFrame, similarity: float) -> DataFrame:
     return dealt.select("component", "block", "blocks", "row", "copies", "text").mapInArrow(trimmed(compare), "row long, component long, block int, blocks int, copies long, links long, to long, tokens binary, centre binary")
 
 
-def differences(blocks: DataFrame, similarity: float) -> DataFrame:
+def differences(blocks: DataFrame, centres: DataFrame, size: int, similarity: float) -> DataFrame:
     """row, component, copies, n, base, gone, light, diff of the classes with several blocks: how each set differs from its class's
     centre, which is any set of shingles and here those that most sets of one block have. base counts the centre's shingles, gone
     those that the set lacks; diff holds these and what it has beside the centre. Two sets have
@@ -402,7 +402,6 @@ def differences(blocks: DataFrame, similarity: float) -> DataFrame:
 
     light are those for which gone + similarity * added is at most (1 - similarity) * base / 2: any two of them are linked."""
     own = blocks.where("tokens is not null").select("row", "component", "copies", "tokens")
-    centres = cut(blocks.where("centre is not null").groupBy("component").agg(F.min_by("centre", "block").alias("centre")))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -418,7 +417,7 @@ def differences(blocks: DataFrame, similarity: float) -> DataFrame:
             yield pa.record_batch([*(batch.column(c) for c in ("row", "component", "copies")), pa.array(n, pa.int64()), pa.array(base, pa.int64()), pa.array(gone, pa.int64()), pa.array(light, pa.bool_()), pa.array(diff, pa.binary())], names)
 
     names = ["row", "component", "copies", "n", "base", "gone", "light", "diff"]
-    met = sized_join(own, centres, ["component"], "inner").select("row", "component", "copies", "tokens", "centre")
+    met = sized_join(own, centres, ["component"], "inner", size).select("row", "component", "copies", "tokens", "centre")
     return met.mapInArrow(trimmed(differ), "row long, component long, copies long, n long, base long, gone long, light boolean, diff binary")
 
 
@@ -444,12 +443,10 @@ def shared_counts(index: tuple, chunk: list[np.ndarray]) -> np.ndarray:
     return out.reshape(rows, len(chunk))
 
 
-def shipped(diffs: DataFrame) -> DataFrame:
+def shipped(met: DataFrame) -> DataFrame:
     """What meets in the strips (component, strip) of the classes that have sets which aren't light: every set once in its own strip
     (other 0), and those that aren't light in every strip of their class (other 1)."""
-    size = F.sum(F.octet_length("diff") / 8)
-    classes = diffs.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / STRIP), F.ceil(size / SHINGLES), F.lit(1)).cast("int").alias("strips"), F.sum((~F.col("light")).cast("long")).alias("heavy"))
-    met = sized_join(diffs, cut(classes.where("heavy > 0").select("component", "strips")), ["component"], "inner")
+    met = met.where("heavy > 0")
     own = met.withColumn("strip", F.pmod(F.xxhash64("row", F.lit(11)), F.col("strips")).cast("int")).withColumn("other", F.lit(0))
     others = met.where(~F.col("light")).withColumn("strip", F.explode(F.sequence(F.lit(0), F.col("strips") - 1))).withColumn("other", F.lit(1))
     return own.unionByName(others).select("component", "strip", "other", "row", "copies", "n", "base", "gone", "light", "diff")
@@ -459,11 +456,14 @@ def verify_across(blocks: DataFrame, similarity: float) -> DataFrame:
     """row, links, to: the links of the classes with several blocks. Light sets are linked to each other without a comparison, by
     two sums of their class; the others' differences meet those of all sets, strip by strip. Only pairs with a set that isn't light
     are compared, and only differences are shipped."""
-    diffs = written(differences(blocks, similarity))
-    light = diffs.where("light")
-    totals = cut(light.groupBy("component").agg(F.sum("copies").alias("total"), F.min("row").alias("least")))
-    closed = sized_join(light.select("row", "component", "copies"), totals, ["component"], "inner")
-    closed = closed.select("row", (F.col("total") - F.col("copies")).alias("links"), F.col("least").alias("to"))
+    centres = cut(blocks.where("centre is not null").groupBy("component").agg(F.min_by("centre", "block").alias("centre")))
+    many, size = measured(centres)
+    diffs = written(differences(blocks, centres, size, similarity))
+    strips = F.greatest(F.ceil(F.count("*") / STRIP), F.ceil(F.sum(F.octet_length("diff") / 8) / SHINGLES), F.lit(1)).cast("int")
+    light = F.col("light")
+    classes = cut(diffs.groupBy("component").agg(strips.alias("strips"), F.sum((~light).cast("long")).alias("heavy"), F.sum(F.when(light, F.col("copies"))).alias("total"), F.min(F.when(light, F.col("row"))).alias("least")))
+    met = sized_join(diffs, classes, ["component"], "inner", many * 128)  # a class is a row of five numbers
+    closed = met.where(light).select("row", (F.col("total") - F.col("copies")).alias("links"), F.col("least").alias("to"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strip = None
@@ -514,8 +514,8 @@ def verify_across(blocks: DataFrame, similarity: float) -> DataFrame:
         if mine is not None:
             yield pa.record_batch({"row": mine["row"], "links": mine["links"], "to": mine["row"][mine["to"]]})
 
-    met = shipped(diffs).repartition("component", "strip").sortWithinPartitions("component", "strip", "other")
-    return closed.unionByName(met.mapInArrow(trimmed(compare), "row long, links long, to long"))
+    dealt = shipped(met).repartition("component", "strip").sortWithinPartitions("component", "strip", "other")
+    return closed.unionByName(dealt.mapInArrow(trimmed(compare), "row long, links long, to long"))
 
 
 def exact_links(documents: DataFrame, reps: DataFrame, near: DataFrame, similarity: float) -> DataFrame:

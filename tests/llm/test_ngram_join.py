@@ -166,7 +166,7 @@ def test_what_verification_ships_is_linear(docs):
         real, whole = N.shipped, N.differences
         try:
             N.shipped = lambda diffs: seen.append(real(diffs)) or seen[-1]
-            N.differences = lambda blocks, s: seen.append(blocks) or whole(blocks, s)
+            N.differences = lambda blocks, *about: seen.append(blocks) or whole(blocks, *about)
             links = N.exact_links(docs(near_copies(n, 1)), reps, near, 0.8)
             assert [tuple(r) for r in links.groupBy("row").agg(F.sum("links").alias("l")).groupBy("l").count().collect()] == [(n - 1, n)]
         finally:
