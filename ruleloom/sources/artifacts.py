@@ -63,6 +63,17 @@ def write_text(df: DataFrame, path: str, value: str = "value", by: str | None =
     (out.partitionBy(by) if by else out).text(path)
 
 
+def write_documents(df: DataFrame, path: str, value: str = "value", mode: str = "overwrite") -> None:
+    """Many JSON documents, each as it is (indented ones too), in a file for each task: JSON text sequences (RFC 7464), a record separator
+    before each document and a line feed after it. JSON escapes the separator within strings."""
+    df.select(F.concat(F.lit("\x1e"), F.col(value)).alias("value")).write.mode(mode).option("lineSep", "\n").text(path)
+
+
+def read_documents(spark: SparkSession, path: str, shape: str) -> DataFrame:
+    """What write_documents() has written, read in byte ranges, with a declared schema; nulls are no documents."""
+    return spark.read.option("lineSep", "\x1e").schema(shape).json(path)
+
+
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     """name, sha256 of the files of a folder."""
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))

@@ -127,3 +127,22 @@ def test_repeated_tags_name_their_document(spark):
     before = spark.createDataFrame([(1, "a b"), (2, "a b")], "spec int, text string")
     after = spark.createDataFrame([(1, "a[^ab12] b[^ab12]"), (2, "a[^ab12] b[^eg001][^eg001]")], "spec int, text string")
     assert sorted(map(tuple, K.annotation(before, after).collect())) == [("repeated example", "2", "eg001"), ("repeated rule", "1", "ab12")]
+
+
+def test_json_documents_share_files_and_keep_every_text(spark, tmp_path):
+    texts = ["a", "", "two\nlines\r\n", "\x1e in a text \x1e\n{", "\u2028 \x85 é 😀", '"quoted" \\ }', " "] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    A.write_documents(docs.select(F.to_json(F.struct("doc_id", "text"), {"pretty": "true"}).alias("value")), str(tmp_path / "d"))
+    assert len(list((tmp_path / "d").glob("part-*"))) <= 3
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        got = A.read_documents(spark, str(tmp_path / "d"), "doc_id long, text string")
+        assert got.rdd.getNumPartitions() > 3 and sorted(map(tuple, got.collect())) == list(enumerate(texts))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "one" / "s").mkdir(parents=True)
+    docs.where("doc_id < 50").write.parquet(str(tmp_path / "one" / "s" / "documents.parquet"))
+    from ruleloom.plans import artifacts as plans
+
+    read = plans.json_documents(spark, str(tmp_path / "one" / "s"))
+    assert read.count() == 50 and len({r.f for r in read.select(F.input_file_name().alias("f")).collect()}) <= 3
