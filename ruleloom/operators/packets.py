@@ -147,6 +147,15 @@ def section_jobs(records: DataFrame, contexts: DataFrame, edges: DataFrame, jobs
     return by.groupBy(F.col("job").alias("job_id")).agg(F.sum(F.size("r")).alias("rule_count"), F.count("*").alias("section_count"), sections.alias("sections"))
 
 
+def dimension_members(records: DataFrame, labels: DataFrame, registry: DataFrame, least: int = 2) -> DataFrame:
+    """key, title, definition, member_count, spec, rule and the fields of records: dimension_jobs() as a row for each member, in any order, so
+    that no row or task holds a dimension."""
+    by = labels.select("spec", F.col("id").alias("rule"), F.col("label").alias("key")).distinct()
+    counts = by.join(records.select("spec", "rule"), ["spec", "rule"]).groupBy("key").agg(F.count("*").alias("member_count")).where(F.col("member_count") >= least)
+    heads = registry.join(counts, "key").select("key", "title", "definition", "member_count")
+    return by.join(F.broadcast(heads), "key").join(records, ["spec", "rule"]).select(*heads.columns, *records.columns)
+
+
 def dimension_jobs(records: DataFrame, labels: DataFrame, registry: DataFrame, least: int = 2) -> DataFrame:
     """key, title, definition, member_count, members: whole entries of each dimension's rules; dimensions of fewer rules have none."""
     entry = F.struct("rule", *(c for c in records.columns if c not in ("spec", "rule")))

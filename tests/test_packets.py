@@ -104,3 +104,17 @@ def test_records_payloads_and_packets(spark):
     assert [(r.a, r.b) for r in p.relations] == [("aa11", "cc33")] and [e.example for e in p.examples] == ["eg001"]
     assert p.rules[1].source_text_refs[0] in [x.passage for x in p.context] and set(p.rules[0].context_refs) < set(p.rules[1].context_refs)
     assert p.rules[0].extracted_scope_hints.facets == {"age": "applies"}
+
+
+def test_members_of_dimensions_are_rows(spark):
+    kinds = "spec long, rule string, trigger string"
+    records = spark.createDataFrame([(s, f"r{r}", f"t{r}") for s in range(9) for r in range(3)], kinds)
+    labels = spark.createDataFrame([(s, f"r{r}", f"k{(s + r) % 4}") for s in range(9) for r in range(3)] * 2 + [(1, "gone", "k1"), (1, "r0", "k9"), (2, "r0", "k8"), (3, "r0", "k8")], "spec long, id string, label string")
+    registry = spark.createDataFrame([(k, k.upper(), f"about {k}") for k in ("k0", "k1", "k3", "k5", "k8", "k9")], "key string, title string, definition string")
+    rows = K.dimension_members(records, labels, registry)
+    whole = {d.key: d for d in K.dimension_jobs(records, labels, registry).collect()}
+    assert set(whole) == {"k0", "k1", "k3", "k8"} == {r.key for r in rows.select("key").distinct().collect()}
+    for key, d in whole.items():
+        mine = rows.where(F.col("key") == key).orderBy("spec", "rule").collect()
+        assert [(m.rule, m.trigger) for m in mine] == [(m.rule, m.trigger) for m in d.members]
+        assert {(m.title, m.definition, m.member_count) for m in mine} == {(d.title, d.definition, d.member_count)} and d.member_count == len(mine)
