@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from ruleloom.operators import edges as E
 from ruleloom.operators import labels as S
@@ -220,3 +221,13 @@ def test_an_updated_graph_equals_a_rebuilt_one_and_leaves_other_files(spark, tmp
     gone = {r for r in rows if r[0] != 1}
     M.update_graph(path, make(rows), make(rows - gone), keys, 8)
     assert {r.spec for r in spark.read.parquet(path).select("spec").distinct().collect()} == {1}
+
+
+def test_small_groups_are_dealt_to_several_tasks(spark):
+    comps = spark.createDataFrame([(f"a{i:02d}", "comp:01", [f"a{i:02d}:{k}" for k in range(9)]) for i in range(40)], "authority string, label string, members array<string>")
+    edges = spark.createDataFrame([(f"a{i:02d}", f"a{i:02d}:{k}", f"a{i:02d}:{(k + 1) % 9}", "thematic") for i in range(40) for k in range(9)], "authority string, a string, b string, relation string")
+    got = P.subdivisions(comps, edges, 4).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got}) > 4 and sorted(m for r in got for m in r.members) == sorted(f"a{i:02d}:{k}" for i in range(40) for k in range(9))
+    assert all(len({m[:3] for m in r.members}) == 1 and len(r.members) <= 4 for r in got)
+    seen = P.by_group(edges, ["authority"], lambda a, rows: [(a, len(list(rows)))], "authority string, n long").collect()
+    assert sorted(map(tuple, seen)) == [(f"a{i:02d}", 9) for i in range(40)]
