@@ -118,3 +118,22 @@ def test_members_of_dimensions_are_rows(spark):
         mine = rows.where(F.col("key") == key).orderBy("spec", "rule").collect()
         assert [(m.rule, m.trigger) for m in mine] == [(m.rule, m.trigger) for m in d.members]
         assert {(m.title, m.definition, m.member_count) for m in mine} == {(d.title, d.definition, d.member_count)} and d.member_count == len(mine)
+
+
+def test_documents_are_joined_as_they_are_dealt(spark):
+    import re
+
+    from ruleloom.plans import assembled, lexical, shim
+
+    names = [f"spark.sql.{x}" for x in ("autoBroadcastJoinThreshold", "adaptive.autoBroadcastJoinThreshold")]
+    for n in names:  # as if every table were too large for a broadcast
+        spark.conf.set(n, "-1")
+    try:
+        plan = lexical.source_passages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+    assert "SortMergeJoin" in plan and not re.search(r"hashpartitioning\(spec#\d+L?, ln#", plan)
+    texts = shim.plain_lines(spark, "/root/testdata/sf0.001").select("spec", "ln", F.concat(F.lit("p "), "line").alias("want"))
+    told = assembled._records(spark, "/root/testdata/sf0.001")[1].join(shim.rules(spark, "/root/testdata/sf0.001").select("spec", "ln", F.concat(F.lit("t"), "ln").alias("trigger")), ["spec", "trigger"])
+    assert told.count() > 0 and told.join(texts, ["spec", "ln"]).where("not text <=> want").count() == 0
