@@ -1,6 +1,6 @@
 """Contexts of rules derived from the source, and the nested records made of them: dossiers, job payloads, packets of units.
 
-Tables that several branches read are cut by checkpoint(), as plans over uncut ones double with every branch."""
+Tables that several branches read are cut, as plans over uncut ones double with every branch; what is dealt out by document stays so."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from ruleloom.functions import text as T
 from . import assembly as A
 from . import context as C
 from . import lexing as L
+from .dealing import cut
 
 
 def union(*tables: DataFrame) -> DataFrame:
@@ -38,27 +39,31 @@ def derived_contexts(tree: DataFrame, passages: DataFrame, bodies: DataFrame, ru
     key = ["spec", "rule"]
     home = L.slugs(tree).select("spec", F.col("slug").alias("anchor"), "index")
     named = tree.select("spec", F.col("index").alias("section"), F.col("slug").alias("on"))
-    marked = passages.select("spec", "passage", "section", F.explode(F.array_distinct(T.rule_ids(F.col("text")))).alias("ref"))
+    marked = cut(passages.select("spec", "passage", "section", F.explode(F.array_distinct(T.rule_ids(F.col("text")))).alias("ref")))
     met = refs.select(*key, "ref").distinct().join(marked, ["spec", "ref"])
     shown = refs.select(*key, F.col("ref").alias("example")).join(bodies.select("spec", "example"), ["spec", "example"], "left_semi")
     own = rules.select(*key).join(marked.withColumnRenamed("ref", "rule"), key).select(*key, "passage")
     wanted = [rules.select(*key, F.explode("sections").alias("anchor")), anchors.select(*key, F.regexp_replace("anchor", "^#", "").alias("anchor")), met.join(named, ["spec", "section"]).select(*key, F.col("on").alias("anchor"))]
     if governing:
         wanted.append(rules.select(*key, F.explode(F.array(*map(F.lit, governing))).alias("anchor")))
-    wanted = union(*wanted).distinct().checkpoint()
+    wanted = cut(union(*wanted).distinct())
     paths = tree.join(home.withColumnRenamed("anchor", "slug"), ["spec", "slug", "index"]).select("spec", F.col("slug").alias("anchor"), F.explode("path").alias("on"))
     reach = wanted.join(paths, ["spec", "anchor"]).select(*key, "on").distinct()
     near = reach.join(passages.join(named, ["spec", "section"]).select("spec", "on", "passage"), ["spec", "on"]).select(*key, "passage")
-    own = own.distinct().checkpoint()
-    base = union(near, met.select(*key, "passage"), own).distinct().checkpoint()
-    # quotes that no passage so far holds are looked for in the whole text and in the examples
-    said = quotes.select(*key, F.element_at(F.split("quote", r"\[\.\.\.\]"), 1).alias("quote")).distinct().withColumn("quote", T.normalize(F.col("quote"))).where("quote <> ''")
-    normal = passages.select("spec", "passage", T.normalize(F.col("text")).alias("n"))
-    held = said.join(base, key).join(normal, ["spec", "passage"]).where("instr(n, quote) > 0").select(*key, "quote").distinct()
-    open_ = said.join(held, [*key, "quote"], "left_anti").checkpoint()
-    found = C.quote_passages(open_, *C.searchable(passages)).join(open_, ["spec", "quote"]).select(*key, "quote", "passage").checkpoint()
-    inside = C.held_quotes(open_, bodies.select("spec", "example", T.normalize(F.col("text")).alias("text")), "example")
-    inside = inside.join(open_, ["spec", "quote"]).select(*key, "quote", "example").checkpoint()
+    own = cut(own.distinct())
+    base = cut(union(near, met.select(*key, "passage"), own).distinct())
+    # quotes that no passage so far holds are looked for in the whole text and in the examples; without quotes no text is read
+    said = quotes.select(*key, F.element_at(F.split("quote", r"\[\.\.\.\]"), 1).alias("quote")).distinct().withColumn("quote", T.normalize(F.col("quote"))).where("quote <> ''").checkpoint()
+    if said.isEmpty():
+        open_ = said.limit(0)
+        found, inside = (open_.select(*key, "quote", F.lit("").alias(c)) for c in ("passage", "example"))
+    else:
+        normal = passages.select("spec", "passage", T.normalize(F.col("text")).alias("n"))
+        held = said.join(base, key).join(normal, ["spec", "passage"]).where("instr(n, quote) > 0").select(*key, "quote").distinct()
+        open_ = said.join(held, [*key, "quote"], "left_anti").checkpoint()
+        found = C.quote_passages(open_, *C.searchable(passages)).join(open_, ["spec", "quote"]).select(*key, "quote", "passage").checkpoint()
+        inside = C.held_quotes(open_, bodies.select("spec", "example", T.normalize(F.col("text")).alias("text")), "example")
+        inside = inside.join(open_, ["spec", "quote"]).select(*key, "quote", "example").checkpoint()
     every = union(base, found.select(*key, "passage")).distinct()
     tags = passages.select("spec", "passage", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(T.EXAMPLE_MARKER), F.lit(1)))).alias("example"))
     examples = union(
@@ -84,10 +89,11 @@ def derived_contexts(tree: DataFrame, passages: DataFrame, bodies: DataFrame, ru
 def mechanical_context(lines: DataFrame, words: int = 40) -> DataFrame:
     """spec, rule and what the lines alone say of it: line, section_anchor, sections, sentence, stem, framing, ancestor_guards [(where, quote)],
     commentary [(where, quote)] of its section, section_examples [(id, title, verdicts)]."""
-    tree = L.sections(lines).checkpoint()
-    here = L.innermost(lines, tree).checkpoint()
+    lines = cut(lines)
+    tree = cut(L.sections(lines))
+    here = cut(L.innermost(lines, tree))
     at = here.select("spec", "ln", "section")
-    marks = L.at_sentence(L.markers(lines), lines).join(at, ["spec", "ln"]).join(tree.select("spec", F.col("index").alias("section"), F.col("slug").alias("section_anchor"), F.col("path").alias("sections")), ["spec", "section"], "left").checkpoint()
+    marks = cut(L.at_sentence(L.markers(lines), lines).join(at, ["spec", "ln"]).join(tree.select("spec", F.col("index").alias("section"), F.col("slug").alias("section_anchor"), F.col("path").alias("sections")), ["spec", "section"], "left"))
     guards = A.ancestor_guards(tree, L.paragraphs(here), words=words).groupBy("spec", F.col("slug").alias("section_anchor")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "anchor", "quote"))), lambda x: F.struct(x["anchor"].alias("where"), x["quote"].alias("quote"))).alias("ancestor_guards"))
     said = L.commentary(lines).join(at, ["spec", "ln"]).join(tree.select("spec", F.col("index").alias("section"), F.col("slug").alias("section_anchor")), ["spec", "section"])
     said = said.groupBy("spec", "section").agg(F.transform(F.sort_array(F.collect_list(F.struct("ln", F.concat(F.lit("#"), "section_anchor").alias("where"), T.clip(F.col("text"), words).alias("quote")))), lambda x: F.struct(x["where"].alias("where"), x["quote"].alias("quote"))).alias("commentary"))
@@ -169,16 +175,21 @@ def unit_packets(units: DataFrame, nodes: DataFrame, records: DataFrame, context
 
     units: unit, authority, cid, provenance, members (copies); nodes: copy, rule, context; records: rule and its fields, with facets and
     facet_specifics; contexts: rule, passage, own; examples: rule, example; passages: passage, text, commentary, first, last; bodies:
-    example, text; edges as collapsed_relations() takes them, without `unit`. Equal passages are one, under the smallest id."""
-    roles = units.select("unit", F.explode("members").alias("copy")).join(nodes, "copy").groupBy("unit", "rule").agg(F.array_sort(F.collect_set("context")).alias("dimension_roles_in_group"))
-    refs = roles.select("unit", "rule").join(contexts.select("rule", "passage", "own"), "rule")
+    example, text; edges as collapsed_relations() takes them, without `unit`. Equal passages are one, under the smallest id.
+    Of nodes, records, contexts and passages, those that have `unit` too are each unit's own and are joined within it, so that tables dealt out
+    by unit stay where they are."""
+    on = lambda df, c: ["unit", c] if "unit" in df.columns else c
+    roles = units.select("unit", F.explode("members").alias("copy")).join(nodes, on(nodes, "copy")).groupBy("unit", "rule").agg(F.array_sort(F.collect_set("context")).alias("dimension_roles_in_group"))
+    roles = cut(roles)
+    refs = cut(roles.select("unit", "rule").join(contexts, on(contexts, "rule")).select("unit", "rule", "passage", "own"))
     kept, mapped = C.canonical_passages(refs.select("unit", "rule", "passage"), passages)
+    kept, mapped = cut(kept), cut(mapped)
     same = kept.select("unit", F.col("passage").alias("canonical"), F.explode("sources").alias("s")).select("unit", F.col("s.passage").alias("passage"), "canonical")
     sources = refs.where("own").join(same, ["unit", "passage"]).groupBy("unit", "rule").agg(F.array_sort(F.collect_set("canonical")).alias("source_text_refs"))
     around = mapped.groupBy("unit", "rule").agg(F.array_sort(F.collect_set("passage")).alias("context_refs"))
     shown = roles.select("unit", "rule").join(examples, "rule")
     used = shown.groupBy("unit", "rule").agg(F.array_sort(F.collect_set("example")).alias("example_refs"))
-    full = roles.join(records, "rule").join(sources, ["unit", "rule"], "left").join(around, ["unit", "rule"], "left").join(used, ["unit", "rule"], "left")
+    full = roles.join(records, on(records, "rule")).join(sources, ["unit", "rule"], "left").join(around, ["unit", "rule"], "left").join(used, ["unit", "rule"], "left")
     hints = C.facet_hints(F.col("facets"))
     full = full.withColumn("extracted_scope_hints", F.when(F.size(hints) > 0, F.struct(hints.alias("facets"), F.col("facet_specifics").alias("specifics")))).drop("facets", "facet_specifics", "spec")
     members = roles.select("unit", F.col("rule").alias("r"))
