@@ -93,7 +93,7 @@ def mechanical_context(lines: DataFrame, words: int = 40) -> DataFrame:
     tree = cut(L.sections(lines))
     here = cut(L.innermost(lines, tree))
     at = here.select("spec", "ln", "section")
-    marks = cut(L.at_sentence(L.markers(lines), lines).join(at, ["spec", "ln"]).join(tree.select("spec", F.col("index").alias("section"), F.col("slug").alias("section_anchor"), F.col("path").alias("sections")), ["spec", "section"], "left"))
+    marks = cut(L.at_sentence(L.markers(lines), lines, cut).join(at, ["spec", "ln"]).join(tree.select("spec", F.col("index").alias("section"), F.col("slug").alias("section_anchor"), F.col("path").alias("sections")), ["spec", "section"], "left"))
     guards = A.ancestor_guards(tree, L.paragraphs(here), words=words).groupBy("spec", F.col("slug").alias("section_anchor")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "anchor", "quote"))), lambda x: F.struct(x["anchor"].alias("where"), x["quote"].alias("quote"))).alias("ancestor_guards"))
     said = L.commentary(lines).join(at, ["spec", "ln"]).join(tree.select("spec", F.col("index").alias("section"), F.col("slug").alias("section_anchor")), ["spec", "section"])
     said = said.groupBy("spec", "section").agg(F.transform(F.sort_array(F.collect_list(F.struct("ln", F.concat(F.lit("#"), "section_anchor").alias("where"), T.clip(F.col("text"), words).alias("quote")))), lambda x: F.struct(x["where"].alias("where"), x["quote"].alias("quote"))).alias("commentary"))
