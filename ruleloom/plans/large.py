@@ -11,6 +11,7 @@ from ruleloom.operators import labels as S
 from ruleloom.operators import lexing as L
 from ruleloom.operators import maintain as M
 from ruleloom.operators import rules as R
+from ruleloom.operators.dealing import cut
 from ruleloom.sources import artifacts as IO
 from ruleloom.sources.lines import lines_from_files
 
@@ -160,8 +161,10 @@ def rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT doc_id, 'shares_dimension', label, id FROM B WHERE NOT (doc_id % 5 = 0 AND ln % 3 = 0)) GROUP BY ALL HAVING count(*) > 1""")
 def maintained_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one section or label in all documents, written, and then brought up to date after rules of some documents went or moved."""
-    r, b = shim.kept(shim.rules(spark, sf_dir).where("path <> ''").select("spec", "ln", "id", "path")), shim.labels(spark, sf_dir)
-    old = shim.kept(r.select("spec", "ln", "id", F.lit("same_section").alias("relation"), F.col("path").alias("key")).unionByName(b.select("spec", "ln", "id", F.lit("shares_dimension").alias("relation"), F.col("label").alias("key"))))
+    shim.shared_folder(spark)
+    r = cut(shim.rules(spark, sf_dir).select("spec", "ln", "id", "path"))
+    sections = r.where("path <> ''").select("spec", "ln", "id", F.lit("same_section").alias("relation"), F.col("path").alias("key"))
+    old = sections.unionByName(shim.labels_of(r).select("spec", "ln", "id", F.lit("shares_dimension").alias("relation"), F.col("label").alias("key")))
     moved = (F.col("relation") == "same_section") & (F.col("spec") % 5 == 2) & (F.col("ln") % 4 == 1)
     new = old.where(~((F.col("spec") % 5 == 0) & (F.col("ln") % 3 == 0))).withColumn("key", F.when(moved, "moved").otherwise(F.col("key")))
     path, keys = shim.fresh_folder(spark), ["spec", "relation", "key"]

@@ -90,3 +90,30 @@ def test_checked_rules_are_lexed_once(spark, monkeypatch):
     monkeypatch.setattr(shim, "plain_lines", lambda *a: own.append(a) or plain(*a))
     artifacts.rule_record_check(spark, "/root/testdata/sf0.001")
     assert len(own) == 1
+
+
+def test_rules_are_lexed_once_and_meet_no_tree_in_a_join(spark):
+    from ruleloom.operators import lexing as L
+    from ruleloom.sources.lines import lines_of
+
+    plan = shim.rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+    text = "none\n# A {#a authority=user}\nx\n### C\ny\n~~~\n# fenced\n~~~\n## B {#b tags=t}\n\n#### D {#d authority=root}\nz\n# E\nlast"
+    lines = L.fences(lines_of(spark.createDataFrame([(1, text), (2, "a\n## B\nb"), (3, "no heading"), (4, None)], "spec long, text string"), "spec", "text"))
+    tree = L.sections(lines)
+    met = L.innermost(lines, tree).join(tree.select("spec", F.col("index").alias("section"), "header_line", "path", "authority"), ["spec", "section"], "left")
+    columns = ["spec", "ln", "line", "section", "header_line", "path", "authority"]
+    got = sorted(map(str, L.placed(lines).select(*columns).collect()))
+    assert got == sorted(map(str, met.select(*columns).collect())) and len(got) == 18
+
+
+def test_lines_end_as_in_python_whatever_ends_a_text_has(spark):
+    from ruleloom.sources.lines import OTHER_ENDS, lines_of
+
+    texts = [f"a{e}b\nc{e}" for e in ["\n", "\r\n", *OTHER_ENDS]] + ["", "\n", "x", "a\n\nb", "é\r\n\r\n~", None]
+    got = {}
+    for r in lines_of(spark.createDataFrame(list(enumerate(texts)), "spec long, text string"), "spec", "text").orderBy("spec", "ln").collect():
+        got.setdefault(r.spec, []).append(r.line)
+    assert got == {i: t.splitlines() for i, t in enumerate(texts) if t}
+    plan = lines_of(spark.createDataFrame([(1, "a")], "spec long, text string"), "spec", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan

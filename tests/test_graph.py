@@ -223,6 +223,31 @@ def test_an_updated_graph_equals_a_rebuilt_one_and_leaves_other_files(spark, tmp
     assert {r.spec for r in spark.read.parquet(path).select("spec").distinct().collect()} == {1}
 
 
+def test_a_graph_has_few_files_and_is_updated_without_a_copy(spark, tmp_path, monkeypatch):
+    """Files a part don't grow with the tasks, and the edges that are overwritten are written once; by groups sent to all tasks and by a shuffle."""
+    import os
+
+    from ruleloom.operators import maintain as M
+
+    keys, path = ["spec", "key"], str(tmp_path / "graph")
+    make = lambda rows: spark.createDataFrame(sorted(rows), "spec int, key string, id string")
+    rows = {(s, f"g{g}", f"r{i:02d}") for s in range(4) for g in range(4) for i in range(12)}
+    files = lambda: [sum(f.endswith(".parquet") for f in names) for d, _, names in os.walk(path) if "part=" in d]
+    M.write_graph(make(rows), path, keys, 16)
+    assert sum(files()) == len(files()) > 4
+    cut, real = [], type(make(rows)).checkpoint
+    monkeypatch.setattr(type(make(rows)), "checkpoint", lambda df, *a: cut.append(df.columns) or real(df, *a))
+    for most, gone in ((100, "r00"), (0, "r01")):
+        monkeypatch.setattr(M, "FEW_GROUPS", most)
+        new = {r for r in rows if r[0] != 1 or r[2] != gone}
+        M.update_graph(path, make(rows), make(new), keys, 16)
+        want = sorted((s, k, a, b) for s, k, a in new for t, m, b in new if (s, k) == (t, m) and a != b)
+        assert sorted((r.spec, r.key, r.src, r.dst) for r in spark.read.parquet(path).collect()) == want
+        assert sum(files()) == len(files())
+        rows = new
+    assert len(cut) == 2 and all("src" not in c for c in cut)
+
+
 def test_small_groups_are_dealt_to_several_tasks(spark):
     comps = spark.createDataFrame([(f"a{i:02d}", "comp:01", [f"a{i:02d}:{k}" for k in range(9)]) for i in range(40)], "authority string, label string, members array<string>")
     edges = spark.createDataFrame([(f"a{i:02d}", f"a{i:02d}:{k}", f"a{i:02d}:{(k + 1) % 9}", "thematic") for i in range(40) for k in range(9)], "authority string, a string, b string, relation string")
