@@ -233,12 +233,17 @@ def test_a_graph_has_few_files_and_is_updated_without_a_copy(spark, tmp_path, mo
     make = lambda rows: spark.createDataFrame(sorted(rows), "spec int, key string, id string")
     rows = {(s, f"g{g}", f"r{i:02d}") for s in range(4) for g in range(4) for i in range(12)}
     files = lambda: [sum(f.endswith(".parquet") for f in names) for d, _, names in os.walk(path) if "part=" in d]
-    M.write_graph(make(rows), path, keys, 16)
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")
+    try:
+        M.write_graph(make(rows), path, keys, 16)
+    finally:
+        spark.conf.unset(coalesced)
     assert sum(files()) == len(files()) > 4
     cut, real = [], type(make(rows)).checkpoint
     monkeypatch.setattr(type(make(rows)), "checkpoint", lambda df, *a: cut.append(df.columns) or real(df, *a))
     for most, gone in ((100, "r00"), (0, "r01")):
-        monkeypatch.setattr(M, "FEW_GROUPS", most)
+        monkeypatch.setattr(M, "FEW_GROUPS", most, raising=False)
         new = {r for r in rows if r[0] != 1 or r[2] != gone}
         M.update_graph(path, make(rows), make(new), keys, 16)
         want = sorted((s, k, a, b) for s, k, a in new for t, m, b in new if (s, k) == (t, m) and a != b)
