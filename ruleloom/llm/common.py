@@ -80,11 +80,10 @@ def maybe_in(keys: DataFrame, key: str) -> Callable[[DataFrame, Column], tuple[D
     return mark
 
 
-def matched(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: str, on: Column, how: str = "inner") -> DataFrame:
-    """The rows joined (inner or left) with `wanted` (cut). A side too large for a broadcast is shuffled, and then only those of
-    `rows` that the bit map lets through, so that wide rows without a partner stay where they are."""
-    n, size = measured(wanted)
-    if size <= BROADCAST_BYTES:
+def matched(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: str, on: Column, how: str = "inner", size: int | None = None) -> DataFrame:
+    """The rows joined (inner or left) with `wanted` (cut; size: its bytes). A side too large for a broadcast is shuffled, and then
+    only those of `rows` that the bit map lets through, so that wide rows without a partner stay where they are."""
+    if (measured(wanted)[1] if size is None else size) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(wanted), on, how)
     some, may = maybe_in(wanted, wanted_key)(rows, key)
     near = some.where(may).drop("__bucket", "__bits").join(wanted.hint("merge"), on, how)

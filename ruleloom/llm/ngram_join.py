@@ -146,22 +146,37 @@ def signatures(documents: DataFrame, similarity: float, runs: int) -> DataFrame:
     return keyed.mapInArrow(trimmed(sign), f"row long, doc_id {kind}, text_hash long, n long, h1 long, h2 long, minhashes binary, sketch binary, keys array<long>")
 
 
+_LEVEL = "row long, label long, key long, n long, sketch binary"
+
+
+def _level(rows: pa.RecordBatch, mins: np.ndarray, of: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Rows of a level: of says which of the rows (row, label, n) with these minhashes each of the keys belongs to."""
+    take, sketch = pa.array(of), (mins & np.uint32(255)).astype(np.uint8)
+    return pa.record_batch([rows.column("row").take(take), rows.column("label").take(take), pa.array(keys), rows.column("n").take(take), _fixed(sketch[of])], ["row", "label", "key", "n", "sketch"])
+
+
+def with_minhashes(reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (cut) with the n and minhashes of their sets. The rows come to the sets, which are many and wide: of these none is dealt
+    while the rows fit a broadcast, and else only those that have a row."""
+    return matched(reps.select("row", "n", "minhashes"), F.col("row"), rows.withColumnRenamed("row", "of"), "of", F.col("row") == F.col("of")).drop("of")
+
+
 def further_keys(rows: DataFrame, runs: range, similarity: float) -> DataFrame:
-    """row, label, key: the first level of other runs, from (row, label, minhashes)."""
+    """row, label, key, n, sketch: the first level of other runs, from (row, label, n, minhashes)."""
     place, path = roots(runs, similarity)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keys = children(path[None, :], _rows(batch.column("minhashes"), np.uint32, T)[:, place])
-                again = pa.array(np.repeat(np.arange(batch.num_rows), len(place)))
-                yield pa.record_batch([batch.column("row").take(again), batch.column("label").take(again), pa.array(keys.ravel())], ["row", "label", "key"])
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                mins = _rows(part.column("minhashes"), np.uint32, T)
+                yield _level(part, mins, np.repeat(np.arange(part.num_rows), len(place)), children(path[None, :], mins[:, place]).ravel())
 
-    return rows.select("row", "label", "minhashes").mapInArrow(trimmed(go), "row long, label long, key long")
+    return rows.select("row", "label", "n", "minhashes").mapInArrow(trimmed(go), _LEVEL)
 
 
 def next_level(rows: DataFrame, similarity: float) -> DataFrame:
-    """row, label, key: the children of the nodes `key`, from (row, label, key, minhashes)."""
+    """row, label, key, n, sketch: the children of the nodes `key`, from (row, label, key, n, minhashes)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,10 +184,10 @@ def next_level(rows: DataFrame, similarity: float) -> DataFrame:
                 part = batch.slice(at, 4096)
                 path = part.column("key").to_numpy().view(np.uint64)
                 node, place = chosen(path, similarity)
-                keys = children(mix(path[node] + _PLACE[place]), _rows(part.column("minhashes"), np.uint32, T)[node, place])
-                yield pa.record_batch([part.column("row").take(pa.array(node)), part.column("label").take(pa.array(node)), pa.array(keys)], ["row", "label", "key"])
+                mins = _rows(part.column("minhashes"), np.uint32, T)
+                yield _level(part, mins, node, children(mix(path[node] + _PLACE[place]), mins[node, place]))
 
-    return rows.select("row", "label", "key", "minhashes").mapInArrow(trimmed(go), "row long, label long, key long")
+    return rows.select("row", "label", "key", "n", "minhashes").mapInArrow(trimmed(go), _LEVEL)
 
 
 def least_agreement(similarity: float) -> float:
@@ -185,7 +200,7 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bucket_edges(members: DataFrame, similarity: float) -> DataFrame:
-    """a, b: labels that sketches join in a bucket (key, own) of (row, label, n, sketch); a forest, so fewer than its members."""
+    """a, b: labels that sketches join in a bucket (key, own) of (label, n, sketch); a forest, so fewer than its members."""
     least = least_agreement(similarity)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +227,7 @@ def bucket_edges(members: DataFrame, similarity: float) -> DataFrame:
             if len(i):
                 yield pa.record_batch({"a": label[now[i]], "b": label[i]})
 
-    return members.repartition("key", "own").sortWithinPartitions("key", "own").select("key", "own", "row", "label", "n", "sketch").mapInArrow(trimmed(compare), "a long, b long")
+    return members.repartition("key", "own").sortWithinPartitions("key", "own").select("key", "own", "label", "n", "sketch").mapInArrow(trimmed(compare), "a long, b long")
 
 
 def cross_edges(members: DataFrame, similarity: float) -> DataFrame:
@@ -247,33 +262,36 @@ def _dealt(salt: int, blocks: Column) -> Column:
 
 
 def one_round(reps: DataFrame, level: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """a, b of the buckets under (row, label, key); the rows that were in a large bucket on the first level; and the members of
-    the buckets that are large on the last one, with the bucket's count. Buckets of one label alone are done already."""
+    """a, b of the buckets under (row, label, key, and n and sketch if they are there); the rows that were in a large bucket on the first level; and the
+    members of the buckets that are large on the last one. Buckets of one label alone are done already. A row carries its sketch,
+    so that it is dealt to its bucket once and the sets aren't."""
     buckets, first, last = [], None, None
+    if "sketch" not in level.columns:
+        level = level.join(reps.select("row", "n", "sketch"), "row")
     for depth in range(LEVELS):
         counts = level.groupBy("key").agg(F.count("*").alias("count"), F.min("label").alias("x"), F.max("label").alias("y"))
-        counts = cut(counts.where("x < y").select("key", "count"))
-        most = counts.agg(F.max("count")).first()[0] or 0
-        met = level.join(counts, "key")
-        buckets.append(met.where(F.col("count") <= BUCKET).select("key", F.lit(0).alias("own"), "row", "label"))
+        counts = cut(counts.where("x < y").select(F.col("key").alias("of"), "count"))
+        keys, most = counts.agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0))).first()
+        met = matched(level, F.col("key"), counts, "of", F.col("key") == F.col("of"), size=32 * keys).drop("of")
+        buckets.append(met.where(F.col("count") <= BUCKET).select("key", F.lit(0).alias("own"), "label", "n", "sketch"))
         if most <= BUCKET:
             break
-        large = cut(met.where(F.col("count") > BUCKET))
+        large = met.where(F.col("count") > BUCKET)
+        large = cut(large if depth == LEVELS - 1 else large.select("row", "label", "key"))
         if depth == 0:
             first = large.select("row").distinct()
         if depth == LEVELS - 1:
             last = large
-            buckets.append(last.select("key", (_dealt(1, F.ceil(F.col("count") / WIDE)) + 1).alias("own"), "row", "label"))
+            buckets.append(last.select("key", (_dealt(1, F.ceil(F.col("count") / WIDE)) + 1).alias("own"), "label", "n", "sketch"))
         else:
-            level = written(next_level(large.join(reps.select("row", "minhashes"), "row"), similarity))
-    members = reduce(DataFrame.unionByName, buckets)
-    return bucket_edges(members.join(reps.select("row", "n", "sketch"), "row"), similarity), first, last
+            level = written(next_level(with_minhashes(reps, large), similarity))
+    return bucket_edges(reduce(DataFrame.unionByName, buckets), similarity), first, last
 
 
-def rest_edges(reps: DataFrame, last: DataFrame, labels: DataFrame, similarity: float) -> DataFrame | None:
+def rest_edges(last: DataFrame, labels: DataFrame, similarity: float) -> DataFrame | None:
     """a, b: what joins the labels of a bucket that is large on the last level. Most rows of such a bucket have one label by now;
     each other row is compared with all, and only those rows meet several blocks."""
-    named = last.select("key", "row").join(labels.select(F.col("node").alias("row"), "component"), "row", "left").select("key", "row", F.coalesce("component", "row").alias("label"))
+    named = sized_join(last, labels.select(F.col("node").alias("row"), "component"), ["row"], "left").select("key", "row", F.coalesce("component", "row").alias("label"), F.col("n").alias("shingles"), "sketch")
     of = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("labels"))
     of = cut(of.where("labels > 1").select("key", "main", F.ceil(F.col("all") / WIDE).cast("int").alias("ps"), F.ceil((F.col("all") - F.col("most")) / WIDE).cast("int").alias("qs")))
     if of.isEmpty():
@@ -285,28 +303,27 @@ def rest_edges(reps: DataFrame, last: DataFrame, labels: DataFrame, similarity:
 
     left = rows.withColumn("p", _dealt(2, F.col("ps"))).withColumn("q", counted(F.col("qs"))).withColumn("side", F.lit(0))
     right = rows.where("label <> main").withColumn("q", _dealt(3, F.col("qs"))).withColumn("p", counted(F.col("ps"))).withColumn("side", F.lit(1))
-    both = left.unionByName(right).select("key", "p", "q", "side", "row", "label")
-    return cross_edges(both.join(reps.select("row", "n", "sketch"), "row"), similarity)
+    return cross_edges(left.unionByName(right).select("key", "p", "q", "side", "label", F.col("shingles").alias("n"), "sketch"), similarity)
 
 
 def candidate_classes(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
     """node, component: classes that sketches make of the sets that meet in a bucket. A first round for all, enough runs for one
     level; another, up to the runs for all levels, for the sets that were in a large bucket."""
     reached = runs_for(recall, 1, similarity)
-    level = reps.select("row", F.col("row").alias("label"), F.explode("keys").alias("key"))
+    level = reps.select("row", F.col("row").alias("label"), F.explode("keys").alias("key"), "n", "sketch")
     edges, first, last = one_round(reps, level, similarity)
     edges = cut(edges)
     for runs in (range(reached, runs_for(recall, LEVELS, similarity)), None):
         labels = components(edges)
         if last is not None:
-            rest = rest_edges(reps, last, labels, similarity)
+            rest = rest_edges(last, labels, similarity)
             if rest is not None:
                 edges = cut(edges.unionByName(rest))
                 labels = components(edges)
         if first is None or runs is None:
             break
-        open_ = first.join(reps.select("row", "minhashes"), "row").join(labels.select(F.col("node").alias("row"), F.col("component").alias("label")), "row", "left")
-        level = written(further_keys(open_.select("row", F.coalesce("label", "row").alias("label"), "minhashes"), runs, similarity))
+        open_ = sized_join(first, labels.select(F.col("node").alias("row"), "component"), ["row"], "left").select("row", F.coalesce("component", "row").alias("label"))
+        level = written(further_keys(with_minhashes(reps, cut(open_)), runs, similarity))
         more, _, last = one_round(reps, level, similarity)
         edges, first = cut(edges.unionByName(more)), None
     return labels
@@ -520,8 +537,8 @@ def verify_across(blocks: DataFrame, similarity: float) -> DataFrame:
 
 def exact_links(documents: DataFrame, reps: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
     """row, links, to: exact links of the sets in candidate classes (node, component), whose texts are read once more."""
-    about = near.join(reps.select(F.col("row").alias("node"), "doc_id", "text_hash", "copies", "n"), "node")
-    about = cut(about.select(F.col("node").alias("row"), "component", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "copies", "n"))
+    about = matched(reps.select("row", "doc_id", "text_hash", "copies", "n"), F.col("row"), near, "node", F.col("row") == F.col("node"))
+    about = cut(about.select("row", "component", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "copies", "n"))
     sizes = about.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
     several = cut(sizes.where("blocks > 1"))
     wanted = sized_join(about, several, ["component"], "left").select("row", "component", "id", "hash", "copies", F.coalesce("blocks", F.lit(1)).alias("blocks"))

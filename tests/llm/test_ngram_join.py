@@ -128,6 +128,41 @@ def test_a_large_bucket_edge_count_is_linear(spark, docs):
     assert 2599 <= edges.count() < 4 * level.count() and first.count() == 2600
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_sets_without_a_partner_are_not_dealt(spark, docs, monkeypatch):
+    """A group of near copies that fills large buckets on two levels, among many other texts: the minhashes and sketches of those stay
+    where they are, whatever Spark itself would broadcast."""
+    from pyspark.sql import functions as F
+
+    from ruleloom.llm import ngram_join as N
+
+    base, rows = words(200, 1), [(1000 + i, " ".join(words(20, 100 + i))) for i in range(4000)]
+    for i in range(60):
+        w = list(base)
+        w[5 + i] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(N, "BUCKET", 16)
+    monkeypatch.setattr(N, "WIDE", 16)
+    reps = N.written(N.signatures(docs(rows), 0.8, N.runs_for(0.999, 1)).withColumn("copies", F.lit(1)))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        classes = N.candidate_classes(reps, 0.8, 0.999)
+        took = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert classes.where("component = node").count() == 1 and classes.count() == 60
+    assert took < 4060 * (256 + 64)  # less than all minhashes and sketches once
+
+
 def near_copies(n, edits, seed=1):
     """n texts of 200 words with so many words replaced, all different."""
     base, rows = words(200, seed), []
