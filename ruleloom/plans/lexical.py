@@ -116,10 +116,10 @@ LINKED = _SENTENCES.replace("{more}", " || CASE WHEN ln % 3 = 0 THEN '. See [it]
 """
 
 
-def linked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Markdown lines with a link at the end of every third rule."""
+def linked_lines(spark: SparkSession, sf_dir: str, unique: bool = False) -> DataFrame:
+    """The Markdown lines with a link at the end of every third rule; unique as marked_lines() has it."""
     link = F.concat(F.lit(". See [it](#s"), (F.col("spec") + F.col("ln") * 5) % 40 + 1, F.lit(")"))
-    return shim.marked_lines(spark, sf_dir).withColumn("line", F.when((F.col("ln") % 3 == 0) & F.col("line").startswith("p "), F.concat("line", link)).otherwise(F.col("line")))
+    return shim.marked_lines(spark, sf_dir, unique).withColumn("line", F.when((F.col("ln") % 3 == 0) & F.col("line").startswith("p "), F.concat("line", link)).otherwise(F.col("line")))
 
 
 @query(SENTENCES + "SELECT doc_id AS spec, block::BIGINT AS block, sentence::BIGINT AS sentence, start::BIGINT AS start, stop::BIGINT AS \"end\" FROM SE")
