@@ -261,3 +261,41 @@ def test_small_groups_are_dealt_to_several_tasks(spark):
     assert all(len({m[:3] for m in r.members}) == 1 and len(r.members) <= 4 for r in got)
     seen = P.by_group(edges, ["authority"], lambda a, rows: [(a, len(list(rows)))], "authority string, n long").collect()
     assert sorted(map(tuple, seen)) == [(f"a{i:02d}", 9) for i in range(40)]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_subdivision_by_groups_is_that_by_pairs(seed):
+    """Pairs inside groups give the same parts whether they are listed or told by the groups."""
+    rnd = random.Random(seed)
+    members = [f"m{i:02d}" for i in range(rnd.randrange(5, 40))]
+    groups = {m: f"g{rnd.randrange(4)}" for m in members if rnd.random() < 0.9}
+    some = {tuple(sorted(rnd.sample(members, 2))): rnd.random() < 0.7 for _ in range(rnd.randrange(2 * len(members)))}
+    inside = {(a, b): False for a, b in combinations(members, 2) if a in groups and groups[a] == groups.get(b)}
+    links = lambda pairs: sorted((a, b, s) for (a, b), s in pairs.items())
+    cap = rnd.randrange(3, 12)
+    assert P.subdivided(members, links(some), cap, groups=groups) == P.subdivided(members, links(inside | some), cap)
+
+
+def test_components_of_groups_are_those_of_their_pairs(spark):
+    from ruleloom.plans import shim
+
+    shim.shared_folder(spark)
+    nodes = spark.createDataFrame([(s, f"{s}:{g}{i}", g) for s in (1, 2) for g in "abcd" for i in range(4)], "spec long, node string, group string")
+    made = lambda rows: spark.createDataFrame(rows, "spec long, a string, b string")
+    for edges in (made([]), made([(1, "1:a0", "1:a1")]), made([(1, "1:b3", "1:d0"), (1, "1:d2", "1:c1"), (2, "2:a1", "2:b0"), (2, "2:c0", "2:c1")])):
+        pairs = nodes.alias("x").join(nodes.alias("y"), ["spec", "group"]).where("x.node < y.node").selectExpr("x.node as a", "y.node as b")
+        want = {(r.node, r.component) for r in P.components(nodes, pairs.unionByName(edges.select("a", "b"))).collect()}
+        assert {(r.node, r.component) for r in P.components_of_groups(nodes, edges, ["spec"]).collect()} == want
+
+
+def test_units_make_no_pairs_of_a_label(spark, monkeypatch):
+    """Pairs of rules of one label grow with the square of a document; their groups do not."""
+    from ruleloom.plans import graph
+
+    def never(*_):
+        raise AssertionError("pairs of a label were made")
+
+    monkeypatch.setattr(graph.E, "shared_labels", never)
+    for query in (graph.unit_subdivision, graph.unit_merge):
+        got = query(spark, "/root/testdata/sf0.001")
+        assert got.count() > 0 and dict(got.dtypes)["authority"] == "string"
