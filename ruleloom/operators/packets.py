@@ -4,6 +4,7 @@ Tables that several branches read are cut, as plans over uncut ones double with
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from ruleloom.functions import text as T
 from . import assembly as A
 from . import context as C
 from . import lexing as L
-from .dealing import cut
+from .dealing import cut, stored
 
 
 def union(*tables: DataFrame) -> DataFrame:
@@ -88,17 +89,18 @@ def derived_contexts(tree: DataFrame, passages: DataFrame, bodies: DataFrame, ru
 
 def mechanical_context(lines: DataFrame, words: int = 40) -> DataFrame:
     """spec, rule and what the lines alone say of it: line, section_anchor, sections, sentence, stem, framing, ancestor_guards [(where, quote)],
-    commentary [(where, quote)] of its section, section_examples [(id, title, verdicts)]."""
-    lines = cut(lines)
-    tree = cut(L.sections(lines))
-    here = cut(L.innermost(lines, tree))
-    at = here.select("spec", "ln", "section")
-    marks = cut(L.at_sentence(L.markers(lines), lines, cut).join(at, ["spec", "ln"]).join(tree.select("spec", F.col("index").alias("section"), F.col("slug").alias("section_anchor"), F.col("path").alias("sections")), ["spec", "section"], "left"))
-    guards = A.ancestor_guards(tree, L.paragraphs(here), words=words).groupBy("spec", F.col("slug").alias("section_anchor")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "anchor", "quote"))), lambda x: F.struct(x["anchor"].alias("where"), x["quote"].alias("quote"))).alias("ancestor_guards"))
-    said = L.commentary(lines).join(at, ["spec", "ln"]).join(tree.select("spec", F.col("index").alias("section"), F.col("slug").alias("section_anchor")), ["spec", "section"])
+    commentary [(where, quote)] of its section, section_examples [(id, title, verdicts)]. Lines that lexing.placed() gave their section are
+    taken as they are (and read again and again), others are placed and stored."""
+    here = lines if {"section", "header_line", "path"} <= set(lines.columns) else stored(L.placed(lines))
+    lines = here.select("spec", "ln", "line", "fenced")
+    tree = stored(L.sections(lines).select("spec", "index", "level", "slug", "path", "header_line", "end_line", "child_start"))
+    at = here.select("spec", "ln", "section", F.element_at("path", -1).alias("section_anchor"))
+    marks = L.at_sentence(L.markers(lines), lines, stored).join(here.select("spec", "ln", "section", F.element_at("path", -1).alias("section_anchor"), F.col("path").alias("sections")), ["spec", "ln"])
+    guards = A.ancestor_guards(tree, L.paragraphs(here.select("spec", "ln", "line", "fenced", "section")), words=words).groupBy("spec", F.col("slug").alias("section_anchor")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "anchor", "quote"))), lambda x: F.struct(x["anchor"].alias("where"), x["quote"].alias("quote"))).alias("ancestor_guards"))
+    said = L.commentary(lines).join(at.where("section is not null"), ["spec", "ln"])
     said = said.groupBy("spec", "section").agg(F.transform(F.sort_array(F.collect_list(F.struct("ln", F.concat(F.lit("#"), "section_anchor").alias("where"), T.clip(F.col("text"), words).alias("quote")))), lambda x: F.struct(x["where"].alias("where"), x["quote"].alias("quote"))).alias("commentary"))
     shown = L.example_records(lines).join(at, ["spec", "ln"]).groupBy("spec", "section").agg(F.transform(F.sort_array(F.collect_list(F.struct("ln", "example", "title", "verdicts"))), lambda x: F.struct(x["example"].alias("id"), x["title"].alias("title"), x["verdicts"].alias("verdicts"))).alias("section_examples"))
-    df = marks.join(L.stems(lines, marks, words), ["spec", "ln"], "left").join(guards, ["spec", "section_anchor"], "left").join(said, ["spec", "section"], "left").join(shown, ["spec", "section"], "left")
+    df = marks.join(L.stems(lines, L.markers(lines), words), ["spec", "ln"], "left").join(guards, ["spec", "section_anchor"], "left").join(said, ["spec", "section"], "left").join(shown, ["spec", "section"], "left")
     return df.select("spec", "rule", F.col("ln").alias("line"), "section_anchor", F.coalesce("sections", F.array().cast("array<string>")).alias("sections"), F.col("sentence_text").alias("sentence"), "stem", "framing", "ancestor_guards", "commentary", "section_examples")
 
 
@@ -153,13 +155,14 @@ def section_jobs(records: DataFrame, contexts: DataFrame, edges: DataFrame, jobs
     return by.groupBy(F.col("job").alias("job_id")).agg(F.sum(F.size("r")).alias("rule_count"), F.count("*").alias("section_count"), sections.alias("sections"))
 
 
-def dimension_members(records: DataFrame, labels: DataFrame, registry: DataFrame, least: int = 2) -> DataFrame:
+def dimension_members(records: DataFrame, labels: DataFrame, registry: DataFrame, least: int = 2, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """key, title, definition, member_count, spec, rule and the fields of records: dimension_jobs() as a row for each member, in any order, so
-    that no row or task holds a dimension."""
-    by = labels.select("spec", F.col("id").alias("rule"), F.col("label").alias("key")).distinct()
-    counts = by.join(records.select("spec", "rule"), ["spec", "rule"]).groupBy("key").agg(F.count("*").alias("member_count")).where(F.col("member_count") >= least)
+    that no row or task holds a dimension. keep writes the members once, as they are counted and read; without it they are made each time."""
+    by = labels.select("spec", F.col("id").alias("rule"), F.col("label").alias("key")).distinct().join(F.broadcast(registry.select("key")), "key", "left_semi")
+    members = keep(by.join(records, ["spec", "rule"]).select("key", *records.columns))
+    counts = members.groupBy("key").agg(F.count("*").alias("member_count")).where(F.col("member_count") >= least)
     heads = registry.join(counts, "key").select("key", "title", "definition", "member_count")
-    return by.join(F.broadcast(heads), "key").join(records, ["spec", "rule"]).select(*heads.columns, *records.columns)
+    return members.join(F.broadcast(heads), "key").select(*heads.columns, *records.columns)
 
 
 def dimension_jobs(records: DataFrame, labels: DataFrame, registry: DataFrame, least: int = 2) -> DataFrame:

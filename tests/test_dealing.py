@@ -124,3 +124,48 @@ def test_section_payloads_read_the_documents_once(spark):
 
     plan = assembled.section_payloads(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "FileScan" not in plan  # the rules are written once, and the packing and the payloads read them
+
+
+def without_broadcasts(spark):
+    names = [f"spark.sql.{x}" for x in ("autoBroadcastJoinThreshold", "adaptive.autoBroadcastJoinThreshold")]
+    for n in names:  # as if every table were too large for a broadcast
+        spark.conf.set(n, "-1")
+    return names
+
+
+def test_stored_tables_meet_without_a_shuffle(spark):
+    from ruleloom.operators.dealing import stored
+
+    shim.shared_folder(spark)
+    shim.by_document(spark)
+    df = stored(spark.range(200).select((F.col("id") % 7).alias("spec"), "id", F.lit("x").alias("text")).repartition("spec"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stored_")]
+    met = df.hint("merge").join(df.groupBy("spec", "id").agg(F.count("*").alias("n")), ["spec", "id"])
+    assert exchanges(met) == 0 and met.count() == 200 and met.agg(F.sum("n")).first()[0] == 200
+
+
+def test_records_and_contexts_meet_as_lines_are_dealt(spark, monkeypatch):
+    """Lines are dealt out and written once; what is derived from them takes them as they are, but for the sentences, which are a union."""
+    from ruleloom.plans import assembled
+
+    calls, real = [], shim.marked_lines
+    monkeypatch.setattr(shim, "marked_lines", lambda *a, **k: calls.append(a) or real(*a, **k))
+    names = without_broadcasts(spark)
+    try:
+        of, records, contexts = assembled._records(spark, "/root/testdata/sf0.001")
+        met = records.join(contexts, ["spec", "rule"]).join(of.select("spec", "rule", "path"), ["spec", "rule"])
+        assert exchanges(met) <= 1 and len(calls) == 1
+        assert met.count() == of.count() > 0
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+
+
+def test_members_are_kept_once(spark):
+    records = spark.createDataFrame([(1, "a", "t1"), (1, "b", "t2"), (2, "a", "t3")], "spec long, rule string, trigger string")
+    labels = spark.createDataFrame([(1, "a", "k1"), (1, "b", "k1"), (2, "a", "k2"), (2, "a", "k9")], "spec long, id string, label string")
+    registry = spark.createDataFrame([("k1", "One", "d1"), ("k2", "Two", "d2")], "key string, title string, definition string")
+    kept = []
+    got = K.dimension_members(records, labels, registry, keep=lambda df: kept.append(df) or df).collect()
+    assert len(kept) == 1 and {"key", "spec", "rule", "trigger"} == set(kept[0].columns) and kept[0].count() == 3
+    assert sorted((r.key, r.member_count, r.spec, r.rule, r.trigger) for r in got) == [("k1", 2, 1, "a", "t1"), ("k1", 2, 1, "b", "t2")]
