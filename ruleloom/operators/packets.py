@@ -140,19 +140,25 @@ def grouped_records(rules: DataFrame, contexts: DataFrame, enriched: DataFrame,
     return df.select(*key, *fixed, empty("dimensions", "array<string>").alias("dimensions"), F.coalesce(F.array_sort("groups"), F.array().cast("array<string>")).alias("groups"), neighbor.alias("neighbor"), related.alias("related_context"))
 
 
-def section_jobs(records: DataFrame, contexts: DataFrame, edges: DataFrame, jobs: DataFrame, spans: DataFrame) -> DataFrame:
-    """job_id, rule_count, section_count, sections: every packet's sections by first line with whole entries of their rules.
-
-    records: spec, rule and fields; jobs: spec, path, job; spans: spec, path, start_line, end_line; edges: spec, src, dst, anchor, quote."""
-    key = ["spec", "rule"]
+def section_members(records: DataFrame, contexts: DataFrame, edges: DataFrame, jobs: DataFrame, spans: DataFrame) -> DataFrame:
+    """job_id, spec, start_line, section_path, end_line, marker_ids, rules: section_jobs() as a row for each section, in any order, so that no
+    row or task holds a packet."""
+    key, place = ["spec", "rule"], ["spec", "path"]
     xref = edges.groupBy("spec", F.col("src").alias("rule")).agg(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("target_id"), "anchor", F.col("quote").alias("citing_sentence")))).alias("cross_reference_edges"))
     df = records.drop("sections").join(contexts, key).join(xref, key, "left").withColumn("path", F.array_join("sections", "/"))
     entry = F.struct("rule", *(c for c in df.columns if c not in ("spec", "rule", "path")))
-    place = ["spec", "path"]
     by = df.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("rule", entry.alias("e")))).alias("r")).join(jobs, place).join(spans, place, "left")
-    section = F.struct("spec", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.col("path").alias("section_path"), "end_line", F.transform("r", lambda x: x["rule"]).alias("marker_ids"), F.transform("r", lambda x: x["e"]).alias("rules"))
+    return by.select(F.col("job").alias("job_id"), "spec", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.col("path").alias("section_path"), "end_line", F.transform("r", lambda x: x["rule"]).alias("marker_ids"), F.transform("r", lambda x: x["e"]).alias("rules"))
+
+
+def section_jobs(records: DataFrame, contexts: DataFrame, edges: DataFrame, jobs: DataFrame, spans: DataFrame) -> DataFrame:
+    """job_id, rule_count, section_count, sections: every packet's sections by first line with whole entries of their rules.
+
+    records: spec, rule and fields; jobs: spec, path, job; spans: spec, path, start_line, end_line; edges: spec, src, dst, anchor, quote."""
+    by = section_members(records, contexts, edges, jobs, spans)
+    section = F.struct(*(c for c in by.columns if c != "job_id"))
     sections = F.array_sort(F.collect_list(section), lambda a, b: F.when(F.struct(a["spec"], a["start_line"], a["section_path"]) < F.struct(b["spec"], b["start_line"], b["section_path"]), -1).otherwise(1))
-    return by.groupBy(F.col("job").alias("job_id")).agg(F.sum(F.size("r")).alias("rule_count"), F.count("*").alias("section_count"), sections.alias("sections"))
+    return by.groupBy("job_id").agg(F.sum(F.size("rules")).alias("rule_count"), F.count("*").alias("section_count"), sections.alias("sections"))
 
 
 def dimension_members(records: DataFrame, labels: DataFrame, registry: DataFrame, least: int = 2, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:

@@ -137,3 +137,34 @@ def test_documents_are_joined_as_they_are_dealt(spark):
     texts = shim.plain_lines(spark, "/root/testdata/sf0.001").select("spec", "ln", F.concat(F.lit("p "), "line").alias("want"))
     told = assembled._records(spark, "/root/testdata/sf0.001")[1].join(shim.rules(spark, "/root/testdata/sf0.001").select("spec", "ln", F.concat(F.lit("t"), "ln").alias("trigger")), ["spec", "trigger"])
     assert told.count() > 0 and told.join(texts, ["spec", "ln"]).where("not text <=> want").count() == 0
+
+
+def test_packets_of_sections_are_rows_and_put_together_from_ranges(spark, monkeypatch):
+    """No row holds a packet's entries; its text is the same whatever the ranges of documents."""
+    from ruleloom.plans import assembled
+
+    def never(*_):
+        raise AssertionError("a packet's entries were put into one row")
+
+    monkeypatch.setattr(K, "section_jobs", never)
+    got = []
+    for documents in (1 << 30, 7):
+        monkeypatch.setattr(assembled, "DOCUMENTS", documents)
+        got.append(sorted(map(tuple, assembled.section_job_payloads(spark, "/root/testdata/sf0.001").collect())))
+    assert len(got[0]) == 12 and got[0] == got[1] and sum(r[2] for r in got[0]) == sum(len(r[3].split("/")) for r in got[0])
+
+
+def test_section_members_are_the_sections_of_jobs(spark):
+    records = spark.createDataFrame([(s, f"r{r}", "x", f"t{r}") for s in (1, 2) for r in range(4)], "spec long, rule string, sections string, trigger string")
+    contexts = spark.createDataFrame([(s, f"r{r}", ["a", f"b{r % 2}"] if r else []) for s in (1, 2) for r in range(4)], "spec long, rule string, sections array<string>")
+    jobs = spark.createDataFrame([(1, "a/b0", "job01"), (1, "a/b1", "job01"), (2, "a/b0", "job02"), (2, "a/b1", "job01")], "spec long, path string, job string")
+    spans = spark.createDataFrame([(1, "a/b0", 9, 12), (1, "a/b1", 5, 8), (2, "a/b1", 2, 3)], "spec long, path string, start_line int, end_line int")
+    edges = spark.createDataFrame([(1, "r1", "r3", "b1", "said")], "spec long, src string, dst string, anchor string, quote string")
+    rows = K.section_members(records, contexts, edges, jobs, spans).collect()
+    of = {j.job_id: j for j in K.section_jobs(records, contexts, edges, jobs, spans).collect()}
+    assert len(rows) == 4 and set(of) == {"job01", "job02"}
+    for job, j in of.items():
+        mine = sorted((r for r in rows if r.job_id == job), key=lambda r: (r.spec, r.start_line, r.section_path))
+        assert [r.asDict(True) | {"job_id": None} for r in mine] == [s.asDict(True) | {"job_id": None} for s in j.sections]
+        assert (j.rule_count, j.section_count) == (sum(len(r.rules) for r in mine), len(mine))
+    assert of["job01"].sections[0].rules[0].cross_reference_edges[0].target_id == "r3" and of["job02"].sections[0].start_line == 0
